@@ -4,17 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lintlake.llm import simhash
+from lintlake.llm import bytecnn, simhash
 from lintlake.llm.common import table
 
+#: A document scored below this counts as of low quality.
+KEEP = 0.3
+
 
 def op4_simhash_neardup(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op9_quality_cnn(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = bytecnn.train(docs, table(spark, sf_dir, "labels"))
+    return bytecnn.score(docs, model).select("doc_id", bytecnn.held_out().alias("held_out"), "score", F.when(F.col("score") >= KEEP, 1).otherwise(0).alias("predicted"))
+
+
 def queries():
-    return {"op4_simhash_neardup": op4_simhash_neardup}
+    return {f.__name__: f for f in (op4_simhash_neardup, op9_quality_cnn)}
 
 
 def oracle_sql():
