@@ -4,26 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lintlake.llm import bytecnn, simhash
+from lintlake.llm import bytecnn, decontam, packing, secrets, simhash
 from lintlake.llm.common import table
 
 #: A document scored below this counts as of low quality.
 KEEP = 0.3
 
 
+def op2_secret_forest(spark, sf_dir):
+    forest = secrets.Forest.fit(secrets.default_findings(spark))
+    return secrets.findings(table(spark, sf_dir, "documents"), forest, path_col="source").withColumnRenamed("id", "doc_id")
+
+
 def op4_simhash_neardup(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op5_benchmark_windows(spark, sf_dir):
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
+
+
 def op9_quality_cnn(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = bytecnn.train(docs, table(spark, sf_dir, "labels"))
     return bytecnn.score(docs, model).select("doc_id", bytecnn.held_out().alias("held_out"), "score", F.when(F.col("score") >= KEEP, 1).otherwise(0).alias("predicted"))
 
 
+def op10_length_buckets(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def queries():
-    return {f.__name__: f for f in (op4_simhash_neardup, op9_quality_cnn)}
+    return {f.__name__: f for f in (op2_secret_forest, op4_simhash_neardup, op5_benchmark_windows, op9_quality_cnn, op10_length_buckets)}
 
 
 def oracle_sql():
