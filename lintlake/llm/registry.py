@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import functions as F
 
 from lintlake.llm import bytecnn, decontam, packing, secrets, simhash
@@ -36,7 +37,7 @@ def op10_length_buckets(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op2_secret_forest, op4_simhash_neardup, op5_benchmark_windows, op9_quality_cnn, op10_length_buckets)}
+    return {f.__name__: f for f in (op2_secret_forest, op4_simhash_neardup, op5_benchmark_windows, op9_quality_cnn, op10_length_buckets)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():
