@@ -1,4 +1,4 @@
-"""Connected components of a link table, by minimum labels and pointer jumping."""
+"""Connected components of a link table, by hooking, pointer jumping and contraction."""
 
 from __future__ import annotations
 
@@ -8,22 +8,32 @@ from pyspark.sql import functions as F
 from lintlake.llm.common import materialize
 
 
+def _total(labels: DataFrame):
+    return labels.agg(F.sum(F.col("label").cast("decimal(38,0)")).alias("s")).first()["s"]
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """links: columns a and b (long). Returns node, label: the smallest node that each linked node reaches.
 
-    Nodes without links don't appear. Each round takes the least label of all neighbours, then the label of that label, and
-    ends in a table in the shared folder. Labels only fall, so the rounds end when their sum stays. An empty table gives none.
+    Nodes without links don't appear. In a round each node hooks onto its least neighbour if that is smaller, the trees are
+    flattened by pointer jumping, and links are rewritten between the roots; links inside a tree go, so the link table shrinks
+    with every round. All tables stand in the shared folder. An empty table gives none.
     """
-    both = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
-    labels, total = materialize(labels, "labels"), None
-    while True:
-        now = labels.agg(F.sum(F.col("label").cast("decimal(38,0)")).alias("s")).first()["s"]
-        if now is None or now == total:
-            return labels
-        total = now
-        heard = both.join(labels, both["a"] == labels["node"]).select(F.col("b").alias("node"), "label")
-        least = heard.unionByName(labels).groupBy("node").agg(F.min("label").alias("label"))
-        least = materialize(least, "labels")
-        further = least.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        labels = materialize(least.join(further, "label").select("node", F.col("further").alias("label")), "labels")
+    edges, found = materialize(links.select("a", "b").filter("a <> b"), "links"), None
+    while found is None or not edges.isEmpty():
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("label")), "labels")
+        total = None
+        while (now := _total(labels)) != total:
+            total = now
+            further = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
+            labels = materialize(labels.join(further, "label").select("node", F.col("further").alias("label")), "labels")
+        if found is None:
+            found = labels
+        else:
+            to = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
+            found = materialize(found.join(to, "label", "left").select("node", F.coalesce("further", "label").alias("label")), "labels")
+        a, b = (labels.select(F.col("node").alias(s), F.col("label").alias(f"{s}_root")) for s in "ab")
+        edges = edges.join(a, "a").join(b, "b").filter("a_root <> b_root")
+        edges = materialize(edges.select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct(), "links")
+    return found
