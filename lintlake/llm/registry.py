@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from lintlake.llm import bytecnn, decontam, packing, secrets, simhash
+from lintlake.llm import backoff, bytecnn, decontam, packing, secrets, simhash
 from lintlake.llm.common import table
 
 #: A document scored below this counts as of low quality.
@@ -26,6 +26,10 @@ def op5_benchmark_windows(spark, sf_dir):
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
 
 
+def op7_stupid_backoff(spark, sf_dir):
+    return backoff.self_scores(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op9_quality_cnn(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = bytecnn.train(docs, table(spark, sf_dir, "labels"))
@@ -37,7 +41,7 @@ def op10_length_buckets(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op2_secret_forest, op4_simhash_neardup, op5_benchmark_windows, op9_quality_cnn, op10_length_buckets)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op2_secret_forest, op4_simhash_neardup, op5_benchmark_windows, op7_stupid_backoff, op9_quality_cnn, op10_length_buckets)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():
