@@ -5,18 +5,27 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from lintlake.llm import backoff, bytecnn, decontam, packing, secrets, simhash
+from lintlake.llm import backoff, bytecnn, decontam, maintext, packing, secrets, simhash, vafile
 from lintlake.llm.common import table
 
 #: A document scored below this counts as of low quality.
 KEEP = 0.3
 
 
+def op1_vafile_topk(spark, sf_dir):
+    vectors = vafile.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return vafile.top_k(vectors, F.col("id") % 50 == 0)
+
+
 def op2_secret_forest(spark, sf_dir):
     forest = secrets.Forest.fit(secrets.default_findings(spark))
     return secrets.findings(table(spark, sf_dir, "documents"), forest, path_col="source").withColumnRenamed("id", "doc_id")
 
 
+def op3_main_text(spark, sf_dir):
+    return maintext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op4_simhash_neardup(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -41,8 +50,24 @@ def op10_length_buckets(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op2_secret_forest, op4_simhash_neardup, op5_benchmark_windows, op7_stupid_backoff, op9_quality_cnn, op10_length_buckets)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_vafile_topk, op2_secret_forest, op3_main_text, op4_simhash_neardup, op5_benchmark_windows, op7_stupid_backoff, op9_quality_cnn, op10_length_buckets)} | {"pipeline": corpus_pipeline.run}
+
+
+TOP_K_SQL = """
+WITH v AS (
+  SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), s AS (
+  SELECT q.id AS query_id, c.id AS vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.id <> c.id AND len(q.v) = len(c.v)
+  WHERE q.id % 50 = 0
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
 
 
 def oracle_sql():
-    return {}
+    return {"op1_vafile_topk": TOP_K_SQL}
