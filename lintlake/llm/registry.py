@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from lintlake.llm import backoff, bytecnn, decontam, maintext, packing, secrets, simhash, vafile
+from lintlake.llm import archives, backoff, bytecnn, decontam, maintext, packing, quotes, secrets, simhash, vafile
 from lintlake.llm.common import table
 
 #: A document scored below this counts as of low quality.
@@ -35,10 +35,18 @@ def op5_benchmark_windows(spark, sf_dir):
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
 
 
+def op6_arc_to_warc(spark, sf_dir):
+    return archives.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op7_stupid_backoff(spark, sf_dir):
     return backoff.self_scores(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op8_quote_threads(spark, sf_dir):
+    return quotes.conversations(table(spark, sf_dir, "conversations"))
+
+
 def op9_quality_cnn(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = bytecnn.train(docs, table(spark, sf_dir, "labels"))
@@ -50,7 +58,7 @@ def op10_length_buckets(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_vafile_topk, op2_secret_forest, op3_main_text, op4_simhash_neardup, op5_benchmark_windows, op7_stupid_backoff, op9_quality_cnn, op10_length_buckets)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_vafile_topk, op2_secret_forest, op3_main_text, op4_simhash_neardup, op5_benchmark_windows, op6_arc_to_warc, op7_stupid_backoff, op8_quote_threads, op9_quality_cnn, op10_length_buckets)} | {"pipeline": corpus_pipeline.run}
 
 
 TOP_K_SQL = """
@@ -69,5 +77,18 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+WARC_SQL = """
+WITH p AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN first_id END AS refers_to
+FROM f
+"""
+
+
 def oracle_sql():
-    return {"op1_vafile_topk": TOP_K_SQL}
+    return {"op1_vafile_topk": TOP_K_SQL, "op6_arc_to_warc": WARC_SQL}
