@@ -1,15 +1,280 @@
-"""Registered queries of the scanner."""
+"""Registered queries of the scanner over the synthetic corpus, with their SQL twins.
+
+A text rule's SQL is the same condition run by DuckDB over its own split of the files. DuckDB can't parse Python: a tree rule's SQL joins
+the corpus to the rows written down by hand beside each snippet.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lintlake import corpus
+from lintlake.functions.lines import split_lines
+from lintlake.functions.predicates import any_of
+from lintlake.operators import manifest_rules
+from lintlake.operators.text_rules import NOT_A_SECRET, TEXT_RULES
+from lintlake.operators.tree_rules import TREE_RULES, decode_chains
+from lintlake.plans import scan
+from lintlake.schema import severity_rank
+
+Query = Callable[[SparkSession, str], DataFrame]
+PLAIN = tuple(r for r in TEXT_RULES if not r.needs_tree and r.name not in ("pth_startup_hooks", "trojan_source"))
+GOLDEN = tuple(r.name for r in (*TEXT_RULES, *TREE_RULES) if r not in PLAIN and r.name != "trojan_source") + tuple(scan.MANIFEST_RULES)
+#: A cheap set of text rules for the queries about what follows the rules.
+SOME = ("pickle", "hardcoded_secrets", "assert_security", "debug_mode", "timing_attack", "weak_hash", "tls_verify")
+
+
+def _rule(name: str, snippet: bool) -> Query:
+    columns = ["path", "line", "cwe_id", "severity", "confidence", *(["code_snippet"] if snippet else [])]
+    return lambda spark, sf_dir: scan.scan_frame(corpus.files(spark, sf_dir), [name]).select(*columns)
+
+
+def _rule_sql(rule, *columns: str) -> str:
+    """All cases of a text rule as one SELECT over lines for each slot."""
+    parts = []
+    for k, slot in enumerate(rule.slots):
+        cases = " ".join(f"WHEN {c.when.sql('code')} THEN '{c.severity}'" for c in slot)
+        where = "" if rule.comments else "WHERE NOT starts_with(code, '#')"
+        parts.append(f"SELECT path, package, number AS line, line AS text, code AS code_snippet, {rule.ordinal} AS ordinal, {k} AS slot, '{rule.cwe_id}' AS cwe_id, '{rule.confidence}' AS confidence, CASE {cases} END AS severity FROM lines {where}")
+    return f"SELECT {', '.join(columns)} FROM ({' UNION ALL '.join(parts)}) WHERE severity IS NOT NULL"
+
+
+def _golden_sql(name: str) -> str:
+    confidence = {r.name: r.confidence for r in (*TEXT_RULES, *TREE_RULES)} | {"dependency_cve": "HIGH", "unbounded_pins": "MEDIUM"}
+    return f"WITH {corpus.files_sql()}, {corpus.expected_sql()} SELECT path, CAST(line AS INTEGER) AS line, cwe_id, severity, '{confidence[name]}' AS confidence FROM files JOIN expected USING (snippet_id) WHERE rule = '{name}'"
+
+
+def _found_sql() -> str:
+    """WITH clauses up to `found`: the candidates of SOME."""
+    rules = [r for r in TEXT_RULES if r.name in SOME]
+    columns = ("path", "package", "line", "text", "code_snippet", "ordinal", "slot", "cwe_id", "confidence", "severity")
+    return f"WITH {corpus.files_sql()}, found AS ({' UNION ALL '.join(f'({_rule_sql(r, *columns)})' for r in rules)})"
+
+
+NOSEC_SQL = r"""(regexp_matches(text, '#\s*nosec\b', 'i') AND (
+  len(list_filter(string_split(upper(regexp_extract(text, '#\s*nosec\b(?:\s+([\w,-]+))?', 1, 'i')), ','), lambda x: x <> '')) = 0
+  OR list_contains(string_split(upper(regexp_extract(text, '#\s*nosec\b(?:\s+([\w,-]+))?', 1, 'i')), ','), cwe_id)))"""
+TEST_SQL = r"regexp_matches(path, '(^|/)(tests|test)/|(^|/)conftest\.py$|(^|/)test_[^/]*\.py$|_test\.py$')"
+RANK_SQL = "CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 3 WHEN 'INFO' THEN 4 ELSE 99 END"
+LEFT_SQL = "path, line, cwe_id, severity, confidence, code_snippet"
+
+
+def _candidates(spark, sf_dir, rules=SOME) -> DataFrame:
+    return scan.scan_frame(corpus.files(spark, sf_dir), rules)
+
+
+def _fated(spark, sf_dir, fate: str) -> DataFrame:
+    return scan.marked(_candidates(spark, sf_dir), "MEDIUM").filter(F.col("fate") == fate).select(*LEFT_SQL.split(", "))
+
+
+FATE_SQL = f"CASE WHEN {NOSEC_SQL} THEN 'nosec' WHEN confidence = 'LOW' THEN 'confidence' WHEN cwe_id IN ('CWE-798', 'CWE-617', 'CWE-918', 'CWE-770') AND {TEST_SQL} THEN 'test' ELSE 'kept' END"
+
+
+def nosec_suppress(spark, sf_dir):
+    return _fated(spark, sf_dir, "nosec")
+
+
+def confidence_filter(spark, sf_dir):
+    return _fated(spark, sf_dir, "confidence")
+
+
+def test_path_filter(spark, sf_dir):
+    return _fated(spark, sf_dir, "test")
+
+
+def kept_findings(spark, sf_dir):
+    return _fated(spark, sf_dir, "kept")
+
+
+def baseline_distinct(spark, sf_dir):
+    return scan.fingerprints(scan.scan(corpus.files(spark, sf_dir), SOME).findings).distinct()
+
+
+def _baseline(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    found = scan.scan(corpus.files(spark, sf_dir), SOME).findings
+    return found, scan.fingerprints(found.filter("package IN ('pkg0', 'pkg3')"))
+
+
+def baseline_anti(spark, sf_dir):
+    found, old = _baseline(spark, sf_dir)
+    return scan.without_baseline(found, old).select(*LEFT_SQL.split(", "))
+
+
+def baseline_count(spark, sf_dir):
+    found, old = _baseline(spark, sf_dir)
+    return found.join(old.distinct(), ["cwe_id", "file", "code_snippet"], "left_semi").agg(F.count("*").alias("baseline_suppressed"))
+
+
+def report_sort_rank(spark, sf_dir):
+    """Place of each finding inside its package's report."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("package").orderBy("rank", "path", "line", "ordinal", "seq")
+    rows = _candidates(spark, sf_dir).withColumn("rank", severity_rank(F.col("severity")))
+    return rows.select("package", "path", "line", "cwe_id", F.row_number().over(w).alias("place"))
+
+
+def severity_rollup(spark, sf_dir):
+    return scan.by_severity(_candidates(spark, sf_dir))
+
+
+def confidence_rollup(spark, sf_dir):
+    return scan.by_confidence(_candidates(spark, sf_dir))
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    """A full scan's findings by package and severity."""
+    found = scan.scan(corpus.files(spark, sf_dir)).findings
+    return found.groupBy("package", "severity").agg(F.count("*").alias("n"), F.countDistinct("path").alias("n_files"))
+
+
+def exit_gate(spark, sf_dir):
+    """For each threshold whether the scan fails."""
+    counts = scan.by_severity(_candidates(spark, sf_dir)).withColumn("rank", severity_rank(F.col("severity")))
+    thresholds = spark.createDataFrame([("CRITICAL", 0), ("HIGH", 1), ("MEDIUM", 2), ("LOW", 3), ("INFO", 4)], "fail_on string, least int")
+    return thresholds.join(counts, F.col("rank") <= F.col("least"), "left").groupBy("fail_on").agg((F.coalesce(F.sum("n"), F.lit(0)) > 0).alias("fails"))
+
+
+def _listing(spark, sf_dir) -> DataFrame:
+    """Every file twice, once for its own package and once for a package of all; manifests marked."""
+    files = corpus.files(spark, sf_dir).select("path", "package")
+    manifest = F.element_at(F.split("path", "/"), -1).isin(*manifest_rules.MANIFESTS)
+    own = files.select("path", "package", F.substring("package", 4, 1).cast("int").alias("ordinal"), manifest.alias("is_manifest"))
+    return own.unionByName(files.select("path", F.lit("all").alias("package"), F.lit(2).alias("ordinal"), manifest.alias("is_manifest")))
+
+
+def package_dedupe(spark, sf_dir):
+    return scan.owners(_listing(spark, sf_dir))
+
+
+def _manifests(spark, sf_dir) -> DataFrame:
+    files = corpus.files(spark, sf_dir).filter(F.element_at(F.split("path", "/"), -1).isin(*manifest_rules.MANIFESTS))
+    return files.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir"), "path")
+
+
+def _roots(spark, sf_dir) -> DataFrame:
+    deep = _manifests(spark, sf_dir).select(F.concat("dir", F.lit("/a/b")).alias("root"))
+    return deep.select(F.col("root").alias("package"), "root", F.lit(None).cast("string").alias("ceiling"))
+
+
+def manifest_nearest_ancestor(spark, sf_dir):
+    return scan.nearest_manifests(_roots(spark, sf_dir), _manifests(spark, sf_dir))
+
+
+def manifest_label(spark, sf_dir):
+    manifests = _manifests(spark, sf_dir)
+    roots = manifests.filter("path LIKE '%requirements.txt'").select(F.col("dir").alias("root"), F.concat(F.lit("named "), "dir").alias("package"), F.lit(0).alias("ordinal"))
+    return scan.manifest_labels(manifests, roots)
+
+
+def lockfile_severity(spark, sf_dir):
+    files = corpus.files(spark, sf_dir)
+    beside = files.filter("locked").select(F.concat(F.regexp_extract("path", "^(.*/)[^/]*$", 1), F.lit("Pipfile.lock")).alias("path"))
+    listing = files.select("path").unionByName(beside)
+    return scan.scan_frame(scan.with_locks(files.drop("locked"), listing), ["unbounded_pins"]).select("path", "line", "severity")
+
+
+def cve_theta_join(spark, sf_dir):
+    """Lines of manifests that name a package of the advisory table at an older version, by a join on a pattern."""
+    table = spark.createDataFrame([(n, list(v), a) for n, v, a in manifest_rules.VULNERABLE], "name string, sound array<long>, advisory string")
+    lines = _lines(spark, sf_dir).filter(F.element_at(F.split("path", "/"), -1).isin(*manifest_rules.MANIFESTS))
+    lines = lines.withColumn("version", F.transform(manifest_rules.version(F.col("line")), lambda x: x.cast("long")))
+    pattern = F.concat(F.lit(r"(?U)(?:^|[\"'=,\s])"), "name", F.lit(r"(?=[\"':,<>=!\s]|$)"))
+    return lines.join(F.broadcast(table), F.rlike(F.lower("line"), pattern) & (F.col("version") < F.col("sound"))).select("path", "number", "name", "advisory")  # ten rows
+
+
+def _lines(spark, sf_dir) -> DataFrame:
+    files = corpus.files(spark, sf_dir).select("path", "snippet_id", F.posexplode(split_lines(F.col("text"))).alias("at", "line"))
+    return files.select("path", "snippet_id", (F.col("at") + 1).alias("number"), "line")
+
+
+def version_compare(spark, sf_dir):
+    found = _lines(spark, sf_dir).withColumn("version", manifest_rules.version(F.col("line"))).filter("version IS NOT NULL")
+    return found.select("path", "number", F.array_join("version", ".").alias("version"), manifest_rules.older(F.col("line"), (2, 31, 5)).alias("older"))
+
+
+def secret_false_positive(spark, sf_dir):
+    rows = _lines(spark, sf_dir).filter(any_of("pwd", "password", "token", "connection_url", "secret", lower=True).column(F.col("line")))
+    return rows.select("path", "number", NOT_A_SECRET.column(F.col("line")).alias("harmless"))
+
+
+def decode_chain_fold(spark, sf_dir):
+    files = corpus.files(spark, sf_dir)
+    return files.select("path", F.inline(decode_chains(split_lines(F.col("text"))))).select("path", "decoded", "executed")
+
+
+def line_numbers(spark, sf_dir):
+    return _lines(spark, sf_dir).select("path", "number", "line")
+
+
+def plugin_rule(spark, sf_dir):
+    todo = scan.Rule("todo", "CWE-546", "Suspicious Comment", "INFO", lambda line, code, number, path: code.startswith("#") & (number <= 3))
+    return scan.scan_frame(corpus.files(spark, sf_dir), [], [todo]).select("path", "line", "cwe_id", "severity", "code_snippet")
+
+
+def documents_tokens(spark, sf_dir):
+    """The candidate of the token rules over the prose table: lines that assign a long quoted value to a token."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.posexplode(split_lines(F.col("text"))).alias("at", "line"))
+    return docs.filter(F.col("line").rlike(r"(?i)token\s*=\s*[\"'][0-9a-f]{40}[\"']")).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+OPERATORS: tuple[Query, ...] = (
+    nosec_suppress, confidence_filter, test_path_filter, kept_findings, baseline_distinct, baseline_anti, baseline_count, report_sort_rank, severity_rollup, confidence_rollup,
+    exit_gate, package_dedupe, manifest_nearest_ancestor, manifest_label, lockfile_severity, cve_theta_join, version_compare, secret_false_positive, decode_chain_fold, line_numbers, plugin_rule, documents_tokens,
+)
 
 
-def queries():
-    return {}
+def queries() -> dict[str, Query]:
+    out = {f"rule_{r.name}": _rule(r.name, True) for r in PLAIN} | {f"rule_{n}": _rule(n, False) for n in (*GOLDEN, "trojan_source")}
+    return out | {f.__name__: f for f in OPERATORS} | {"scan_rollup": flagship}
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    base = f"WITH {corpus.files_sql()} "
+    found = _found_sql()
+    marked = f"{found}, marked AS (SELECT *, {FATE_SQL} AS fate FROM found)"
+    scanned = f"{found}, scanned AS (SELECT *, path AS file FROM found WHERE NOT {NOSEC_SQL} AND NOT (cwe_id IN ('CWE-798', 'CWE-617', 'CWE-918', 'CWE-770') AND {TEST_SQL})), old AS (SELECT DISTINCT cwe_id, file, code_snippet FROM scanned WHERE package IN ('pkg0', 'pkg3'))"
+    held = "EXISTS (SELECT 1 FROM old o WHERE o.cwe_id = s.cwe_id AND o.file = s.file AND o.code_snippet = s.code_snippet)"
+    manifests = "regexp_matches(path, '/(pyproject\\.toml|requirements\\.txt|setup\\.py|Pipfile)$')"
+    version = r"regexp_extract(line, '(?:>=|==|~=|!=|<|>)\s*(\d+\.\d+\.\d+)', 1)"
+    parts = f"list_transform(string_split({version}, '.'), lambda x: CAST(x AS BIGINT))"
+    advisories = ", ".join(f"('{n}', {list(v)}, '{a}')" for n, v, a in manifest_rules.VULNERABLE)
+    decode, run = r"(base64\.(b64decode|urlsafe_b64decode|decodestring)|zlib\.decompress|bz2\.decompress|codecs\.decode)\s*\(", r"(exec|eval)\s*\("
+    lines = "(SELECT path, number, line FROM lines WHERE NOT (line = '' AND number = (SELECT max(l2.number) FROM lines l2 WHERE l2.path = lines.path)))"
+    out = {f"rule_{r.name}": f"WITH {corpus.files_sql()} {_rule_sql(r, 'path', 'line', 'cwe_id', 'severity', 'confidence', 'code_snippet')}" for r in PLAIN}
+    out |= {f"rule_{n}": _golden_sql(n) for n in GOLDEN}
+    out |= {"rule_trojan_source": f"{base} SELECT path, number AS line, 'CWE-1007' AS cwe_id, 'CRITICAL' AS severity, 'MEDIUM' AS confidence FROM lines WHERE regexp_matches(line, '[\u202a-\u202e\u2066-\u2069]')"}
+    fates = {"nosec_suppress": "nosec", "confidence_filter": "confidence", "test_path_filter": "test", "kept_findings": "kept"}
+    out |= {k: f"{marked} SELECT {LEFT_SQL} FROM marked WHERE fate = '{v}'" for k, v in fates.items()}
+    return out | {
+        "baseline_distinct": f"{scanned} SELECT DISTINCT cwe_id, file, code_snippet FROM scanned",
+        "baseline_anti": f"{scanned} SELECT {LEFT_SQL} FROM scanned s WHERE NOT {held}",
+        "baseline_count": f"{scanned} SELECT count(*) AS baseline_suppressed FROM scanned s WHERE {held}",
+        "report_sort_rank": f"{found} SELECT package, path, line, cwe_id, CAST(row_number() OVER (PARTITION BY package ORDER BY {RANK_SQL}, path COLLATE C, line, ordinal, slot) AS INTEGER) AS place FROM found",
+        "severity_rollup": f"{found} SELECT severity, count(*) AS n FROM found GROUP BY severity",
+        "confidence_rollup": f"{found} SELECT confidence, count(*) AS n FROM found GROUP BY confidence",
+        "exit_gate": f"{found} SELECT fail_on, EXISTS (SELECT 1 FROM found WHERE {RANK_SQL} <= least) AS fails FROM (VALUES ('CRITICAL', 0), ('HIGH', 1), ('MEDIUM', 2), ('LOW', 3), ('INFO', 4)) t(fail_on, least)",
+        "package_dedupe": f"{base} SELECT path, CASE WHEN CAST(substr(package, 4, 1) AS INTEGER) > 2 THEN 'all' WHEN package = 'pkg2' THEN least('all', package) ELSE package END AS package FROM files",
+        "manifest_nearest_ancestor": f"{base} SELECT regexp_extract(a.path, '^(.*)/[^/]*$', 1) || '/a/b' AS package, a.path FROM files a WHERE {manifests.replace('path', 'a.path')}",
+        "manifest_label": f"{base} SELECT path, CASE WHEN path LIKE '%requirements.txt' THEN 'named ' || regexp_extract(path, '^(.*)/[^/]*$', 1) ELSE regexp_extract(path, '([^/]*)/[^/]*$', 1) END AS label FROM files WHERE {manifests}",
+        "lockfile_severity": f"WITH {corpus.files_sql()}, {corpus.expected_sql()} SELECT path, CAST(line AS INTEGER) AS line, severity FROM files JOIN expected USING (snippet_id) WHERE rule = 'unbounded_pins'",
+        "cve_theta_join": f"{base} SELECT path, number, name, advisory FROM lines JOIN (VALUES {advisories}) t(name, sound, advisory) ON regexp_matches(lower(line), '(?:^|[\"''=,\\s])' || name || '(?:[\"'':,<>=!\\s]|$)') WHERE {manifests} AND {version} <> '' AND {parts} < CAST(sound AS BIGINT[])",
+        "version_compare": f"{base} SELECT path, number, {version} AS version, {parts} < CAST([2, 31, 5] AS BIGINT[]) AS older FROM lines WHERE {version} <> ''",
+        "secret_false_positive": f"{base} SELECT path, number, {NOT_A_SECRET.sql('line')} AS harmless FROM lines WHERE {any_of('pwd', 'password', 'token', 'connection_url', 'secret', lower=True).sql('line')}",
+        "decode_chain_fold": f"""WITH RECURSIVE {corpus.files_sql()}, told AS (
+  SELECT path, number, regexp_matches(line, '{decode}') AS decodes, regexp_matches(line, '{run}') AS runs, row_number() OVER (PARTITION BY path ORDER BY number) AS k
+  FROM lines WHERE NOT starts_with(code, '#') AND (regexp_matches(line, '{decode}') OR regexp_matches(line, '{run}'))
+), fold AS (
+  SELECT path, CAST(0 AS BIGINT) AS k, CAST([] AS INTEGER[]) AS open, CAST(NULL AS INTEGER) AS decoded, CAST(NULL AS INTEGER) AS executed FROM (SELECT DISTINCT path FROM told)
+  UNION ALL
+  SELECT path, k, CASE WHEN hit THEN list_slice(opened, 1, len(opened) - 1) ELSE opened END, CASE WHEN hit THEN opened[len(opened)] END, CASE WHEN hit THEN number END FROM (
+    SELECT path, k, number, opened, runs AND len(opened) > 0 AND coalesce(number - opened[len(opened)], 99) <= 5 AS hit FROM (
+      SELECT t.path, t.k, t.number, t.runs, CASE WHEN t.decodes THEN list_append(f.open, t.number) ELSE f.open END AS opened FROM fold f JOIN told t ON t.path = f.path AND t.k = f.k + 1))
+) SELECT path, decoded, executed FROM fold WHERE executed IS NOT NULL""",
+        "line_numbers": f"{base} SELECT path, number, line FROM {lines}",
+        "plugin_rule": f"{base} SELECT path, number AS line, 'CWE-546' AS cwe_id, 'INFO' AS severity, code AS code_snippet FROM lines WHERE starts_with(code, '#') AND number <= 3",
+        "documents_tokens": "SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(line, 'token\\s*=\\s*[\"''][0-9a-f]{40}[\"'']', 'i') GROUP BY doc_id",
+    }
