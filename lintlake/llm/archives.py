@@ -87,7 +87,7 @@ def to_warc(fields: dict[str, str], block: bytes, refers: str | None = None, num
         "WARC/1.1",
         f"WARC-Type: {kind}",
         f"WARC-Record-ID: {record_id(payload, number)}",
-        f"WARC-Date: {datetime.datetime.strptime(date.ljust(14, '0')[:14], '%Y%m%d%H%M%S'):%Y-%m-%dT%H:%M:%SZ}",
+        f"WARC-Date: {datetime.datetime.strptime((date + '00000101000000'[len(date):])[:14], '%Y%m%d%H%M%S'):%Y-%m-%dT%H:%M:%SZ}",
     ]
     if kind == "warcinfo":
         lines.append("Content-Type: text/plain")
@@ -122,24 +122,32 @@ class _Inflated(io.RawIOBase):
     """A gzip archive of one or more members, inflated piece by piece."""
 
     def __init__(self, data: bytes):
-        self.data, self.tool, self.at = data, zlib.decompressobj(31), 0
+        self.pieces, self.rest = self._inflate(data), b""
+
+    @staticmethod
+    def _inflate(data: bytes):
+        tool, held, at = zlib.decompressobj(31), b"", 0
+        while held or at < len(data):
+            if not held:
+                held, at = data[at : at + 65536], at + 65536
+            yield tool.decompress(held, 1 << 18)
+            held = tool.unconsumed_tail
+            if tool.eof:
+                held, tool = tool.unused_data, zlib.decompressobj(31)
+        yield tool.flush()
 
     def readable(self):
         return True
 
     def readinto(self, out):
-        while True:
-            piece = self.tool.decompress(self.tool.unconsumed_tail or self.data[self.at : self.at + 65536], len(out))
-            if not self.tool.unconsumed_tail:
-                self.at += 65536
-            if piece:
-                out[: len(piece)] = piece
-                return len(piece)
-            if self.tool.eof and self.tool.unused_data:
-                self.at -= len(self.tool.unused_data)
-                self.tool = zlib.decompressobj(31)
-            elif self.at >= len(self.data):
+        while not self.rest:
+            piece = next(self.pieces, None)
+            if piece is None:
                 return 0
+            self.rest = piece
+        n = min(len(out), len(self.rest))
+        out[:n], self.rest = self.rest[:n], self.rest[n:]
+        return n
 
 
 def first_of_payload(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:

@@ -6,9 +6,10 @@ hashes of their words.
 
 `score` joins the exploded n-grams of any documents to count tables partitioned by hash, order by order. `self_scores`
 scores documents by the counts of those same documents: every n-gram is held, so the sum splits into one signed sum of logarithms of
-counts, and one exchange by n-gram hash serves both counting and joining. The counts of the most frequent words (a table of fixed size) are broadcast, all others
-joined. In a document each n-gram is one row, so no key has more rows than there are documents; AQE splits those
-that are still large.
+counts, and one exchange by n-gram hash serves both counting and joining. In a document each n-gram is one row.
+
+The most frequent n-grams don't take part in that exchange: a bounded sample of documents names them, their exact counts over all documents are summed
+batch by batch and broadcast (a table of fixed size), and each document adds them up at once. So no hash partition gets a hot key.
 """
 
 from __future__ import annotations
@@ -19,9 +20,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintlake.llm.common import materialize, string_col
+from lintlake.llm.common import string_col
 
-ALPHA, ORDER, FREQUENT = 0.4, 2, 1 << 16
+ALPHA, ORDER, FREQUENT, SAMPLE_ROWS = 0.4, 2, 1 << 16, 20_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 CACHE = 1 << 19
 
@@ -107,55 +108,101 @@ def score(docs: DataFrame, tables: list[DataFrame], alpha: float = ALPHA, id_col
     return none.join(sums, none["id"].eqNullSafe(sums["id"]), "left").select(none["id"], F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.coalesce("log_score", F.lit(0.0)).alias("log_score"))
 
 
-def self_scores(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
+def _frequent(texts: DataFrame, order: int, size: int, sample_rows: int) -> tuple[list, int]:
+    """For each order the sorted hashes of the `size` most frequent n-grams of a sample and the logarithms of their counts over all texts; and the number of words."""
+    total = texts.count()
+    sample = texts.sample(min(1.0, sample_rows / max(1, total)), seed=3)
+    keys = []
+    for n in range(1, order + 1):
+        top = counts(sample, n, "id").orderBy(F.desc("n"), "key").limit(size).collect() if size else []
+        keys.append(np.sort(np.array([r["key"] & (2**64 - 1) for r in top], np.uint64)))
+    shared = texts.sparkSession.sparkContext.broadcast(keys)
+
+    def run(batches):
+        words, known, seen = _Words(), shared.value, 0
+        sums = [np.zeros(len(k), np.int64) for k in known]
+        for b in batches:
+            for t in b.column(1):
+                w = words.of(t.as_py())
+                seen += len(w)
+                for n, (k, total) in enumerate(zip(known, sums, strict=True), 1):
+                    if len(k) and len(h := grams(w, n)):
+                        at = np.minimum(np.searchsorted(k, h), len(k) - 1)
+                        np.add.at(total, at[k[at] == h], 1)
+        for n, total in enumerate(sums, 1):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(total), n, np.int32)), pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["n", "at", "c"])
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([0], pa.int32()), pa.array([seen], pa.int64())], ["n", "at", "c"])
+
+    found = texts.mapInArrow(run, "n int, at int, c long").groupBy("n", "at").agg(F.sum("c").alias("c")).collect()
+    sums, seen = [np.ones(len(k)) for k in keys], 0
+    for r in found:
+        if r["n"]:
+            sums[r["n"] - 1][r["at"]] = r["c"]
+        else:
+            seen = r["c"]
+    return [(k, np.log(np.maximum(c, 1))) for k, c in zip(keys, sums, strict=True)], seen
+
+
+def self_scores(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """id, n_tokens, log_score of every document by the counts of all of them; as score() gives with the same documents' tables.
 
-    Every word but the first ones has a full context. Null and empty texts have n_tokens 0 and log_score 0; repeated ids are added up as one
-    document; other columns are ignored. An empty table gives an empty one.
+    frequent and sample_rows decide which counts are broadcast, not what they are. Null and empty texts have n_tokens 0 and
+    log_score 0; repeated ids are added up as one document; other columns are ignored. An empty table gives an empty one.
     """
     texts = _texts(docs, id_col, text_col)
-    words = materialize(counts(docs, 1, id_col, text_col), "words")
-    total = words.agg(F.sum("n")).first()[0] or 1
-    common = sorted((r["key"] & (2**64 - 1), r["n"]) for r in words.orderBy(F.desc("n"), "key").limit(frequent).collect())
-    shared = docs.sparkSession.sparkContext.broadcast((np.array([k for k, _ in common], np.uint64), np.log(np.array([n for _, n in common], np.float64))))
+    common, total = _frequent(texts, order, frequent, sample_rows)
+    shared = docs.sparkSession.sparkContext.broadcast(common)
+    of_word = -float(np.log(max(1, total)))
+
+    def document(w: np.ndarray, common) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Hashes, occurrences and weights of the n-grams of one document that aren't frequent, and the sum over those that are."""
+        keys, ns, weights = [], [], []
+        base = of_word * (len(w) if order == 1 else min(1, len(w)))
+        for n in range(1, min(order, len(w)) + 1):
+            h = grams(w, n)
+            ends = np.zeros(len(h))  # +1 where the n-gram is scored, -1 where it is a context
+            if n == order:
+                ends += 1
+            else:
+                ends[0] += 1  # the n-th word has no longer context
+                ends[: len(w) - n if n == order - 1 else min(1, len(w) - n)] -= 1
+            known, logs = common[n - 1]
+            if len(known):
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                hit = known[at] == h
+                base += float(ends[hit] @ logs[at[hit]])
+                h, ends = h[~hit], ends[~hit]
+            key, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
+            keys.append(key)
+            ns.append(count)
+            weights.append(np.bincount(inverse, ends, len(key)).astype(np.int64))
+        if not keys:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), base
+        return np.concatenate(keys), np.concatenate(ns), np.concatenate(weights), base
 
     def run(batches):
-        cache, (top, logs) = _Words(), shared.value
+        words, common = _Words(), shared.value
         for b in batches:
-            for at in range(0, b.num_rows, 64):
-                part, out = b.slice(at, 64), []
+            for at in range(0, b.num_rows, 128):
+                part = b.slice(at, 128)
+                keys, packed, bases, sizes = [], [], [], []
                 for i, t in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    w = cache.of(t.as_py())
-                    keys, ns, weights = [], [], []
-                    for n in range(1, min(order, len(w)) + 1):
-                        h = grams(w, n)
-                        ends = np.zeros(len(h))  # +1 where the n-gram is scored, -1 where it is a context
-                        if n == order:
-                            ends += 1
-                        else:
-                            ends[0] += 1  # the n-th word has no longer context
-                            ends[: len(w) - n if n == order - 1 else min(1, len(w) - n)] -= 1
-                        key, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
-                        keys.append(key)
-                        ns.append(count)
-                        weights.append(np.bincount(inverse, ends, len(key)))
-                    key, n, weight = (np.concatenate(x) if x else np.zeros(0) for x in (keys, ns, weights))
-                    base = -float(np.log(total)) * (len(w) if order == 1 else min(1, len(w)))
-                    if len(w):
-                        words_of = len(keys[0])
-                        place = np.minimum(np.searchsorted(top, key[:words_of]), max(0, len(top) - 1))
-                        known = top[place] == key[:words_of] if len(top) else np.zeros(words_of, bool)
-                        base += float(weight[:words_of][known] @ logs[place[known]])
-                        keep = np.concatenate([~known, np.ones(len(key) - words_of, bool)])
-                        key, n, weight = key[keep], n[keep], weight[keep]
-                    own = xxhash.xxh64_intdigest(f"document {i}".encode())  # a row of its own for what is known already
-                    out.append((np.append(key.astype(np.uint64), np.uint64(own)), np.append(n, 0), np.append(weight, 0), np.append(np.zeros(len(key)), base), np.append(np.zeros(len(key), np.int64), len(w)), [i] * (len(key) + 1)))
-                key, n, weight, base, size = (np.concatenate([x[k] for x in out]) for k in range(5))
-                ids = pa.array([y for x in out for y in x[5]], pa.int64())
-                yield pa.RecordBatch.from_arrays([*_arrow(key.astype(np.uint64), n.astype(np.int32), weight.astype(np.float32), base, size.astype(np.int32)), ids], ["key", "n", "weight", "base", "size", "id"])
-
-    terms = texts.mapInArrow(run, "key long, n int, weight float, base double, size int, id long")
-    held = terms.select("key", "n").groupBy("key").agg(F.sum("n").alias("c"))
-    joined = terms.join(held, "key")
-    term = F.when(F.col("weight") == 0, 0.0).otherwise(F.col("weight").cast("double") * F.log(F.greatest("c", F.lit(1))))
-    return joined.groupBy("id").agg(F.sum("size").cast("long").alias("n_tokens"), F.sum(term + F.col("base")).alias("log_score"))
+                    w = words.of(t.as_py())
+                    key, n, weight, base = document(w, common)
+                    own = np.uint64(xxhash.xxh64_intdigest(f"document {i}".encode()))  # a row without occurrences for what is known already
+                    keys += [key, [own]]
+                    packed += [n << 32 | weight + n, [len(w)]]
+                    bases += [np.zeros(len(key)), [base]]
+                    sizes.append(len(key) + 1)
+                ids = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), sizes)))
+                cols = [np.concatenate([np.asarray(x, t) for x in xs]) for xs, t in ((keys, np.uint64), (packed, np.int64), (bases, np.float64))]
+                yield pa.RecordBatch.from_arrays([*_arrow(cols[0]), ids, *_arrow(cols[1], cols[2])], ["key", "id", "v", "base"])
+
+    terms = texts.mapInArrow(run, "key long NOT NULL, id long, v long NOT NULL, base double NOT NULL").repartition("key")
+    # the counts read every column, so that both sides of the join share one exchange
+    held = terms.groupBy("key").agg(F.sum(F.shiftright("v", 32)).alias("c"), F.max(F.coalesce("id", F.lit(0))).alias("last"), F.min("base").alias("least"))
+    joined = terms.join(held, "key").filter((F.col("last") >= F.coalesce("id", F.lit(0))) & (F.col("least") <= F.col("base")))
+    n = F.shiftright("v", 32)
+    weight = F.col("v").bitwiseAND(F.lit(0xFFFFFFFF)) - n
+    sums = joined.groupBy("id").agg(F.sum(F.when(n == 0, weight).otherwise(0)).alias("n_tokens"), F.sum(F.when(n == 0, F.col("base")).otherwise(weight * F.log(F.greatest("c", F.lit(1))))).alias("log_score"))
+    return sums.select("id", "n_tokens", "log_score")

@@ -106,7 +106,8 @@ class ByteCNN:
         g |= {"dense": feats.T @ dh, "dense_bias": dh.sum(axis=0)}
         df = dh @ w["dense"].T
         doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-        top = pooled == feats[doc, :FILTERS]
+        top = (pooled == feats[doc, :FILTERS]).astype(np.float64)
+        top /= np.add.reduceat(top, starts)[doc]  # equal chunks share
         dpool = df[doc, FILTERS:] / np.bincount(doc)[doc][:, None] + df[doc, :FILTERS] * top
         draw = dpool * (raw > 0)
         g["bias"] = draw.sum(axis=0)

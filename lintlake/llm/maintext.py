@@ -139,7 +139,7 @@ def blocks(html: str | None) -> list[str]:
         return []
     ratio = smooth(np.array([max(0, len(text) - links) / max(1, tags) for text, tags, links, *_ in lines]))
     threshold = min(SPREAD * ratio.std(), ratio.max())
-    content = {x[3] for x, r in zip(lines, ratio, strict=True) if r >= threshold}
+    content = {x[3] for x, r in zip(lines, ratio, strict=True) if r >= threshold and 2 * x[2] <= len(x[0])}  # lines of links never open a region
     return [x[0] for x in lines if x[3] in content]
 
 
