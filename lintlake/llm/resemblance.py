@@ -3,8 +3,10 @@
 Where copies are edited, whole shingles change and a fingerprint of shingles drifts far. Keys therefore come from three independent fingerprints of
 the distinct content words (five bytes or more; all words if there are few of these), of which an edit changes one. Each fingerprint is cut
 into three segments; a key joins one segment as it is with a codeword index around another, so two documents meet if in any of the fingerprints one segment
-is equal and another differs in 2 bits or fewer. At similarity 0.8 nine of ten pairs meet, and almost all at 0.9. A key has 33 bits or more, so
-strangers seldom share one, and what shares one grows as the input does.
+is equal and another differs in 2 bits or fewer. That finds scattered edits. A block that is added or cut changes a tenth or more of the words at once and
+moves every fingerprint of the whole text, so each document has keys of hash-selected parts too: a part is the four shingles that come first in
+four orders by hash, and its fingerprint is a key as it is. Two documents agree on a part with probability similarity ** 4, wherever they differ, and on one of
+twelve parts with probability 0.998 at 0.8. A key has 33 bits or more, so strangers seldom share one, and what shares one grows as the input does.
 
 Each key names its smallest document as pivot. First, every document is compared with the pivot nearest to it, which joins dense
 groups with as many comparisons as documents. Then only pairs across the groups so far are compared, and of a key's documents
@@ -29,6 +31,9 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Pairs whose shingle fingerprints are further apart aren't compared: at similarity 0.8 about 10 bits differ, 3 more or less.
 NEAR_BITS = 16
 PRINTS = 3
+#: Hash-selected parts of a text, and the shingles in each.
+PARTS, PART_SHINGLES = 12, 4
+ORDERS = np.random.default_rng(5).integers(0, 1 << 64, PARTS * PART_SHINGLES, np.uint64) | np.uint64(1)
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 CONTENT_BYTES, FEW = 5, 8
 
@@ -71,30 +76,48 @@ def shingle_hashes(line: list[bytes], k: int) -> np.ndarray:
     return out
 
 
+def part_keys(hashes: np.ndarray) -> np.ndarray:
+    """A negative number for each hash-selected part, so that it differs from every key of a fingerprint's segments."""
+    least = np.full(len(ORDERS), np.iinfo(np.uint64).max)
+    for i in range(0, len(hashes), 1 << 12):
+        h = hashes[i : i + (1 << 12), None] * ORDERS
+        h ^= h >> np.uint64(32)
+        h *= PRIME
+        least = np.minimum(least, h.min(axis=0))
+    out = np.zeros(PARTS, np.uint64)
+    for chosen in least.reshape(PARTS, PART_SHINGLES).T:
+        out = (out ^ chosen) * PRIME
+        out ^= out >> np.uint64(31)
+    out ^= np.arange(PARTS, dtype=np.uint64)
+    return (out | np.uint64(1 << 63)).view(np.int64)
+
+
 def shingle_set(line: list[bytes], k: int) -> np.ndarray:
     """Sorted distinct 32-bit hashes of the shingles."""
     return np.unique((shingle_hashes(line, k) >> np.uint64(32)).astype(np.uint32)).view(np.int32)
 
 
 def _classes(docs: DataFrame, shingle: int) -> DataFrame:
-    """id, digest (of the words), print (of the shingles) and prints (of the content words) of each row."""
+    """id, digest (of the words), print (of the shingles), prints (of the content words) and parts (keys of the hash-selected ones) of each row."""
 
     def run(batches):
         for b in batches:
-            digests, own, prints = [], [], []
+            digests, own, prints, parts = [], [], [], []
             for t in b.column(1):
                 line = words(t.as_py())
                 digests.append(xxhash.xxh3_64_intdigest(b" ".join(line)))
-                own.append(fingerprint(shingle_hashes(line, shingle)) if line else 0)
+                h = shingle_hashes(line, shingle)
+                own.append(fingerprint(h) if line else 0)
                 prints.append(content_prints(line))
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(np.array(prints, np.int64).ravel()), PRINTS).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(np.array(own, np.int64)), lists], ["id", "digest", "print", "prints"])
+                parts.append(part_keys(h))
+            lists = [pa.FixedSizeListArray.from_arrays(pa.array(np.array(x, np.int64).ravel()), n).cast(pa.list_(pa.int64())) for x, n in ((prints, PRINTS), (parts, PARTS))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(np.array(own, np.int64)), *lists], ["id", "digest", "print", "prints", "parts"])
 
-    return docs.mapInArrow(run, "id long, digest long, print long, prints array<long>")
+    return docs.mapInArrow(run, "id long, digest long, print long, prints array<long>, parts array<long>")
 
 
 def _keys(classes: DataFrame) -> DataFrame:
-    """key, rep: about 100 rows for each row of classes (rep, prints)."""
+    """key, rep: about 110 rows for each row of classes (rep, prints, parts)."""
 
     def run(batches):
         for b in batches:
@@ -108,8 +131,9 @@ def _keys(classes: DataFrame) -> DataFrame:
                     keys = [(f * len(EQUAL) + tag) << 40 | raw[x][balls[y][0]] << 12 | balls[y][1] for tag, (x, y) in enumerate(EQUAL)]
                     who = np.concatenate([balls[y][0] for _, y in EQUAL])
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(rep[who])], ["key", "rep"])
+                yield pa.RecordBatch.from_arrays([part.column(2).flatten(), pa.array(np.repeat(rep, PARTS))], ["key", "rep"])
 
-    return classes.select("rep", "prints").mapInArrow(run, "key long, rep long")
+    return classes.select("rep", "prints", "parts").mapInArrow(run, "key long, rep long")
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -144,7 +168,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), string_col(docs, text_col).alias("text")).filter("id IS NOT NULL")
     marked = materialize(_classes(docs, shingle), "marked")
-    classes = materialize(marked.groupBy("digest").agg(F.min("id").alias("rep"), F.first("print").alias("print"), F.first("prints").alias("prints")), "classes")
+    classes = materialize(marked.groupBy("digest").agg(F.min("id").alias("rep"), F.first("print").alias("print"), F.first("prints").alias("prints"), F.first("parts").alias("parts")), "classes")
     keys = _keys(classes)
     shared = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).filter("n > 1").select("key", "pivot")
     busy = materialize(keys.join(shared, "key"), "busy")
