@@ -4,6 +4,9 @@ An n-gram's score is c(n-gram) / c(its context) where the count table holds it,
 first word, down to c(word) / N; a document's score is the sum of logarithms. Words are lower-cased (A-Z) runs without ASCII white space; n-grams are 64-bit
 hashes of their words.
 
+`held_out_scores`, the registered query, scores each row by the counts of all rows less its own, so an n-gram that no other row holds backs off. Each row's distinct
+n-grams meet those of the others in one exchange by hash; the counts of those that another row holds come back to the row, which is then scored in one go.
+
 `score` joins the exploded n-grams of any documents to count tables partitioned by hash, order by order. `self_scores`
 scores documents by the counts of those same documents: every n-gram is held, so the sum splits into one signed sum of logarithms of
 counts, and one exchange by n-gram hash serves both counting and joining. In a document each n-gram is one row.
@@ -17,12 +20,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lintlake.llm.common import string_col
+from lintlake.llm.common import materialize, string_col
 
-ALPHA, ORDER, FREQUENT, SAMPLE_ROWS = 0.4, 2, 1 << 16, 20_000
+ALPHA, ORDER, FREQUENT, SAMPLE_ROWS = 0.4, 3, 1 << 16, 20_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 CACHE = 1 << 19
 
@@ -206,3 +209,77 @@ def self_scores(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", tex
     weight = F.col("v").bitwiseAND(F.lit(0xFFFFFFFF)) - n
     sums = joined.groupBy("id").agg(F.sum(F.when(n == 0, weight).otherwise(0)).alias("n_tokens"), F.sum(F.when(n == 0, F.col("base")).otherwise(weight * F.log(F.greatest("c", F.lit(1))))).alias("log_score"))
     return sums.select("id", "n_tokens", "log_score")
+
+
+def _among(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys are among the sorted known ones, and where."""
+    if not len(known):
+        return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return known[at] == keys, at
+
+
+def held_out_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """id, n_tokens, log_score of every document, each row by the counts of all rows less its own: as score() gives with the tables of the other rows.
+
+    A word that no other row holds counts as seen once. frequent and sample_rows decide which counts are broadcast, not what they are. Null and empty
+    texts have n_tokens 0 and log_score 0; the scores of repeated ids are added up; other columns are ignored. An empty table gives an empty one.
+    """
+    texts = materialize(_texts(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "texts")
+    common, total = _frequent(texts, order, frequent, sample_rows)
+    shared = docs.sparkSession.sparkContext.broadcast([(k, np.rint(np.exp(logs)).astype(np.int64)) for k, logs in common])
+
+    def rare(batches):
+        words, common = _Words(), shared.value
+        for b in batches:
+            for at in range(0, b.num_rows, 128):
+                part = b.slice(at, 128)
+                keys, ns, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
+                for t in part.column(1):
+                    w = words.of(t.as_py())
+                    size = 0
+                    for n in range(1, order + 1):
+                        key, count = np.unique(grams(w, n), return_counts=True)
+                        hit, _ = _among(common[n - 1][0], key)
+                        keys.append(key[~hit])
+                        ns.append(count[~hit])
+                        size += len(keys[-1])
+                    sizes.append(size)
+                rows = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), sizes)))
+                yield pa.RecordBatch.from_arrays([*_arrow(np.concatenate(keys)), rows, *_arrow(np.concatenate(ns).astype(np.int64))], ["key", "row", "n"])
+
+    terms = texts.select("row", "text").mapInArrow(rare, "key long, row long, n long")
+    met = terms.withColumn("c", F.sum("n").over(Window.partitionBy("key"))).filter("c > n")
+    held = met.groupBy("row").agg(F.collect_list(F.struct("key", "c")).alias("held"))
+    both = texts.join(held, "row", "left").select("id", "text", F.col("held.key").alias("keys"), F.col("held.c").alias("cs"))
+
+    def run(batches):
+        words, common = _Words(), shared.value
+        for b in batches:
+            sizes, sums = [], []
+            for t, k, c in zip(b.column(1), b.column(2), b.column(3), strict=True):
+                w = words.of(t.as_py())
+                keys = k.values.to_numpy().view(np.uint64) if k.is_valid else np.zeros(0, np.uint64)
+                by = np.argsort(keys)
+                keys, cs = keys[by], (c.values.to_numpy()[by] if c.is_valid else np.zeros(0, np.int64))
+                value, context = np.zeros(len(w)), None
+                for n in range(1, min(order, len(w)) + 1):
+                    key, inverse, own = np.unique(grams(w, n), return_inverse=True, return_counts=True)
+                    rest = np.zeros(len(key), np.int64)
+                    for known, counted in ((keys, cs), common[n - 1]):
+                        hit, at = _among(known, key)
+                        rest[hit] = counted[at[hit]] - own[hit]
+                    rest = rest[inverse]
+                    if n == 1:
+                        value = np.log(np.maximum(rest, 1) / max(1, total - len(w)))
+                    else:
+                        seen = rest > 0
+                        ratio = np.log(np.maximum(rest, 1) / np.maximum(context[: len(rest)], 1))
+                        value[n - 1 :] = np.where(seen, ratio, value[n - 1 :] + np.log(alpha))
+                    context = rest
+                sizes.append(len(w))
+                sums.append(float(value.sum()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())], ["id", "n_tokens", "log_score"])
+
+    scored = both.mapInArrow(run, "id long, n_tokens long, log_score double")
+    return scored.groupBy("id").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("log_score").alias("log_score"))

@@ -40,7 +40,7 @@ def op6_arc_to_warc(spark, sf_dir):
 
 
 def op7_stupid_backoff(spark, sf_dir):
-    return backoff.self_scores(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return backoff.held_out_scores(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
 def op8_quote_threads(spark, sf_dir):
