@@ -1,6 +1,6 @@
 """Benchmark passages in documents: SimHash over item-sized windows, multi-index Hamming search, exact weighted-shingle check.
 
-Words are runs of word characters in lower case. A window has as many words as a benchmark item. Its 64-bit SimHash is looked
+Words are runs of word characters in lower case. A window has as many words as a benchmark item; for items longer than the document the whole document is one window. Its 64-bit SimHash is looked
 up in an index of four 16-bit blocks that holds every value within 3 bits of each item's block: of 15 differing bits at most 3
 fall in the cleanest block, so every item within radius 15 is found. Those are compared exactly: weighted Jaccard similarity of
 the two bags of five-word shingles, weights falling with the number of items that hold a shingle.
@@ -162,13 +162,14 @@ class Index:
             if not len(near):
                 continue
             for size, (of_k, own, *_) in self.sizes.items():
-                if of_k != k or size > len(words):
+                if of_k != k:
                     continue
-                run = size - k + 1
+                width = min(size, len(words))  # for an item longer than the document: all of it
+                run = width - k + 1
                 anchors = near[_within(h[near], own)]
                 if not len(anchors):
                     continue
-                edge = np.zeros(len(words) - size + 2, np.int64)  # windows that hold an anchor
+                edge = np.zeros(len(words) - width + 2, np.int64)  # windows that hold an anchor
                 np.add.at(edge, np.clip(anchors - run + 1, 0, len(edge) - 1), 1)
                 np.add.at(edge, np.clip(anchors + 1, 0, len(edge) - 1), -1)
                 starts = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
@@ -178,7 +179,7 @@ class Index:
                 for s, m, dist in zip(starts[i].tolist(), member.tolist(), d.tolist(), strict=True):
                     sim = self.similarity(Counter(h[s : s + run].tolist()), m)
                     if sim >= SIMILARITY - 1e-9 and (m not in best or (sim, -s) > (best[m][4], -best[m][1])):
-                        best[m] = (self.items[m], s, size, dist, sim)
+                        best[m] = (self.items[m], s, width, dist, sim)
         return list(best.values())
 
 
