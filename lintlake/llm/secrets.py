@@ -1,6 +1,7 @@
 """Secrets in text, by candidates and a random forest, all in DataFrame functions.
 
-Candidates are runs of 16 or more key characters with a digit. A forest over their length, character transitions, dictionary
+Candidates are runs of 16 or more key characters with a digit ("=" only as padding at the end), and whatever is assigned to a name such as password or
+token: the whole quoted value, or all up to white space, whatever its characters. A forest over their length, character transitions, dictionary
 coverage, path and neighbouring words tells secrets from false positives. It is fitted on labelled findings and then written out as
 column expressions, so scoring is a projection: no join, shuffle or Python.
 """
@@ -14,7 +15,6 @@ from pyspark.sql import functions as F
 
 from lintlake.llm.common import string_col
 
-CANDIDATE = r"(?<![A-Za-z0-9+/=_.\-])(?=[A-Za-z+/=_.\-]*+[0-9])[A-Za-z0-9+/=_.\-]{16,}+"
 #: Characters kept of each side of a candidate.
 SIDE = 48
 THRESHOLD, MASK = 0.5, "[SECRET]"
@@ -22,10 +22,19 @@ THRESHOLD, MASK = 0.5, "[SECRET]"
 KEYWORD = r"(?:token|secret|passw|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|bearer|client[_-]?key|signing)"
 HARMLESS = r"(?:sha\d*|md5|commit|checksum|digest|etag|hash|uuid|guid|revision|fingerprint|integrity|build|version|order|invoice|phone|iban|card|isbn|serial)"
 STAND_IN = r"(?:example|sample|placeholder|dummy|your|changeme|xxxx|\*{4}|\.{3}|0{8}|1234567|abcdef|test|fake|redacted|todo)"
+#: What stands before a value that is assigned to a telling name: up to the quote, or up to the sign and a space.
+_NAMED = r"(?i:token|secret|passw|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|bearer|client[_-]?key|signing)[A-Za-z0-9_\-]{0,24}[\"']?[ \t]{0,2}(?::=|=>|[:=])[ \t]{0,2}"
+CANDIDATE = (
+    rf"(?<=\")(?<={_NAMED}\")[^\"\n]{{4,400}}+(?=\")|(?<=')(?<={_NAMED}')[^'\n]{{4,400}}+(?=')"
+    rf"|(?<=[:=> \t])(?<={_NAMED})[^\s\"'`,;:=>][^\s\"'`,;]{{3,400}}+"
+    r"|(?<![A-Za-z0-9+/_.\-])(?=[A-Za-z+/_.\-]*+[0-9])[A-Za-z0-9+/_.\-]{16,}+={0,2}"
+)
+#: A value that is code, a reference or a template rather than text.
+CODE = r"[(){}<>\[\]]|\$\w|%\(|^(?i:none|null|true|false|string|str|required|optional)$|^[a-z_]+(?:\.[a-z_]+)+$"
 DICTIONARY = "about|access|account|address|after|alpha|also|archive|article|asset|back|base|because|before|beta|book|build|cache|change|class|client|code|color|config|content|count|country|data|date|default|delete|device|docs|document|down|email|error|event|example|field|file|final|first|folder|format|from|group|guide|have|header|health|home|html|http|image|index|info|input|item|items|json|label|language|large|last|lib|library|list|local|login|main|manager|media|menu|message|model|module|month|name|network|news|node|notes|number|object|option|order|output|package|page|path|people|photo|place|plugin|point|post|price|print|process|product|profile|project|public|query|read|record|release|report|request|response|result|root|sample|schema|script|search|section|select|server|service|session|set|shop|simple|site|size|small|source|start|state|static|status|store|string|style|summer|support|system|table|tag|team|template|test|text|time|title|tools|train|type|update|upload|user|users|value|version|video|view|web|week|window|winter|word|work|world|year".split("|")
 PAIRS = "al an ar as at co de ed en er es ha he hi in io is it la le me nd ne ng nt of on or ou ra re ri ro se st te th ti to ur ve".split()
 
-FEATURES = ("length", "transitions", "distinct", "digits", "uppers", "dictionary", "pairs", "hex", "slashes", "dots", "keyword", "harmless", "assigned", "quoted", "stand_in", "in_path", "test_path", "prefix")
+FEATURES = ("length", "transitions", "distinct", "digits", "uppers", "dictionary", "pairs", "hex", "slashes", "dots", "keyword", "harmless", "assigned", "quoted", "stand_in", "in_path", "test_path", "prefix", "punctuation", "code", "spaces", "kinds")
 
 
 def _share(part: Column, of: Column) -> Column:
@@ -57,11 +66,28 @@ def features(value: Column, left: Column, right: Column, path: Column) -> dict[s
         "in_path": flag(left.rlike(r"(?:[/\\@?&]|https?:\S*)$") | right.rlike(r"^[/\\?&@]")),
         "test_path": flag(F.lower(path).rlike(r"(?:^|[/_.\-])(?:tests?|fixtures?|examples?|mocks?)(?:$|[/_.\-])")),
         "prefix": flag(value.rlike(r"^(?:AKIA|ASIA|gh[pousr]_|glpat-|xox[abprs]-|sk_live_|sk-|AIza|eyJ)")),
+        "punctuation": F.regexp_count(value, F.lit(r"[^A-Za-z0-9\s_.\-/]")).cast("double"),
+        "code": flag(value.rlike(CODE)),
+        "spaces": F.regexp_count(value, F.lit(r"\s")).cast("double"),
+        "kinds": flag(value.rlike("[a-z]")) + flag(value.rlike("[A-Z]")) + flag(value.rlike("[0-9]")) + flag(value.rlike(r"[^A-Za-z0-9\s_.\-/]")),
     }
 
 
+def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with __values (the candidates) and __parts (the text between them, one more than those)."""
+    text = string_col(docs, text_col)
+    cut = docs.withColumn("__any", text.rlike(CANDIDATE))
+    cut = cut.withColumn("__values", F.when(F.col("__any"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    return cut.withColumn("__parts", F.when(F.col("__any"), F.split(text, CANDIDATE, -1)).otherwise(F.array(text))).drop("__any")
+
+
+def _sides(i: Column) -> tuple[Column, Column]:
+    """The text on the left and right of candidate i."""
+    return F.substring(F.element_at("__parts", i + 1), -SIDE, SIDE), F.substring(F.element_at("__parts", i + 2), 1, SIDE)
+
+
 def default_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
-    """value, left, right, path, label: labelled findings made by rule from row numbers; odd rows are secrets."""
+    """value, left, right, path, label: the candidates that scanning gives in lines made by rule from row numbers; odd rows hold secrets."""
     n = F.col("id")
     m = F.floor(n / 2)  # the kind of a row is drawn from this, so that both labels get every kind
     digest = lambda salt: F.sha2(F.concat(F.lit(salt), n.cast("string")), 256)
@@ -93,8 +119,35 @@ def default_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
     left = F.when(good & ~known, F.concat(text, key, assign)).when(good, text).when(kind == 5, F.concat(text, key, assign)).when(kind == 4, F.concat(text, F.lit("https://site/"))).when(kind.isin(1, 6), text)
     left = left.otherwise(F.concat(text, F.when(F.pmod(F.xxhash64(n, F.lit("b")), F.lit(3)) == 0, F.lit("")).otherwise(F.concat(safe, pick("sa", (" ", ": ", "=", ' = "'))))))
     right = F.when(good & ~known | (kind == 5), close).otherwise(F.lit(" "))
-    made = spark.range(rows).select(n, F.when(good, secret).otherwise(harmless).alias("value"), left.alias("left"), right.alias("right"), F.lit("docs").alias("path"), F.when(good, 1.0).otherwise(0.0).alias("label"))
-    return made.filter(F.length("value") >= 16)
+    made = spark.range(rows).select(n, F.when(good, secret).otherwise(harmless).alias("value"), left.alias("left"), right.alias("right"))
+    # a second set: passwords of any length and without digits, and what else is assigned to such names
+    letters = F.regexp_replace(F.base64(F.unhex(digest("l"))), "[^A-Za-z]", "")
+    mark = lambda salt: pick(salt, ("!", "#", "@", "$", "%", "&", "*", "?", "!9", "_7"))
+    capital = F.concat(F.initcap(pick("c0", DICTIONARY)), F.initcap(pick("c1", DICTIONARY)))
+    short = (
+        F.when(m % 6 == 0, F.concat(pick("w0", DICTIONARY), F.pmod(F.xxhash64(n), F.lit(999)).cast("string"), mark("x0")))
+        .when(m % 6 == 1, F.substring(letters, 1, pick("ll", (16, 20, 24, 30))))
+        .when(m % 6 == 2, F.concat(F.substring(mixed, 1, pick("sl", (4, 6, 8))), mark("x1"), F.substring(mixed, 20, pick("sm", (1, 3, 5)))))
+        .when(m % 6 == 3, F.concat(capital, mark("x2"), F.pmod(F.xxhash64(n), F.lit(99)).cast("string")))
+        .when(m % 6 == 4, F.base64(F.unhex(F.substring(digest("b"), 1, pick("bl", (32, 36, 40, 48))))))
+        .otherwise(F.concat(F.substring(mixed, 1, 4), F.lit("r3"), pick("w1", DICTIONARY), mark("x3"), F.substring(mixed, 9, 2)))
+    )
+    none = (
+        F.when(m % 6 == 0, pick("n0", DICTIONARY))
+        .when(m % 6 == 1, F.concat(pick("f", ("get_", "read_", "os.environ", "request.", "self.", "settings.", "load")), pick("w0", DICTIONARY), pick("fe", ("()", "(name)", "['KEY']", "", "[0]"))))
+        .when(m % 6 == 2, pick("tp", ("None", "null", "true", "False", "string", "required", "optional", "${TOKEN}", "{{ secret }}", "<password>", "%(pwd)s", "****", "********", "xxxxxxxx", "changeme", "your-token-here", "example", "redacted", "password", "secret")))
+        .when(m % 12 == 10, F.concat(pick("tl", ("${", "{{ ", "<", "%(", "$(")), F.upper(pick("w0", DICTIONARY)), F.lit("_"), F.upper(pick("w1", DICTIONARY)), pick("tl", ("}", " }}", ">", ")s", ")"))))
+        .when(m % 6 == 3, F.concat(pick("w0", DICTIONARY), F.lit(" "), pick("w1", DICTIONARY), F.lit(" "), pick("w2", DICTIONARY)))
+        .when(m % 6 == 4, F.concat(pick("w0", DICTIONARY), pick("j", ("-", "_", "/", ".")), pick("w1", DICTIONARY)))
+        .otherwise(F.concat(pick("st", ("your_", "example-", "test_", "changeme_", "dummy-")), pick("w1", DICTIONARY), F.lit("123")))
+    )
+    more = spark.range(rows).select(n, F.when(good, short).otherwise(none).alias("value"), F.concat(text, key, assign).alias("left"), close.alias("right"))
+    where = pick("path", ("docs", "web", "src/app.py", "config/.env", "code", "crawl", "tests/test_app.py", "examples/a.md"))
+    lines = made.unionByName(more).select("value", where.alias("path"), good.alias("good"), F.concat("left", "value", "right", F.lit(" and the rest\n")).alias("text"))
+    cut = candidates(lines).select("*", F.posexplode("__values").alias("i", "found"))
+    left, right = _sides(F.col("i"))
+    cut = cut.select(F.col("found").alias("value"), left.alias("left"), right.alias("right"), "path", F.when(F.col("good") & F.col("found").contains(F.col("value")), 1.0).when(~F.col("good"), 0.0).alias("label"))
+    return cut.filter("label IS NOT NULL")
 
 
 class Forest:
@@ -136,19 +189,16 @@ class Forest:
 
 def marked(docs: DataFrame, forest: Forest, text_col: str = "text", path_col: str | None = None) -> DataFrame:
     """docs with __parts (the text between candidates, one more than those) and __found (value, score of each candidate)."""
-    text = string_col(docs, text_col)
     path = F.lit("") if path_col is None else string_col(docs, path_col)
-    cut = docs.withColumn("__any", text.rlike(CANDIDATE))
-    cut = cut.withColumn("__values", F.when(F.col("__any"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    cut = cut.withColumn("__parts", F.when(F.col("__any"), F.split(text, CANDIDATE, -1)).otherwise(F.array(text)))
+    cut = candidates(docs, text_col)
 
     def one(value, i):
-        left = F.substring(F.element_at("__parts", i + 1), -SIDE, SIDE)
-        inputs = features(value, left, F.substring(F.element_at("__parts", i + 2), 1, SIDE), path)
+        left, right = _sides(i)
+        inputs = features(value, left, right, path)
         return F.struct(value.alias("value"), *(c.alias(k) for k, c in inputs.items()))
 
     known = cut.withColumn("__known", F.transform("__values", one))
-    return known.withColumn("__found", F.transform("__known", lambda x: F.struct(x["value"].alias("value"), forest.score(x).alias("score")))).drop("__known", "__values", "__any")
+    return known.withColumn("__found", F.transform("__known", lambda x: F.struct(x["value"].alias("value"), forest.score(x).alias("score")))).drop("__known", "__values")
 
 
 def findings(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None, threshold: float = THRESHOLD) -> DataFrame:
