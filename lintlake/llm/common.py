@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,11 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset (a local test), a temporary one."""
+    """The folder that driver and executors share, as spark.checkpoint.dir or the context names it.
+
+    Where neither is set, a local master gets a folder of its own beside Spark's warehouse; on a cluster that is an error, since a
+    machine's own folder isn't seen by the others.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="lintlake-")
-        spark.sparkContext.setCheckpointDir(found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.local.dir', '/tmp')}/lintlake-shared")
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
@@ -38,11 +42,10 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
 
 
 def drop_folder(df: DataFrame) -> None:
-    """Delete the folders of a table made by materialize()."""
+    """Delete the folder of a table made by materialize(); nothing may read the table any more."""
     spark = df.sparkSession
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    parents = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for p in parents:
+    for p in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
 

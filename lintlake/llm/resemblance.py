@@ -1,41 +1,41 @@
 """Documents that resemble each other: SimHash candidates by Golay-code fuzzy hashing, then exact shingle similarity.
 
-Where copies are edited, whole shingles change and a fingerprint of shingles drifts far. Keys therefore come from three independent fingerprints of
-the distinct content words (five bytes or more; all words if there are few of these), of which an edit changes one. Each fingerprint is cut
-into three segments; a key joins one segment as it is with a codeword index around another, so two documents meet if in any of the fingerprints one segment
-is equal and another differs in 2 bits or fewer. That finds scattered edits. A block that is added or cut changes a tenth or more of the words at once and
-moves every fingerprint of the whole text, so each document has keys of hash-selected parts too: a part is the four shingles that come first in
+A fingerprint of five-word shingles finds pairs that differ little: it is cut into three segments, and a key joins one segment as it is with a codeword
+index around another, so two documents meet if one segment is equal and another differs in 2 bits or fewer. At a similarity of 0.8 ten bits
+or so differ, which such keys seldom bridge, so each document has keys of hash-selected parts too: a part is the four shingles that come first in
 four orders by hash, and its fingerprint is a key as it is. Two documents agree on a part with probability similarity ** 4, wherever they differ, and on one of
-twelve parts with probability 0.998 at 0.8. A key has 33 bits or more, so strangers seldom share one, and what shares one grows as the input does.
-
-Each key names its smallest document as pivot. First, every document is compared with the pivot nearest to it, which joins dense
-groups with as many comparisons as documents. Then only pairs across the groups so far are compared, and of a key's documents
-only those outside the pivot's group with the others. A fingerprint of five-word shingles keeps pairs apart that can't be similar enough;
-every other comparison is an exact Jaccard similarity of sets of five-word shingles of whole texts.
+twelve parts with probability 0.998 at 0.8. A key has 33 bits or more, so strangers seldom share one.
+
+Groups of near copies can be large, and two of their members may well be less similar than 0.8, so pairs under a key aren't listed. In each of
+two rounds every key draws a pivot, each document is compared with the eight pivots nearest to it, and what is similar is contracted; that joins dense groups
+with a few comparisons a document. The documents that still stand under a key with a stranger to their group are then joined exactly, by prefixes:
+shingles in the order of how many of these documents hold them, rarest first; similar sets share one of the first fifth, at a place early
+enough in both. A document with many shingles of its own so drops out without a comparison, and pairs inside a group aren't looked at. Every
+comparison is an exact Jaccard similarity of sets of five-word shingles of whole texts.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintlake.llm import golay
-from lintlake.llm.common import materialize, string_col
+from lintlake.llm.common import drop_folder, materialize, string_col
 from lintlake.llm.components import connected_components
 from lintlake.llm.simhash import EQUAL, SEGMENTS
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Pairs whose shingle fingerprints are further apart aren't compared: at similarity 0.8 about 10 bits differ, 3 more or less.
-NEAR_BITS = 16
-PRINTS = 3
 #: Hash-selected parts of a text, and the shingles in each.
 PARTS, PART_SHINGLES = 12, 4
+#: Rounds of pivots, and the comparisons of a document in each; what they leave is joined exactly.
+ROUNDS, NEAREST = 2, 8
 ORDERS = np.random.default_rng(5).integers(0, 1 << 64, PARTS * PART_SHINGLES, np.uint64) | np.uint64(1)
 PRIME = np.uint64(0x9E3779B97F4A7C15)
-CONTENT_BYTES, FEW = 5, 8
 
 
 def words(text: str | None) -> list[bytes]:
@@ -50,19 +50,6 @@ def fingerprint(hashes: np.ndarray) -> np.int64:
     return np.packbits(2 * counts > len(hashes)).view(">u8")[0].astype(np.uint64).view(np.int64)
 
 
-def content_prints(line: list[bytes], n: int = PRINTS) -> list[np.int64]:
-    """Independent SimHashes of the distinct content words."""
-    known = {w for w in line if len(w) >= CONTENT_BYTES}
-    if len(known) < FEW:
-        known = set(line)
-    h, out = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in known), np.uint64, len(known)), []
-    for _ in range(n):
-        out.append(fingerprint(h))
-        h = (h ^ h >> np.uint64(31)) * PRIME
-        h ^= h >> np.uint64(29)
-    return out
-
-
 def shingle_hashes(line: list[bytes], k: int) -> np.ndarray:
     """64-bit hashes of every k consecutive words (of all words, if fewer)."""
     if len(line) <= k:
@@ -92,101 +79,180 @@ def part_keys(hashes: np.ndarray) -> np.ndarray:
     return (out | np.uint64(1 << 63)).view(np.int64)
 
 
-def shingle_set(line: list[bytes], k: int) -> np.ndarray:
-    """Sorted distinct 32-bit hashes of the shingles."""
-    return np.unique((shingle_hashes(line, k) >> np.uint64(32)).astype(np.uint32)).view(np.int32)
+def segment_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the fingerprints' segments: (position of the fingerprint, key)."""
+    raw = [prints >> s & ((1 << w) - 1) for s, w in SEGMENTS]
+    balls = [golay.ball(r, w) for r, (_, w) in zip(raw, SEGMENTS, strict=True)]
+    keys = [tag << 40 | raw[x][balls[y][0]] << 12 | balls[y][1] for tag, (x, y) in enumerate(EQUAL)]
+    return np.concatenate([balls[y][0] for _, y in EQUAL]), np.concatenate(keys)
 
 
-def _classes(docs: DataFrame, shingle: int) -> DataFrame:
-    """id, digest (of the words), print (of the shingles), prints (of the content words) and parts (keys of the hash-selected ones) of each row."""
+def _classes(texts: DataFrame, shingle: int) -> DataFrame:
+    """class, print and parts of each row of (class, text)."""
 
     def run(batches):
         for b in batches:
-            digests, own, prints, parts = [], [], [], []
+            prints, parts = [], []
             for t in b.column(1):
-                line = words(t.as_py())
-                digests.append(xxhash.xxh3_64_intdigest(b" ".join(line)))
-                h = shingle_hashes(line, shingle)
-                own.append(fingerprint(h) if line else 0)
-                prints.append(content_prints(line))
+                h = shingle_hashes(words(t.as_py()), shingle)
+                prints.append(fingerprint(h))
                 parts.append(part_keys(h))
-            lists = [pa.FixedSizeListArray.from_arrays(pa.array(np.array(x, np.int64).ravel()), n).cast(pa.list_(pa.int64())) for x, n in ((prints, PRINTS), (parts, PARTS))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(np.array(own, np.int64)), *lists], ["id", "digest", "print", "prints", "parts"])
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(np.array(parts, np.int64).ravel()), PARTS).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(prints, np.int64)), lists], ["class", "print", "parts"])
 
-    return docs.mapInArrow(run, "id long, digest long, print long, prints array<long>, parts array<long>")
+    return texts.mapInArrow(run, "class binary, print long, parts array<long>")
 
 
 def _keys(classes: DataFrame) -> DataFrame:
-    """key, rep: about 110 rows for each row of classes (rep, prints, parts)."""
+    """key, rep: about 45 rows for each row of classes (rep, print, parts)."""
 
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
+            for at in range(0, b.num_rows, 2048):
+                part = b.slice(at, 2048)
                 rep = part.column(0).to_numpy(zero_copy_only=False)
-                prints = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, PRINTS)
-                for f in range(PRINTS):
-                    raw = [prints[:, f] >> s & ((1 << w) - 1) for s, w in SEGMENTS]
-                    balls = [golay.ball(r, w) for r, (_, w) in zip(raw, SEGMENTS, strict=True)]
-                    keys = [(f * len(EQUAL) + tag) << 40 | raw[x][balls[y][0]] << 12 | balls[y][1] for tag, (x, y) in enumerate(EQUAL)]
-                    who = np.concatenate([balls[y][0] for _, y in EQUAL])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(rep[who])], ["key", "rep"])
+                who, keys = segment_keys(part.column(1).to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(rep[who])], ["key", "rep"])
                 yield pa.RecordBatch.from_arrays([part.column(2).flatten(), pa.array(np.repeat(rep, PARTS))], ["key", "rep"])
 
-    return classes.select("rep", "prints", "parts").mapInArrow(run, "key long, rep long")
+    return classes.select("rep", "print", "parts").mapInArrow(run, "key long, rep long")
 
 
-def _sets(docs: DataFrame, shingle: int) -> DataFrame:
+def _sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """class, shingles (distinct 64-bit hashes) of each row of (class, text)."""
+
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                sets = [shingle_set(words(t.as_py()), shingle) for t in part.column(1)]
+            for at in range(0, b.num_rows, 128):
+                part = b.slice(at, 128)
+                sets = [np.unique(shingle_hashes(words(t.as_py()), shingle)).view(np.int64) for t in part.column(1)]
                 offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["class", "shingles"])
 
-    return docs.mapInArrow(run, "id long, shingles array<int>")
+    return texts.mapInArrow(run, "class binary, shingles array<long>")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Of pairs (a, b), those whose texts are similar enough."""
-    pairs = materialize(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = materialize(_sets(docs.join(ids, "id", "left_semi").dropDuplicates(["id"]), shingle), "sets")
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of pairs (a, b), those whose sets are similar enough."""
     for side in "ab":
-        pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("shingles").alias(f"{side}_set")), side)
+        pairs = pairs.join(sets.select(F.col("rep").alias(side), F.col("shingles").alias(f"{side}_set")), side)
     both = F.size(F.array_intersect("a_set", "b_set"))
     return pairs.filter(both >= F.lit(similarity) * (F.size("a_set") + F.size("b_set") - both)).select("a", "b")
 
 
+def _labelled(rows: DataFrame, known: DataFrame | None, rep: str, label: str) -> DataFrame:
+    """rows with the label of their group so far: a node without links is its own."""
+    if known is None:
+        return rows.withColumn(label, F.col(rep))
+    return rows.join(known.select(F.col("node").alias(rep), F.col("label").alias(f"__{label}")), rep, "left").withColumn(label, F.coalesce(f"__{label}", rep)).drop(f"__{label}")
+
+
+def _met(busy: DataFrame, known: DataFrame | None, prints: DataFrame, draw: int, tried: list[DataFrame]) -> DataFrame:
+    """a, b: each document with the nearest of the pivots that its keys draw outside of its group."""
+    order = F.xxhash64("rep", "key", F.lit(draw))
+    pivots = busy.groupBy("key").agg(F.min_by("rep", order).alias("pivot"))
+    rows = busy.join(pivots, "key").select("rep", "pivot").filter("rep <> pivot").distinct()
+    rows = _labelled(_labelled(rows, known, "rep", "label"), known, "pivot", "pivot_label").filter("label <> pivot_label").select("rep", "pivot")
+    rows = rows.join(prints, "rep").join(prints.select(F.col("rep").alias("pivot"), F.col("print").alias("pivot_print")), "pivot")
+    apart = F.bit_count(F.col("print").bitwiseXOR(F.col("pivot_print")))
+    nearest = Window.partitionBy("rep").orderBy("apart", "pivot")
+    rows = rows.select("rep", "pivot", apart.alias("apart")).withColumn("nth", F.row_number().over(nearest)).filter(F.col("nth") <= NEAREST)
+    pairs = rows.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+    for t in tried:
+        pairs = pairs.join(t, ["a", "b"], "left_anti")
+    return pairs
+
+
+def _mixed(busy: DataFrame, known: DataFrame | None) -> DataFrame:
+    """rep, label of the documents that share a key with a document of another group."""
+    rows = _labelled(busy, known, "rep", "label")
+    mixed = rows.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("key")
+    return rows.join(mixed, "key", "left_semi").select("rep", "label").distinct()
+
+
+def _prefix_pairs(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """a, b: every pair of rest (rep, label) of different groups that can be similar enough, by the shingles that come first in both."""
+    rows = rest.join(sets, "rep").select("rep", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    held = rows.groupBy("shingle").agg(F.count("*").alias("held")).filter("held > 1")
+    rows = rows.join(held, "shingle")
+    place, all_of = Window.partitionBy("rep").orderBy("held", "shingle"), Window.partitionBy("rep")
+    at = F.col("n") - F.count("*").over(all_of) + F.row_number().over(place) - 1  # those that no other document holds come first
+    first = rows.withColumn("at", at).filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - 1e-9)).select("shingle", "rep", "label", "n", "at")
+    first = materialize(first, "prefixes")
+    x, y = first.alias("x"), first.alias("y")
+    left = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    meet = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label"))
+    enough = left >= (F.col("x.n") + F.col("y.n")) * F.lit(similarity / (1 + similarity)) - 1e-6
+    return x.join(y, meet & enough).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+
+
+def text_class(text):
+    """A 128-bit digest of a text: rows of equal texts are one class."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
+def class_groups(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """class (of text_class), component of every distinct text: texts have one component if a chain of similar ones joins them.
+
+    Null counts as empty, and texts without words are alike. Repeated rows add nothing; other columns are ignored. An empty table gives an empty one.
+    """
+    texts = docs.select(string_col(docs, text_col).alias("text")).select(text_class(F.col("text")).alias("class"), "text")
+    marked = _classes(texts, shingle).groupBy("class").agg(F.first("print").alias("print"), F.first("parts").alias("parts"))
+    classes = materialize(marked.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    shared = _keys(classes).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    busy = materialize(_keys(classes).join(shared, "key"), "busy")
+    some = busy.select("rep").distinct().join(classes.select("rep", "class"), "rep").select("class", "rep")
+    sets = _sets(texts.join(some, "class", "left_semi"), shingle).groupBy("class").agg(F.first("shingles").alias("shingles"))
+    sets = materialize(sets.join(some, "class").select("rep", "shingles"), "sets")
+    prints, known, links, tried = classes.select("rep", "print"), None, None, []
+    for draw in range(ROUNDS):
+        pairs = materialize(_met(busy, known, prints, draw, tried), "pairs")
+        tried.append(pairs)
+        found = materialize(_similar(pairs, sets, similarity), "found")
+        links = found if links is None else links.unionByName(found)
+        known = connected_components(links)
+    rest = materialize(_mixed(busy, known), "rest")
+    more = materialize(_prefix_pairs(rest, sets, similarity), "pairs")
+    for t in tried:
+        more = more.join(t, ["a", "b"], "left_anti")
+    known = connected_components(links.unionByName(_similar(more, sets, similarity)))
+    out = materialize(_labelled(classes.select("class", "rep"), known, "rep", "component").select("class", "component"), "groups")
+    for t in (busy, sets, classes, rest, *tried):
+        drop_folder(t)
+    return out
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """id, component of every row with an id: the smallest id reached over documents of at least that similarity.
+    """id, component of every row: the smallest id reached over documents of at least that similarity.
 
-    Texts with the same words in the same order are one class and count as one text. Null and empty texts form a class. Rows without an id are
-    left out; other columns are ignored. An empty table gives an empty one.
+    A row without an id has its component too: null where no row of the group has an id. Rows of one id and different texts each have their own
+    row. Null and empty texts form a class; other columns are ignored. An empty table gives an empty one.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), string_col(docs, text_col).alias("text")).filter("id IS NOT NULL")
-    marked = materialize(_classes(docs, shingle), "marked")
-    classes = materialize(marked.groupBy("digest").agg(F.min("id").alias("rep"), F.first("print").alias("print"), F.first("prints").alias("prints"), F.first("parts").alias("parts")), "classes")
-    keys = _keys(classes)
-    shared = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).filter("n > 1").select("key", "pivot")
-    busy = materialize(keys.join(shared, "key"), "busy")
-    prints = classes.select("rep", "print")
-    met = busy.filter("rep > pivot").select("rep", "pivot").distinct().join(prints, "rep").join(prints.select(F.col("rep").alias("pivot"), F.col("print").alias("pivot_print")), "pivot")
-    apart = F.bit_count(F.col("print").bitwiseXOR(F.col("pivot_print")))
-    nearest = met.filter(apart <= NEAR_BITS).groupBy(F.col("rep").alias("b")).agg(F.min(F.struct(apart.alias("d"), "pivot")).alias("best"))
-    tried = materialize(nearest.select(F.col("best.pivot").alias("a"), "b"), "tried")
-    first = materialize(_verified(tried, docs, shingle, similarity), "first")
-    known = connected_components(first)
-    grouped = busy.join(prints.join(known, prints["rep"] == known["node"], "left").select("rep", "print", F.coalesce("label", "rep").alias("label")), "rep")
-    heads = known.select(F.col("node").alias("pivot"), F.col("label").alias("pivot_label"))
-    grouped = materialize(grouped.join(heads, "pivot", "left").select("key", "rep", "print", "label", F.coalesce("pivot_label", "pivot").alias("pivot_label")), "grouped")
-    x, y = grouped.filter("label <> pivot_label").alias("x"), grouped.alias("y")
-    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.pivot_label")) | (F.col("x.rep") < F.col("y.rep")))
-    across = x.join(y, meet & (F.bit_count(F.col("x.print").bitwiseXOR(F.col("y.print"))) <= NEAR_BITS))
-    across = across.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    more = _verified(across.join(tried, ["a", "b"], "left_anti"), docs, shingle, similarity)
-    final = connected_components(first.unionByName(more))
-    owners = classes.join(final, classes["rep"] == final["node"], "left").select("digest", F.coalesce("label", "rep").alias("component"))
-    return marked.join(owners, "digest").select("id", "component")
+    found = class_groups(docs, text_col, shingle, similarity)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_class(string_col(docs, text_col)).alias("class"))
+    least = rows.groupBy("class").agg(F.min("id").alias("least")).join(found, "class").groupBy("component").agg(F.min("least").alias("least"))
+    return rows.join(found.join(least, "component").select("class", F.col("least").alias("component")), "class").select("id", "component")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each group, with all columns: the one of least id (a row without an id only where none has one), of several the one of least text digest.
+
+    Rows are told apart by id and text, so rows of one id and different texts count each for itself, and one of equal rows stays. Null and
+    empty texts form a class. Columns may have any names. An empty table gives an empty one.
+    """
+    found = class_groups(docs, text_col, shingle, similarity)
+    key, of = "row_key", "class"
+    while key in docs.columns or of in docs.columns:
+        key, of = key + "_", of + "_"
+    text, who = string_col(docs, text_col), F.col(f"`{id_col}`").cast("long")
+    row_key = F.unhex(F.md5(F.concat(F.coalesce(who.cast("string"), F.lit("none")), F.lit(":"), text).cast("binary")))
+    rows = docs.select(row_key.alias("key"), text_class(text).alias("class"), who.alias("id")).join(found, "class")
+    best = F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("class"), F.col("key"))).alias("best")
+    keep = rows.groupBy("component").agg(best).select(F.col("best.key").alias(key))
+    return docs.withColumn(key, row_key).join(keep, key).dropDuplicates([key]).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def meeting_chance(similarity: float) -> float:
+    """Probability that two documents of that similarity agree on one part at least."""
+    return 1 - math.pow(1 - similarity**PART_SHINGLES, PARTS)
