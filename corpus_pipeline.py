@@ -21,10 +21,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near copies, and all rows without an id."""
-    groups = resemblance.groups(docs)
-    keep = groups.filter("id = component").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    """One document of each group of near copies, that of the smallest id.
+
+    Rows are told apart by id and text: rows that share an id, or have none, count each for itself, and of equal rows one stays. Null and
+    empty texts are one group. An empty table gives an empty one.
+    """
+    return resemblance.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
