@@ -17,14 +17,14 @@ from lintlake.functions.predicates import sql_text
 @dataclass(frozen=True)
 class Snippet:
     text: str
-    #: (rule, cwe_id, severity, line) of rules that need the tree or the whole file
-    expect: tuple[tuple[str, str, str, int], ...] = ()
+    #: (rule, cwe_id, severity, line) of rules that need the tree or the whole file, and the snippet where it isn't the stripped line
+    expect: tuple[tuple, ...] = ()
     label: str = ""  # a file name, where the snippet isn't a module
     locked: bool = False
     tests: tuple[str, ...] = field(default=(), compare=False)
 
 
-def _s(text: str, *expect: tuple[str, str, str, int], label: str = "", locked: bool = False) -> Snippet:
+def _s(text: str, *expect: tuple, label: str = "", locked: bool = False) -> Snippet:
     return Snippet(text, expect, label, locked)
 
 
@@ -84,16 +84,19 @@ SNIPPETS: tuple[Snippet, ...] = (
     _s("np.load(f,\n        allow_pickle=True)\nallow_pickle = True\nself.allow_pickle: bool = True\n\n\ndef f(a, allow_pickle=True, *, b=1):\n    return allow_pickle\n", ("insecure_default", "CWE-453", "HIGH", 2), ("insecure_default", "CWE-453", "HIGH", 3), ("insecure_default", "CWE-453", "HIGH", 4), ("insecure_default", "CWE-453", "HIGH", 7), ("numpy_load", "CWE-502", "HIGH", 1)),
     _s("pd.eval('a')\ndf.query(q)\ndb.session.query(M)\n", ("pandas_eval", "CWE-94", "CRITICAL", 1), ("pandas_eval", "CWE-94", "HIGH", 2), ("pandas_eval", "CWE-94", "HIGH", 3)),
     _s("class T:\n    def __arrow_ext_deserialize__(cls, t, b):\n        return cloudpickle.loads(b)  # arrow\n", ("parquet_arrow_deserialize", "CWE-502", "CRITICAL", 2), ("parquet_arrow_deserialize", "CWE-502", "CRITICAL", 3)),
-    _s("import base64\nexec(base64.b64decode(p))\n", ("decode_exec_chains", "CWE-94", "CRITICAL", 2), ("decode_exec_chains", "CWE-94", "CRITICAL", 2), ("eval_exec", "CWE-94", "CRITICAL", 2)),
-    _s("a = zlib.decompress(x)\nb = bz2.decompress(y)\nexec(b)\neval(a)\neval(c)\n", ("decode_exec_chains", "CWE-94", "CRITICAL", 3), ("decode_exec_chains", "CWE-94", "CRITICAL", 4), ("eval_exec", "CWE-94", "CRITICAL", 3), ("eval_exec", "CWE-94", "CRITICAL", 4), ("eval_exec", "CWE-94", "CRITICAL", 5)),
+    _s("import base64\nexec(base64.b64decode(p))\n", ("decode_exec_chains", "CWE-94", "CRITICAL", 2, "decode at line 2, exec at line 2"), ("decode_exec_chains", "CWE-94", "CRITICAL", 2), ("eval_exec", "CWE-94", "CRITICAL", 2)),
+    _s("a = zlib.decompress(x)\nb = bz2.decompress(y)\nexec(b)\neval(a)\neval(c)\n", ("decode_exec_chains", "CWE-94", "CRITICAL", 3, "decode at line 2, exec at line 3"), ("decode_exec_chains", "CWE-94", "CRITICAL", 4, "decode at line 1, exec at line 4"), ("eval_exec", "CWE-94", "CRITICAL", 3), ("eval_exec", "CWE-94", "CRITICAL", 4), ("eval_exec", "CWE-94", "CRITICAL", 5)),
     _s("a = codecs.decode(x)\n\n\n\n\n\n# exec(a)\nv = ast.literal_eval(a)\n"),
     _s("M.from_pretrained('a')\nM.from_pretrained('a', revision='1')\npipeline('t', trust_remote_code=True)\nload_dataset('d')\n", ("huggingface_unsafe_download", "CWE-1104", "MEDIUM", 1), ("huggingface_unsafe_download", "CWE-94", "CRITICAL", 3)),
     _s("class LoginRequest(BaseModel):\n    name: str\n    bio: Optional[str] = None\n    raw: bytes | None = None\n    n: int = 0\n    ok: str = Field(max_length=3)\n    tag: Annotated[str, StringConstraints(max_length=3)]\n\n\nclass Config(BaseModel):\n    name: str\n", ("unbounded_pydantic_field", "CWE-770", "MEDIUM", 2), ("unbounded_pydantic_field", "CWE-770", "MEDIUM", 3), ("unbounded_pydantic_field", "CWE-770", "MEDIUM", 4)),
-    _s("requests==2.31.0\nurllib3 >= 1.26.5\nboti-dask==2023.1.0\ndask<2024.1.0\nnumpy==1.0\n", ("dependency_cve", "CWE-1104", "HIGH", 1), ("dependency_cve", "CWE-1104", "HIGH", 2), ("dependency_cve", "CWE-1104", "HIGH", 4), label="requirements.txt"),
+    _s("requests==2.31.0\nurllib3 >= 1.26.5\nacme-dask==2023.1.0\ndask<2024.1.0\nnumpy==1.0\n", ("dependency_cve", "CWE-1104", "HIGH", 1), ("dependency_cve", "CWE-1104", "HIGH", 2), ("dependency_cve", "CWE-1104", "HIGH", 4), label="requirements.txt"),
     _s("[project]\nrequires-python = '>=3.10'\ndependencies = [\n  \"flask>=2.0\",\n  \"pandas>=2.1.0,<3\",\n  'werkzeug>=3.0.1',\n]\n", ("unbounded_pins", "CWE-1104", "LOW", 4), ("unbounded_pins", "CWE-1104", "LOW", 6), ("dependency_cve", "CWE-1104", "HIGH", 5), ("dependency_cve", "CWE-1104", "HIGH", 6), label="pyproject.toml"),
     _s("[packages]\n# 'a>=1.0'\nx = 'aiohttp>=3.9.0'\n'python>=3.8'\n", ("unbounded_pins", "CWE-1104", "INFO", 3), ("dependency_cve", "CWE-1104", "HIGH", 3), label="Pipfile", locked=True),
     _s("x = pickle.loads(b)  # nosec\ny = pickle.loads(b)  # nosec CWE-502, CWE-94\nz = pickle.loads(b)  # nosec cwe-94\nw = pickle.loads(b)  # nosec -- reason\n"),
     _s("password = 'letmein9'\nassert x in owner\n"),
+    _s("x = 'a\u202eb'\n# \u2066c\ny = 'é'\n", ("trojan_source", "CWE-1007", "CRITICAL", 1, "\"x = 'a\\u202eb'\""), ("trojan_source", "CWE-1007", "CRITICAL", 2, "'# \\u2066c'")),
+    _s("eval(x)\ntry:\n  a()\nexcept A:\n  pass\n", label="setup.cfg"),
+    _s("def f(x):\n    return [i for i in x if i]\n"),
 )
 
 
@@ -130,7 +133,7 @@ lines AS (
 
 
 def expected_sql() -> str:
-    """A WITH clause for DuckDB: the rows written down beside the snippets."""
-    rows = [(k, *e) for k, s in enumerate(SNIPPETS) for e in s.expect]
-    values = ",\n".join(f"({k}, '{rule}', '{cwe}', '{severity}', {line})" for k, rule, cwe, severity, line in rows)
-    return f"expected(snippet_id, rule, cwe_id, severity, line) AS (VALUES {values})"
+    """A WITH clause for DuckDB: the rows written down beside the snippets, place: their order beside the snippet."""
+    rows = [(k, place, *e, *([None] * (5 - len(e)))) for k, s in enumerate(SNIPPETS) for place, e in enumerate(s.expect)]
+    values = ",\n".join(f"({k}, {place}, '{rule}', '{cwe}', '{severity}', {line}, {'NULL' if snippet is None else sql_text(snippet)})" for k, place, rule, cwe, severity, line, snippet in rows)
+    return f"expected(snippet_id, place, rule, cwe_id, severity, line, snippet) AS (VALUES {values})"

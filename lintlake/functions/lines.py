@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # The line ends of str.splitlines() and the white space of str.strip().
 LINE_ENDS = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
-EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def decoded(content: Column) -> Column:
@@ -24,7 +24,7 @@ def split_lines(text: Column) -> Column:
 
 def strip(line: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(line, EDGES, "")
+    return F.btrim(line, F.lit(WHITE))
 
 
 def line_at(lines: Column, number: Column) -> Column:

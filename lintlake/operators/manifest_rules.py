@@ -7,10 +7,6 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lintlake.functions.lines import strip
-from lintlake.operators.tree_rules import none
-from lintlake.schema import candidate
-
 MANIFESTS = ("pyproject.toml", "requirements.txt", "setup.py", "Pipfile")
 LOCKFILES = ("uv.lock", "poetry.lock", "Pipfile.lock")
 PINNED = MANIFESTS[:2] + MANIFESTS[3:]
@@ -40,38 +36,27 @@ def version(line: Column) -> Column:
 
 
 def older(line: Column, bound: tuple[int, ...]) -> Column:
-    return F.coalesce(version(line) < F.array(*(F.lit(x).cast("decimal(38,0)") for x in bound)), F.lit(False))
-
-
-def names(line: Column, name: str) -> Column:
-    return F.lower(line).rlike(r"(?U)(?:^|[\"'=,\s])" + re.escape(name) + r"(?=[\"':,<>=!\s]|$)")
+    return F.coalesce(version(line) < _parts(bound), F.lit(False))
 
 
-def _affected(name: str, bound: tuple[int, ...]):
-    return lambda x: names(x["text"], name) & older(x["text"], bound)
+def _parts(bound: tuple[int, ...]) -> Column:
+    return F.array(*(F.lit(x).cast("decimal(38,0)") for x in bound))
 
 
-def dependency_cve(base: Column, lines: Column) -> Column:
-    """For each row of the table the first line of a manifest that names an older version."""
-    numbered = F.transform(lines, lambda x, i: F.struct((i + 1).cast("int").alias("line"), x.alias("text")))
-    found = []
-    for k, (name, bound, advisory) in enumerate(VULNERABLE):
-        hit = F.try_element_at(F.filter(numbered, _affected(name, bound)), F.lit(1))
-        told = candidate(37, k, "CWE-1104", "Known Vulnerable Dependency", "HIGH", "HIGH", hit["line"], strip(hit["text"]), f"{name} before {'.'.join(map(str, bound))}: {advisory}", hit["text"])
-        found.append(F.when(hit.isNotNull(), told))
-    hits = F.filter(F.array(*found), lambda x: x.isNotNull())
-    return F.when(base.isin(*MANIFESTS), hits).otherwise(none())
+def _name_pattern(name: str) -> str:
+    return r"(?U)(?:^|[\"'=,\s])" + re.escape(name) + r"(?=[\"':,<>=!\s]|$)"
 
 
-def unbounded_pins(base: Column, lines: Column, locked: Column) -> Column:
-    """Lower bounds without an upper one; a lockfile beside the manifest makes them informational."""
-    numbered = F.transform(lines, lambda x, i: F.struct((i + 1).cast("int").alias("line"), x.alias("text"), strip(x).alias("code")))
+def vulnerable(lines: Column) -> Column:
+    """For each row of the table the number of the first line that names an older version: array of (entry, number), null where there is none."""
+    read = F.transform(lines, lambda x, i: F.struct((i + 1).cast("int").alias("number"), F.lower(x).alias("low"), version(x).alias("version")))
+    stated = F.filter(read, lambda x: x["version"].isNotNull())
+    entries = F.array(*(F.struct(F.lit(k).alias("entry"), F.lit(_name_pattern(n)).alias("pattern"), _parts(v).alias("sound")) for k, (n, v, _) in enumerate(VULNERABLE)))
+    first = lambda e: F.try_element_at(F.filter(stated, lambda x: F.rlike(x["low"], e["pattern"]) & (x["version"] < e["sound"])), F.lit(1))["number"]
+    return F.transform(entries, lambda e: F.struct(e["entry"].alias("entry"), first(e).alias("number")))
 
-    def loose(x: Column) -> Column:
-        name = F.regexp_extract(x["code"], LOWER_BOUND, 1)
-        return ~x["code"].startswith("#") & x["code"].rlike(LOWER_BOUND) & ~name.isin("python", "requires-python") & ~x["code"].contains("<")
 
-    severity = F.when(locked, "INFO").otherwise("LOW")
-    told = F.when(locked, "No upper bound; the lockfile holds until the next upgrade").otherwise("No upper bound: a later bad release is taken at once")
-    hits = F.transform(F.filter(numbered, loose), lambda x, i: candidate(50, i, "CWE-1104", "Unbounded Dependency", severity, "MEDIUM", x["line"], x["code"], told, x["text"]))
-    return F.when(base.isin(*PINNED), hits).otherwise(none())
+def loose(code: Column) -> Column:
+    """Whether a stripped line sets a lower bound without an upper one."""
+    name = F.regexp_extract(code, LOWER_BOUND, 1)
+    return ~code.startswith("#") & code.rlike(LOWER_BOUND) & ~name.isin("python", "requires-python") & ~code.contains("<")

@@ -25,7 +25,8 @@ class TextRule:
     slots: tuple[tuple[Case, ...], ...]
     confidence: str = "MEDIUM"
     comments: bool = False  # also on comment lines
-    files: str = ""  # "pth": only .pth files, "!pth": all others
+    files: str = ""  # "!pth": not in start-up files
+    wide: bool = False  # holds only on lines with characters outside ASCII
 
     @property
     def needs_tree(self) -> bool:
@@ -40,6 +41,7 @@ def I(pattern: str) -> Match:  # noqa: E743
     return Match(pattern, True)
 
 
+#: Patterns, words, order, severities, CWE numbers and names of the rules as a whole.
 #: A line that names a setting or a stand-in rather than a secret.
 NOT_A_SECRET = any_of("environ", "getenv", "config", "your-", "placeholder", "...", "example", "xxxx", "****", lower=True) | (Has("connection_url", True) & any_of("{", "}", "dialect", lower=True))
 
@@ -74,9 +76,9 @@ TEXT_RULES: tuple[TextRule, ...] = (
         _first("CRITICAL", "A key or address with credentials stands in the source", r"(?:private_key|ssh_key|pem)\s*[:=]\s*[\"'][^\"']+[\"']", r"connection_url\s*=\s*[\"'][^\"']*://[^\"']+:[^\"']+@", ignore_case=True, unless=NOT_A_SECRET)
         + _first("HIGH", "A password stands in the source", r"(?:password|passwd|pwd)\s*[:=]\s*[\"'][^\"']{4,}[\"']", ignore_case=True, unless=NOT_A_SECRET),)),
     TextRule(7, "yaml_deserialize", "CWE-502", "Deserialization of Untrusted Data", _one((M(r"yaml\.load\s*\(") & ~Has("SafeLoader")) | M(r"yaml\.unsafe_load\s*\("), "CRITICAL", "YAML is loaded with arbitrary objects")),
-    TextRule(8, "xxe", "CWE-611", "XML External Entities", _one(M(r"(?:xml\.etree|xml\.dom|xml\.sax)\.") | Fact("lxml_use"), "HIGH", "The parser may resolve external entities")),
+    TextRule(8, "xxe", "CWE-611", "XML External Entities", _one(M(r"(?:xml\.etree|xml\.dom|xml\.sax)\.") | Fact("lxml_use", ("lxml",)), "HIGH", "The parser may resolve external entities")),
     TextRule(9, "ssrf", "CWE-918", "Server-Side Request Forgery", _one(
-        (~Fact("safe_http") & M(r"(?:requests|httpx)\.(?:delete|get|head|options|patch|post|put|request)\s*\(|urllib\.request\.urlopen\s*\(|aiohttp\.ClientSession")) | (Fact("session_call") & ~Fact("session_safe")), "HIGH", "The address of a request may come from outside")),
+        (~Fact("safe_http") & M(r"(?:requests|httpx)\.(?:delete|get|head|options|patch|post|put|request)\s*\(|urllib\.request\.urlopen\s*\(|aiohttp\.ClientSession")) | (Fact("session_call", ("Session", "Client")) & ~Fact("session_safe")), "HIGH", "The address of a request may come from outside")),
     TextRule(10, "tempfile", "CWE-377", "Insecure Temporary File", _one(Has("tempfile.mktemp"), "HIGH", "The name may be taken before the file is made")),
     TextRule(11, "symlink", "CWE-61", "Symlink Following", _one(any_of(".symlink_to", "os.symlink"), "MEDIUM", "Makes a symbolic link")),
     TextRule(12, "redos", "CWE-1333", "Inefficient Regular Expression", _one(M(r"re\.(?:compile|match|search)") & M(r"\([^)]+[+*?]\)[+*?{]"), "MEDIUM", "Nested repetition can take exponential time"), "LOW"),
@@ -104,7 +106,7 @@ TEXT_RULES: tuple[TextRule, ...] = (
         _first("CRITICAL", "A token stands in the source", r"(?:api_key|apikey)\s*[:=]\s*[\"'][A-Za-z0-9_\-=]{16,}[\"']", r"(?:token|jwt)\s*[:=]\s*[\"'][A-Za-z0-9_\-]{20,}\.[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+[\"']", r"(?:bearer|auth_token)\s*[:=]\s*[\"'][A-Za-z0-9_\-]{20,}[\"']", r"(?:secret|client_secret)\s*[:=]\s*[\"'][A-Za-z0-9_\-+/=]{16,}[\"']", ignore_case=True, unless=NOT_A_SECRET),)),
     TextRule(36, "weak_crypto", "CWE-327", "Broken Cryptography", (
         _first("HIGH", "A broken cipher, mode or padding", r"Crypto\.Cipher\.DES\b|pycryptodome.*DES\b", r"ARC4\b|RC4\b", r"MODE_ECB\b", r"PKCS1_v1_5\b", r"hashlib\.md5\b.*\b(?:sign|hmac|sig|token|password|hash\b)", ignore_case=True),)),
-    TextRule(38, "trojan_source", "CWE-1007", "Trojan Source", _one(M("[\u202a-\u202e\u2066-\u2069]"), "CRITICAL", "Direction marks reorder what is shown"), comments=True),
+    TextRule(38, "trojan_source", "CWE-1007", "Trojan Source", _one(M("[\u202a-\u202e\u2066-\u2069]"), "CRITICAL", "Direction marks reorder what is shown"), comments=True, wide=True),
     TextRule(41, "ssh_host_key", "CWE-322", "Unverified Host Key", (_first("HIGH", "Any host key is taken", "AutoAddPolicy", "WarningPolicy", r"sshtunnel\.open_tunnel"),)),
     TextRule(45, "pandas_pickle", "CWE-502", "Deserialization of Untrusted Data", _one(M(r"(?:pd|pandas)\.read_pickle\s*\("), "CRITICAL", "A pickled frame is loaded")),
     TextRule(46, "numpy_load_lib", "CWE-114", "Process Control", _one(M(r"numpy\.(?:load|ctypeslib)\.") & M(r"\.(so|dll|dylib)"), "HIGH", "Loads a native library")),

@@ -1,4 +1,4 @@
-"""The 14 rules over syntax-tree facts. Each gives an array of candidates for one file: a filter over a fact array."""
+"""The 14 rules over syntax-tree facts: each a list of cases, conditions on one fact of a kind, on one line, or on the whole file."""
 
 from __future__ import annotations
 
@@ -8,8 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lintlake.functions.lines import line_at, strip
-from lintlake.schema import CANDIDATE, candidate
+from lintlake.functions.lines import strip
 
 # Fixed names.
 RANDOM = ("random", "randint", "choice", "uniform", "shuffle", "sample", "randrange")
@@ -21,41 +20,41 @@ REACH = 5
 
 
 @dataclass(frozen=True)
-class TreeRule:
-    ordinal: int
-    name: str
-    cwe_id: str
-    cwe_name: str
-    build: Callable[[TreeRule, Column, Column, Column], Column]  # rule, facts, lines, text -> array of candidates
-    confidence: str = "HIGH"
-
+class FactCase:
+    """kind: of the facts that `when` looks at. extra: a text of the fact that takes the place of {} in the description."""
 
-def none() -> Column:
-    return F.array().cast(f"array<struct<{', '.join(x.replace(' ', ': ') for x in CANDIDATE.split(', '))}>>")
+    kind: str
+    when: Callable[[Column], Column]
+    severity: str
+    description: str
+    cwe_id: str = ""
+    extra: Callable[[Column], Column] | None = None
 
 
-def _rows(array: Column) -> Column:
-    return F.coalesce(array, none())
-
-
-def _emit(rule: TreeRule, fact: Column, lines: Column, severity, description, cwe=None) -> Column:
-    line = line_at(lines, fact["line"])
-    return candidate(rule.ordinal, fact["seq"], cwe if cwe is not None else rule.cwe_id, rule.cwe_name, severity, rule.confidence, fact["line"], strip(line), description, line)
-
+@dataclass(frozen=True)
+class LineCase:
+    """when: a condition on the stripped line and on whether the file parsed. after: its findings follow the facts' findings."""
 
-def _over(kind: str, when: Callable[[Column], Column], severity, description, cwe=None):
-    """Candidates from the facts of one kind that satisfy `when`; severity, description and cwe: text, or functions of the fact."""
-    of = lambda x, fact: x(fact) if callable(x) else x
+    when: Callable[[Column, Column], Column]
+    severity: str
+    description: str
+    after: bool = False
 
-    def build(rule: TreeRule, facts: Column, lines: Column, text: Column) -> Column:
-        hits = F.filter(facts[kind], when)
-        return _rows(F.transform(hits, lambda x: _emit(rule, x, lines, of(severity, x), of(description, x), of(cwe, x))))
 
-    return build
+@dataclass(frozen=True)
+class TreeRule:
+    ordinal: int
+    name: str
+    cwe_id: str
+    cwe_name: str
+    needs: tuple[str, ...]  # of which a file with a finding holds one, if it is in ASCII
+    cases: tuple[FactCase, ...]
+    lines: tuple[LineCase, ...] = ()
+    confidence: str = "HIGH"
 
 
-def _keyword(call: Column, name: str, true: bool = False) -> Column:
-    return F.exists(call["kws"], lambda k: F.coalesce(k["name"] == name, F.lit(False)) & (k["is_true"] if true else F.lit(True)))
+def _keyword(call: Column, name: str) -> Column:
+    return F.array_contains(call["kws"], name)
 
 
 def _random(call: Column) -> Column:
@@ -64,28 +63,7 @@ def _random(call: Column) -> Column:
 
 
 def _evaluates(call: Column) -> Column:
-    return call["full"].isin("eval", "exec", "__import__") | ((call["full"] == "compile") & call["by_name"] & call["dynamic"])
-
-
-def _numbered(lines: Column) -> Column:
-    return F.transform(lines, lambda x, i: F.struct((i + 1).cast("int").alias("line"), strip(x).alias("code"), x.alias("text")))
-
-
-def _swallowed(rule: TreeRule, facts: Column, lines: Column, text: Column) -> Column:
-    """Broad handlers without a diagnostic; in a file that doesn't parse, lines that open a broad handler."""
-    what = "A broad handler hides the exception"
-    parsed = _over("handlers", lambda h: h["broad"] & ~h["diagnostic"], "LOW", what)(rule, facts, lines, text)
-    hits = F.filter(_numbered(lines), lambda x: x["code"].rlike(r"(?U)^except\s*(?::|Exception\s*:)"))
-    plain = F.transform(hits, lambda x, i: candidate(rule.ordinal, i, rule.cwe_id, rule.cwe_name, "LOW", rule.confidence, x["line"], x["code"], what, x["text"]))
-    return F.when(facts.isNotNull(), parsed).when(text.rlike(r"except"), plain).otherwise(none())
-
-
-def _arrow_types(rule: TreeRule, facts: Column, lines: Column, text: Column) -> Column:
-    """Deserialising extension types by name, then cloudpickle on lines that speak of Arrow or Parquet."""
-    defs = _over("defs", lambda d: d["name"] == "__arrow_ext_deserialize__", "CRITICAL", "An extension type deserialises metadata")(rule, facts, lines, text)
-    use = lambda x: ~x["code"].startswith("#") & x["code"].rlike(r"(?U)cloudpickle\.loads?\s*\(") & F.lower(x["code"]).rlike(r"(?:py)?arrow|parquet|arrow_ext|deserialize")
-    hits = F.transform(F.filter(_numbered(lines), use), lambda x, i: candidate(rule.ordinal, i + 1_000_000, rule.cwe_id, rule.cwe_name, "CRITICAL", rule.confidence, x["line"], x["code"], "Columnar metadata is unpickled", x["text"]))
-    return F.concat(defs, F.when(text.contains("cloudpickle"), hits).otherwise(none()))
+    return call["full"].isin("eval", "exec") | ((call["full"] == "compile") & call["by_name"] & call["dynamic"])
 
 
 def decode_chains(lines: Column) -> Column:
@@ -105,33 +83,38 @@ def decode_chains(lines: Column) -> Column:
     return F.aggregate(told, start, step)["found"]
 
 
-def _chains(rule: TreeRule, facts: Column, lines: Column, text: Column) -> Column:
-    pairs = F.when(text.rlike(DECODE) & text.rlike(EXECUTE), decode_chains(lines))
-    told = lambda x: F.concat(F.lit("decode at line "), x["decoded"].cast("string"), F.lit(", exec at line "), x["executed"].cast("string"))
-    apart = F.transform(pairs, lambda x, i: candidate(rule.ordinal, i - 1_000_000, rule.cwe_id, rule.cwe_name, "CRITICAL", rule.confidence, x["executed"], told(x), "Decoded data is executed nearby", line_at(lines, x["executed"])))
-    inline = _over("calls", lambda c: c["full"].isin("exec", "eval") & c["by_name"] & F.coalesce(c["inner"].isin(*DECODERS), F.lit(False)), "CRITICAL", "Decoded data is executed at once")(rule, facts, lines, text)
-    return F.concat(_rows(apart), inline)
-
-
 def _hub(call: Column) -> Column:
-    return call["last"].isin("from_pretrained", "load_dataset", "pipeline") & (_keyword(call, "trust_remote_code", True) | ((call["last"] == "from_pretrained") & ~_keyword(call, "revision")))
+    return call["last"].isin("from_pretrained", "load_dataset", "pipeline")
 
 
 _CODE, _PICKLED = "Code Injection", "Deserialization of Untrusted Data"
+_HIDDEN, _TRUSTED = "A broad handler hides the exception", "trust_remote_code=True"
+_PINNED = "Model code or weights aren't pinned"
 
 TREE_RULES: tuple[TreeRule, ...] = (
-    TreeRule(2, "eval_exec", "CWE-94", _CODE, _over("calls", _evaluates, lambda c: F.when(c["full"] == "__import__", "HIGH").otherwise("CRITICAL"), "Runs code or modules named at run time")),
-    TreeRule(17, "insufficient_logging", "CWE-778", "Insufficient Logging", _swallowed),
-    TreeRule(22, "insecure_random", "CWE-338", "Weak Random Numbers", _over("calls", _random, "LOW", "Not a source for secrets")),
-    TreeRule(29, "format_string", "CWE-134", "Format String from Outside", _over("calls", lambda c: (c["full"] == "str.format") & c["dynamic"], "MEDIUM", "The format itself may come from outside")),
-    TreeRule(31, "insecure_default", "CWE-453", "Insecure Default", _over("pickles", lambda p: F.lit(True), "HIGH", "allow_pickle is switched on")),
-    TreeRule(39, "request_timeout", "CWE-1088", "Remote Call without Timeout", _over("calls", lambda c: c["full"].isin(*HTTP_CALLS) & ~_keyword(c, "timeout"), "HIGH", "The request may wait for ever")),
-    TreeRule(40, "torch_load", "CWE-502", _PICKLED, _over("calls", lambda c: (c["full"] == "torch.load") & ~_keyword(c, "weights_only", True), "CRITICAL", "A model is unpickled in full")),
-    TreeRule(42, "except_pass", "CWE-391", "Unchecked Error Condition", _over("handlers", lambda h: h["only"].isNotNull(), "MEDIUM", lambda h: F.concat(F.lit("The handler's only statement is "), h["only"]))),
-    TreeRule(43, "pandas_eval", "CWE-94", _CODE, _over("calls", lambda c: c["full"].isin("pandas.eval", "pd.eval") | (c["by_attr"] & c["last"].isin("eval", "query")), lambda c: F.when(c["full"].isin("pandas.eval", "pd.eval"), "CRITICAL").otherwise("HIGH"), "Evaluates an expression")),
-    TreeRule(44, "numpy_load", "CWE-502", _PICKLED, _over("calls", lambda c: c["full"].isin("numpy.load", "np.load") & _keyword(c, "allow_pickle", True), "HIGH", "Object arrays are unpickled")),
-    TreeRule(49, "parquet_arrow_deserialize", "CWE-502", _PICKLED, _arrow_types),
-    TreeRule(52, "decode_exec_chains", "CWE-94", _CODE, _chains),
-    TreeRule(56, "huggingface_unsafe_download", "CWE-94", "Untrusted Model Download", _over("calls", _hub, lambda c: F.when(_keyword(c, "trust_remote_code", True), "CRITICAL").otherwise("MEDIUM"), "Model code or weights aren't pinned", lambda c: F.when(_keyword(c, "trust_remote_code", True), "CWE-94").otherwise("CWE-1104"))),
-    TreeRule(57, "unbounded_pydantic_field", "CWE-770", "Allocation without Limits", _over("fields", lambda f: F.lit(True), "MEDIUM", lambda f: F.concat(f["name"], F.lit(": "), f["base"], F.lit(" has no greatest length"))), "MEDIUM"),
+    TreeRule(2, "eval_exec", "CWE-94", _CODE, ("eval", "exec", "compile", "__import__"), (
+        FactCase("call", lambda c: c["full"] == "__import__", "HIGH", "Runs code or modules named at run time"),
+        FactCase("call", _evaluates, "CRITICAL", "Runs code or modules named at run time"))),
+    TreeRule(17, "insufficient_logging", "CWE-778", "Insufficient Logging", ("except",), (
+        FactCase("handler", lambda h: h["broad"] & ~h["diagnostic"], "LOW", _HIDDEN),), (
+        LineCase(lambda code, parsed: ~parsed & code.rlike(r"(?U)^except\s*(?::|Exception\s*:)"), "LOW", _HIDDEN),)),
+    TreeRule(22, "insecure_random", "CWE-338", "Weak Random Numbers", ("random",), (FactCase("call", _random, "LOW", "Not a source for secrets"),)),
+    TreeRule(29, "format_string", "CWE-134", "Format String from Outside", ("format",), (FactCase("call", lambda c: (c["full"] == "str.format") & c["dynamic"], "MEDIUM", "The format itself may come from outside"),)),
+    TreeRule(31, "insecure_default", "CWE-453", "Insecure Default", ("allow_pickle",), (FactCase("pickle", lambda p: F.lit(True), "HIGH", "allow_pickle is switched on"),)),
+    TreeRule(39, "request_timeout", "CWE-1088", "Remote Call without Timeout", ("requests",), (FactCase("call", lambda c: c["full"].isin(*HTTP_CALLS) & ~_keyword(c, "timeout"), "HIGH", "The request may wait for ever"),)),
+    TreeRule(40, "torch_load", "CWE-502", _PICKLED, ("torch",), (FactCase("call", lambda c: (c["full"] == "torch.load") & ~_keyword(c, "weights_only=True"), "CRITICAL", "A model is unpickled in full"),)),
+    TreeRule(42, "except_pass", "CWE-391", "Unchecked Error Condition", ("except",), (FactCase("handler", lambda h: h["only"].isNotNull(), "MEDIUM", "The handler's only statement is {}", extra=lambda h: h["only"]),)),
+    TreeRule(43, "pandas_eval", "CWE-94", _CODE, ("eval", "query"), (
+        FactCase("call", lambda c: c["full"].isin("pandas.eval", "pd.eval"), "CRITICAL", "Evaluates an expression"),
+        FactCase("call", lambda c: ~c["full"].isin("pandas.eval", "pd.eval") & c["by_attr"] & c["last"].isin("eval", "query"), "HIGH", "Evaluates an expression"))),
+    TreeRule(44, "numpy_load", "CWE-502", _PICKLED, ("allow_pickle",), (FactCase("call", lambda c: c["full"].isin("numpy.load", "np.load") & _keyword(c, "allow_pickle=True"), "HIGH", "Object arrays are unpickled"),)),
+    TreeRule(49, "parquet_arrow_deserialize", "CWE-502", _PICKLED, ("__arrow_ext_deserialize__", "cloudpickle.load"), (
+        FactCase("def", lambda d: d["name"] == "__arrow_ext_deserialize__", "CRITICAL", "An extension type deserialises metadata"),), (
+        LineCase(lambda code, parsed: code.rlike(r"(?U)cloudpickle\.loads?\s*\(") & F.lower(code).rlike(r"(?:py)?arrow|parquet|arrow_ext|deserialize"), "CRITICAL", "Columnar metadata is unpickled", after=True),)),
+    TreeRule(52, "decode_exec_chains", "CWE-94", _CODE, ("exec", "eval"), (
+        FactCase("call", lambda c: c["full"].isin("exec", "eval") & c["by_name"] & F.coalesce(c["inner"].isin(*DECODERS), F.lit(False)), "CRITICAL", "Decoded data is executed at once"),)),
+    TreeRule(56, "huggingface_unsafe_download", "CWE-94", "Untrusted Model Download", ("from_pretrained", "load_dataset", "pipeline"), (
+        FactCase("call", lambda c: _hub(c) & _keyword(c, _TRUSTED), "CRITICAL", _PINNED),
+        FactCase("call", lambda c: (c["last"] == "from_pretrained") & ~_keyword(c, _TRUSTED) & ~_keyword(c, "revision"), "MEDIUM", _PINNED, "CWE-1104"))),
+    TreeRule(57, "unbounded_pydantic_field", "CWE-770", "Allocation without Limits", ("BaseModel",), (FactCase("field", lambda f: F.lit(True), "MEDIUM", "{} has no greatest length", extra=lambda f: F.concat(f["name"], F.lit(": "), f["base"])),), confidence="MEDIUM"),
 )

@@ -1,12 +1,14 @@
 """The scan: files (path, text) to findings, and what follows: suppression, filters, baselines, order and rollups.
 
-Rules need no shuffle. A file's lines, tree rules and manifest rules are one array of units; one generator turns it into rows,
-one projection tests all line rules, and `inline` emits the candidates. The syntax-tree UDF drops out of the plan where no selected rule needs it.
+Rules need no shuffle. First, literals that a rule can't do without are looked for in the whole text; a file without any goes no further, and the
+rest carries a bit for each rule that may apply. What is left of a file becomes rows (its lines, the facts of its syntax tree, and
+findings about the whole file) by one generator; a row gives small integers, one for each case of a rule that holds, and these meet the table of
+cases in a broadcast join. The syntax-tree UDF gets the text of Python files that may satisfy a rule that needs it, and gathers the facts that the
+chosen rules read; it drops out of the plan where no chosen rule needs it.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
@@ -14,11 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.functions.lines import line_at, split_lines, strip
+from lintlake.functions.predicates import folded, may_match
 from lintlake.operators import manifest_rules
-from lintlake.operators.facts import facts_column, literal_column
-from lintlake.operators.text_rules import TEXT_RULES, TextRule
-from lintlake.operators.tree_rules import TREE_RULES, none
-from lintlake.schema import CANDIDATE, COLUMNS, SEVERITIES, candidate, confidence_rank, severity_rank
+from lintlake.operators.facts import FACT_DDL, LINE_SETS, facts_column, literal_column
+from lintlake.operators.text_rules import TEXT_RULES
+from lintlake.operators.tree_rules import DECODE, EXECUTE, TREE_RULES, decode_chains
+from lintlake.schema import CANDIDATE, COLUMNS, SEVERITIES, confidence_rank, severity_rank
 
 MANIFEST_RULES = {"dependency_cve": 37, "unbounded_pins": 50}
 # Registry order, the findings that count less in tests, and their test folders.
@@ -26,6 +29,8 @@ REGISTRY = tuple(n for _, n in sorted([*((r.ordinal, r.name) for r in (*TEXT_RUL
 DEPRIORITISED = ("CWE-798", "CWE-617", "CWE-918", "CWE-770")
 TEST_DIRS = ("tests", "test")
 NOSEC = r"(?iU)#\s*nosec\b(?:\s+([\w,-]+))?"
+FIRST_EXTRA = 100
+READY = "struct<case: int, seq: int, extra: string, snippet: string>"
 
 
 @dataclass(frozen=True)
@@ -41,86 +46,165 @@ class Rule:
     description: str = ""
 
 
-def _line_candidates(rule: TextRule) -> list[Column]:
-    code, number, text = F.col("code"), F.col("number"), F.col("line")
-    out = []
-    for k, slot in enumerate(rule.slots):
-        case = F
-        for c in slot:
-            case = case.when(c.when.column(code), F.struct(F.lit(c.severity).alias("severity"), F.lit(c.description).alias("description")))
-        hit = case.otherwise(None)
-        allowed = F.lit(True) if rule.comments else ~F.col("comment")
-        if rule.files == "!pth":
-            allowed = allowed & ~F.col("is_pth")
-        told = F.when(allowed, hit)
-        out.append(F.when(told.isNotNull(), candidate(rule.ordinal, number * 8 + k, rule.cwe_id, rule.cwe_name, told["severity"], rule.confidence, number, code, told["description"], text)))
+class _Cases:
+    """The table of cases: a number for each way in which a rule gives a finding."""
+
+    def __init__(self):
+        self.rows: list[tuple] = []
+
+    def add(self, ordinal: int, cwe_id: str, cwe_name: str, severity: str, confidence: str, description: str) -> Column:
+        self.rows.append((len(self.rows), ordinal, cwe_id, cwe_name, severity, confidence, description))
+        return F.lit(len(self.rows) - 1)
+
+    def frame(self, spark) -> DataFrame:
+        return spark.createDataFrame(self.rows, "case int, ordinal int, cwe_id string, cwe_name string, severity string, confidence string, told string")
+
+
+class _Gates:
+    """A bit for each rule that may apply to a file."""
+
+    def __init__(self):
+        self.tests: list[Column] = []
+
+    def add(self, test: Column | None) -> Column:
+        """The bit of a test on the file, as a condition on the column gate."""
+        self.tests.append(F.lit(True) if test is None else test)
+        return F.col("gate").bitwiseAND(F.lit(1 << (len(self.tests) - 1))) != 0
+
+    def column(self) -> Column:
+        total = F.lit(0).cast("long")
+        for k, test in enumerate(self.tests):
+            total = total.bitwiseOR(F.when(test, F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")))
+        return total
+
+
+def _any(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out | c
     return out
 
 
-def _pth(lines: Column, is_pth: Column) -> Column:
-    """In a start-up file the first line that isn't blank or a comment."""
-    numbered = F.transform(lines, lambda x, i: F.struct((i + 1).cast("int").alias("line"), strip(x).alias("code"), x.alias("text")))
-    first = F.try_element_at(F.filter(numbered, lambda x: (x["code"] != "") & ~x["code"].startswith("#")), F.lit(1))
-    told = candidate(48, 0, "CWE-829", "Code from an Untrusted Sphere", "CRITICAL", "MEDIUM", first["line"], first["code"], "A start-up file runs with the interpreter", first["text"])
-    return F.when(is_pth & first.isNotNull(), F.array(told)).otherwise(none())
+def _once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with further columns, each computed once a row: a generator's output, which the optimiser doesn't put in place of its uses."""
+    return rows.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
+def _ready(case: Column, seq, number: Column, extra: Column | None = None, snippet: Column | None = None) -> Column:
+    """A finding about the whole file, as a row that a later step takes as it is."""
+    none = F.lit(None).cast("string")
+    found = F.struct(case.alias("case"), (seq if isinstance(seq, Column) else F.lit(seq)).cast("int").alias("seq"), (none if extra is None else extra).alias("extra"), (none if snippet is None else snippet).alias("snippet"))
+    return F.struct(number.cast("int").alias("number"), found.alias("ready"))
 
 
 def scan_frame(files: DataFrame, rules: Iterable[str] | None = None, extra: Iterable[Rule] = ()) -> DataFrame:
     """Candidates with path and package: one row for each finding before any filter.
 
     files: path and text (null where unreadable); package, and locked (whether a lockfile stands beside a manifest), if there. Rules
-    go by registry name; all by default. extra: further rules, after the built-in ones.
+    go by registry name; all by default. extra: further rules, after the built-in ones. Only files whose names end in .py have a syntax tree.
     """
-    chosen = set(REGISTRY if rules is None else rules)
+    chosen, extra = set(REGISTRY if rules is None else rules), list(extra)
     if unknown := chosen - set(REGISTRY):
         raise ValueError(f"unknown rules: {', '.join(sorted(unknown))}")
     text_rules = [r for r in TEXT_RULES if r.name in chosen]
     tree_rules = [r for r in TREE_RULES if r.name in chosen]
-    has = set(files.columns)
+    has, text, low = set(files.columns), F.col("text"), F.col("low")
     base = files.select("path", "text", (F.col("package") if "package" in has else F.lit("")).alias("package"), (F.coalesce("locked", F.lit(False)) if "locked" in has else F.lit(False)).alias("locked"))
-    base = base.withColumn("lines", split_lines(F.col("text")))
-    lines, name = F.col("lines"), F.element_at(F.split("path", "/"), -1)
-    needs_tree = bool(tree_rules) or any(r.needs_tree for r in text_rules)
-    base = base.withColumn("facts", facts_column(F.col("text")) if needs_tree else F.lit(None))
-    facts = F.col("facts")
-
-    whole = [r.build(r, facts, lines, F.coalesce("text", F.lit(""))) for r in tree_rules]
+    base = _once(base.filter("text IS NOT NULL"), low=folded(text), wide=F.octet_length("text") != F.char_length("text"), name=F.element_at(F.split("path", "/"), -1))
+    wide, name = F.col("wide"), F.col("name")
+    is_py, is_pth = F.col("path").endswith(".py"), F.col("path").endswith(".pth")
+
+    cases, gates, by_line, by_fact, whole, asks = _Cases(), _Gates(), [], [], [], []
+    code, number, parsed = F.col("code"), F.col("number"), F.col("parsed")
+    for r in text_rules:
+        test = wide if r.wide else may_match([c.when for slot in r.slots for c in slot], text, low)
+        gate = gates.add(test | (wide & is_py) if r.needs_tree and test is not None else test)
+        if r.needs_tree:
+            asks.append(gate)
+        allowed = gate if r.comments else gate & ~F.col("comment")
+        for k, slot in enumerate(r.slots):
+            hit = F
+            for c in slot:
+                hit = hit.when(c.when.column(code), F.struct(cases.add(r.ordinal, r.cwe_id, r.cwe_name, c.severity, r.confidence, c.description).alias("case"), (number * 8 + k).alias("seq")))
+            by_line.append((gate, F.when(allowed & ~F.col("is_pth") if r.files == "!pth" else allowed, hit.otherwise(None))))
+    for r in tree_rules:
+        gate = gates.add(_any([text.contains(n) for n in r.needs]) | wide)
+        asks.append(gate)
+        for c in r.cases:
+            case = cases.add(r.ordinal, c.cwe_id or r.cwe_id, r.cwe_name, c.severity, r.confidence, c.description)
+            by_fact.append(lambda f, c=c, case=case: F.when((f["kind"] == c.kind) & c.when(f), F.struct(case.alias("case"), f["seq"].alias("seq"), (F.lit(None).cast("string") if c.extra is None else c.extra(f)).alias("extra"))))
+        for c in r.lines:
+            case = cases.add(r.ordinal, r.cwe_id, r.cwe_name, c.severity, r.confidence, c.description)
+            by_line.append((gate, F.when(gate & ~F.col("comment") & c.when(code, parsed), F.struct(case.alias("case"), (number + 1_000_000 if c.after else number).alias("seq")))))
+        if r.name == "decode_exec_chains":
+            case = cases.add(r.ordinal, r.cwe_id, r.cwe_name, "CRITICAL", r.confidence, "Decoded data is executed nearby")
+            told = lambda x: F.concat(F.lit("decode at line "), x["decoded"].cast("string"), F.lit(", exec at line "), x["executed"].cast("string"))
+            whole.append(F.when(gate & text.rlike(DECODE) & text.rlike(EXECUTE), F.transform(decode_chains(F.col("lines")), lambda x, i: _ready(case, i - 1_000_000, x["executed"], snippet=told(x)))))
     if "dependency_cve" in chosen:
-        whole.append(manifest_rules.dependency_cve(name, lines))
+        gate = gates.add(name.isin(*manifest_rules.MANIFESTS))
+        first = [cases.add(37, "CWE-1104", "Known Vulnerable Dependency", "HIGH", "HIGH", f"{n} before {'.'.join(map(str, v))}: {advisory}") for n, v, advisory in manifest_rules.VULNERABLE][0]
+        hits = F.filter(manifest_rules.vulnerable(F.col("lines")), lambda x: x["number"].isNotNull())
+        whole.append(F.when(gate, F.transform(hits, lambda x: _ready(first + x["entry"], x["entry"], x["number"]))))
     if "unbounded_pins" in chosen:
-        whole.append(manifest_rules.unbounded_pins(name, lines, F.col("locked")))
-    is_pth = F.col("path").endswith(".pth")
+        gate = gates.add(name.isin(*manifest_rules.PINNED))
+        held = cases.add(50, "CWE-1104", "Unbounded Dependency", "INFO", "MEDIUM", "No upper bound; the lockfile holds until the next upgrade")
+        free = cases.add(50, "CWE-1104", "Unbounded Dependency", "LOW", "MEDIUM", "No upper bound: a later bad release is taken at once")
+        by_line.append((gate, F.when(gate & manifest_rules.loose(code), F.struct(F.when(F.col("locked"), held).otherwise(free).alias("case"), number.alias("seq")))))
     if "pth_startup_hooks" in chosen:
-        whole.append(_pth(lines, is_pth))
-    per_file = F.concat(*whole) if whole else none()
-
-    by_line = bool(text_rules or extra)
-    unit = lambda number, line, found: F.struct(number.cast("int").alias("number"), line.alias("line"), found.alias("found"))
-    head = F.array(unit(F.lit(0), F.lit(""), per_file))
-    units = F.concat(head, F.transform(lines, lambda x, i: unit(i + 1, x, none()))) if by_line else head
-    attached, needed = [], {n for r in text_rules if r.needs_tree for n in re.findall(r"Fact\(name='(\w+)'\)", repr(r.slots))}
-    sets = {"safe_sql": "safe_sql", "safe_driver": "safe_driver", "safe_http": "safe_http", "session_call": "session_calls", "session_safe": "session_safe"}
-    attached += [F.coalesce(facts[sets[n]], F.array().cast("array<int>")).alias(f"{n}_lines") for n in sets if n in needed]
-    if "lxml_use" in needed:
-        attached.append(facts["lxml"].alias("lxml_name"))
-    rows = base.select("path", "package", is_pth.alias("is_pth"), *attached, F.inline(units))
-    rows = rows.withColumn("code", strip(F.col("line"))).withColumn("comment", F.col("code").startswith("#"))
-    for n in sets:
-        if n in needed:
-            rows = rows.withColumn(n, F.array_contains(f"{n}_lines", F.col("number")))
-    if "lxml_use" in needed:
-        quoted = F.concat(F.lit(r"(?U)\b"), F.regexp_replace("lxml_name", r"([.])", r"\\."), F.lit(r"\."))
-        rows = rows.withColumn("lxml_use", F.coalesce(F.when(F.col("lxml_name").isNotNull(), F.rlike(F.col("code"), quoted)), F.lit(False)))
-    found = [c for r in text_rules for c in _line_candidates(r)]
+        gate = gates.add(is_pth)
+        case = cases.add(48, "CWE-829", "Code from an Untrusted Sphere", "CRITICAL", "MEDIUM", "A start-up file runs with the interpreter")
+        numbered = F.transform("lines", lambda x, i: F.struct((i + 1).alias("number"), strip(x).alias("code")))
+        runs = F.filter(numbered, lambda x: (x["code"] != "") & ~x["code"].startswith("#"))
+        whole.append(F.when(gate, F.transform(F.slice(runs, 1, 1), lambda x: _ready(case, 0, x["number"]))))
+    everywhere = gates.add(None) if extra else None
     for k, r in enumerate(extra):
-        hit = F.when(F.col("number") > 0, r.predicate(F.col("line"), F.col("code"), F.col("number"), F.col("path")))
-        found.append(F.when(hit, candidate(100 + k, F.col("number"), r.cwe_id, r.cwe_name, r.severity, r.confidence, F.col("number"), F.col("code"), r.description, F.col("line"))))
-    if found:
-        here = F.filter(F.array(*found), lambda x: x.isNotNull())
-        rows = rows.withColumn("found", F.when(F.col("number") > 0, here).otherwise(F.col("found")))
-    out = rows.filter(F.size("found") > 0).select("path", "package", F.inline("found"))
+        case = cases.add(FIRST_EXTRA + k, r.cwe_id, r.cwe_name, r.severity, r.confidence, r.description)
+        by_line.append((everywhere, F.when(r.predicate(F.col("line"), code, number, F.col("path")), F.struct(case.alias("case"), number.alias("seq")))))
+    if not cases.rows:
+        return files.sparkSession.createDataFrame([], f"path string, package string, {CANDIDATE}")
+
+    base = _once(_once(base, gate=gates.column()).filter("gate <> 0"), lines=split_lines(text))
+    empty = lambda kind: F.array().cast(f"array<{kind}>")
+    if asks:
+        kinds = sorted({c.kind for r in tree_rules for c in r.cases})
+        base = base.withColumn("facts", facts_column(F.when(is_py & _any(asks), text), kinds, any(r.needs_tree for r in text_rules)))
+    else:
+        base = base.withColumn("facts", F.lit(None).cast("struct<found: array<int>>"))
+    facts = F.col("facts")
+    needed = {n: f for n, f in ((n, F.coalesce(facts[n], F.array().cast("array<int>"))) for n in LINE_SETS) if any(r.needs_tree for r in text_rules)}
+    lxml = facts["lxml"] if needed else F.lit(None).cast("string")
+
+    unit = lambda number, line, fact, ready: F.struct(number.cast("int").alias("number"), line.alias("line"), fact.alias("fact"), ready.alias("ready"))
+    no_fact, no_ready = F.lit(None).cast(FACT_DDL), F.lit(None).cast(READY)
+    kind = "struct<number: int, line: string, fact: " + FACT_DDL + ", ready: " + READY + ">"
+    parts = []
+    if by_line:
+        parts.append(F.when(_any(list({str(g): g for g, _ in by_line}.values())), F.transform("lines", lambda x, i: unit(i + 1, x, no_fact, no_ready))))
+    if by_fact:
+        parts.append(F.transform(facts["found"], lambda f: unit(f["line"], line_at(F.col("lines"), f["line"]), f, no_ready)))
+    parts += [F.transform(w, lambda x: unit(x["number"], line_at(F.col("lines"), x["number"]), no_fact, x["ready"])) for w in whole]
+    units = F.concat(*(F.coalesce(p, empty(kind)) for p in parts))
+    rows = base.select("path", "package", "gate", "locked", is_pth.alias("is_pth"), facts.isNotNull().alias("parsed"), lxml.alias("lxml_name"), *(f.alias(f"{n}_lines") for n, f in needed.items()), F.inline(F.array(F.struct(units.alias("units")))))
+    rows = _once(rows.select("*", F.inline("units")).drop("units"), code=strip(F.col("line")))
+    rows = rows.withColumn("comment", F.col("code").startswith("#"))
+    for n in needed:
+        rows = rows.withColumn(n, F.array_contains(f"{n}_lines", number))
+    if needed:
+        quoted = F.concat(F.lit(r"(?U)\b"), F.regexp_replace("lxml_name", r"([.])", r"\\."), F.lit(r"\."))
+        rows = rows.withColumn("lxml_use", F.coalesce(F.when(F.col("lxml_name").isNotNull(), F.rlike(code, quoted)), F.lit(False)))
+    fact, ready = F.col("fact"), F.col("ready")
+    nothing, hit = F.lit(None).cast("string"), "array<struct<case: int, seq: int, extra: string>>"
+    lines_found = F.transform(F.array_compact(F.array(*(h for _, h in by_line))), lambda x: F.struct(x["case"], x["seq"].cast("int").alias("seq"), nothing.alias("extra"))).cast(hit) if by_line else F.array().cast(hit)
+    facts_found = F.array_compact(F.array(*(f(fact) for f in by_fact))).cast(hit) if by_fact else F.array().cast(hit)
+    found = F.when(ready.isNotNull(), F.array(F.struct(ready["case"], ready["seq"], ready["extra"])).cast(hit)).when(fact.isNotNull(), facts_found).otherwise(lines_found)
+    rows = _once(rows, found=found)
+    rows = rows.select("path", "package", number.alias("line"), F.coalesce(ready["snippet"], code).alias("code_snippet"), F.col("line").alias("text"), F.inline("found"))
+    out = rows.join(F.broadcast(cases.frame(files.sparkSession)), "case")  # a fixed number of cases
+    description = F.when(F.col("extra").isNotNull(), F.replace("told", F.lit("{}"), F.col("extra"))).otherwise(F.col("told"))
+    out = out.withColumn("description", description).select("path", "package", *(x.split()[0] for x in CANDIDATE.split(", ")))
     if "trojan_source" in chosen:
-        out = out.withColumn("code_snippet", F.when(F.col("ordinal") == 38, literal_column(F.col("code_snippet"))).otherwise(F.col("code_snippet")))
+        trojan = F.when(F.col("ordinal") == 38, F.col("code_snippet"))
+        out = out.withColumn("code_snippet", F.coalesce(literal_column(trojan), F.col("code_snippet")))
     return out
 
 

@@ -22,14 +22,12 @@ from lintlake.schema import severity_rank
 
 Query = Callable[[SparkSession, str], DataFrame]
 PLAIN = tuple(r for r in TEXT_RULES if not r.needs_tree and r.name not in ("pth_startup_hooks", "trojan_source"))
-GOLDEN = tuple(r.name for r in (*TEXT_RULES, *TREE_RULES) if r not in PLAIN and r.name != "trojan_source") + tuple(scan.MANIFEST_RULES)
-#: A cheap set of text rules for the queries about what follows the rules.
-SOME = ("pickle", "hardcoded_secrets", "assert_security", "debug_mode", "timing_attack", "weak_hash", "tls_verify")
+GOLDEN = {r.name: (r.ordinal, r.confidence) for r in (*TEXT_RULES, *TREE_RULES) if r not in PLAIN} | {"dependency_cve": (37, "HIGH"), "unbounded_pins": (50, "MEDIUM")}
+FOUND = ("path", "package", "line", "text", "code_snippet", "ordinal", "slot", "cwe_id", "confidence", "severity")
 
 
-def _rule(name: str, snippet: bool) -> Query:
-    columns = ["path", "line", "cwe_id", "severity", "confidence", *(["code_snippet"] if snippet else [])]
-    return lambda spark, sf_dir: scan.scan_frame(corpus.files(spark, sf_dir), [name]).select(*columns)
+def _rule(name: str) -> Query:
+    return lambda spark, sf_dir: scan.scan_frame(corpus.files(spark, sf_dir), [name]).select("path", "line", "cwe_id", "severity", "confidence", "code_snippet")
 
 
 def _rule_sql(rule, *columns: str) -> str:
@@ -42,16 +40,18 @@ def _rule_sql(rule, *columns: str) -> str:
     return f"SELECT {', '.join(columns)} FROM ({' UNION ALL '.join(parts)}) WHERE severity IS NOT NULL"
 
 
-def _golden_sql(name: str) -> str:
-    confidence = {r.name: r.confidence for r in (*TEXT_RULES, *TREE_RULES)} | {"dependency_cve": "HIGH", "unbounded_pins": "MEDIUM"}
-    return f"WITH {corpus.files_sql()}, {corpus.expected_sql()} SELECT path, CAST(line AS INTEGER) AS line, cwe_id, severity, '{confidence[name]}' AS confidence FROM files JOIN expected USING (snippet_id) WHERE rule = '{name}'"
+def _golden_sql(rules, *columns: str) -> str:
+    """The rows written down beside the snippets, with the lines that they point at."""
+    known = ", ".join(f"('{n}', {GOLDEN[n][0]}, '{GOLDEN[n][1]}')" for n in rules)
+    return f"""SELECT {', '.join(columns)} FROM (
+  SELECT l.path, l.package, l.number AS line, l.line AS text, coalesce(e.snippet, l.code) AS code_snippet, g.ordinal, e.place AS slot, e.cwe_id, g.confidence, e.severity
+  FROM expected e JOIN (VALUES {known}) g(rule, ordinal, confidence) ON e.rule = g.rule JOIN lines l ON l.snippet_id = e.snippet_id AND l.number = e.line)"""
 
 
 def _found_sql() -> str:
-    """WITH clauses up to `found`: the candidates of SOME."""
-    rules = [r for r in TEXT_RULES if r.name in SOME]
-    columns = ("path", "package", "line", "text", "code_snippet", "ordinal", "slot", "cwe_id", "confidence", "severity")
-    return f"WITH {corpus.files_sql()}, found AS ({' UNION ALL '.join(f'({_rule_sql(r, *columns)})' for r in rules)})"
+    """WITH clauses up to `found`: the candidates of all rules."""
+    parts = [_rule_sql(r, *FOUND) for r in PLAIN] + [_golden_sql(GOLDEN, *FOUND)]
+    return f"WITH {corpus.files_sql()}, {corpus.expected_sql()}, found AS MATERIALIZED ({' UNION ALL '.join(f'({x})' for x in parts)})"
 
 
 NOSEC_SQL = r"""(regexp_matches(text, '#\s*nosec\b', 'i') AND (
@@ -62,8 +62,8 @@ RANK_SQL = "CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM
 LEFT_SQL = "path, line, cwe_id, severity, confidence, code_snippet"
 
 
-def _candidates(spark, sf_dir, rules=SOME) -> DataFrame:
-    return scan.scan_frame(corpus.files(spark, sf_dir), rules)
+def _candidates(spark, sf_dir) -> DataFrame:
+    return scan.scan_frame(corpus.files(spark, sf_dir))
 
 
 def _fated(spark, sf_dir, fate: str) -> DataFrame:
@@ -90,11 +90,11 @@ def kept_findings(spark, sf_dir):
 
 
 def baseline_distinct(spark, sf_dir):
-    return scan.fingerprints(scan.scan(corpus.files(spark, sf_dir), SOME).findings).distinct()
+    return scan.fingerprints(scan.scan(corpus.files(spark, sf_dir)).findings).distinct()
 
 
 def _baseline(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    found = scan.scan(corpus.files(spark, sf_dir), SOME).findings
+    found = scan.scan(corpus.files(spark, sf_dir)).findings
     return found, scan.fingerprints(found.filter("package IN ('pkg0', 'pkg3')"))
 
 
@@ -142,8 +142,8 @@ def _listing(spark, sf_dir) -> DataFrame:
     """Every file twice, once for its own package and once for a package of all; manifests marked."""
     files = corpus.files(spark, sf_dir).select("path", "package")
     manifest = F.element_at(F.split("path", "/"), -1).isin(*manifest_rules.MANIFESTS)
-    own = files.select("path", "package", F.substring("package", 4, 1).cast("int").alias("ordinal"), manifest.alias("is_manifest"))
-    return own.unionByName(files.select("path", F.lit("all").alias("package"), F.lit(2).alias("ordinal"), manifest.alias("is_manifest")))
+    own = files.select("path", "package", (F.substring("package", 4, 1).cast("int") * 2).alias("ordinal"), manifest.alias("is_manifest"))
+    return own.unionByName(files.select("path", F.lit("all").alias("package"), F.lit(3).alias("ordinal"), manifest.alias("is_manifest")))
 
 
 def package_dedupe(spark, sf_dir):
@@ -155,13 +155,13 @@ def _manifests(spark, sf_dir) -> DataFrame:
     return files.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir"), "path")
 
 
-def _roots(spark, sf_dir) -> DataFrame:
-    deep = _manifests(spark, sf_dir).select(F.concat("dir", F.lit("/a/b")).alias("root"))
-    return deep.select(F.col("root").alias("package"), "root", F.lit(None).cast("string").alias("ceiling"))
-
-
 def manifest_nearest_ancestor(spark, sf_dir):
-    return scan.nearest_manifests(_roots(spark, sf_dir), _manifests(spark, sf_dir))
+    """From two folders below each manifest; every second folder has a nearer manifest too, and every third search may not leave its own folder."""
+    held = _manifests(spark, sf_dir).withColumn("k", F.regexp_extract("dir", r"(\d+)$", 1).cast("long"))
+    nearer = held.filter("k % 2 = 0").select(F.concat("dir", F.lit("/a")).alias("dir"), F.concat("dir", F.lit("/a/setup.py")).alias("path"))
+    root = F.concat("dir", F.lit("/a/b"))
+    roots = held.select(root.alias("package"), root.alias("root"), F.when(F.col("k") % 3 == 0, root).when(F.col("k") % 3 == 1, F.col("dir")).alias("ceiling"))
+    return scan.nearest_manifests(roots, held.select("dir", "path").unionByName(nearer))
 
 
 def manifest_label(spark, sf_dir):
@@ -228,7 +228,7 @@ OPERATORS: tuple[Query, ...] = (
 
 
 def queries() -> dict[str, Query]:
-    out = {f"rule_{r.name}": _rule(r.name, True) for r in PLAIN} | {f"rule_{n}": _rule(n, False) for n in (*GOLDEN, "trojan_source")}
+    out = {f"rule_{n}": _rule(n) for n in (*(r.name for r in PLAIN), *GOLDEN)}
     return out | {f.__name__: f for f in OPERATORS} | {"scan_rollup": flagship}
 
 
@@ -245,8 +245,7 @@ def oracle_sql() -> dict[str, str]:
     decode, run = r"(base64\.(b64decode|urlsafe_b64decode|decodestring)|zlib\.decompress|bz2\.decompress|codecs\.decode)\s*\(", r"(exec|eval)\s*\("
     lines = "(SELECT path, number, line FROM lines WHERE NOT (line = '' AND number = (SELECT max(l2.number) FROM lines l2 WHERE l2.path = lines.path)))"
     out = {f"rule_{r.name}": f"WITH {corpus.files_sql()} {_rule_sql(r, 'path', 'line', 'cwe_id', 'severity', 'confidence', 'code_snippet')}" for r in PLAIN}
-    out |= {f"rule_{n}": _golden_sql(n) for n in GOLDEN}
-    out |= {"rule_trojan_source": f"{base} SELECT path, number AS line, 'CWE-1007' AS cwe_id, 'CRITICAL' AS severity, 'MEDIUM' AS confidence FROM lines WHERE regexp_matches(line, '[\u202a-\u202e\u2066-\u2069]')"}
+    out |= {f"rule_{n}": f"WITH {corpus.files_sql()}, {corpus.expected_sql()} {_golden_sql([n], 'path', 'line', 'cwe_id', 'severity', 'confidence', 'code_snippet')}" for n in GOLDEN}
     fates = {"nosec_suppress": "nosec", "confidence_filter": "confidence", "test_path_filter": "test", "kept_findings": "kept"}
     out |= {k: f"{marked} SELECT {LEFT_SQL} FROM marked WHERE fate = '{v}'" for k, v in fates.items()}
     return out | {
@@ -254,11 +253,12 @@ def oracle_sql() -> dict[str, str]:
         "baseline_anti": f"{scanned} SELECT {LEFT_SQL} FROM scanned s WHERE NOT {held}",
         "baseline_count": f"{scanned} SELECT count(*) AS baseline_suppressed FROM scanned s WHERE {held}",
         "report_sort_rank": f"{found} SELECT package, path, line, cwe_id, CAST(row_number() OVER (PARTITION BY package ORDER BY {RANK_SQL}, path COLLATE C, line, ordinal, slot) AS INTEGER) AS place FROM found",
+        "scan_rollup": f"{scanned} SELECT package, severity, count(*) AS n, count(DISTINCT path) AS n_files FROM scanned GROUP BY package, severity",
         "severity_rollup": f"{found} SELECT severity, count(*) AS n FROM found GROUP BY severity",
         "confidence_rollup": f"{found} SELECT confidence, count(*) AS n FROM found GROUP BY confidence",
         "exit_gate": f"{found} SELECT fail_on, EXISTS (SELECT 1 FROM found WHERE {RANK_SQL} <= least) AS fails FROM (VALUES ('CRITICAL', 0), ('HIGH', 1), ('MEDIUM', 2), ('LOW', 3), ('INFO', 4)) t(fail_on, least)",
-        "package_dedupe": f"{base} SELECT path, CASE WHEN CAST(substr(package, 4, 1) AS INTEGER) > 2 THEN 'all' WHEN package = 'pkg2' THEN least('all', package) ELSE package END AS package FROM files",
-        "manifest_nearest_ancestor": f"{base} SELECT regexp_extract(a.path, '^(.*)/[^/]*$', 1) || '/a/b' AS package, a.path FROM files a WHERE {manifests.replace('path', 'a.path')}",
+        "package_dedupe": f"{base} SELECT path, CASE WHEN package IN ('pkg0', 'pkg1') THEN package ELSE 'all' END AS package FROM files",
+        "manifest_nearest_ancestor": f"{base} SELECT dir || '/a/b' AS package, CASE WHEN k % 2 = 0 THEN dir || '/a/setup.py' ELSE path END AS path FROM (SELECT path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, CAST(regexp_extract(path, '(\\d+)/[^/]*$', 1) AS BIGINT) AS k FROM files WHERE {manifests}) WHERE k % 3 <> 0",
         "manifest_label": f"{base} SELECT path, CASE WHEN path LIKE '%requirements.txt' THEN 'named ' || regexp_extract(path, '^(.*)/[^/]*$', 1) ELSE regexp_extract(path, '([^/]*)/[^/]*$', 1) END AS label FROM files WHERE {manifests}",
         "lockfile_severity": f"WITH {corpus.files_sql()}, {corpus.expected_sql()} SELECT path, CAST(line AS INTEGER) AS line, severity FROM files JOIN expected USING (snippet_id) WHERE rule = 'unbounded_pins'",
         "cve_theta_join": f"{base} SELECT path, number, name, advisory FROM lines JOIN (VALUES {advisories}) t(name, sound, advisory) ON regexp_matches(lower(line), '(?:^|[\"''=,\\s])' || name || '(?:[\"'':,<>=!\\s]|$)') WHERE {manifests} AND {version} <> '' AND {parts} < CAST(sound AS BIGINT[])",

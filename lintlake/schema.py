@@ -26,10 +26,3 @@ def severity_rank(column: Column) -> Column:
 
 def confidence_rank(column: Column) -> Column:
     return rank(column, CONFIDENCES, 0)
-
-
-def candidate(ordinal: int, seq, cwe: str | Column, title: str | Column, severity: str | Column, confidence: str | Column, line: Column, code: Column, description: str | Column, text: Column) -> Column:
-    """A struct of CANDIDATE's shape."""
-    as_col = lambda x: x if isinstance(x, Column) else F.lit(x)
-    values = [F.lit(ordinal), as_col(seq).cast("int"), *map(as_col, (cwe, title, severity, confidence)), line.cast("int"), code, as_col(description), text]
-    return F.struct(*(v.alias(n.split()[0]) for v, n in zip(values, CANDIDATE.split(", "), strict=True)))
