@@ -10,8 +10,8 @@ Groups of near copies can be large, and two of their members may well be less si
 two rounds every key draws a pivot, each document is compared with the eight pivots nearest to it, and what is similar is contracted; that joins dense groups
 with a few comparisons a document. The documents that still stand under a key with a stranger to their group are then joined exactly, by prefixes:
 shingles in the order of how many of these documents hold them, rarest first; similar sets share one of the first fifth, at a place early
-enough in both. A document with many shingles of its own so drops out without a comparison, and pairs inside a group aren't looked at. Every
-comparison is an exact Jaccard similarity of sets of five-word shingles of whole texts.
+enough in both. A document with many shingles of its own so drops out without a comparison, and pairs inside a group aren't looked at. A sketch of 256
+parities bounds from below in how many shingles two sets differ, so pairs that can't be similar enough don't leave the join. Every comparison is an exact Jaccard similarity of sets of five-word shingles of whole texts.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 PARTS, PART_SHINGLES = 12, 4
 #: Rounds of pivots, and the comparisons of a document in each; what they leave is joined exactly.
 ROUNDS, NEAREST = 2, 8
+#: Words of 64 bits in a sketch.
+SKETCH = 4
 ORDERS = np.random.default_rng(5).integers(0, 1 << 64, PARTS * PART_SHINGLES, np.uint64) | np.uint64(1)
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -118,8 +120,14 @@ def _keys(classes: DataFrame) -> DataFrame:
     return classes.select("rep", "print", "parts").mapInArrow(run, "key long, rep long")
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Whether an odd number of the shingles falls in each of 64 * SKETCH bins: sketches of two sets differ in as many bits as the sets in elements, or fewer."""
+    odd = np.bincount((shingles & np.int64(64 * SKETCH - 1)), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """class, shingles (distinct 64-bit hashes) of each row of (class, text)."""
+    """class, shingles (distinct 64-bit hashes) and their sketch of each row of (class, text)."""
 
     def run(batches):
         for b in batches:
@@ -128,9 +136,10 @@ def _sets(texts: DataFrame, shingle: int) -> DataFrame:
                 sets = [np.unique(shingle_hashes(words(t.as_py()), shingle)).view(np.int64) for t in part.column(1)]
                 offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["class", "shingles"])
+                sketches = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([sketch(x) for x in sets])), SKETCH).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, sketches], ["class", "shingles", "sketch"])
 
-    return texts.mapInArrow(run, "class binary, shingles array<long>")
+    return texts.mapInArrow(run, "class binary, shingles array<long>, sketch array<long>")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -173,18 +182,20 @@ def _mixed(busy: DataFrame, known: DataFrame | None) -> DataFrame:
 
 def _prefix_pairs(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """a, b: every pair of rest (rep, label) of different groups that can be similar enough, by the shingles that come first in both."""
-    rows = rest.join(sets, "rep").select("rep", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    rows = rest.join(sets, "rep").select("rep", "label", F.size("shingles").alias("n"), "sketch", F.explode("shingles").alias("shingle"))
     held = rows.groupBy("shingle").agg(F.count("*").alias("held")).filter("held > 1")
     rows = rows.join(held, "shingle")
     place, all_of = Window.partitionBy("rep").orderBy("held", "shingle"), Window.partitionBy("rep")
     at = F.col("n") - F.count("*").over(all_of) + F.row_number().over(place) - 1  # those that no other document holds come first
-    first = rows.withColumn("at", at).filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - 1e-9)).select("shingle", "rep", "label", "n", "at")
+    first = rows.withColumn("at", at).filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - 1e-9)).select("shingle", "rep", "label", "n", "at", *(F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(SKETCH)))
     first = materialize(first, "prefixes")
     x, y = first.alias("x"), first.alias("y")
     left = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
     meet = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label"))
     enough = left >= (F.col("x.n") + F.col("y.n")) * F.lit(similarity / (1 + similarity)) - 1e-6
-    return x.join(y, meet & enough).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    differ = sum((F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(SKETCH)), F.lit(0))
+    close = differ <= (F.col("x.n") + F.col("y.n")) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6
+    return x.join(y, meet & enough & close).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
 
 
 def text_class(text):
@@ -203,8 +214,8 @@ def class_groups(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE
     shared = _keys(classes).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     busy = materialize(_keys(classes).join(shared, "key"), "busy")
     some = busy.select("rep").distinct().join(classes.select("rep", "class"), "rep").select("class", "rep")
-    sets = _sets(texts.join(some, "class", "left_semi"), shingle).groupBy("class").agg(F.first("shingles").alias("shingles"))
-    sets = materialize(sets.join(some, "class").select("rep", "shingles"), "sets")
+    sets = _sets(texts.join(some, "class", "left_semi"), shingle).groupBy("class").agg(F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch"))
+    sets = materialize(sets.join(some, "class").select("rep", "shingles", "sketch"), "sets")
     prints, known, links, tried = classes.select("rep", "print"), None, None, []
     for draw in range(ROUNDS):
         pairs = materialize(_met(busy, known, prints, draw, tried), "pairs")
@@ -214,8 +225,6 @@ def class_groups(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE
         known = connected_components(links)
     rest = materialize(_mixed(busy, known), "rest")
     more = materialize(_prefix_pairs(rest, sets, similarity), "pairs")
-    for t in tried:
-        more = more.join(t, ["a", "b"], "left_anti")
     known = connected_components(links.unionByName(_similar(more, sets, similarity)))
     out = materialize(_labelled(classes.select("class", "rep"), known, "rep", "component").select("class", "component"), "groups")
     for t in (busy, sets, classes, rest, *tried):
