@@ -4,15 +4,15 @@ An n-gram's score is c(n-gram) / c(its context) where the count table holds it,
 first word, down to c(word) / N; a document's score is the sum of logarithms. Words are lower-cased (A-Z) runs without ASCII white space; n-grams are 64-bit
 hashes of their words.
 
-`held_out_scores`, the registered query, scores each row by the counts of all rows less its own, so an n-gram that no other row holds backs off. Each row's distinct
-n-grams meet those of the others in one exchange by hash; the counts of those that another row holds come back to the row, which is then scored in one go.
+`held_out_scores`, the registered query, scores each row by the counts of all rows less its own, so an n-gram that no other row holds backs off. Rows
+stand in blocks of a bounded number of words. A block counts its own n-grams first, so a frequent n-gram is one entry of a block however often it
+occurs, and sends them to the count tables, which are partitioned by hash: a partition gets at most `partition_keys` n-grams as they occur in
+the corpus, so it fits a task. There the counts of all blocks meet and go back to the blocks, whose rows are then scored. Every n-gram of every row takes part.
 
-`score` joins the exploded n-grams of any documents to count tables partitioned by hash, order by order. `self_scores`
-scores documents by the counts of those same documents: every n-gram is held, so the sum splits into one signed sum of logarithms of
-counts, and one exchange by n-gram hash serves both counting and joining. In a document each n-gram is one row.
+In a partition an n-gram is known by 40 further bits of its hash. As partitions grow in number with the corpus, a stranger has the same bits with
+a probability of partition_keys / 2 ** 40, 4 in a million, at every size.
 
-The most frequent n-grams don't take part in that exchange: a bounded sample of documents names them, their exact counts over all documents are summed
-batch by batch and broadcast (a table of fixed size), and each document adds them up at once. So no hash partition gets a hot key.
+`score` joins the exploded n-grams of any documents to count tables partitioned by hash, order by order.
 """
 
 from __future__ import annotations
@@ -20,12 +20,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.llm.common import materialize, string_col
 
-ALPHA, ORDER, FREQUENT, SAMPLE_ROWS = 0.4, 3, 1 << 16, 20_000
+ALPHA, ORDER = 0.4, 3
+#: Words in a block (a longer row is a block of its own), n-grams of a partition of the count tables, bits of an n-gram in it.
+BLOCK_WORDS, PARTITION_KEYS, BITS = 1 << 20, 1 << 22, 40
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 CACHE = 1 << 19
 
@@ -111,175 +113,120 @@ def score(docs: DataFrame, tables: list[DataFrame], alpha: float = ALPHA, id_col
     return none.join(sums, none["id"].eqNullSafe(sums["id"]), "left").select(none["id"], F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.coalesce("log_score", F.lit(0.0)).alias("log_score"))
 
 
-def _frequent(texts: DataFrame, order: int, size: int, sample_rows: int) -> tuple[list, int]:
-    """For each order the sorted hashes of the `size` most frequent n-grams of a sample and the logarithms of their counts over all texts; and the number of words."""
-    total = texts.count()
-    sample = texts.sample(min(1.0, sample_rows / max(1, total)), seed=3)
-    keys = []
-    for n in range(1, order + 1):
-        top = counts(sample, n, "id").orderBy(F.desc("n"), "key").limit(size).collect() if size else []
-        keys.append(np.sort(np.array([r["key"] & (2**64 - 1) for r in top], np.uint64)))
-    shared = texts.sparkSession.sparkContext.broadcast(keys)
+def _packed(keys: np.ndarray) -> bytes:
+    """The low 40 bits of each key."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : BITS // 8].tobytes()
 
-    def run(batches):
-        words, known, seen = _Words(), shared.value, 0
-        sums = [np.zeros(len(k), np.int64) for k in known]
-        for b in batches:
-            for t in b.column(1):
-                w = words.of(t.as_py())
-                seen += len(w)
-                for n, (k, total) in enumerate(zip(known, sums, strict=True), 1):
-                    if len(k) and len(h := grams(w, n)):
-                        at = np.minimum(np.searchsorted(k, h), len(k) - 1)
-                        np.add.at(total, at[k[at] == h], 1)
-        for n, total in enumerate(sums, 1):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(total), n, np.int32)), pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["n", "at", "c"])
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([0], pa.int32()), pa.array([seen], pa.int64())], ["n", "at", "c"])
-
-    found = texts.mapInArrow(run, "n int, at int, c long").groupBy("n", "at").agg(F.sum("c").alias("c")).collect()
-    sums, seen = [np.ones(len(k)) for k in keys], 0
-    for r in found:
-        if r["n"]:
-            sums[r["n"] - 1][r["at"]] = r["c"]
-        else:
-            seen = r["c"]
-    return [(k, np.log(np.maximum(c, 1))) for k, c in zip(keys, sums, strict=True)], seen
-
-
-def self_scores(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """id, n_tokens, log_score of every document by the counts of all of them; as score() gives with the same documents' tables.
-
-    frequent and sample_rows decide which counts are broadcast, not what they are. Null and empty texts have n_tokens 0 and
-    log_score 0; repeated ids are added up as one document; other columns are ignored. An empty table gives an empty one.
-    """
-    texts = _texts(docs, id_col, text_col)
-    common, total = _frequent(texts, order, frequent, sample_rows)
-    shared = docs.sparkSession.sparkContext.broadcast(common)
-    of_word = -float(np.log(max(1, total)))
-
-    def document(w: np.ndarray, common) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-        """Hashes, occurrences and weights of the n-grams of one document that aren't frequent, and the sum over those that are."""
-        keys, ns, weights = [], [], []
-        base = of_word * (len(w) if order == 1 else min(1, len(w)))
-        for n in range(1, min(order, len(w)) + 1):
-            h = grams(w, n)
-            ends = np.zeros(len(h))  # +1 where the n-gram is scored, -1 where it is a context
-            if n == order:
-                ends += 1
-            else:
-                ends[0] += 1  # the n-th word has no longer context
-                ends[: len(w) - n if n == order - 1 else min(1, len(w) - n)] -= 1
-            known, logs = common[n - 1]
-            if len(known):
-                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                hit = known[at] == h
-                base += float(ends[hit] @ logs[at[hit]])
-                h, ends = h[~hit], ends[~hit]
-            key, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
-            keys.append(key)
-            ns.append(count)
-            weights.append(np.bincount(inverse, ends, len(key)).astype(np.int64))
-        if not keys:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), base
-        return np.concatenate(keys), np.concatenate(ns), np.concatenate(weights), base
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) * 8 // BITS, 8), np.uint8)
+    out[:, : BITS // 8] = np.frombuffer(raw, np.uint8).reshape(-1, BITS // 8)
+    return out.view("<u8")[:, 0]
+
+
+def _blocks(texts: DataFrame, block_words: int) -> DataFrame:
+    """ids, sizes (words of each row), vocabulary (hashes) and words (places in it) of blocks of rows (id, text), and their number of words."""
+
+    def pack(rows):
+        ids, lines = zip(*rows, strict=True)
+        vocabulary, at = np.unique(np.concatenate(lines), return_inverse=True)
+        at = at.astype(np.uint16 if len(vocabulary) <= 1 << 16 else np.uint32)
+        sizes = np.array([len(x) for x in lines], np.int64)
+        cols = [pa.array([list(ids)], pa.list_(pa.int64())), *(pa.array([x.tobytes()], pa.binary()) for x in (sizes, vocabulary, at)), pa.array([len(at)], pa.int64())]
+        return pa.RecordBatch.from_arrays(cols, ["ids", "sizes", "vocabulary", "words", "n"])
 
     def run(batches):
-        words, common = _Words(), shared.value
+        words, rows, n = _Words(), [], 0
         for b in batches:
-            for at in range(0, b.num_rows, 128):
-                part = b.slice(at, 128)
-                keys, packed, bases, sizes = [], [], [], []
-                for i, t in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    w = words.of(t.as_py())
-                    key, n, weight, base = document(w, common)
-                    own = np.uint64(xxhash.xxh64_intdigest(f"document {i}".encode()))  # a row without occurrences for what is known already
-                    keys += [key, [own]]
-                    packed += [n << 32 | weight + n, [len(w)]]
-                    bases += [np.zeros(len(key)), [base]]
-                    sizes.append(len(key) + 1)
-                ids = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), sizes)))
-                cols = [np.concatenate([np.asarray(x, t) for x in xs]) for xs, t in ((keys, np.uint64), (packed, np.int64), (bases, np.float64))]
-                yield pa.RecordBatch.from_arrays([*_arrow(cols[0]), ids, *_arrow(cols[1], cols[2])], ["key", "id", "v", "base"])
-
-    terms = texts.mapInArrow(run, "key long NOT NULL, id long, v long NOT NULL, base double NOT NULL").repartition("key")
-    # the counts read every column, so that both sides of the join share one exchange
-    held = terms.groupBy("key").agg(F.sum(F.shiftright("v", 32)).alias("c"), F.max(F.coalesce("id", F.lit(0))).alias("last"), F.min("base").alias("least"))
-    joined = terms.join(held, "key").filter((F.col("last") >= F.coalesce("id", F.lit(0))) & (F.col("least") <= F.col("base")))
-    n = F.shiftright("v", 32)
-    weight = F.col("v").bitwiseAND(F.lit(0xFFFFFFFF)) - n
-    sums = joined.groupBy("id").agg(F.sum(F.when(n == 0, weight).otherwise(0)).alias("n_tokens"), F.sum(F.when(n == 0, F.col("base")).otherwise(weight * F.log(F.greatest("c", F.lit(1))))).alias("log_score"))
-    return sums.select("id", "n_tokens", "log_score")
-
-
-def _among(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which keys are among the sorted known ones, and where."""
-    if not len(known):
-        return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
-    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-    return known[at] == keys, at
-
-
-def held_out_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                line = words.of(t.as_py())
+                if rows and n + len(line) > block_words:
+                    yield pack(rows)
+                    rows, n = [], 0
+                rows.append((i, line))
+                n += len(line)
+        if rows:
+            yield pack(rows)
+
+    return texts.mapInArrow(run, "ids array<long>, sizes binary, vocabulary binary, words binary, n long")
+
+
+def _block_grams(sizes: np.ndarray, vocabulary: np.ndarray, at: np.ndarray, order: int, shift: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each order the n-grams of a block that lie inside a row: (place of the last word, key)."""
+    words, row = vocabulary[at], np.repeat(np.arange(len(sizes)), sizes)
+    out = []
+    for n in range(1, order + 1):
+        h = grams(words, n)
+        inside = np.flatnonzero(row[: len(h)] == row[n - 1 :][: len(h)])
+        out.append((inside + n - 1, h[inside] >> np.uint64(shift)))
+    return out
+
+
+def _read_block(block: pa.Table, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    sizes, vocabulary, words = (block[c][i].as_py() for c in ("sizes", "vocabulary", "words"))
+    vocabulary = np.frombuffer(vocabulary, np.uint64)
+    return np.frombuffer(sizes, np.int64), vocabulary, np.frombuffer(words, np.uint16 if len(vocabulary) <= 1 << 16 else np.uint32)
+
+
+def held_out_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS, partition_keys: int = PARTITION_KEYS) -> DataFrame:
     """id, n_tokens, log_score of every document, each row by the counts of all rows less its own: as score() gives with the tables of the other rows.
 
-    A word that no other row holds counts as seen once. frequent and sample_rows decide which counts are broadcast, not what they are. Null and empty
+    A word that no other row holds counts as seen once. block_words and partition_keys bound a task's memory and change no score. Null and empty
     texts have n_tokens 0 and log_score 0; the scores of repeated ids are added up; other columns are ignored. An empty table gives an empty one.
     """
-    texts = materialize(_texts(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "texts")
-    common, total = _frequent(texts, order, frequent, sample_rows)
-    shared = docs.sparkSession.sparkContext.broadcast([(k, np.rint(np.exp(logs)).astype(np.int64)) for k, logs in common])
+    blocks = materialize(_blocks(_texts(docs, id_col, text_col), block_words).withColumn("block", F.monotonically_increasing_id()), "blocks")
+    total = blocks.agg(F.sum("n")).first()[0] or 0
+    parts_bits = max(0, (total * order // partition_keys).bit_length())
+    shift = 64 - BITS - parts_bits  # a key is a partition's bits and the bits inside it
 
-    def rare(batches):
-        words, common = _Words(), shared.value
+    def own(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 128):
-                part = b.slice(at, 128)
-                keys, ns, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
-                for t in part.column(1):
-                    w = words.of(t.as_py())
-                    size = 0
-                    for n in range(1, order + 1):
-                        key, count = np.unique(grams(w, n), return_counts=True)
-                        hit, _ = _among(common[n - 1][0], key)
-                        keys.append(key[~hit])
-                        ns.append(count[~hit])
-                        size += len(keys[-1])
-                    sizes.append(size)
-                rows = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), sizes)))
-                yield pa.RecordBatch.from_arrays([*_arrow(np.concatenate(keys)), rows, *_arrow(np.concatenate(ns).astype(np.int64))], ["key", "row", "n"])
-
-    terms = texts.select("row", "text").mapInArrow(rare, "key long, row long, n long")
-    met = terms.withColumn("c", F.sum("n").over(Window.partitionBy("key"))).filter("c > n")
-    held = met.groupBy("row").agg(F.collect_list(F.struct("key", "c")).alias("held"))
-    both = texts.join(held, "row", "left").select("id", "text", F.col("held.key").alias("keys"), F.col("held.c").alias("cs"))
-
-    def run(batches):
-        words, common = _Words(), shared.value
-        for b in batches:
-            sizes, sums = [], []
-            for t, k, c in zip(b.column(1), b.column(2), b.column(3), strict=True):
-                w = words.of(t.as_py())
-                keys = k.values.to_numpy().view(np.uint64) if k.is_valid else np.zeros(0, np.uint64)
-                by = np.argsort(keys)
-                keys, cs = keys[by], (c.values.to_numpy()[by] if c.is_valid else np.zeros(0, np.int64))
-                value, context = np.zeros(len(w)), None
-                for n in range(1, min(order, len(w)) + 1):
-                    key, inverse, own = np.unique(grams(w, n), return_inverse=True, return_counts=True)
-                    rest = np.zeros(len(key), np.int64)
-                    for known, counted in ((keys, cs), common[n - 1]):
-                        hit, at = _among(known, key)
-                        rest[hit] = counted[at[hit]] - own[hit]
-                    rest = rest[inverse]
-                    if n == 1:
-                        value = np.log(np.maximum(rest, 1) / max(1, total - len(w)))
-                    else:
-                        seen = rest > 0
-                        ratio = np.log(np.maximum(rest, 1) / np.maximum(context[: len(rest)], 1))
-                        value[n - 1 :] = np.where(seen, ratio, value[n - 1 :] + np.log(alpha))
-                    context = rest
-                sizes.append(len(w))
-                sums.append(float(value.sum()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())], ["id", "n_tokens", "log_score"])
-
-    scored = both.mapInArrow(run, "id long, n_tokens long, log_score double")
-    return scored.groupBy("id").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("log_score").alias("log_score"))
+            for i in range(b.num_rows):
+                keys = np.concatenate([k for _, k in _block_grams(*_read_block(b, i), order, shift)])
+                keys, n = np.unique(keys, return_counts=True)
+                ends = np.searchsorted(keys, np.arange(1, (1 << parts_bits) + 1, dtype=np.uint64) << np.uint64(BITS))
+                ends[-1] = len(keys)
+                starts = np.concatenate([[0], ends[:-1]])
+                full = np.flatnonzero(ends > starts)
+                for at in range(0, len(full), 64):
+                    some = full[at : at + 64]
+                    packed = [_packed(keys[starts[p] : ends[p]]) for p in some]
+                    counted = [n[starts[p] : ends[p]].astype(np.uint32).tobytes() for p in some]
+                    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.repeat(b["block"][i], len(some)), pa.array(packed, pa.binary()), pa.array(counted, pa.binary())], ["part", "block", "keys", "counts"])
+
+    def count(group: pa.Table) -> pa.Table:
+        keys = [_unpacked(k.as_py()) for k in group["keys"]]
+        held, where = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.concatenate([np.frombuffer(c.as_py(), np.uint32) for c in group["counts"]])
+        sums = np.bincount(where, n, len(held)).astype(np.uint32)[where]
+        cut = np.split(sums, np.cumsum([len(k) for k in keys])[:-1])
+        return pa.table({"part": group["part"], "block": group["block"], "counts": pa.array([c.tobytes() for c in cut], pa.binary())})
+
+    def scored(block: pa.Table, counts: pa.Table) -> pa.Table:
+        sizes, vocabulary, at = _read_block(block, 0)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        found = _block_grams(sizes, vocabulary, at, order, shift)
+        keys, where = np.unique(np.concatenate([k for _, k in found]), return_inverse=True)
+        by = np.argsort(counts["part"].to_numpy())
+        everywhere = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(counts["counts"][int(i)].as_py(), np.uint32) for i in by)]).astype(np.int64)
+        place = np.concatenate([p for p, _ in found])
+        _, of, here = np.unique(row[place] * max(1, len(keys)) + where, return_inverse=True, return_counts=True)
+        rest = everywhere[where] - here[of]  # what the other rows hold
+        value, context, start = np.zeros(len(row)), None, 0
+        for n, (ends, _) in enumerate(found, 1):
+            now = np.zeros(len(row), np.int64)
+            now[ends] = rest[start : start + len(ends)]
+            start += len(ends)
+            if n == 1:
+                value = np.log(np.maximum(now, 1) / np.maximum(1, total - sizes[row]))
+            else:
+                seen = now[ends] > 0
+                value[ends] = np.where(seen, np.log(np.maximum(now[ends], 1) / np.maximum(context[ends - 1], 1)), value[ends] + np.log(alpha))
+            context = now
+        return pa.table({"id": block["ids"][0].values, "n_tokens": pa.array(sizes), "log_score": pa.array(np.bincount(row, value, len(sizes)))})
+
+    sent = blocks.select("block", "sizes", "vocabulary", "words").mapInArrow(own, "part long, block long, keys binary, counts binary")
+    back = sent.groupBy("part").applyInArrow(count, "part long, block long, counts binary")
+    both = blocks.select("block", "ids", "sizes", "vocabulary", "words").groupBy("block").cogroup(back.groupBy("block"))
+    out = both.applyInArrow(scored, "id long, n_tokens long, log_score double")
+    return out.groupBy("id").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("log_score").alias("log_score"))

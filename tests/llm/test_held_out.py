@@ -29,14 +29,14 @@ def brute(rows, order, alpha=0.4):
     return out
 
 
-@pytest.mark.parametrize(("order", "frequent"), [(2, 0), (3, 40)])
-def test_held_out(spark, sf, order, frequent):
+@pytest.mark.parametrize(("order", "block_words", "partition_keys"), [(2, 1 << 20, 1 << 22), (3, 700, 5000), (4, 5000, 1000)])
+def test_held_out(spark, sf, order, block_words, partition_keys):
     docs = table(spark, sf, "documents").select("doc_id", "text").limit(120)
     odd = [(900, None), (901, ""), (902, "One"), (902, "one two"), (None, "no id"), (None, "no id at all"), (903, "long word " * 3000)]
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()] + odd
     expected = brute([(i, (t or "").encode().lower().split()) for i, t in rows], order)
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["id"]: (r["n_tokens"], r["log_score"]) for r in backoff.held_out_scores(frame, order, frequent=frequent).collect()}
+    got = {r["id"]: (r["n_tokens"], r["log_score"]) for r in backoff.held_out_scores(frame, order, block_words=block_words, partition_keys=partition_keys).collect()}
     assert got.keys() == expected.keys() and all(got[i][0] == n and got[i][1] == pytest.approx(s) for i, (n, s) in expected.items())
     assert backoff.held_out_scores(frame.limit(0), order).count() == 0
 

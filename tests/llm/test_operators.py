@@ -234,19 +234,14 @@ def brute_scores(rows, order, train, alpha=0.4):
     return out
 
 
-@pytest.mark.parametrize(("order", "frequent"), [(1, 40), (2, 65536), (2, 0), (3, 40)])
-def test_backoff(spark, sf, odd, order, frequent):
+@pytest.mark.parametrize("order", [1, 3])
+def test_backoff(spark, sf, odd, order):
     docs = table(spark, sf, "documents").select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
     rows = [(r["doc_id"], (r["text"] or "").encode().lower().split()) for r in docs.collect()]
-    expected = brute_scores(rows, order, rows)
-    got = {r["id"]: (r["n_tokens"], r["log_score"]) for r in backoff.self_scores(docs.withColumn("key", F.lit(1)), order, frequent=frequent).collect()}
-    assert got.keys() == expected.keys() and all(got[i][0] == n and got[i][1] == pytest.approx(s) for i, (n, s) in expected.items())
-    if order > 1 and frequent:
-        part = docs.filter("doc_id % 2 = 0")
-        expected = brute_scores(rows, order, [r for r in rows if r[0] is not None and r[0] % 2 == 0])
-        got = {r["id"]: (r["n_tokens"], r["log_score"]) for r in backoff.score(docs, [backoff.counts(part, n) for n in range(1, order + 1)]).collect()}
-        assert all(got[i][0] == n and got[i][1] == pytest.approx(s) for i, (n, s) in expected.items() if i is not None)
-    assert backoff.self_scores(docs.limit(0)).count() == 0
+    part = docs.filter("doc_id % 2 = 0")
+    expected = brute_scores(rows, order, [r for r in rows if r[0] is not None and r[0] % 2 == 0])
+    got = {r["id"]: (r["n_tokens"], r["log_score"]) for r in backoff.score(docs, [backoff.counts(part, n) for n in range(1, order + 1)]).collect()}
+    assert all(got[i][0] == n and got[i][1] == pytest.approx(s) for i, (n, s) in expected.items() if i is not None)
 
 
 # 9: quality
