@@ -108,6 +108,8 @@ def snippets(spark: SparkSession) -> DataFrame:
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, package, text, locked: one file for each order."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    if orders.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:  # one small file would leave the scan to one core
+        orders = orders.repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
     rows = orders.withColumn("snippet_id", F.col("o_orderkey") % len(SNIPPETS)).join(F.broadcast(snippets(spark)), "snippet_id")  # a fixed number of snippets
     package = F.concat(F.lit("pkg"), (F.col("o_custkey") % 5).cast("string"))
     folder = F.when(F.col("o_orderkey") % 11 == 0, "/tests/").otherwise("/")
