@@ -30,9 +30,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage."""
-    found = materialize(decontam.contaminated(docs, table(spark, sf_dir, "benchmark")), "leaks")
-    return docs.join(found.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Rows that hold no benchmark passage, each judged by its own text: ids may be null or repeated. Null and empty texts stay."""
+    return decontam.without_passages(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
