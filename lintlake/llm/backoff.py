@@ -20,6 +20,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,15 +114,14 @@ def score(docs: DataFrame, tables: list[DataFrame], alpha: float = ALPHA, id_col
     return none.join(sums, none["id"].eqNullSafe(sums["id"]), "left").select(none["id"], F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.coalesce("log_score", F.lit(0.0)).alias("log_score"))
 
 
-def _packed(keys: np.ndarray) -> bytes:
-    """The low 40 bits of each key."""
-    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : BITS // 8].tobytes()
+def _squeeze(values: np.ndarray) -> bytes:
+    """An array of integers, its bytes by place and compressed: places that hold zeros cost nothing."""
+    return zstandard.compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes(), 1)
 
 
-def _unpacked(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) * 8 // BITS, 8), np.uint8)
-    out[:, : BITS // 8] = np.frombuffer(raw, np.uint8).reshape(-1, BITS // 8)
-    return out.view("<u8")[:, 0]
+def _restore(raw: bytes, kind: type) -> np.ndarray:
+    places = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(places.T).view(kind)[:, 0] if places.size else np.zeros(0, kind)
 
 
 def _blocks(texts: DataFrame, block_words: int) -> DataFrame:
@@ -129,10 +129,12 @@ def _blocks(texts: DataFrame, block_words: int) -> DataFrame:
 
     def pack(rows):
         ids, lines = zip(*rows, strict=True)
-        vocabulary, at = np.unique(np.concatenate(lines), return_inverse=True)
-        at = at.astype(np.uint16 if len(vocabulary) <= 1 << 16 else np.uint32)
-        sizes = np.array([len(x) for x in lines], np.int64)
-        cols = [pa.array([list(ids)], pa.list_(pa.int64())), *(pa.array([x.tobytes()], pa.binary()) for x in (sizes, vocabulary, at)), pa.array([len(at)], pa.int64())]
+        vocabulary, at, seen = np.unique(np.concatenate(lines), return_inverse=True, return_counts=True)
+        often = np.argsort(-seen, kind="stable")  # so that most places are small numbers
+        place = np.empty(len(often), np.uint32)
+        place[often] = np.arange(len(often))
+        sizes = np.array([len(x) for x in lines], np.uint32)
+        cols = [pa.array([list(ids)], pa.list_(pa.int64())), *(pa.array([_squeeze(x)], pa.binary()) for x in (sizes, vocabulary[often], place[at])), pa.array([len(at)], pa.int64())]
         return pa.RecordBatch.from_arrays(cols, ["ids", "sizes", "vocabulary", "words", "n"])
 
     def run(batches):
@@ -162,10 +164,8 @@ def _block_grams(sizes: np.ndarray, vocabulary: np.ndarray, at: np.ndarray, orde
     return out
 
 
-def _read_block(block: pa.Table, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    sizes, vocabulary, words = (block[c][i].as_py() for c in ("sizes", "vocabulary", "words"))
-    vocabulary = np.frombuffer(vocabulary, np.uint64)
-    return np.frombuffer(sizes, np.int64), vocabulary, np.frombuffer(words, np.uint16 if len(vocabulary) <= 1 << 16 else np.uint32)
+def _read_block(block, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return tuple(_restore(block[c][i].as_py(), t) for c, t in (("sizes", np.uint32), ("vocabulary", np.uint64), ("words", np.uint32)))
 
 
 def held_out_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS, partition_keys: int = PARTITION_KEYS) -> DataFrame:
@@ -190,28 +190,30 @@ def held_out_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, i
                 full = np.flatnonzero(ends > starts)
                 for at in range(0, len(full), 64):
                     some = full[at : at + 64]
-                    packed = [_packed(keys[starts[p] : ends[p]]) for p in some]
-                    counted = [n[starts[p] : ends[p]].astype(np.uint32).tobytes() for p in some]
+                    inside = [keys[starts[p] : ends[p]] & np.uint64((1 << BITS) - 1) for p in some]
+                    packed = [_squeeze(np.diff(k, prepend=np.uint64(0))) for k in inside]
+                    counted = [_squeeze(n[starts[p] : ends[p]].astype(np.uint32)) for p in some]
                     yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.repeat(b["block"][i], len(some)), pa.array(packed, pa.binary()), pa.array(counted, pa.binary())], ["part", "block", "keys", "counts"])
 
     def count(group: pa.Table) -> pa.Table:
-        keys = [_unpacked(k.as_py()) for k in group["keys"]]
+        keys = [np.cumsum(_restore(k.as_py(), np.uint64), dtype=np.uint64) for k in group["keys"]]
         held, where = np.unique(np.concatenate(keys), return_inverse=True)
-        n = np.concatenate([np.frombuffer(c.as_py(), np.uint32) for c in group["counts"]])
-        sums = np.bincount(where, n, len(held)).astype(np.uint32)[where]
-        cut = np.split(sums, np.cumsum([len(k) for k in keys])[:-1])
-        return pa.table({"part": group["part"], "block": group["block"], "counts": pa.array([c.tobytes() for c in cut], pa.binary())})
+        n = np.concatenate([_restore(c.as_py(), np.uint32) for c in group["counts"]])
+        others = np.bincount(where, n, len(held)).astype(np.uint32)[where] - n
+        cut = np.split(others, np.cumsum([len(k) for k in keys])[:-1])
+        return pa.table({"part": group["part"], "block": group["block"], "counts": pa.array([_squeeze(c) for c in cut], pa.binary())})
 
     def scored(block: pa.Table, counts: pa.Table) -> pa.Table:
         sizes, vocabulary, at = _read_block(block, 0)
+        sizes = sizes.astype(np.int64)
         row = np.repeat(np.arange(len(sizes)), sizes)
         found = _block_grams(sizes, vocabulary, at, order, shift)
-        keys, where = np.unique(np.concatenate([k for _, k in found]), return_inverse=True)
+        keys, where, own = np.unique(np.concatenate([k for _, k in found]), return_inverse=True, return_counts=True)
         by = np.argsort(counts["part"].to_numpy())
-        everywhere = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(counts["counts"][int(i)].as_py(), np.uint32) for i in by)]).astype(np.int64)
+        others = np.concatenate([np.zeros(0, np.uint32), *(_restore(counts["counts"][int(i)].as_py(), np.uint32) for i in by)])
         place = np.concatenate([p for p, _ in found])
         _, of, here = np.unique(row[place] * max(1, len(keys)) + where, return_inverse=True, return_counts=True)
-        rest = everywhere[where] - here[of]  # what the other rows hold
+        rest = (others + own)[where] - here[of]  # what the other rows hold
         value, context, start = np.zeros(len(row)), None, 0
         for n, (ends, _) in enumerate(found, 1):
             now = np.zeros(len(row), np.int64)
