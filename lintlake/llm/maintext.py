@@ -2,8 +2,9 @@
 
 The standard library's parser streams events; block-level tags cut the page into lines, each with its text, its number of
 tags and its link text. Lines inside elements that are never content (menus, footers, forms, adverts, comments and so on)
-don't compete. The ratios of the others, smoothed over neighbours, are cut at a threshold into content and rest; the regions (the nearest enclosing article, main or
-other container) of content lines give the main text, with their short lines too.
+don't compete. All others do: their ratios of text to tags, smoothed over neighbours, are cut at a threshold into content and rest, and content lines
+add up in their region (the nearest enclosing article or main, or else container). Regions whose sum is a fair share of the greatest give the main text,
+with their short lines too. An article or main element counts for more, but it has to have content lines as any other region.
 """
 
 from __future__ import annotations
@@ -32,29 +33,27 @@ NAMES = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 SIGMA, SPREAD = 1.0, 0.5
+#: What a line inside article or main counts for, and the share of the greatest region that a region needs.
+SECTION_WEIGHT, SHARE = 8.0, 0.2
 
 
 class _Lines(HTMLParser):
-    """Cuts a page into lines: [text parts, tags, link characters, region, excluded, in a section]."""
+    """Cuts a page into lines: text, tags, link characters, region, whether excluded, whether in a section."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int]] = []  # name, excluded, region
+        self.stack: list[tuple[str, bool, int, bool]] = [("", False, 0, False)]  # name, excluded, region, in a section; the page itself first
         self.lines, self.parts, self.tags, self.links, self.in_link, self.regions = [], [], 0, 0, 0, 1
 
-    def _state(self) -> tuple[bool, int, bool]:
-        top = self.stack[-1] if self.stack else ("", False, 0)
-        return top[1], top[2], any(n in SECTION for n, _, _ in self.stack)
-
     def cut(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            excluded, region, section = self._state()
+            _, excluded, region, section = self.stack[-1]
             self.lines.append((text, self.tags, self.links, region, excluded, section))
         self.parts, self.tags, self.links = [], 0, 0
 
     def _bad(self, tag: str, attrs) -> bool:
-        if tag in SILENT or tag in NEVER and not (tag == "header" and any(n in SECTION for n, _, _ in self.stack)):
+        if tag in SILENT or tag in NEVER and not (tag == "header" and self.stack[-1][3]):
             return True
         if tag in ("html", "body", *SECTION):
             return False
@@ -77,18 +76,17 @@ class _Lines(HTMLParser):
             self.in_link += tag == "a"
             return
         self.cut()
-        if tag in ("p", "li", "dt", "dd", "tr", "td", "th") and any(n == tag for n, _, _ in self.stack[-1:]):
+        if tag in ("p", "li", "dt", "dd", "tr", "td", "th") and self.stack[-1][0] == tag:
             self.stack.pop()
         if tag in ("article", "main"):  # an element left open before it doesn't hide the article
-            while self.stack and self.stack[-1][1] and self.stack[-1][0] in ("div", "p", "span", "ul", "li", "section"):
+            while self.stack[-1][1] and self.stack[-1][0] in ("div", "p", "span", "ul", "li", "section"):
                 self.stack.pop()
-        excluded, region, _ = self._state()
-        if tag in REGION:
+        _, excluded, region, section = self.stack[-1]
+        if tag in SECTION or tag in REGION and not section:  # inside a section all is one region, but for a section in it
             region, self.regions = self.regions, self.regions + 1
-            if tag not in SECTION and any(n in SECTION for n, _, _ in self.stack):
-                region = next(r for n, _, r in reversed(self.stack) if n in SECTION)
+        bad = self._bad(tag, attrs)
         self.in_link = 0
-        self.stack.append((tag, excluded or self._bad(tag, attrs), region))
+        self.stack.append((tag, excluded or bad, region, section or tag in SECTION))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -99,7 +97,7 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag == "a":
             self.in_link = max(0, self.in_link - 1)
-        for i in range(len(self.stack) - 1, -1, -1):
+        for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i][0] == tag:
                 self.cut()
                 del self.stack[i:]
@@ -110,7 +108,7 @@ class _Lines(HTMLParser):
             self.cut()
 
     def handle_data(self, data):
-        if self.stack and self.stack[-1][0] in SILENT:
+        if self.stack[-1][0] in SILENT:
             return
         self.parts.append(data)
         if self.in_link:
@@ -133,14 +131,21 @@ def blocks(html: str | None) -> list[str]:
     page.close()
     page.cut()
     lines = [x for x in page.lines if not x[4]]
-    if any(x[5] for x in lines):
-        lines = [x for x in lines if x[5]]
     if not lines:
         return []
-    ratio = smooth(np.array([max(0, len(text) - links) / max(1, tags) for text, tags, links, *_ in lines]))
+    ratio = smooth(ratios(lines))
     threshold = min(SPREAD * ratio.std(), ratio.max())
-    content = {x[3] for x, r in zip(lines, ratio, strict=True) if r >= threshold and 2 * x[2] <= len(x[0])}  # lines of links never open a region
-    return [x[0] for x in lines if x[3] in content]
+    sums: dict[int, float] = {}
+    for (text, _, links, region, _, section), r in zip(lines, ratio.tolist(), strict=True):
+        if r >= threshold and 2 * links <= len(text):  # lines of links never open a region
+            sums[region] = sums.get(region, 0.0) + r * (SECTION_WEIGHT if section else 1.0)
+    least = SHARE * max(sums.values(), default=0.0)
+    return [x[0] for x in lines if sums.get(x[3], -1.0) >= least]
+
+
+def ratios(lines: list[tuple]) -> np.ndarray:
+    """Characters outside of links for each tag of a line."""
+    return np.array([max(0, len(text) - links) / max(1, tags) for text, tags, links, *_ in lines])
 
 
 def extract(pages: DataFrame, html_col: str = "html", batch: int = 128) -> DataFrame:

@@ -137,6 +137,30 @@ def test_main_text(page, expected):
     assert maintext.blocks(page) == expected
 
 
+PLAIN = "<body><div>%s</div><div><h2>Heading</h2><p>%s</p><p>%s</p><p>Short end.</p></div><div>%s</div></body>" % (
+    "".join(f"<p><b>Topic</b> <i>{i}</i></p>" for i in range(12)),
+    "The first paragraph of a page without any article element, long enough to stand out from what surrounds it on the page.",
+    "A second one that goes on about the same thing for a while, so that there is a run of lines with much text and few tags.",
+    "".join(f"<p><span>{i}</span> <em>x</em></p>" for i in range(9)),
+)
+
+
+def test_ratios_choose_the_region(monkeypatch):
+    """Without an article and without telling names the ratios decide: with all of them alike the page's text is another."""
+    found = maintext.blocks(PLAIN)
+    assert found[0] == "Heading" and found[-1] == "Short end." and len(found) == 4
+    monkeypatch.setattr(maintext, "ratios", lambda lines: np.ones(len(lines)))
+    assert maintext.blocks(PLAIN) != found
+
+
+def test_article_needs_content_lines():
+    links = "".join(f"<li><a href=x>link number {i}</a></li>" for i in range(8))
+    body = "<p>" + "A paragraph that stands in a container of its own and has a good deal of text. " * 4 + "</p>"
+    assert maintext.blocks(f"<body><main><ul>{links}</ul></main><div>{body}</div></body>") == [" ".join(("A paragraph that stands in a container of its own and has a good deal of text. " * 4).split())]
+    deep = "<div>" * 20000 + "<p>text at the bottom of a deep page</p>"
+    assert maintext.blocks(deep) == ["text at the bottom of a deep page"]
+
+
 def test_extract_keeps_rows(spark):
     rows = [(1, "u", None, "old"), (1, "u", None, "old"), (2, None, "<p>" + "word " * 30000, "old")]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
