@@ -22,11 +22,12 @@ THRESHOLD, MASK = 0.5, "[SECRET]"
 KEYWORD = r"(?:token|secret|passw|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|bearer|client[_-]?key|signing)"
 HARMLESS = r"(?:sha\d*|md5|commit|checksum|digest|etag|hash|uuid|guid|revision|fingerprint|integrity|build|version|order|invoice|phone|iban|card|isbn|serial)"
 STAND_IN = r"(?:example|sample|placeholder|dummy|your|changeme|xxxx|\*{4}|\.{3}|0{8}|1234567|abcdef|test|fake|redacted|todo)"
-#: What stands before a value that is assigned to a telling name: up to the quote, or up to the sign and a space.
+#: What stands before a value that is assigned to a telling name: up to the quote, or up to the sign and a space. The pattern asks for the sign
+#: first, which costs little and rules out most places.
 _NAMED = r"(?i:token|secret|passw|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|bearer|client[_-]?key|signing)[A-Za-z0-9_\-]{0,24}[\"']?[ \t]{0,2}(?::=|=>|[:=])[ \t]{0,2}"
 CANDIDATE = (
-    rf"(?<=\")(?<={_NAMED}\")[^\"\n]{{4,400}}+(?=\")|(?<=')(?<={_NAMED}')[^'\n]{{4,400}}+(?=')"
-    rf"|(?<=[:=> \t])(?<={_NAMED})[^\s\"'`,;:=>][^\s\"'`,;]{{3,400}}+"
+    rf"(?<=[:=>][ \t]{{0,2}}\")(?<={_NAMED}\")[^\"\n]{{4,400}}+(?=\")|(?<=[:=>][ \t]{{0,2}}')(?<={_NAMED}')[^'\n]{{4,400}}+(?=')"
+    rf"|(?<=[:=>][ \t]{{0,2}})(?<={_NAMED})[^\s\"'`,;:=>][^\s\"'`,;]{{3,400}}+"
     r"|(?<![A-Za-z0-9+/_.\-])(?=[A-Za-z+/_.\-]*+[0-9])[A-Za-z0-9+/_.\-]{16,}+={0,2}"
 )
 #: A value that is code, a reference or a template rather than text.
@@ -73,17 +74,25 @@ def features(value: Column, left: Column, right: Column, path: Column) -> dict[s
     }
 
 
-def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with __values (the candidates) and __parts (the text between them, one more than those)."""
+def _free(columns: list[str]) -> str:
+    """A beginning that no column's name has."""
+    name = "__"
+    while any(c.lower().startswith(name) for c in columns):
+        name += "_"
+    return name
+
+
+def candidates(docs: DataFrame, text_col: str = "text", own: str = "__") -> DataFrame:
+    """docs with values (the candidates) and parts (the text between them, one more than those); own: what these columns' names begin with."""
     text = string_col(docs, text_col)
-    cut = docs.withColumn("__any", text.rlike(CANDIDATE))
-    cut = cut.withColumn("__values", F.when(F.col("__any"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    return cut.withColumn("__parts", F.when(F.col("__any"), F.split(text, CANDIDATE, -1)).otherwise(F.array(text))).drop("__any")
+    cut = docs.withColumn(f"{own}any", text.rlike(CANDIDATE))
+    cut = cut.withColumn(f"{own}values", F.when(F.col(f"{own}any"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    return cut.withColumn(f"{own}parts", F.when(F.col(f"{own}any"), F.split(text, CANDIDATE, -1)).otherwise(F.array(text))).drop(f"{own}any")
 
 
-def _sides(i: Column) -> tuple[Column, Column]:
+def _sides(i: Column, own: str = "__") -> tuple[Column, Column]:
     """The text on the left and right of candidate i."""
-    return F.substring(F.element_at("__parts", i + 1), -SIDE, SIDE), F.substring(F.element_at("__parts", i + 2), 1, SIDE)
+    return F.substring(F.element_at(f"{own}parts", i + 1), -SIDE, SIDE), F.substring(F.element_at(f"{own}parts", i + 2), 1, SIDE)
 
 
 def default_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
@@ -187,18 +196,18 @@ class Forest:
         return total / len(self.trees)
 
 
-def marked(docs: DataFrame, forest: Forest, text_col: str = "text", path_col: str | None = None) -> DataFrame:
-    """docs with __parts (the text between candidates, one more than those) and __found (value, score of each candidate)."""
+def marked(docs: DataFrame, forest: Forest, text_col: str = "text", path_col: str | None = None, own: str = "__") -> DataFrame:
+    """docs with parts (the text between candidates, one more than those) and found (value, score of each candidate)."""
     path = F.lit("") if path_col is None else string_col(docs, path_col)
-    cut = candidates(docs, text_col)
+    cut = candidates(docs, text_col, own)
 
     def one(value, i):
-        left, right = _sides(i)
+        left, right = _sides(i, own)
         inputs = features(value, left, right, path)
         return F.struct(value.alias("value"), *(c.alias(k) for k, c in inputs.items()))
 
-    known = cut.withColumn("__known", F.transform("__values", one))
-    return known.withColumn("__found", F.transform("__known", lambda x: F.struct(x["value"].alias("value"), forest.score(x).alias("score")))).drop("__known", "__values")
+    known = cut.withColumn(f"{own}known", F.transform(f"{own}values", one))
+    return known.withColumn(f"{own}found", F.transform(f"{own}known", lambda x: F.struct(x["value"].alias("value"), forest.score(x).alias("score")))).drop(f"{own}known", f"{own}values")
 
 
 def findings(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -213,8 +222,9 @@ def findings(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col:
 
 
 def redact(docs: DataFrame, forest: Forest, text_col: str = "text", path_col: str | None = None, threshold: float = THRESHOLD, mask: str = MASK) -> DataFrame:
-    """docs with every secret replaced by the mask. A null text stays null; a text without secrets stays as it is, byte for byte."""
-    rows = marked(docs, forest, text_col, path_col)
-    pieces = F.zip_with("__parts", "__found", lambda p, f: F.concat(p, F.when(f.isNull(), "").when(f["score"] >= threshold, mask).otherwise(f["value"])))
-    some = F.exists("__found", lambda x: x["score"] >= threshold)
-    return rows.withColumn(text_col, F.when(some, F.array_join(pieces, "")).otherwise(F.col(f"`{text_col}`"))).drop("__parts", "__found")
+    """docs with every secret replaced by the mask. A null text stays null; a text without secrets stays as it is, byte for byte. Columns may have any names."""
+    own = _free(docs.columns)
+    rows = marked(docs, forest, text_col, path_col, own)
+    pieces = F.zip_with(f"{own}parts", f"{own}found", lambda p, f: F.concat(p, F.when(f.isNull(), "").when(f["score"] >= threshold, mask).otherwise(f["value"])))
+    some = F.exists(f"{own}found", lambda x: x["score"] >= threshold)
+    return rows.withColumn(text_col, F.when(some, F.array_join(pieces, "")).otherwise(F.col(f"`{text_col}`"))).drop(f"{own}parts", f"{own}found")
