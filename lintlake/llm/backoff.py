@@ -10,7 +10,7 @@ occurs, and sends them to the count tables, which are partitioned by hash: a par
 the corpus, so it fits a task. There the counts of all blocks meet and go back to the blocks, whose rows are then scored. Every n-gram of every row takes part.
 
 In a partition an n-gram is known by 40 further bits of its hash. As partitions grow in number with the corpus, a stranger has the same bits with
-a probability of partition_keys / 2 ** 40, 4 in a million, at every size.
+a probability of partition_keys / 2 ** 40, 2 in a million, at every size.
 
 `score` joins the exploded n-grams of any documents to count tables partitioned by hash, order by order.
 """
@@ -21,14 +21,17 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintlake.llm.common import materialize, string_col
+from lintlake.llm.common import string_col
 
 ALPHA, ORDER = 0.4, 3
+#: A word, as bytes.split() cuts.
+WORD = r"[^ \t\n\r\x0b\f]+"
 #: Words in a block (a longer row is a block of its own), n-grams of a partition of the count tables, bits of an n-gram in it.
-BLOCK_WORDS, PARTITION_KEYS, BITS = 1 << 20, 1 << 22, 40
+BLOCK_WORDS, PARTITION_KEYS, BITS = 1 << 20, 1 << 21, 40
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 CACHE = 1 << 19
 
@@ -125,32 +128,32 @@ def _restore(raw: bytes, kind: type) -> np.ndarray:
 
 
 def _blocks(texts: DataFrame, block_words: int) -> DataFrame:
-    """ids, sizes (words of each row), vocabulary (hashes) and words (places in it) of blocks of rows (id, text), and their number of words."""
+    """block (a number), ids, sizes (words of each row), vocabulary (hashes) and words (places in it) of blocks of rows (id, text)."""
 
-    def pack(rows):
+    def pack(rows, block):
         ids, lines = zip(*rows, strict=True)
         vocabulary, at, seen = np.unique(np.concatenate(lines), return_inverse=True, return_counts=True)
         often = np.argsort(-seen, kind="stable")  # so that most places are small numbers
         place = np.empty(len(often), np.uint32)
         place[often] = np.arange(len(often))
         sizes = np.array([len(x) for x in lines], np.uint32)
-        cols = [pa.array([list(ids)], pa.list_(pa.int64())), *(pa.array([_squeeze(x)], pa.binary()) for x in (sizes, vocabulary[often], place[at])), pa.array([len(at)], pa.int64())]
-        return pa.RecordBatch.from_arrays(cols, ["ids", "sizes", "vocabulary", "words", "n"])
+        cols = [pa.array([block], pa.int64()), pa.array([list(ids)], pa.list_(pa.int64())), *(pa.array([_squeeze(x)], pa.binary()) for x in (sizes, vocabulary[often], place[at]))]
+        return pa.RecordBatch.from_arrays(cols, ["block", "ids", "sizes", "vocabulary", "words"])
 
     def run(batches):
-        words, rows, n = _Words(), [], 0
+        words, rows, n, block = _Words(), [], 0, TaskContext.get().partitionId() << 32
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 line = words.of(t.as_py())
                 if rows and n + len(line) > block_words:
-                    yield pack(rows)
-                    rows, n = [], 0
+                    yield pack(rows, block)
+                    rows, n, block = [], 0, block + 1
                 rows.append((i, line))
                 n += len(line)
         if rows:
-            yield pack(rows)
+            yield pack(rows, block)
 
-    return texts.mapInArrow(run, "ids array<long>, sizes binary, vocabulary binary, words binary, n long")
+    return texts.mapInArrow(run, "block long, ids array<long>, sizes binary, vocabulary binary, words binary")
 
 
 def _block_grams(sizes: np.ndarray, vocabulary: np.ndarray, at: np.ndarray, order: int, shift: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -168,14 +171,27 @@ def _read_block(block, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(_restore(block[c][i].as_py(), t) for c, t in (("sizes", np.uint32), ("vocabulary", np.uint64), ("words", np.uint32)))
 
 
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each key among the distinct ones in ascending order, and how often each of those occurs."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.ones(len(keys), bool)
+    first[1:] = keys[1:] != keys[:-1]
+    where = np.empty(len(keys), np.int32)
+    where[order] = np.cumsum(first, dtype=np.int32) - np.int32(1)
+    return where, np.diff(np.append(np.flatnonzero(first), len(keys)))
+
+
 def held_out_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS, partition_keys: int = PARTITION_KEYS) -> DataFrame:
     """id, n_tokens, log_score of every document, each row by the counts of all rows less its own: as score() gives with the tables of the other rows.
 
     A word that no other row holds counts as seen once. block_words and partition_keys bound a task's memory and change no score. Null and empty
     texts have n_tokens 0 and log_score 0; the scores of repeated ids are added up; other columns are ignored. An empty table gives an empty one.
     """
-    blocks = materialize(_blocks(_texts(docs, id_col, text_col), block_words).withColumn("block", F.monotonically_increasing_id()), "blocks")
-    total = blocks.agg(F.sum("n")).first()[0] or 0
+    texts = _texts(docs, id_col, text_col)
+    total = texts.agg(F.sum(F.regexp_count("text", F.lit(WORD)))).first()[0] or 0
+    # both the n-grams and the scores read every column of the blocks, so that one exchange serves them
+    blocks = _blocks(texts, block_words).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block")
     parts_bits = max(0, (total * order // partition_keys).bit_length())
     shift = 64 - BITS - parts_bits  # a key is a partition's bits and the bits inside it
 
@@ -206,16 +222,20 @@ def held_out_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, i
     def scored(block: pa.Table, counts: pa.Table) -> pa.Table:
         sizes, vocabulary, at = _read_block(block, 0)
         sizes = sizes.astype(np.int64)
-        row = np.repeat(np.arange(len(sizes)), sizes)
+        row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         found = _block_grams(sizes, vocabulary, at, order, shift)
-        keys, where, own = np.unique(np.concatenate([k for _, k in found]), return_inverse=True, return_counts=True)
+        places = [p.astype(np.int32) for p, _ in found]
+        keys = np.concatenate([k for _, k in found])
+        del found, vocabulary, at
+        where, own = _groups(keys)
+        del keys
         by = np.argsort(counts["part"].to_numpy())
-        others = np.concatenate([np.zeros(0, np.uint32), *(_restore(counts["counts"][int(i)].as_py(), np.uint32) for i in by)])
-        place = np.concatenate([p for p, _ in found])
-        _, of, here = np.unique(row[place] * max(1, len(keys)) + where, return_inverse=True, return_counts=True)
-        rest = (others + own)[where] - here[of]  # what the other rows hold
+        everywhere = np.concatenate([np.zeros(0, np.uint32), *(_restore(counts["counts"][int(i)].as_py(), np.uint32) for i in by)]).astype(np.int64) + own
+        inside, sums = _groups(row[np.concatenate(places)].astype(np.int64) * max(1, len(own)) + where)
+        rest = everywhere[where] - sums[inside]  # what the other rows hold
+        del where, inside
         value, context, start = np.zeros(len(row)), None, 0
-        for n, (ends, _) in enumerate(found, 1):
+        for n, ends in enumerate(places, 1):
             now = np.zeros(len(row), np.int64)
             now[ends] = rest[start : start + len(ends)]
             start += len(ends)
@@ -227,8 +247,8 @@ def held_out_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, i
             context = now
         return pa.table({"id": block["ids"][0].values, "n_tokens": pa.array(sizes), "log_score": pa.array(np.bincount(row, value, len(sizes)))})
 
-    sent = blocks.select("block", "sizes", "vocabulary", "words").mapInArrow(own, "part long, block long, keys binary, counts binary")
+    sent = blocks.mapInArrow(own, "part long, block long, keys binary, counts binary")
     back = sent.groupBy("part").applyInArrow(count, "part long, block long, counts binary")
-    both = blocks.select("block", "ids", "sizes", "vocabulary", "words").groupBy("block").cogroup(back.groupBy("block"))
+    both = blocks.groupBy("block").cogroup(back.groupBy("block"))
     out = both.applyInArrow(scored, "id long, n_tokens long, log_score double")
     return out.groupBy("id").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("log_score").alias("log_score"))
