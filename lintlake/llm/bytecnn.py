@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintlake.llm.common import string_col
@@ -145,24 +145,24 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> DataFrame:
-    """text, label of at most max_rows labelled rows that aren't held out, those with the least hash of the id."""
+def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """text, label of at most max_rows labelled rows that aren't held out, those with the least hash of the id, and of at most max_bytes of UTF-8.
+
+    The bound holds before anything leaves the executors: a text of more than an eighth of max_bytes isn't taken, and rows are taken in the order of
+    the hash as long as they fit.
+    """
     known = labels.filter(F.col("quality").isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.min("quality").alias("label"))
     picked = known.orderBy(F.xxhash64(F.col(id_col)), id_col).limit(max_rows)
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), string_col(docs, text_col).alias("text"))
-    return rows.join(F.broadcast(picked.select(F.col(id_col).cast("long").alias("__id"), "label")), "__id").dropDuplicates(["__id"]).select("__id", "text", "label")
+    rows = docs.select(F.col(id_col).cast("long").alias("__id"), string_col(docs, text_col).alias("text")).filter(F.octet_length("text") <= max_bytes // 8)
+    rows = rows.join(F.broadcast(picked.select(F.col(id_col).cast("long").alias("__id"), "label")), "__id").dropDuplicates(["__id"])  # max_rows rows
+    order = Window.orderBy(F.xxhash64("__id"), "__id").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("so_far", F.sum(F.octet_length("text")).over(order)).filter(F.col("so_far") <= max_bytes).select("__id", "text", "label")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, steps: int = 900) -> ByteCNN | None:
     """A network fitted on the bounded sample, on the driver; None where the sample lacks one of the labels."""
-    texts, ys, size = [], [], 0
-    sample = training_sample(docs, labels, id_col, text_col, max_rows)
-    for r in sorted(sample.collect(), key=lambda r: r["__id"]):
-        size += len(r["text"])
-        if size > max_bytes:
-            break
-        texts.append(r["text"])
-        ys.append(r["label"])
+    rows = sorted(training_sample(docs, labels, id_col, text_col, max_rows, max_bytes).collect(), key=lambda r: r["__id"])
+    texts, ys = [r["text"] for r in rows], [r["label"] for r in rows]
     if len(set(ys)) < 2:
         return None
     return ByteCNN().fit(texts, ys, steps=steps)

@@ -70,8 +70,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     """id, n_tokens, bucket, bucket_tokens, batch, slot, padding of every row.
 
     length: a column expression for the tokens of a row; words and an end mark by default. A batch of a bucket holds budget //
-    bucket_tokens rows, one at least, filled in order of shard and id; only a bucket's last batch may be short. Null and empty
-    texts have one token; repeated rows are all packed; other columns are ignored. An empty table gives an empty one.
+    bucket_tokens rows, one at least, filled in order of shard and id; only a bucket's last batch may be short. The shard of a row is a hash of its id, so
+    batches don't depend on the layout of files; rows without an id are dealt by their place instead, since one shard couldn't hold them all. Padding is least for
+    lengths rounded up to `align`. Null and empty texts have one token; repeated rows are all packed; other columns are ignored. An empty table gives an empty one.
     """
     size = word_count(string_col(docs, text_col)) if length is None else F.coalesce(length.cast("long"), F.lit(0))
     sized = materialize(docs.select(F.col(id_col).cast("long").alias("id"), F.greatest(size, F.lit(1)).alias("n_tokens")), "lengths")
@@ -85,7 +86,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     bucket = bucket.otherwise(None) if ends else F.lit(None)
     capacity = F.element_at(F.array(*(F.lit(max(1, budget // e)) for e in ends)), F.col("bucket") + 1) if ends else F.lit(None)
     top = F.element_at(F.array(*(F.lit(e) for e in ends)), F.col("bucket") + 1) if ends else F.lit(None)
-    dealt = sized.select("id", "n_tokens", bucket.cast("int").alias("bucket"), F.pmod(F.xxhash64("id", "n_tokens", F.spark_partition_id()), F.lit(shards)).alias("shard"))
+    dealt = sized.select("id", "n_tokens", bucket.cast("int").alias("bucket"), F.pmod(F.xxhash64(F.coalesce("id", F.monotonically_increasing_id())), F.lit(shards)).alias("shard"))
     dealt = materialize(dealt, "dealt")
     counts = dealt.groupBy("bucket", "shard").count()
     before = Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)

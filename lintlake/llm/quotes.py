@@ -112,11 +112,20 @@ def conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str
     parent = F.coalesce("quoted_turn", "last_turn")
     nodes = nodes.select("conv_id", "turn", parent.alias("parent_turn"), F.col("quoted_turn").isNotNull().alias("quoted"), F.coalesce(parent, "turn").alias("root_turn"), F.when(parent.isNotNull(), 1).otherwise(0).cast("long").alias("depth"), parent.isNull().alias("done"))
     nodes = materialize(nodes, "nodes")
-    while not (pending := nodes.filter("NOT done")).isEmpty():
-        # doubling: a pointer to a message becomes one to where that points; those at a root are done with
-        up = nodes.select("conv_id", F.col("turn").alias("root_turn"), F.col("root_turn").alias("further"), F.col("depth").alias("more"), F.col("done").alias("rooted"))
+    done, pending = [nodes.filter("done")], nodes.filter("NOT done")
+    while not pending.isEmpty():
+        # doubling: a pointer to a message becomes one to where that points; those at a root are done with and aren't written again
+        up = pending
+        for d in done:
+            up = up.unionByName(d)
+        up = up.select("conv_id", F.col("turn").alias("root_turn"), F.col("root_turn").alias("further"), F.col("depth").alias("more"), F.col("done").alias("rooted"))
         moved = pending.join(up, ["conv_id", "root_turn"]).select("conv_id", "turn", "parent_turn", "quoted", F.col("further").alias("root_turn"), (F.col("depth") + F.col("more")).alias("depth"), F.col("rooted").alias("done"))
-        nodes = materialize(nodes.filter("done").unionByName(moved), "nodes")
+        moved = materialize(moved, "nodes")
+        done.append(moved.filter("done"))
+        pending = moved.filter("NOT done")
+    nodes = done[0]
+    for d in done[1:]:
+        nodes = nodes.unionByName(d)
     nodes = nodes.drop("done")
     linked = keyed.select("conv_id", "turn", "role", "text").join(nodes, ["conv_id", "turn"])
     alone = rows.filter("conv_id IS NULL OR turn IS NULL").select("conv_id", "turn", "role", "text", F.lit(None).cast("long").alias("parent_turn"), F.lit(False).alias("quoted"), F.col("turn").alias("root_turn"), F.lit(0).cast("long").alias("depth"))

@@ -33,24 +33,25 @@ class Approximation:
             for c in np.unique(code):
                 held = vectors[code == c, d]
                 self.low[c, d], self.high[c, d] = held.min(), held.max()
+        at = np.arange(vectors.shape[1])
+        self.floor, self.ceiling = self.low[self.codes, at].T, self.high[self.codes, at].T  # the cells' ends of each row
 
     def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Least and greatest inner product of each query with any vector of each row's cells."""
-        at = np.arange(self.codes.shape[1])
-        low, high = self.low[self.codes, at].T, self.high[self.codes, at].T
         plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
-        return plus @ low + minus @ high, plus @ high + minus @ low
+        return plus @ self.floor + minus @ self.ceiling, plus @ self.ceiling + minus @ self.floor
 
 
-def search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, approximation: Approximation | None = None):
-    """(position of the query, vector id, score) of each query's k best rows of another id; ties to smaller ids."""
-    approximation = approximation or Approximation(vectors)
+def search(queries: np.ndarray, query_rows: np.ndarray, vectors: np.ndarray, rows_at: np.ndarray, ids: np.ndarray, k: int):
+    """(position of the query, vector id, score) of each query's k best rows but its own; ties to smaller ids. query_rows, rows_at: numbers of the rows."""
+    approximation = Approximation(vectors)
+    lowest = np.iinfo(np.int64).min if vectors.dtype == np.int64 else -np.inf
     at, found, scores = [], [], []
     for start in range(0, len(queries), 128):
         part = queries[start : start + 128]
         least, most = approximation.bounds(part)
-        other = query_ids[start : start + 128, None] != ids
-        least = np.where(other, least, -np.inf)
+        other = query_rows[start : start + 128, None] != rows_at
+        least = np.where(other, least, lowest)
         for q in range(len(part)):
             n = min(k, int(other[q].sum()))
             if not n:
@@ -58,7 +59,7 @@ def search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids:
             sure = np.partition(least[q], -n)[-n]  # n rows reach this in any case
             rows = np.flatnonzero(other[q] & (most[q] >= sure))
             rows = rows[np.argsort(-most[q][rows], kind="stable")]
-            best_ids, best = np.zeros(0, ids.dtype), np.zeros(0)
+            best_ids, best = np.zeros(0, ids.dtype), np.zeros(0, vectors.dtype)
             for i in range(0, len(rows), STEP):
                 if len(best) == n and most[q][rows[i]] < best[-1]:
                     break  # an equal bound may still win its tie
@@ -76,23 +77,24 @@ def search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids:
 
 def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
     """Rows of integers as doubles if products are exact in them, else as long integers."""
-    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    flat = flat.reshape(rows, len(flat) // rows)
     most = int(np.abs(flat).max(initial=0))
     return flat.astype(np.float64) if flat.shape[1] * (most + 1) ** 2 < 2**52 else flat.astype(np.int64)
 
 
 def integer_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """id, v: floor(scale * x) of each component; rows whose vector is null, empty or holds a null or non-finite component are left out."""
+    """id, v: floor(scale * x) of each component; rows whose id or vector is null, or whose vector holds a null or non-finite component, are left out."""
     v = F.col(vector_col)
-    sound = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    sound = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return table.filter(F.col(id_col).isNotNull() & F.coalesce(sound, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int = 5, vector_rows: int = VECTOR_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """query_id, rank, vec_id, score: for each row of vectors (id, v) where `queries` holds, the k rows of another id with the greatest inner product.
+    """query_id, rank, vec_id, score: for each row of vectors (id, v) where `queries` holds, the k other rows with the greatest inner product.
 
-    Fewer than k candidates give all of them; ties go to smaller ids. Vectors are compared with those of the same length only. A repeated id
-    is a candidate once for each row, and a query once for each row, whose results then repeat. An empty table gives an empty one.
+    Fewer than k candidates give all of them; ties go to smaller ids. Vectors are compared with those of the same length only; empty ones have products
+    of 0. Each row of a repeated id is a query and a candidate of its own. Scores are exact as long as they fit a long. An empty table gives an empty one.
     """
     spark = vectors.sparkSession
     sized = materialize(vectors.select("id", "v", F.size("v").alias("dim"), queries.alias("asks")), "vectors")
@@ -100,16 +102,16 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, vector_rows: int = VE
     blocks, asking = max(1, -(-n // vector_rows)), max(1, -(-asked // query_rows))
     # rows are dealt at random and the deal is kept as a table, so equal rows don't meet in one block and a lost task finds the same blocks
     sized = materialize(sized.withColumn("block", F.floor(F.rand(1) * blocks).cast("int")).withColumn("q_block", F.floor(F.rand(2) * asking).cast("int")).withColumn("number", F.monotonically_increasing_id()), "blocks")
-    data = sized.select("dim", "block", F.explode(F.sequence(F.lit(0), F.lit(asking - 1))).alias("q_block"), "id", "v")
+    data = sized.select("dim", "block", F.explode(F.sequence(F.lit(0), F.lit(asking - 1))).alias("q_block"), "id", "number", "v")
     ask = sized.filter("asks").select("dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "q_block", "id", "number", "v")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return pa.table({c: pa.array([], pa.int64()) for c in names})
         both = _matrix(pa.chunked_array([*left["v"].chunks, *right["v"].chunks]), left.num_rows + right.num_rows)
-        q_ids = right["id"].to_numpy()
-        at, found, scores = search(both[left.num_rows :], q_ids, both[: left.num_rows], left["id"].to_numpy(), k)
-        return pa.table(dict(zip(names, map(pa.array, (q_ids[at], right["number"].to_numpy()[at], found, scores)), strict=True)))
+        q_rows = right["number"].to_numpy()
+        at, found, scores = search(both[left.num_rows :], q_rows, both[: left.num_rows], left["number"].to_numpy(), left["id"].to_numpy(), k)
+        return pa.table(dict(zip(names, map(pa.array, (right["id"].to_numpy()[at], q_rows[at], found, scores)), strict=True)))
 
     names, keys = ("query_id", "number", "vec_id", "score"), ("dim", "block", "q_block")
     parts = data.groupBy(*keys).cogroup(ask.groupBy(*keys)).applyInArrow(run, "query_id long, number long, vec_id long, score long")

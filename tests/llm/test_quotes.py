@@ -44,3 +44,37 @@ def test_odd_rows(spark):
     out = quotes.conversations(frame).collect()
     assert len(out) == 6 and sorted(r["depth"] for r in out) == [0, 0, 0, 0, 1, 1]
     assert quotes.conversations(frame.limit(0)).count() == 0
+
+
+def test_whole_table_against_brute_force(spark, sf):
+    """Every message of the table: links, roots and depths by dictionaries, message by message."""
+    from collections import Counter, defaultdict
+
+    from lintlake.llm.common import table
+
+    rows = table(spark, sf, "conversations").collect()
+    talks = defaultdict(dict)
+    for r in rows:
+        talks[r["conv_id"]].setdefault(r["turn"], quotes.parse(r["text"]))
+    expected = {}
+    for conv, turns in talks.items():
+        first = {}
+        for t in sorted(turns):
+            for h, _ in quotes.units(turns[t][0]):
+                first.setdefault(h, t)
+        for t in sorted(turns):
+            words = defaultdict(Counter)
+            for level, passage in turns[t][1]:
+                for h, n in quotes.units(passage):
+                    if first.get(h, t) < t:
+                        words[level][first[h]] += n
+            best = {level: max((n, s) for s, n in c.items()) for level, c in words.items()}
+            if best:
+                parent, quoted = best[min(best)][1], True
+            else:
+                parent, quoted = (t - 1 if t - 1 in turns else None), False
+            _, _, root, depth = expected.get((conv, parent), (None, None, t, -1)) if parent is not None else (None, None, t, -1)
+            expected[conv, t] = (parent, quoted, root, depth + 1)
+    got = quotes.conversations(table(spark, sf, "conversations")).collect()
+    assert len(got) == len(rows) and any(r["quoted"] for r in got) or not any(e[1] for e in expected.values())
+    assert all((r["parent_turn"], r["quoted"], r["root_turn"], r["depth"]) == expected[r["conv_id"], r["turn"]] and r["text"] == talks[r["conv_id"]][r["turn"]][0] for r in got if list(talks[r["conv_id"]]).count(r["turn"]) == 1)
