@@ -15,7 +15,10 @@ QUALITY = 0.3
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject."""
+    """Documents that the classifier doesn't reject: each row is scored by its own text.
+
+    Null and empty texts get the score of no bytes. Repeated rows are scored alike. Without labels of both kinds nothing is rejected. An empty table gives an empty one.
+    """
     model = bytecnn.train(docs, table(spark, sf_dir, "labels"))
     return bytecnn.score(docs, model).filter(F.col("score") >= QUALITY).select(docs.columns)
 
@@ -35,14 +38,14 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced by a mask and n_chars set anew."""
+    """All rows, with secrets replaced by a mask and n_chars set anew (null for a null text). Null and empty texts stay as they are; ids play no part."""
     forest = secrets.Forest.fit(secrets.default_findings(spark))
     masked = secrets.redact(docs, forest, path_col="source")
     return masked.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long"))).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A batch and slot for every document."""
+    """A batch and slot for every row: null and empty texts have one token, rows of one id or none are each placed. An empty table gives an empty one."""
     return packing.pack(docs).withColumnRenamed("id", "doc_id")
 
 
