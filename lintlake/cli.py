@@ -22,20 +22,25 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--config", type=Path, help="TOML file with a [packages] table")
     p.add_argument("--package", action="append", default=[], metavar="NAME=PATH")
     p.add_argument("--packages", nargs="*", metavar="NAME", help="scan these packages only, in this order")
-    p.add_argument("--exclude", action="append", default=[], metavar="PART", help="leave out paths that contain this")
+    p.add_argument("--exclude", nargs="*", default=[], metavar="PART", help="leave out paths that contain any of these")
     p.add_argument("--fail-on", default="high", choices=("critical", "high", "medium", "low", "info"))
     p.add_argument("--confidence-min", default="low", choices=("high", "medium", "low"))
     p.add_argument("--include-tests", action="store_true")
-    p.add_argument("--test-paths", action="append", default=[], metavar="DIR", help="further names of test folders")
+    p.add_argument("--test-paths", nargs="*", default=[], metavar="DIR", help="further names of test folders")
     p.add_argument("--baseline", metavar="FILE")
     p.add_argument("--write-baseline", metavar="FILE")
     return p
 
 
-def main(argv: list[str] | None = None, cwd: Path | None = None, spark: SparkSession | None = None) -> int:
+#: Sources of this package that hold patterns rather than code that is run on anything.
+OWN = tuple(f"lintlake/{x}" for x in ("operators/text_rules.py", "operators/tree_rules.py", "operators/manifest_rules.py", "operators/facts.py", "corpus.py", "report.py"))
+
+
+def main(argv: list[str] | None = None, cwd: Path | None = None, spark: SparkSession | None = None, workspace: Path | None = None) -> int:
+    """workspace: the root that shown paths are relative to and manifests aren't looked for above; by default the workspace that this package is installed in, if any."""
     p = parser()
     args, cwd = p.parse_args(argv), (cwd or Path.cwd()).resolve()
-    workspace, exclude = pysource.workspace_root(cwd), list(args.exclude)
+    workspace, exclude = workspace or pysource.workspace_root(Path(__file__).parent), list(args.exclude)
     try:
         if args.config or args.package:
             packages = pysource.load_config(args.config, cwd, workspace) if args.config else {}
@@ -43,19 +48,21 @@ def main(argv: list[str] | None = None, cwd: Path | None = None, spark: SparkSes
         else:
             packages = pysource.discover(cwd)
             exclude += pysource.DEFAULT_EXCLUDES
+        if not packages:
+            raise pysource.UsageError("there is no package to scan")
         packages = pysource.select(packages, args.packages)
     except pysource.UsageError as e:
         p.error(str(e))
     spark = spark or SparkSession.builder.appName("lintlake").getOrCreate()
     say = lambda text: None if args.quiet else print(text, file=sys.stderr)
-    files = pysource.read_packages(spark, packages, exclude, ceiling=workspace).cache()
+    files = pysource.read_packages(spark, packages, exclude, OWN, workspace)
     if not args.quiet and not args.json:
-        print(f"  Scanning {files.count()} file(s) in {len(packages)} package(s)")
+        print(f"  Scanning {pysource.file_count(packages, exclude, OWN)} file(s) in {len(packages)} package(s)")
     found = plugins.discover(say)
     extra = [r for r in found if isinstance(r, scan.Rule)]
     options = {"confidence_min": args.confidence_min, "include_tests": args.include_tests, "test_dirs": args.test_paths, "root": str(workspace) if workspace else None}
     baseline = read_baseline(spark, args.baseline) if args.baseline and not args.write_baseline else None
-    scanned = scan.scan(files, None, extra, baseline, **options)
+    scanned = scan.scan(files, None, extra, baseline, keep=True, **options)
     if procedural := {getattr(f, "__name__", str(k)): f for k, f in enumerate(found) if not isinstance(f, scan.Rule)}:
         rows, errors = plugins.run_procedural(files, procedural)
         for e in errors.toLocalIterator():
@@ -65,6 +72,7 @@ def main(argv: list[str] | None = None, cwd: Path | None = None, spark: SparkSes
     scanned.findings = scanned.findings.cache()
     if args.write_baseline:
         n = write_baseline(scanned.findings, args.write_baseline)
+        (report.as_json if args.json else report.as_text)(scanned)
         if not args.quiet and not args.json:
             print(f"  Wrote {n} fingerprint(s) to {args.write_baseline}")
         return 0

@@ -260,9 +260,10 @@ def without_baseline(findings: DataFrame, baseline: DataFrame) -> DataFrame:
     return findings.join(baseline.distinct(), ["cwe_id", "file", "code_snippet"], "left_anti")
 
 
-def scan(files: DataFrame, rules: Iterable[str] | None = None, extra: Iterable[Rule] = (), baseline: DataFrame | None = None, **options) -> Scanned:
-    """The whole scan of files; options as in marked()."""
+def scan(files: DataFrame, rules: Iterable[str] | None = None, extra: Iterable[Rule] = (), baseline: DataFrame | None = None, keep: bool = False, **options) -> Scanned:
+    """The whole scan of files; options as in marked(). keep: cache the candidates, so that findings, counts and gate don't each scan anew."""
     rows = marked(scan_frame(files, rules, extra), **options)
+    rows = rows.cache() if keep else rows
     kept = rows.filter("fate = 'kept'")
     sums = rows.agg(F.count_if(F.col("fate") == "nosec").alias("nosec_suppressed"), F.count_if(F.col("fate") == "test").alias("test_suppressed"))
     if baseline is None:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintlake.functions.lines import line_at, split_lines, strip
+from lintlake.functions.lines import split_lines
 from lintlake.schema import CANDIDATE
 
 GROUP = "lintlake.rules"
@@ -49,7 +49,10 @@ def run_procedural(files: DataFrame, rules: dict[str, Callable], first: int = 20
                 for k, name in enumerate(names):
                     try:
                         for seq, f in enumerate(rules[name](path, lines, tree)):
-                            out.append((path, package, first + k, seq, f["cwe_id"], f["cwe_name"], f["severity"], f.get("confidence", "MEDIUM"), int(f["line"]), f.get("code_snippet"), f.get("description", ""), None, None))
+                            number = int(f["line"])
+                            line = lines[number - 1] if 0 < number <= len(lines) else ""
+                            snippet = line.strip() if f.get("code_snippet") is None else f["code_snippet"]
+                            out.append((path, package, first + k, seq, f["cwe_id"], f["cwe_name"], f["severity"], f.get("confidence", "MEDIUM"), number, snippet, f.get("description", ""), line, None))
                     except Exception as e:
                         out.append((path, package, first + k, 0, None, None, None, None, None, None, name, None, repr(e)))
             kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 4, pa.int32(), *[pa.string()] * 4]
@@ -60,8 +63,6 @@ def run_procedural(files: DataFrame, rules: dict[str, Callable], first: int = 20
     columns = [x.split()[0] for x in schema.split(", ")]
     package = F.col("package") if "package" in files.columns else F.lit("")
     rows = files.select("path", package.alias("package"), split_lines(F.col("text")).alias("lines"), "text")
-    found = rows.mapInArrow(run, schema)
-    good = found.filter("error IS NULL").drop("error").join(rows.select("path", "lines"), "path")
-    text = line_at(F.col("lines"), F.col("line"))
-    good = good.withColumn("text", text).withColumn("code_snippet", F.coalesce("code_snippet", strip(text))).drop("lines")
+    found = rows.mapInArrow(run, schema).cache()  # findings and errors come from one pass
+    good = found.filter("error IS NULL").drop("error")
     return good, found.filter("error IS NOT NULL").select("path", F.col("description").alias("rule"), "error")

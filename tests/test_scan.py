@@ -115,16 +115,48 @@ def test_command_line(spark, tmp_path, capsys):
     code, out = run(capsys, spark, cwd, "--json", "--package", "only=pkg_b", "--include-tests")
     assert {(f["file"].rpartition("/")[2], f["severity"]) for f in json.loads(out)["findings"]} == {("_m.py", "HIGH"), ("t.py", "HIGH"), ("pyproject.toml", "INFO")}
     base = str(tmp_path / "base.json")
-    assert run(capsys, spark, cwd, "--write-baseline", base, "--quiet") == (0, "")
+    code, out = run(capsys, spark, cwd, "--write-baseline", base, "--quiet")
+    assert code == 0 and "Security audit" in out and "Wrote" not in out
     code, out = run(capsys, spark, cwd, "--baseline", base)
     assert code == 0 and "0 findings" in out and "baseline" in out
     assert run(capsys, spark, cwd, "--json", "--packages")[0] == 0
+    bare = tmp_path / "bare"
+    bare.mkdir()
+    with pytest.raises(SystemExit) as e:
+        cli.main([], cwd=bare, spark=spark)
+    assert e.value.code == 2
+    code, out = run(capsys, spark, cwd, "--write-baseline", base, "--exclude", ".hid", "pkg_b", "--test-paths", "x", "y")
+    assert code == 0 and "CWE-78" in out and "Wrote" in out and "nested" not in out and "file(s) in 3 package(s)" in out
     for wrong in (["--packages", "nope"], ["--package", "x"], ["--package", "x=/etc"], ["--config", str(tmp_path / "none.toml")]):
         with pytest.raises(SystemExit) as e:
             cli.main(wrong, cwd=cwd, spark=spark)
         assert e.value.code == 2
 
 
+def test_listing_order(tmp_path):
+    """Manifests of an earlier package come before sources of a later one; a file of two packages belongs to the first and counts twice."""
+    for name in ("a/setup.py", "a/m.py", "a/b/n.py", "a/b/Pipfile", "a/b/uv.lock", "c/lintlake/report.py"):
+        f = tmp_path / name
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text("")
+    root = str(tmp_path)
+    both = [["inner", f"{root}/a/b", True], ["outer", f"{root}/a", True]]
+    got = [(p.removeprefix(root + "/"), n, locked) for p, n, locked in pysource.listing(both)]
+    assert got == [("a/b/n.py", "inner", False), ("a/b/Pipfile", "inner", True), ("a/m.py", "outer", False), ("a/setup.py", "outer", False)]
+    assert pysource.listing([["flat", f"{root}/a", False]])[0][0].endswith("a/m.py") and pysource.listing([["own", f"{root}/c", True]], own=cli.OWN) == []
+    assert pysource.file_count({"x": (tmp_path / "a", True), "y": (tmp_path / "a/b", True)}) == 4
+
+
+def test_secure_and_noise(tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "inner").mkdir()
+    (tmp_path / "in/link").symlink_to(tmp_path / "inner")
+    inside = [tmp_path / "in"]
+    assert pysource.is_secure(tmp_path / "in", inside) and pysource.is_secure(tmp_path / "in/x/y", inside)
+    assert not pysource.is_secure(tmp_path / "inner", inside) and not pysource.is_secure(tmp_path / "in/link/x", inside) and not pysource.is_secure(tmp_path / "in/../x", inside)
+    assert [pysource.is_noise(n) for n in (".git", "build", "x.egg-info", "builds", "src", "__pycache__")] == [True, True, True, False, False, True]
+
+
 def test_config(tmp_path):
     (tmp_path / "a").mkdir()
     config = tmp_path / "c.toml"
