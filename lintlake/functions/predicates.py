@@ -17,6 +17,13 @@ Clause = frozenset[tuple[str, bool]]
 
 
 class Predicate:
+    def expr(self, line: str) -> str:
+        """Spark SQL over a column's name; a whole registry is one text to parse, where columns would be thousands of calls."""
+        raise NotImplementedError
+
+    def column(self, line: Column) -> Column:
+        raise NotImplementedError
+
     def clauses(self) -> list[Clause]:
         """What must hold for any line that satisfies the predicate: a cheap test of a whole text before its lines."""
         return []
@@ -67,21 +74,20 @@ def folded(text: Column) -> Column:
     return F.lower(F.translate(text, "\u0131\u0130\u017f\u212a", "iisk"))
 
 
-def may_match(cases: list[Predicate], text: Column, low: Column) -> Column | None:
-    """Whether a text (and its folded form) can hold a line for any of the predicates; None where there is no such test."""
-    out = None
+def spark_text(s: str) -> str:
+    """A string literal of Spark SQL."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def may_match(cases: list[Predicate], text: str, low: str) -> str | None:
+    """Spark SQL for whether a text (and its folded form) can hold a line for any of the predicates; None where there is no such test."""
+    ways = []
     for case in cases:
-        every = None
-        for clause in case.clauses():
-            some = None
-            for literal, fold in sorted(clause):
-                here = (low if fold else text).contains(literal)
-                some = here if some is None else some | here
-            every = some if every is None else every & some
-        if every is None:
+        every = ["(" + " OR ".join(f"contains({low if fold else text}, {spark_text(t)})" for t, fold in sorted(c)) + ")" for c in case.clauses()]
+        if not every:
             return None
-        out = every if out is None else out | every
-    return out
+        ways.append(" AND ".join(every))
+    return " OR ".join(ways)
 
 
 @dataclass(frozen=True)
@@ -92,7 +98,13 @@ class Match(Predicate):
     ignore_case: bool = False
 
     def column(self, line: Column) -> Column:
-        return line.rlike(("(?iU)" if self.ignore_case else "(?U)") + self.pattern)
+        return line.rlike(self._java())
+
+    def _java(self) -> str:
+        return ("(?iU)" if self.ignore_case else "(?U)") + self.pattern
+
+    def expr(self, line: str) -> str:
+        return f"{line} RLIKE {spark_text(self._java())}"
 
     def clauses(self) -> list[Clause]:
         found = _literals(_parser.parse(self.pattern))
@@ -112,6 +124,9 @@ class Has(Predicate):
     def column(self, line: Column) -> Column:
         return (F.lower(line) if self.lower else line).contains(self.text)
 
+    def expr(self, line: str) -> str:
+        return f"contains({f'lower({line})' if self.lower else line}, {spark_text(self.text)})"
+
     def clauses(self) -> list[Clause]:
         return [frozenset([(self.text, self.lower)])]
 
@@ -126,6 +141,9 @@ class Starts(Predicate):
     def column(self, line: Column) -> Column:
         return line.startswith(self.text)
 
+    def expr(self, line: str) -> str:
+        return f"startswith({line}, {spark_text(self.text)})"
+
     def clauses(self) -> list[Clause]:
         return [frozenset([(self.text, False)])]
 
@@ -143,6 +161,9 @@ class Fact(Predicate):
     def column(self, line: Column) -> Column:
         return F.col(self.name)
 
+    def expr(self, line: str) -> str:
+        return self.name
+
     def clauses(self) -> list[Clause]:
         return [frozenset((n, False) for n in self.names)] if self.names else []
 
@@ -160,6 +181,9 @@ class _Both(Predicate):
         a, b = self.left.column(line), self.right.column(line)
         return a & b if self.word == "AND" else a | b
 
+    def expr(self, line: str) -> str:
+        return f"({self.left.expr(line)} {self.word} {self.right.expr(line)})"
+
     def clauses(self) -> list[Clause]:
         a, b = self.left.clauses(), self.right.clauses()
         if self.word == "AND":
@@ -177,6 +201,9 @@ class _Not(Predicate):
     def column(self, line: Column) -> Column:
         return ~self.of.column(line)
 
+    def expr(self, line: str) -> str:
+        return f"(NOT {self.of.expr(line)})"
+
     def sql(self, line: str) -> str:
         return f"(NOT {self.of.sql(line)})"
 

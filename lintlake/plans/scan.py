@@ -16,9 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.functions.lines import line_at, split_lines, strip
-from lintlake.functions.predicates import folded, may_match
+from lintlake.functions.predicates import folded, may_match, spark_text
 from lintlake.operators import manifest_rules
 from lintlake.operators.facts import FACT_DDL, LINE_SETS, facts_column, literal_column
+from lintlake.operators.relevance import RELEVANCE
 from lintlake.operators.text_rules import TEXT_RULES
 from lintlake.operators.tree_rules import DECODE, EXECUTE, TREE_RULES, decode_chains
 from lintlake.schema import CANDIDATE, COLUMNS, SEVERITIES, confidence_rank, severity_rank
@@ -52,37 +53,36 @@ class _Cases:
     def __init__(self):
         self.rows: list[tuple] = []
 
-    def add(self, ordinal: int, cwe_id: str, cwe_name: str, severity: str, confidence: str, description: str) -> Column:
+    def add(self, ordinal: int, cwe_id: str, cwe_name: str, severity: str, confidence: str, description: str) -> int:
         self.rows.append((len(self.rows), ordinal, cwe_id, cwe_name, severity, confidence, description))
-        return F.lit(len(self.rows) - 1)
+        return len(self.rows) - 1
 
     def frame(self, spark) -> DataFrame:
         return spark.createDataFrame(self.rows, "case int, ordinal int, cwe_id string, cwe_name string, severity string, confidence string, told string")
 
 
 class _Gates:
-    """A bit for each rule that may apply to a file."""
+    """A bit for each rule that may apply to a file, by a test in Spark SQL (None: always)."""
 
     def __init__(self):
-        self.tests: list[Column] = []
+        self.tests: list[str] = []
 
-    def add(self, test: Column | None) -> Column:
-        """The bit of a test on the file, as a condition on the column gate."""
-        self.tests.append(F.lit(True) if test is None else test)
-        return F.col("gate").bitwiseAND(F.lit(1 << (len(self.tests) - 1))) != 0
+    def add(self, test: str | None) -> int:
+        self.tests.append(test or "true")
+        return 1 << (len(self.tests) - 1)
 
     def column(self) -> Column:
-        total = F.lit(0).cast("long")
-        for k, test in enumerate(self.tests):
-            total = total.bitwiseOR(F.when(test, F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")))
-        return total
+        return F.expr(" | ".join(f"(CASE WHEN {test} THEN {1 << k}L ELSE 0L END)" for k, test in enumerate(self.tests)))
 
 
-def _any(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out | c
-    return out
+def _open(bits: int) -> str:
+    """Whether a file's gate has any of the bits."""
+    return f"(gate & {bits}L) <> 0"
+
+
+def _hit(when: Column, case, seq) -> Column:
+    """A finding of a row where the condition holds."""
+    return F.when(when, F.struct((case if isinstance(case, Column) else F.lit(case)).alias("case"), seq.cast("int").alias("seq")))
 
 
 def _once(rows: DataFrame, **columns: Column) -> DataFrame:
@@ -108,58 +108,56 @@ def scan_frame(files: DataFrame, rules: Iterable[str] | None = None, extra: Iter
         raise ValueError(f"unknown rules: {', '.join(sorted(unknown))}")
     text_rules = [r for r in TEXT_RULES if r.name in chosen]
     tree_rules = [r for r in TREE_RULES if r.name in chosen]
-    has, text, low = set(files.columns), F.col("text"), F.col("low")
+    has, text = set(files.columns), F.col("text")
     base = files.select("path", "text", (F.col("package") if "package" in has else F.lit("")).alias("package"), (F.coalesce("locked", F.lit(False)) if "locked" in has else F.lit(False)).alias("locked"))
-    base = _once(base.filter("text IS NOT NULL"), low=folded(text), wide=F.octet_length("text") != F.char_length("text"), name=F.element_at(F.split("path", "/"), -1))
-    wide, name = F.col("wide"), F.col("name")
-    is_py, is_pth = F.col("path").endswith(".py"), F.col("path").endswith(".pth")
+    base = _once(base.filter("text IS NOT NULL"), low=folded(text), wide=F.octet_length("text") != F.char_length("text"), name=F.element_at(F.split("path", "/"), -1), is_py=F.col("path").endswith(".py"), is_pth=F.col("path").endswith(".pth"))
 
-    cases, gates, by_line, by_fact, whole, asks = _Cases(), _Gates(), [], [], [], []
-    code, number, parsed = F.col("code"), F.col("number"), F.col("parsed")
+    cases, gates, told, by_line, by_fact, whole, asks, lined = _Cases(), _Gates(), [], [], [], [], 0, 0
+    code, number, parsed, comment = F.col("code"), F.col("number"), F.col("parsed"), F.col("comment")
     for r in text_rules:
-        test = wide if r.wide else may_match([c.when for slot in r.slots for c in slot], text, low)
-        gate = gates.add(test | (wide & is_py) if r.needs_tree and test is not None else test)
-        if r.needs_tree:
-            asks.append(gate)
-        allowed = gate if r.comments else gate & ~F.col("comment")
+        test = "wide" if r.wide else may_match([c.when for slot in r.slots for c in slot], "text", "low")
+        bit = gates.add(f"{test} OR (wide AND is_py)" if r.needs_tree and test else test)
+        lined, asks = lined | bit, asks | (bit if r.needs_tree else 0)
+        allowed = " AND ".join([_open(bit), *([] if r.comments else ["NOT comment"]), *(["NOT is_pth"] if r.files == "!pth" else [])])
         for k, slot in enumerate(r.slots):
-            hit = F
-            for c in slot:
-                hit = hit.when(c.when.column(code), F.struct(cases.add(r.ordinal, r.cwe_id, r.cwe_name, c.severity, r.confidence, c.description).alias("case"), (number * 8 + k).alias("seq")))
-            by_line.append((gate, F.when(allowed & ~F.col("is_pth") if r.files == "!pth" else allowed, hit.otherwise(None))))
+            ways = " ".join(f"WHEN {c.when.expr('code')} THEN named_struct('case', {cases.add(r.ordinal, r.cwe_id, r.cwe_name, c.severity, r.confidence, c.description)}, 'seq', number * 8 + {k})" for c in slot)
+            told.append(f"CASE WHEN {allowed} THEN CASE {ways} END END")
     for r in tree_rules:
-        gate = gates.add(_any([text.contains(n) for n in r.needs]) | wide)
-        asks.append(gate)
+        bit = gates.add(" OR ".join([*(f"contains(text, {spark_text(n)})" for n in r.needs), "wide"]))
+        asks |= bit
         for c in r.cases:
             case = cases.add(r.ordinal, c.cwe_id or r.cwe_id, r.cwe_name, c.severity, r.confidence, c.description)
-            by_fact.append(lambda f, c=c, case=case: F.when((f["kind"] == c.kind) & c.when(f), F.struct(case.alias("case"), f["seq"].alias("seq"), (F.lit(None).cast("string") if c.extra is None else c.extra(f)).alias("extra"))))
+            by_fact.append(lambda f, c=c, case=case: F.when((f["kind"] == c.kind) & c.when(f), F.struct(F.lit(case).alias("case"), f["seq"].alias("seq"), (F.lit(None).cast("string") if c.extra is None else c.extra(f)).alias("extra"))))
         for c in r.lines:
+            lined |= bit
             case = cases.add(r.ordinal, r.cwe_id, r.cwe_name, c.severity, r.confidence, c.description)
-            by_line.append((gate, F.when(gate & ~F.col("comment") & c.when(code, parsed), F.struct(case.alias("case"), (number + 1_000_000 if c.after else number).alias("seq")))))
+            by_line.append(_hit(F.expr(_open(bit)) & ~comment & c.when(code, parsed), case, number + 1_000_000 if c.after else number))
         if r.name == "decode_exec_chains":
-            case = cases.add(r.ordinal, r.cwe_id, r.cwe_name, "CRITICAL", r.confidence, "Decoded data is executed nearby")
-            told = lambda x: F.concat(F.lit("decode at line "), x["decoded"].cast("string"), F.lit(", exec at line "), x["executed"].cast("string"))
-            whole.append(F.when(gate & text.rlike(DECODE) & text.rlike(EXECUTE), F.transform(decode_chains(F.col("lines")), lambda x, i: _ready(case, i - 1_000_000, x["executed"], snippet=told(x)))))
+            case = F.lit(cases.add(r.ordinal, r.cwe_id, r.cwe_name, "CRITICAL", r.confidence, "Decoded data is executed nearby"))
+            chain = lambda x: F.concat(F.lit("decode at line "), x["decoded"].cast("string"), F.lit(", exec at line "), x["executed"].cast("string"))
+            whole.append(F.when(F.expr(_open(bit)) & text.rlike(DECODE) & text.rlike(EXECUTE), F.transform(decode_chains(F.col("lines")), lambda x, i: _ready(case, i - 1_000_000, x["executed"], snippet=chain(x)))))
     if "dependency_cve" in chosen:
-        gate = gates.add(name.isin(*manifest_rules.MANIFESTS))
-        first = [cases.add(37, "CWE-1104", "Known Vulnerable Dependency", "HIGH", "HIGH", f"{n} before {'.'.join(map(str, v))}: {advisory}") for n, v, advisory in manifest_rules.VULNERABLE][0]
+        bit = gates.add(f"name IN ({', '.join(map(spark_text, manifest_rules.MANIFESTS))})")
+        first = F.lit([cases.add(37, "CWE-1104", "Known Vulnerable Dependency", "HIGH", "HIGH", f"{n} before {'.'.join(map(str, v))}: {advisory}") for n, v, advisory in manifest_rules.VULNERABLE][0])
         hits = F.filter(manifest_rules.vulnerable(F.col("lines")), lambda x: x["number"].isNotNull())
-        whole.append(F.when(gate, F.transform(hits, lambda x: _ready(first + x["entry"], x["entry"], x["number"]))))
+        whole.append(F.when(F.expr(_open(bit)), F.transform(hits, lambda x: _ready(first + x["entry"], x["entry"], x["number"]))))
     if "unbounded_pins" in chosen:
-        gate = gates.add(name.isin(*manifest_rules.PINNED))
+        bit = gates.add(f"name IN ({', '.join(map(spark_text, manifest_rules.PINNED))})")
+        lined |= bit
         held = cases.add(50, "CWE-1104", "Unbounded Dependency", "INFO", "MEDIUM", "No upper bound; the lockfile holds until the next upgrade")
         free = cases.add(50, "CWE-1104", "Unbounded Dependency", "LOW", "MEDIUM", "No upper bound: a later bad release is taken at once")
-        by_line.append((gate, F.when(gate & manifest_rules.loose(code), F.struct(F.when(F.col("locked"), held).otherwise(free).alias("case"), number.alias("seq")))))
+        by_line.append(_hit(F.expr(_open(bit)) & manifest_rules.loose(code), F.when(F.col("locked"), held).otherwise(free), number))
     if "pth_startup_hooks" in chosen:
-        gate = gates.add(is_pth)
-        case = cases.add(48, "CWE-829", "Code from an Untrusted Sphere", "CRITICAL", "MEDIUM", "A start-up file runs with the interpreter")
+        bit = gates.add("is_pth")
+        start_up = F.lit(cases.add(48, "CWE-829", "Code from an Untrusted Sphere", "CRITICAL", "MEDIUM", "A start-up file runs with the interpreter"))
         numbered = F.transform("lines", lambda x, i: F.struct((i + 1).alias("number"), strip(x).alias("code")))
         runs = F.filter(numbered, lambda x: (x["code"] != "") & ~x["code"].startswith("#"))
-        whole.append(F.when(gate, F.transform(F.slice(runs, 1, 1), lambda x: _ready(case, 0, x["number"]))))
-    everywhere = gates.add(None) if extra else None
+        whole.append(F.when(F.expr(_open(bit)), F.transform(F.slice(runs, 1, 1), lambda x: _ready(start_up, 0, x["number"]))))
+    if extra:
+        lined |= gates.add(None)
     for k, r in enumerate(extra):
         case = cases.add(FIRST_EXTRA + k, r.cwe_id, r.cwe_name, r.severity, r.confidence, r.description)
-        by_line.append((everywhere, F.when(r.predicate(F.col("line"), code, number, F.col("path")), F.struct(case.alias("case"), number.alias("seq")))))
+        by_line.append(_hit(r.predicate(F.col("line"), code, number, F.col("path")), case, number))
     if not cases.rows:
         return files.sparkSession.createDataFrame([], f"path string, package string, {CANDIDATE}")
 
@@ -167,7 +165,7 @@ def scan_frame(files: DataFrame, rules: Iterable[str] | None = None, extra: Iter
     empty = lambda kind: F.array().cast(f"array<{kind}>")
     if asks:
         kinds = sorted({c.kind for r in tree_rules for c in r.cases})
-        base = base.withColumn("facts", facts_column(F.when(is_py & _any(asks), text), kinds, any(r.needs_tree for r in text_rules)))
+        base = base.withColumn("facts", facts_column(F.when(F.col("is_py") & F.expr(_open(asks)), text), kinds, any(r.needs_tree for r in text_rules)))
     else:
         base = base.withColumn("facts", F.lit(None).cast("struct<found: array<int>>"))
     facts = F.col("facts")
@@ -178,13 +176,13 @@ def scan_frame(files: DataFrame, rules: Iterable[str] | None = None, extra: Iter
     no_fact, no_ready = F.lit(None).cast(FACT_DDL), F.lit(None).cast(READY)
     kind = "struct<number: int, line: string, fact: " + FACT_DDL + ", ready: " + READY + ">"
     parts = []
-    if by_line:
-        parts.append(F.when(_any(list({str(g): g for g, _ in by_line}.values())), F.transform("lines", lambda x, i: unit(i + 1, x, no_fact, no_ready))))
+    if lined:
+        parts.append(F.when(F.expr(_open(lined)), F.transform("lines", lambda x, i: unit(i + 1, x, no_fact, no_ready))))
     if by_fact:
         parts.append(F.transform(facts["found"], lambda f: unit(f["line"], line_at(F.col("lines"), f["line"]), f, no_ready)))
     parts += [F.transform(w, lambda x: unit(x["number"], line_at(F.col("lines"), x["number"]), no_fact, x["ready"])) for w in whole]
     units = F.concat(*(F.coalesce(p, empty(kind)) for p in parts))
-    rows = base.select("path", "package", "gate", "locked", is_pth.alias("is_pth"), facts.isNotNull().alias("parsed"), lxml.alias("lxml_name"), *(f.alias(f"{n}_lines") for n, f in needed.items()), F.inline(F.array(F.struct(units.alias("units")))))
+    rows = base.select("path", "package", "gate", "locked", "is_pth", facts.isNotNull().alias("parsed"), lxml.alias("lxml_name"), *(f.alias(f"{n}_lines") for n, f in needed.items()), F.inline(F.array(F.struct(units.alias("units")))))
     rows = _once(rows.select("*", F.inline("units")).drop("units"), code=strip(F.col("line")))
     rows = rows.withColumn("comment", F.col("code").startswith("#"))
     for n in needed:
@@ -194,7 +192,9 @@ def scan_frame(files: DataFrame, rules: Iterable[str] | None = None, extra: Iter
         rows = rows.withColumn("lxml_use", F.coalesce(F.when(F.col("lxml_name").isNotNull(), F.rlike(code, quoted)), F.lit(False)))
     fact, ready = F.col("fact"), F.col("ready")
     nothing, hit = F.lit(None).cast("string"), "array<struct<case: int, seq: int, extra: string>>"
-    lines_found = F.transform(F.array_compact(F.array(*(h for _, h in by_line))), lambda x: F.struct(x["case"], x["seq"].cast("int").alias("seq"), nothing.alias("extra"))).cast(hit) if by_line else F.array().cast(hit)
+    by_line = ([F.expr(f"array({', '.join(told)})")] if told else []) + ([F.array(*by_line)] if by_line else [])
+    full = lambda x: F.struct(x["case"], x["seq"].cast("int").alias("seq"), nothing.alias("extra"))
+    lines_found = F.transform(F.array_compact(F.concat(*by_line) if len(by_line) > 1 else by_line[0]), full).cast(hit) if by_line else F.array().cast(hit)
     facts_found = F.array_compact(F.array(*(f(fact) for f in by_fact))).cast(hit) if by_fact else F.array().cast(hit)
     found = F.when(ready.isNotNull(), F.array(F.struct(ready["case"], ready["seq"], ready["extra"])).cast(hit)).when(fact.isNotNull(), facts_found).otherwise(lines_found)
     rows = _once(rows, found=found)
@@ -208,6 +208,16 @@ def scan_frame(files: DataFrame, rules: Iterable[str] | None = None, extra: Iter
     return out
 
 
+def coverage() -> list[tuple[str, str, list[str]]]:
+    """cwe_id, its name and the rules for it, of the whole registry."""
+    named = [(r.ordinal, r.cwe_id, r.cwe_name, r.name) for r in (*TEXT_RULES, *TREE_RULES)]
+    named += [(37, "CWE-1104", "", "dependency_cve"), (50, "CWE-1104", "", "unbounded_pins")]
+    found: dict[str, tuple[str, list[str]]] = {}
+    for _, cwe, title, rule in sorted(named):
+        found.setdefault(cwe, (title, []))[1].append(rule)
+    return [(cwe, title, rules) for cwe, (title, rules) in sorted(found.items(), key=lambda x: int(x[0][4:]))]
+
+
 def suppressed(text: Column, cwe_id: Column) -> Column:
     """Whether the line's comment suppresses the finding: alone it does, with ids only for those (any case)."""
     scope = F.filter(F.transform(F.split(F.upper(F.regexp_extract(text, NOSEC, 1)), ","), lambda x: F.trim(x)), lambda x: x != "")
@@ -274,7 +284,8 @@ def scan(files: DataFrame, rules: Iterable[str] | None = None, extra: Iterable[R
 
 def as_findings(rows: DataFrame) -> DataFrame:
     """The ten columns of a finding, in the order of rows."""
-    return rows.withColumn("zero_day_relevance", F.lit("")).select(*COLUMNS)
+    known = F.create_map(*(F.lit(x) for pair in RELEVANCE.items() for x in pair))
+    return rows.withColumn("zero_day_relevance", F.coalesce(known[F.col("cwe_id")], F.lit(""))).select(*COLUMNS)
 
 
 def in_file_order(rows: DataFrame) -> DataFrame:

@@ -46,10 +46,14 @@ def as_text(scanned: scan.Scanned, out=None) -> int:
     for r in scan.as_findings(scan.in_severity_order(scanned.findings)).toLocalIterator() if n else ():
         say(f"  {COLOURS.get(r['severity'], '')}[{r['severity']}/{r['confidence']}]{RESET} {r['cwe_id']}: {r['cwe_name']}")
         say(f"  {r['file']}:{r['line']}" + (f"  ({r['package']})" if r["package"] else ""))
-        say(f"  {r['code_snippet']}\n  {r['description']}\n")
+        say(f"  {r['code_snippet']}\n  {r['description']}")
+        say(f"  {r['zero_day_relevance']}\n" if r["zero_day_relevance"] else "")
     if n:
         say("  " + ", ".join(f"{k} {severities[k]}" for k in SEVERITIES if k in severities))
         say("  confidence: " + ", ".join(f"{k} {confidences[k]}" for k in CONFIDENCES if k in confidences))
         if _hinted(dropped):
             say(f"  {HINT}")
+        say("\n  Weaknesses that the rules cover")
+        for cwe, title, rules in scan.coverage():
+            say(f"  {cwe:<9} {title:<48} {', '.join(rules)}")
     return n

@@ -70,7 +70,9 @@ def test_orders_and_reports(spark):
     assert doc["count"] == 4 and doc["findings"][0]["code"] == "os.system(c)" and "suppression_hint" in doc and "nosec_suppressed" not in doc
     out = io.StringIO()
     report.as_text(scanned, out)
-    assert "CRITICAL 2, MEDIUM 2" in out.getvalue()
+    assert "CRITICAL 2, MEDIUM 2" in out.getvalue() and "Weaknesses that the rules cover" in out.getvalue() and scan.RELEVANCE["CWE-78"] in out.getvalue()
+    assert all(f["zero_day_relevance"] for f in doc["findings"]) and {c for c, _, _ in scan.coverage()} <= scan.RELEVANCE.keys()
+    assert sorted(r for _, _, rules in scan.coverage() for r in rules) == sorted(scan.REGISTRY)
     assert scan.fails(scanned.findings, "HIGH") and not scan.fails(scanned.findings.filter("severity = 'MEDIUM'"), "HIGH")
 
 
