@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake import corpus
+from lintlake import corpus, tree_queries
 from lintlake.functions.lines import split_lines
 from lintlake.functions.predicates import any_of
 from lintlake.operators import manifest_rules
@@ -23,7 +23,7 @@ from lintlake.schema import severity_rank
 Query = Callable[[SparkSession, str], DataFrame]
 PLAIN = tuple(r for r in TEXT_RULES if not r.needs_tree and r.name not in ("pth_startup_hooks", "trojan_source"))
 GOLDEN = {r.name: (r.ordinal, r.confidence) for r in (*TEXT_RULES, *TREE_RULES) if r not in PLAIN} | {"dependency_cve": (37, "HIGH"), "unbounded_pins": (50, "MEDIUM")}
-FOUND = ("path", "package", "line", "text", "code_snippet", "ordinal", "slot", "cwe_id", "confidence", "severity")
+FOUND = ("path", "package", "line", "text", "code_snippet", "ordinal", "slot", "nth", "cwe_id", "confidence", "severity")
 
 
 def _rule(name: str) -> Query:
@@ -36,7 +36,7 @@ def _rule_sql(rule, *columns: str) -> str:
     for k, slot in enumerate(rule.slots):
         cases = " ".join(f"WHEN {c.when.sql('code')} THEN '{c.severity}'" for c in slot)
         where = "" if rule.comments else "WHERE NOT starts_with(code, '#')"
-        parts.append(f"SELECT path, package, number AS line, line AS text, code AS code_snippet, {rule.ordinal} AS ordinal, {k} AS slot, '{rule.cwe_id}' AS cwe_id, '{rule.confidence}' AS confidence, CASE {cases} END AS severity FROM lines {where}")
+        parts.append(f"SELECT path, package, number AS line, line AS text, code AS code_snippet, {rule.ordinal} AS ordinal, {k} AS slot, number * 8 + {k} AS nth, '{rule.cwe_id}' AS cwe_id, '{rule.confidence}' AS confidence, CASE {cases} END AS severity FROM lines {where}")
     return f"SELECT {', '.join(columns)} FROM ({' UNION ALL '.join(parts)}) WHERE severity IS NOT NULL"
 
 
@@ -44,7 +44,7 @@ def _golden_sql(rules, *columns: str) -> str:
     """The rows written down beside the snippets, with the lines that they point at."""
     known = ", ".join(f"('{n}', {GOLDEN[n][0]}, '{GOLDEN[n][1]}')" for n in rules)
     return f"""SELECT {', '.join(columns)} FROM (
-  SELECT l.path, l.package, l.number AS line, l.line AS text, coalesce(e.snippet, l.code) AS code_snippet, g.ordinal, e.place AS slot, e.cwe_id, g.confidence, e.severity
+  SELECT l.path, l.package, l.number AS line, l.line AS text, coalesce(e.snippet, l.code) AS code_snippet, g.ordinal, e.place AS slot, e.place AS nth, e.cwe_id, g.confidence, e.severity
   FROM expected e JOIN (VALUES {known}) g(rule, ordinal, confidence) ON e.rule = g.rule JOIN lines l ON l.snippet_id = e.snippet_id AND l.number = e.line)"""
 
 
@@ -117,6 +117,22 @@ def report_sort_rank(spark, sf_dir):
     return rows.select("package", "path", "line", "cwe_id", F.row_number().over(w).alias("place"))
 
 
+def json_order_rank(spark, sf_dir):
+    """Place of each finding inside its package in the order of the JSON report: path components, rule, place in the file."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("package").orderBy(F.split("path", "/"), "ordinal", "seq")
+    return _candidates(spark, sf_dir).select("package", "path", "line", "cwe_id", F.row_number().over(w).alias("place"))
+
+
+def display_path(spark, sf_dir):
+    return corpus.files(spark, sf_dir).select("path", scan.shown_path(F.col("path"), "pkg1/tests").alias("shown"))
+
+
+def total_count(spark, sf_dir):
+    return scan.scan(corpus.files(spark, sf_dir)).findings.agg(F.count("*").alias("n"))
+
+
 def severity_rollup(spark, sf_dir):
     return scan.by_severity(_candidates(spark, sf_dir))
 
@@ -222,14 +238,14 @@ def documents_tokens(spark, sf_dir):
 
 
 OPERATORS: tuple[Query, ...] = (
-    nosec_suppress, confidence_filter, test_path_filter, kept_findings, baseline_distinct, baseline_anti, baseline_count, report_sort_rank, severity_rollup, confidence_rollup,
+    nosec_suppress, confidence_filter, test_path_filter, kept_findings, baseline_distinct, baseline_anti, baseline_count, report_sort_rank, json_order_rank, display_path, total_count, severity_rollup, confidence_rollup,
     exit_gate, package_dedupe, manifest_nearest_ancestor, manifest_label, lockfile_severity, cve_theta_join, version_compare, secret_false_positive, decode_chain_fold, line_numbers, plugin_rule, documents_tokens,
 )
 
 
 def queries() -> dict[str, Query]:
     out = {f"rule_{n}": _rule(n) for n in (*(r.name for r in PLAIN), *GOLDEN)}
-    return out | {f.__name__: f for f in OPERATORS} | {"scan_rollup": flagship}
+    return out | {f.__name__: f for f in OPERATORS} | {"scan_rollup": flagship} | tree_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
@@ -253,6 +269,10 @@ def oracle_sql() -> dict[str, str]:
         "baseline_anti": f"{scanned} SELECT {LEFT_SQL} FROM scanned s WHERE NOT {held}",
         "baseline_count": f"{scanned} SELECT count(*) AS baseline_suppressed FROM scanned s WHERE {held}",
         "report_sort_rank": f"{found} SELECT package, path, line, cwe_id, CAST(row_number() OVER (PARTITION BY package ORDER BY {RANK_SQL}, path COLLATE C, line, ordinal, slot) AS INTEGER) AS place FROM found",
+        **tree_queries.oracle_sql(),
+        "json_order_rank": f"{found} SELECT package, path, line, cwe_id, CAST(row_number() OVER (PARTITION BY package ORDER BY string_split(path, '/'), ordinal, nth) AS INTEGER) AS place FROM found",
+        "display_path": f"{base} SELECT path, CASE WHEN starts_with(path, 'pkg1/tests/') THEN substr(path, 12) ELSE path END AS shown FROM files",
+        "total_count": f"{scanned} SELECT count(*) AS n FROM scanned",
         "scan_rollup": f"{scanned} SELECT package, severity, count(*) AS n, count(DISTINCT path) AS n_files FROM scanned GROUP BY package, severity",
         "severity_rollup": f"{found} SELECT severity, count(*) AS n FROM found GROUP BY severity",
         "confidence_rollup": f"{found} SELECT confidence, count(*) AS n FROM found GROUP BY confidence",
