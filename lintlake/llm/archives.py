@@ -4,6 +4,9 @@ The converter streams an ARC file: the version block's header says how later hea
 length; version 2 adds status, checksum, location, offset and file name), and each record's declared length bounds its bytes. Every record becomes
 a WARC record with a derived identifier, timestamp, type and digests. Records with an equal payload become revisits of one response.
 
+A table of records holds payloads as text; the converter's own streams (`read_arc`, `to_warc`, `read_warc`) are bytes, so payloads in other encodings than UTF-8 go
+through those, not through a table.
+
 Archives are gzip files of a bounded size in the shared folder, one for each task; readers parse them by declared lengths.
 """
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintlake.llm.common import materialize
+from lintlake.llm.common import drop_folder, materialize
 
 
 def _total(labels: DataFrame):
@@ -27,13 +27,16 @@ def connected_components(links: DataFrame) -> DataFrame:
         while (now := _total(labels)) != total:
             total = now
             further = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-            labels = materialize(labels.join(further, "label").select("node", F.col("further").alias("label")), "labels")
+            before, labels = labels, materialize(labels.join(further, "label").select("node", F.col("further").alias("label")), "labels")
+            drop_folder(before)
         if found is None:
             found = labels
         else:
             to = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-            found = materialize(found.join(to, "label", "left").select("node", F.coalesce("further", "label").alias("label")), "labels")
+            before, found = found, materialize(found.join(to, "label", "left").select("node", F.coalesce("further", "label").alias("label")), "labels")
+            drop_folder(before)
         a, b = (labels.select(F.col("node").alias(s), F.col("label").alias(f"{s}_root")) for s in "ab")
-        edges = edges.join(a, "a").join(b, "b").filter("a_root <> b_root")
-        edges = materialize(edges.select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct(), "links")
+        between = edges.join(a, "a").join(b, "b").filter("a_root <> b_root")
+        before, edges = edges, materialize(between.select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct(), "links")
+        drop_folder(before)
     return found

@@ -54,6 +54,16 @@ def test_recall_of_edited_words(spark, seed):
     assert len(pairs) > 250 and met >= 0.98 * len(pairs) and all(got[i] // 2 == i // 2 for i in got)
 
 
+def test_chance_and_sketch():
+    assert resemblance.meeting_chance(0.8) > 0.998
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        a, b = (rng.integers(-(1 << 63), 1 << 63, int(rng.integers(1, 400))) for _ in range(2))
+        a, b = np.unique(np.append(a, b[: len(b) // 2])), np.unique(b)
+        bits = int(np.bitwise_count((resemblance.sketch(a) ^ resemblance.sketch(b)).view(np.uint64)).sum())
+        assert bits <= len(np.setxor1d(a, b)) and bits <= 64 * resemblance.SKETCH
+
+
 def test_dense_groups(spark):
     """Copies of one text with 0 to 40 of 150 words replaced: most pairs share keys and few are similar enough."""
     rng = np.random.default_rng(9)
