@@ -109,20 +109,16 @@ def baseline_count(spark, sf_dir):
 
 
 def report_sort_rank(spark, sf_dir):
-    """Place of each finding inside its package's report."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("package").orderBy("rank", "path", "line", "ordinal", "seq")
-    rows = _candidates(spark, sf_dir).withColumn("rank", severity_rank(F.col("severity")))
-    return rows.select("package", "path", "line", "cwe_id", F.row_number().over(w).alias("place"))
+    """Place of each finding inside its package's report: severity, path, line, rule, place in the file."""
+    rows, files = _candidates(spark, sf_dir), corpus.files(spark, sf_dir)
+    rest = [F.col("line"), F.col("ordinal"), F.col("seq")]
+    return scan.placed(rows, files, "package", [severity_rank(F.col("severity"))], rest).select("package", "path", "line", "cwe_id", "place")
 
 
 def json_order_rank(spark, sf_dir):
     """Place of each finding inside its package in the order of the JSON report: path components, rule, place in the file."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("package").orderBy(F.split("path", "/"), "ordinal", "seq")
-    return _candidates(spark, sf_dir).select("package", "path", "line", "cwe_id", F.row_number().over(w).alias("place"))
+    rows, files = _candidates(spark, sf_dir), corpus.files(spark, sf_dir)
+    return scan.placed(rows, files, "package", [], [F.col("ordinal"), F.col("seq")], by_component=True).select("package", "path", "line", "cwe_id", "place")
 
 
 def display_path(spark, sf_dir):
