@@ -183,7 +183,7 @@ def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def held_out_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS, partition_keys: int = PARTITION_KEYS) -> DataFrame:
-    """id, n_tokens, log_score of every document, each row by the counts of all rows less its own: as score() gives with the tables of the other rows.
+    """id, n_tokens, log_score and its mean a word of every document, each row by the counts of all rows less its own: as score() gives with the tables of the other rows.
 
     A word that no other row holds counts as seen once. block_words and partition_keys bound a task's memory and change no score. Null and empty
     texts have n_tokens 0 and log_score 0; the scores of repeated ids are added up; other columns are ignored. An empty table gives an empty one.
@@ -251,4 +251,5 @@ def held_out_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, i
     back = sent.groupBy("part").applyInArrow(count, "part long, block long, counts binary")
     both = blocks.groupBy("block").cogroup(back.groupBy("block"))
     out = both.applyInArrow(scored, "id long, n_tokens long, log_score double")
-    return out.groupBy("id").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("log_score").alias("log_score"))
+    sums = out.groupBy("id").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("log_score").alias("log_score"))
+    return sums.withColumn("mean_log_score", F.col("log_score") / F.greatest(F.col("n_tokens"), F.lit(1)))

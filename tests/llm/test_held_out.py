@@ -45,5 +45,15 @@ def test_gibberish_is_not_predictable(spark, tmp_path):
     prose = "the cat sat on the mat and the dog sat on the rug near the door of the old house"
     rows = [(i, prose) for i in range(5)] + [(9, " ".join(f"zq{i}x" for i in range(len(prose.split()))))]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["doc_id"]: r["log_score"] for r in registry.op7_stupid_backoff(spark, str(tmp_path)).collect()}
-    assert got[9] < got[0] - 10
+    got = {r["doc_id"]: r for r in registry.op7_stupid_backoff(spark, str(tmp_path)).collect()}
+    assert got[9]["log_score"] < got[0]["log_score"] - 10
+    assert all(r["mean_log_score"] == pytest.approx(r["log_score"] / r["n_tokens"]) for r in got.values())
+
+
+def test_documents_that_occur_twice_stand_apart(spark, sf):
+    """The mean a word tells documents with a copy from those without, whatever their lengths."""
+    docs = table(spark, sf, "documents").select("doc_id", "text").filter("length(text) > 200").dropDuplicates(["text"]).orderBy("doc_id").limit(150)
+    copies = docs.filter("doc_id % 5 = 0").selectExpr("doc_id + 1000000 AS doc_id", "text")
+    got = {r["id"]: r["mean_log_score"] for r in backoff.held_out_scores(docs.unionByName(copies)).collect()}
+    twice, once = sorted(got[i] for i in got if i % 5 == 0), sorted(got[i] for i in got if i % 5)
+    assert twice[0] > once[int(0.9 * len(once))]
