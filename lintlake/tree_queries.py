@@ -1,6 +1,6 @@
 """Registered queries of what works on folders: listing, registry, config, baselines and reports, over a small tree written for each run.
 
-The tree stands in the shared folder where one is set, else in a folder of this machine, which only a local session reads. Expected rows are
+The tree stands in the shared folder where one is set, else in a folder of this machine, which only a local session may use. Expected rows are
 written down by hand as the SQL side.
 """
 
@@ -42,6 +42,8 @@ def tree(spark: SparkSession) -> Path:
     """A folder that holds FILES."""
     shared = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
     at = shared if shared.startswith("/") and Path(shared).is_dir() else None
+    if at is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("the folder queries need a spark.checkpoint.dir that is a folder all machines see")
     root = Path(tempfile.mkdtemp(prefix="lintlake-tree-", dir=at)).resolve() / "proj"
     for name, text in FILES.items():
         (root / name).parent.mkdir(parents=True, exist_ok=True)
