@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from lintlake.llm import alignment, archives, backoff, bytecnn, decontam, maintext, packing, quotes, secrets, simhash, vafile
+from lintlake.llm import alignment, archives, backoff, bytecnn, decontam, maintext, packing, quotes, secrets, simhash, trie, vafile
 from lintlake.llm.common import table
 
 #: A document scored below this counts as of low quality.
@@ -57,12 +57,16 @@ def op10_length_buckets(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op12_prefix_trie(spark, sf_dir):
+    return trie.summary(table(spark, sf_dir, "conversations"))
+
+
 def op13_token_alignment(spark, sf_dir):
     return alignment.summary(table(spark, sf_dir, "documents"))
 
 
 def queries():
-    return {f.__name__: f for f in (op1_vafile_topk, op2_secret_forest, op3_main_text, op4_simhash_neardup, op5_benchmark_windows, op6_arc_to_warc, op7_stupid_backoff, op8_quote_threads, op9_quality_cnn, op10_length_buckets, op13_token_alignment)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_vafile_topk, op2_secret_forest, op3_main_text, op4_simhash_neardup, op5_benchmark_windows, op6_arc_to_warc, op7_stupid_backoff, op8_quote_threads, op9_quality_cnn, op10_length_buckets, op12_prefix_trie, op13_token_alignment)} | {"pipeline": corpus_pipeline.run}
 
 
 TOP_K_SQL = """
@@ -94,5 +98,37 @@ FROM f
 """
 
 
+TRIE_SQL = """
+WITH m AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS n
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list({'role': role, 'text': text} ORDER BY n) AS turns FROM m GROUP BY conv_id
+), coded AS (
+  SELECT conv_id, turns, conv_id - conv_id % 100 AS base, xor(4294967295, list_reduce(
+    list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+    lambda crc, b: list_reduce(range(8), lambda c, i: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END), xor(crc, b)),
+    CAST(4294967295 AS BIGINT))) % 6 AS h
+  FROM own
+), rebuilt AS (
+  SELECT c.conv_id, list_concat(CASE WHEN b.turns IS NULL THEN [] ELSE list_slice(b.turns, 1, c.h) END, list_slice(c.turns, c.h + 1, len(c.turns))) AS turns
+  FROM coded c LEFT JOIN own b ON b.conv_id = c.base
+), held AS (
+  SELECT conv_id, depth, list_slice(turns, 1, depth) AS prefix, len(turns) = depth AS ends FROM rebuilt, unnest(range(0, len(turns) + 1)) t(depth)
+), nodes AS (
+  SELECT depth, prefix, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM held GROUP BY depth, prefix
+), children AS (
+  SELECT list_slice(prefix, 1, depth - 1) AS prefix, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1
+), told AS (
+  SELECT n.*, coalesce(c.n_children, 0) AS n_children, CASE WHEN depth > 0 THEN (n_convs - 1) * length(prefix[depth].text) ELSE 0 END AS saved FROM nodes n LEFT JOIN children c ON c.prefix = n.prefix
+), totals AS (
+  SELECT list_slice(prefix, 1, k) AS prefix, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM told, unnest(range(0, depth + 1)) t(k) GROUP BY 1
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, t.n_leaves, CAST(t.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM told n JOIN totals t ON t.prefix = n.prefix LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.prefix = list_slice(n.prefix, 1, n.depth - 1)
+"""
+
+
 def oracle_sql():
-    return {"op1_vafile_topk": TOP_K_SQL, "op6_arc_to_warc": WARC_SQL}
+    return {"op1_vafile_topk": TOP_K_SQL, "op6_arc_to_warc": WARC_SQL, "op12_prefix_trie": TRIE_SQL}

@@ -61,7 +61,7 @@ def test_bounds_hold():
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_sql(spark, sf, name):
     c = duckdb.connect()
-    for t in ("embeddings", "pages"):
+    for t in ("embeddings", "pages", "conversations"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     frame = registry.queries()[name](spark, sf)
     columns = sorted(frame.columns)
