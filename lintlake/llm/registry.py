@@ -121,7 +121,7 @@ WITH m AS (
 ), children AS (
   SELECT list_slice(prefix, 1, depth - 1) AS prefix, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1
 ), told AS (
-  SELECT n.*, coalesce(c.n_children, 0) AS n_children, CASE WHEN depth > 0 THEN (n_convs - 1) * length(prefix[depth].text) ELSE 0 END AS saved FROM nodes n LEFT JOIN children c ON c.prefix = n.prefix
+  SELECT n.*, coalesce(c.n_children, 0) AS n_children, CASE WHEN depth > 0 THEN (n_convs - 1) * length(n.prefix[depth].text) ELSE 0 END AS saved FROM nodes n LEFT JOIN children c ON c.prefix = n.prefix
 ), totals AS (
   SELECT list_slice(prefix, 1, k) AS prefix, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM told, unnest(range(0, depth + 1)) t(k) GROUP BY 1
 )
