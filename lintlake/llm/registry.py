@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from lintlake.llm import alignment, archives, backoff, bytecnn, decontam, maintext, packing, quotes, secrets, simhash, trie, vafile
+from lintlake.llm import alignment, archives, backoff, bytecnn, decontam, learned, maintext, packing, quotes, secrets, simhash, trie, vafile
 from lintlake.llm.common import table
 
 #: A document scored below this counts as of low quality.
@@ -57,6 +57,10 @@ def op10_length_buckets(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op11_learned_partitions(spark, sf_dir):
+    return learned.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op12_prefix_trie(spark, sf_dir):
     return trie.summary(table(spark, sf_dir, "conversations"))
 
@@ -66,7 +70,7 @@ def op13_token_alignment(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_vafile_topk, op2_secret_forest, op3_main_text, op4_simhash_neardup, op5_benchmark_windows, op6_arc_to_warc, op7_stupid_backoff, op8_quote_threads, op9_quality_cnn, op10_length_buckets, op12_prefix_trie, op13_token_alignment)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_vafile_topk, op2_secret_forest, op3_main_text, op4_simhash_neardup, op5_benchmark_windows, op6_arc_to_warc, op7_stupid_backoff, op8_quote_threads, op9_quality_cnn, op10_length_buckets, op11_learned_partitions, op12_prefix_trie, op13_token_alignment)} | {"pipeline": corpus_pipeline.run}
 
 
 TOP_K_SQL = """
