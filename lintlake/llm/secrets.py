@@ -1,9 +1,9 @@
 """Secrets in text, by candidates and a random forest, all in DataFrame functions.
 
-Candidates are runs of 16 or more key characters with a digit ("=" only as padding at the end), and whatever is assigned to a name such as password or
-token: the whole quoted value, or all up to white space, whatever its characters. A forest over their length, character transitions, dictionary
-coverage, path and neighbouring words tells secrets from false positives. It is fitted on labelled findings and then written out as
-column expressions, so scoring is a projection: no join, shuffle or Python.
+Candidates are whatever is assigned to a name that holds password, token or the like (the whole quoted value, or all up to white space, whatever its characters, its length and the
+blanks around the sign), and runs of 16 or more key characters with a digit ("=" only as padding at the end). One replacement puts marks around all of them and a
+split at the marks gives the pieces. A forest over their length, character transitions, dictionary coverage, path and neighbouring words tells secrets from false positives. It is
+fitted on labelled findings and then written out as column expressions, so scoring is a projection: no join, shuffle or Python.
 """
 
 from __future__ import annotations
@@ -22,14 +22,19 @@ THRESHOLD, MASK = 0.5, "[SECRET]"
 KEYWORD = r"(?:token|secret|passw|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|bearer|client[_-]?key|signing)"
 HARMLESS = r"(?:sha\d*|md5|commit|checksum|digest|etag|hash|uuid|guid|revision|fingerprint|integrity|build|version|order|invoice|phone|iban|card|isbn|serial)"
 STAND_IN = r"(?:example|sample|placeholder|dummy|your|changeme|xxxx|\*{4}|\.{3}|0{8}|1234567|abcdef|test|fake|redacted|todo)"
-#: What stands before a value that is assigned to a telling name: up to the quote, or up to the sign and a space. The pattern asks for the sign
-#: first, which costs little and rules out most places.
-_NAMED = r"(?i:token|secret|passw|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|bearer|client[_-]?key|signing)[A-Za-z0-9_\-]{0,24}[\"']?[ \t]{0,2}(?::=|=>|[:=])[ \t]{0,2}"
+# What names and runs are made of.
+_KEY = r"A-Za-z0-9+/_.\-"
+_SIGN = r"[\"'\])]{0,3}+[ \t]*+(?::=|=>|[:=])[ \t]*+"
+#: Matched at the beginning of a run of key characters: name (1), what stands up to the value (2; 3 and 5 the opening quote), value (4, 6, 7), or a run (8). Loops are possessive
+#: or stay inside one run, so time grows with the text, and no length is bounded. The sign is looked for before the keyword, since few words have one.
 CANDIDATE = (
-    rf"(?<=[:=>][ \t]{{0,2}}\")(?<={_NAMED}\")[^\"\n]{{4,400}}+(?=\")|(?<=[:=>][ \t]{{0,2}}')(?<={_NAMED}')[^'\n]{{4,400}}+(?=')"
-    rf"|(?<=[:=>][ \t]{{0,2}})(?<={_NAMED})[^\s\"'`,;:=>][^\s\"'`,;]{{3,400}}+"
-    r"|(?<![A-Za-z0-9+/_.\-])(?=[A-Za-z+/_.\-]*+[0-9])[A-Za-z0-9+/_.\-]{16,}+={0,2}"
+    rf"(?<![{_KEY}])(?:(?=[{_KEY}]++{_SIGN})(?=[{_KEY}]*?(?i:{KEYWORD}))([{_KEY}]++)({_SIGN})"
+    r"(?:(\")([^\"\n]{4,}+)(?=\")|(')([^'\n]{4,}+)(?=')|([^\s\"'`,;:=>][^\s\"'`,;]{3,}+))"
+    rf"|((?=[A-Za-z+/_.\-]*+[0-9])[{_KEY}]{{16,}}+={{0,2}}))"
 )
+#: Pieces of a candidate: the text before it, the name, what stands up to the value, the value.
+STEP, CHUNK = 4, 256
+MARK = "\u0001|\u0002"
 #: A value that is code, a reference or a template rather than text.
 CODE = r"[(){}<>\[\]]|\$\w|%\(|^(?i:none|null|true|false|string|str|required|optional)$|^[a-z_]+(?:\.[a-z_]+)+$"
 DICTIONARY = "about|access|account|address|after|alpha|also|archive|article|asset|back|base|because|before|beta|book|build|cache|change|class|client|code|color|config|content|count|country|data|date|default|delete|device|docs|document|down|email|error|event|example|field|file|final|first|folder|format|from|group|guide|have|header|health|home|html|http|image|index|info|input|item|items|json|label|language|large|last|lib|library|list|local|login|main|manager|media|menu|message|model|module|month|name|network|news|node|notes|number|object|option|order|output|package|page|path|people|photo|place|plugin|point|post|price|print|process|product|profile|project|public|query|read|record|release|report|request|response|result|root|sample|schema|script|search|section|select|server|service|session|set|shop|simple|site|size|small|source|start|state|static|status|store|string|style|summer|support|system|table|tag|team|template|test|text|time|title|tools|train|type|update|upload|user|users|value|version|video|view|web|week|window|winter|word|work|world|year".split("|")
@@ -82,17 +87,39 @@ def _free(columns: list[str]) -> str:
     return name
 
 
+def _once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with further columns, each computed once a row: a generator's output, which the optimiser doesn't put in place of its uses."""
+    return rows.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def candidates(docs: DataFrame, text_col: str = "text", own: str = "__") -> DataFrame:
-    """docs with values (the candidates) and parts (the text between them, one more than those); own: what these columns' names begin with."""
+    """docs with pieces: for each candidate the text before it, its name, what stands up to its value and its value; the rest of the text last.
+
+    The pieces joined are the text, and a text without candidates is one piece. own: what the column's name begins with. The marks are characters that the text
+    doesn't hold: where it holds the usual ones, they carry its digest.
+    """
     text = string_col(docs, text_col)
-    cut = docs.withColumn(f"{own}any", text.rlike(CANDIDATE))
-    cut = cut.withColumn(f"{own}values", F.when(F.col(f"{own}any"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    return cut.withColumn(f"{own}parts", F.when(F.col(f"{own}any"), F.split(text, CANDIDATE, -1)).otherwise(F.array(text))).drop(f"{own}any")
+    mark = F.when(text.contains(MARK), F.concat(F.lit("\u0001"), F.sha2(text, 256), F.lit("\u0002"))).otherwise(F.lit(MARK))
+    around = F.concat(mark, F.lit("$1"), mark, F.lit("$2$3$5"), mark, F.lit("$4$6$7$8"), mark)
+    quoted = F.regexp_replace(mark, r"\|", r"\\|")  # a split is by a pattern
+    return _once(docs, **{f"{own}pieces": F.split(F.regexp_replace(text, F.lit(CANDIDATE), around), quoted, -1)})
+
+
+def _part(i: Column, k: int, own: str = "__") -> Column:
+    """Piece k of candidate i (from 0): 0 the text before, 1 name, 2 up to the value, 3 value, 4 the text behind it."""
+    return F.element_at(f"{own}pieces", (i * STEP + k + 1).cast("int"))
 
 
 def _sides(i: Column, own: str = "__") -> tuple[Column, Column]:
-    """The text on the left and right of candidate i."""
-    return F.substring(F.element_at(f"{own}parts", i + 1), -SIDE, SIDE), F.substring(F.element_at(f"{own}parts", i + 2), 1, SIDE)
+    """The text on the left and right of candidate i: blanks before the value count as one, and a name stays whole up to a hundred characters beyond SIDE."""
+    gap = F.regexp_replace(_part(i, 2, own), r"[ \t]+", " ")
+    return F.concat(F.right(_part(i, 0, own), F.lit(SIDE)), F.right(_part(i, 1, own), F.lit(SIDE + 100)), gap), F.substring(_part(i, 4, own), 1, SIDE)
+
+
+def _numbers(own: str = "__") -> Column:
+    """The candidates' numbers, from 0."""
+    n = F.floor(F.size(f"{own}pieces") / STEP).cast("int")
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
 def default_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
@@ -153,10 +180,11 @@ def default_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
     more = spark.range(rows).select(n, F.when(good, short).otherwise(none).alias("value"), F.concat(text, key, assign).alias("left"), close.alias("right"))
     where = pick("path", ("docs", "web", "src/app.py", "config/.env", "code", "crawl", "tests/test_app.py", "examples/a.md"))
     lines = made.unionByName(more).select("value", where.alias("path"), good.alias("good"), F.concat("left", "value", "right", F.lit(" and the rest\n")).alias("text"))
-    cut = candidates(lines).select("*", F.posexplode("__values").alias("i", "found"))
+    cut = candidates(lines).select("*", F.explode(_numbers()).alias("i"))
     left, right = _sides(F.col("i"))
-    cut = cut.select(F.col("found").alias("value"), left.alias("left"), right.alias("right"), "path", F.when(F.col("good") & F.col("found").contains(F.col("value")), 1.0).when(~F.col("good"), 0.0).alias("label"))
-    return cut.filter("label IS NOT NULL")
+    cut = cut.select(_part(F.col("i"), 3).alias("found"), F.col("value").alias("made"), left.alias("left"), right.alias("right"), "path", "good")
+    label = F.when(F.col("good") & F.col("found").contains(F.col("made")), 1.0).when(~F.col("good"), 0.0)
+    return cut.select(F.col("found").alias("value"), "left", "right", "path", label.alias("label")).filter("label IS NOT NULL")
 
 
 class Forest:
@@ -170,8 +198,9 @@ class Forest:
         """On labelled findings: value, left, right, path, label (1.0: a secret). Needs both labels."""
         inputs = features(F.col("value"), F.col("left"), F.col("right"), F.col("path"))
         rows = findings.select("label", *(c.alias(k) for k, c in inputs.items()))
-        rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows).select("features", "label").coalesce(1)
+        rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows).select("features", "label").coalesce(1).cache()  # the fit goes over them many times
         model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, minInstancesPerNode=4, featureSubsetStrategy="onethird").fit(rows)
+        rows.unpersist()
 
         def walk(node):
             if node.subtreeDepth() == 0:
@@ -197,34 +226,36 @@ class Forest:
 
 
 def marked(docs: DataFrame, forest: Forest, text_col: str = "text", path_col: str | None = None, own: str = "__") -> DataFrame:
-    """docs with parts (the text between candidates, one more than those) and found (value, score of each candidate)."""
+    """docs with pieces (see candidates()) and found (value, score of each candidate). Features and scores are computed once a candidate."""
     path = F.lit("") if path_col is None else string_col(docs, path_col)
     cut = candidates(docs, text_col, own)
 
-    def one(value, i):
+    def one(i):
+        value = _part(i, 3, own)
         left, right = _sides(i, own)
-        inputs = features(value, left, right, path)
-        return F.struct(value.alias("value"), *(c.alias(k) for k, c in inputs.items()))
+        return F.struct(value.alias("value"), *(c.alias(k) for k, c in features(value, left, right, path).items()))
 
-    known = cut.withColumn(f"{own}known", F.transform(f"{own}values", one))
-    return known.withColumn(f"{own}found", F.transform(f"{own}known", lambda x: F.struct(x["value"].alias("value"), forest.score(x).alias("score")))).drop(f"{own}known", f"{own}values")
+    known = _once(cut, **{f"{own}known": F.transform(_numbers(own), one)})
+    return _once(known, **{f"{own}found": F.transform(f"{own}known", lambda x: F.struct(x["value"].alias("value"), forest.score(x).alias("score")))}).drop(f"{own}known")
 
 
 def findings(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """id, start (code points from 0), value, score of each secret. Null and empty texts hold none; repeated rows give theirs each."""
+    """id, start (code points from 0), value, score of each secret, whatever its length. Null and empty texts hold none; repeated rows give theirs each, ids may be null, an empty table gives an empty one."""
     cols = {c: F.col(f"`{c}`") for c in dict.fromkeys((id_col, text_col, *([path_col] if path_col else [])))}
     rows = marked(docs.select(*cols.values()), forest, text_col, path_col).filter(F.exists("__found", lambda x: x["score"] >= threshold))
-    sizes = F.transform("__parts", lambda x, i: F.length(x) + F.coalesce(F.length(F.get(F.col("__found"), i)["value"]), F.lit(0)))
-    rows = rows.select(F.col(id_col).cast("long").alias("id"), "__found", F.transform("__parts", lambda x: F.length(x)).alias("gap"), sizes.alias("size"))
-    rows = rows.select("id", "gap", "size", F.posexplode("__found").alias("i", "f")).filter(F.col("f.score") >= threshold)
-    start = F.aggregate(F.slice("size", F.lit(1), F.col("i")), F.lit(0), lambda a, x: a + x) + F.element_at("gap", F.col("i") + 1)
-    return rows.select("id", start.cast("long").alias("start"), F.col("f.value").alias("value"), F.col("f.score").alias("score"))
+    # where pieces begin: sums over chunks of pieces, so long texts don't sum all pieces before for each candidate
+    size = _once(rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), "__found", F.transform("__pieces", lambda x: F.length(x).cast("long")).alias("size")), chunk=F.transform(F.sequence(F.lit(0), F.floor(F.size("size") / CHUNK).cast("int")), lambda k: F.aggregate(F.slice("size", k * CHUNK + 1, F.lit(CHUNK)), F.lit(0).cast("long"), lambda a, x: a + x)))
+    found = size.select("id", "size", "chunk", F.posexplode("__found").alias("i", "f")).filter(F.col("f.score") >= threshold)
+    n = F.col("i") * STEP + 3  # pieces before the value
+    total = lambda name, first, count: F.aggregate(F.slice(name, first, count), F.lit(0).cast("long"), lambda a, x: a + x)
+    start = total("chunk", F.lit(1), F.floor(n / CHUNK).cast("int")) + total("size", F.floor(n / CHUNK).cast("int") * CHUNK + 1, n % CHUNK)
+    return found.select("id", start.alias("start"), F.col("f.value").alias("value"), F.col("f.score").alias("score"))
 
 
 def redact(docs: DataFrame, forest: Forest, text_col: str = "text", path_col: str | None = None, threshold: float = THRESHOLD, mask: str = MASK) -> DataFrame:
-    """docs with every secret replaced by the mask. A null text stays null; a text without secrets stays as it is, byte for byte. Columns may have any names."""
+    """docs with every secret replaced by the mask, whatever its length. A null text stays null; a text without secrets stays as it is, byte for byte. Columns may have any names."""
     own = _free(docs.columns)
     rows = marked(docs, forest, text_col, path_col, own)
-    pieces = F.zip_with(f"{own}parts", f"{own}found", lambda p, f: F.concat(p, F.when(f.isNull(), "").when(f["score"] >= threshold, mask).otherwise(f["value"])))
+    masked = F.transform(f"{own}pieces", lambda x, at: F.when((at % STEP == 3) & (F.get(F.col(f"{own}found"), F.floor(at / STEP).cast("int"))["score"] >= threshold), mask).otherwise(x))
     some = F.exists(f"{own}found", lambda x: x["score"] >= threshold)
-    return rows.withColumn(text_col, F.when(some, F.array_join(pieces, "")).otherwise(F.col(f"`{text_col}`"))).drop(f"{own}parts", f"{own}found")
+    return rows.withColumn(text_col, F.when(some, F.array_join(masked, "")).otherwise(F.col(f"`{text_col}`"))).drop(f"{own}pieces", f"{own}found")

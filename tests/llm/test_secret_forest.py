@@ -1,9 +1,13 @@
 """The forest on findings labelled by hand that it never saw, tree voting against brute force, columns of clashing names."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from lintlake.llm import secrets
+from lintlake.llm.common import table
 
 # Lines as they stand in code and documents, written and labelled by hand: what of the line is a secret, if anything.
 SECRETS = [
@@ -91,3 +95,142 @@ def test_columns_of_any_name(spark, forest):
     token = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
     frame = spark.createDataFrame([(1, f'token = "{token}"', "p", 5, "f")], "doc_id long, text string, __parts string, __any int, __found string")
     assert tuple(secrets.redact(frame, forest).first()) == (1, 'token = "[SECRET]"', "p", 5, "f")
+
+
+# The same findings by a walk over the characters and tree voting, without the patterns of the main path.
+KEY_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.-")
+BLANKS = " \t"
+
+
+def walk(text):
+    """(text before, name, what stands up to the value, value, start) of each candidate."""
+    at = done = 0
+    while at < len(text):
+        if text[at] not in KEY_CHARS or at and text[at - 1] in KEY_CHARS:
+            at += 1
+            continue
+        end = at
+        while end < len(text) and text[end] in KEY_CHARS:
+            end += 1
+        name, found, i = text[at:end], None, end
+        while i < len(text) and i < end + 3 and text[i] in "\"'])":
+            i += 1
+        while i < len(text) and text[i] in BLANKS:
+            i += 1
+        sign = next((x for x in (":=", "=>", ":", "=") if text.startswith(x, i)), None)
+        if sign and re.search(secrets.KEYWORD, name, re.IGNORECASE):
+            i += len(sign)
+            while i < len(text) and text[i] in BLANKS:
+                i += 1
+            if text[i : i + 1] in ("'", '"'):
+                stop = i + 1
+                while stop < len(text) and text[stop] not in (text[i], "\n"):
+                    stop += 1
+                if stop < len(text) and text[stop] == text[i] and stop - i - 1 >= 4:
+                    found = (i + 1, stop)
+            elif i < len(text) and text[i] not in ":=>":
+                stop = i
+                while stop < len(text) and text[stop] not in "\"'`,;" and text[stop] not in " \t\n\x0b\x0c\r":
+                    stop += 1
+                if stop - i >= 4:
+                    found = (i, stop)
+        if found:
+            yield text[done:at], name, text[end : found[0]], text[found[0] : found[1]], found[0]
+            at = done = found[1]
+        elif end - at >= 16 and any(c.isdigit() for c in name):
+            stop = end
+            while stop < len(text) and stop < end + 2 and text[stop] == "=":
+                stop += 1
+            yield text[done:at], "", "", text[at:stop], at
+            at = done = stop
+        else:
+            at = end
+
+
+def told(value, left, right, path):
+    """The forest's inputs, counted by hand where a count isn't a pattern of the specification."""
+    low, before, n = value.lower(), left.lower(), max(1, len(value))
+    kinds = ["0" if "0" <= c <= "9" else "a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else "-" for c in value]
+    name = re.search(r"([a-z0-9_.\-]+)[\s\"']*(?:[:=]+[>\s]*|\s)[\"']?$", before)
+    name = name.group(1) if name else ""
+    rest = re.sub("|".join(sorted(secrets.DICTIONARY, key=len, reverse=True)), "", low)
+    other = [c for c in value if not (c.isascii() and (c.isalnum() or c.isspace() or c in "_.-/"))]
+    digits, uppers = sum("0" <= c <= "9" for c in value), sum("A" <= c <= "Z" for c in value)
+    has = lambda pattern, text: float(re.search(pattern, text) is not None)
+    return {
+        "length": min(len(value), 400), "transitions": sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n, "distinct": len(set(low)) / n, "digits": digits / n, "uppers": uppers / n,
+        "dictionary": 1 - len(rest) / n, "pairs": sum(low[i : i + 2] in secrets.PAIRS for i in range(len(low))) / n,
+        "hex": float(re.fullmatch("[0-9a-f]+|[0-9A-F]+", value) is not None and re.search("[A-Fa-f]", value) is not None), "slashes": value.count("/"), "dots": value.count("."),
+        "keyword": has(secrets.KEYWORD, name), "harmless": has(secrets.HARMLESS, name), "assigned": has(r"[:=]>?\s*[\"']?$", left), "quoted": float(left[-1:] in ("'", '"') != "" and left[-1:] != "" and right[:1] in ("'", '"') and right != ""),
+        "stand_in": has(secrets.STAND_IN, low), "in_path": float(bool(re.search(r"(?:[/\\@?&]|https?:\S*)$", left) or re.search(r"^[/\\?&@]", right))), "test_path": has(r"(?:^|[/_.\-])(?:tests?|fixtures?|examples?|mocks?)(?:$|[/_.\-])", path.lower()),
+        "prefix": has(r"^(?:AKIA|ASIA|gh[pousr]_|glpat-|xox[abprs]-|sk_live_|sk-|AIza|eyJ)", value), "punctuation": len(other), "code": has(secrets.CODE, value), "spaces": sum(c in " \t\n\x0b\x0c\r" for c in value),
+        "kinds": has("[a-z]", value) + has("[A-Z]", value) + has("[0-9]", value) + float(bool(other)),
+    }
+
+
+def by_hand(forest, docs):
+    out = []
+    for doc, text, path in docs:
+        text, found = text or "", []
+        found = list(walk(text))
+        for k, (before, name, gap, value, start) in enumerate(found):
+            end = found[k + 1][4] - len(found[k + 1][2]) - len(found[k + 1][1]) if k + 1 < len(found) else len(text)
+            left = before[-secrets.SIDE :] + name[-secrets.SIDE - 100 :] + re.sub("[ \t]+", " ", gap)
+            x = told(value, left, text[start + len(value) : end][: secrets.SIDE], path or "")
+            votes = 0.0
+            for node in forest.trees:
+                while not isinstance(node, float):
+                    node = node[2] if x[secrets.FEATURES[node[0]]] <= node[1] else node[3]
+                votes += node
+            if votes / len(forest.trees) >= secrets.THRESHOLD:
+                out.append((doc, start, value, round(votes / len(forest.trees), 9)))
+    return sorted(out)
+
+
+def test_rows_by_hand(spark, forest):
+    r = random.Random(8)
+    lines = [x for x, _ in SECRETS] + HARMLESS
+    docs = [(-k, " and ".join(r.choice(lines) + r.choice(["", "\n", "  ", ";"]) for _ in range(r.randint(1, 9))), r.choice(["src/app.py", "tests/a.py", None])) for k in range(1, 120)]
+    alphabet = "ab1_=:\"' \n>tokenkey-+/.é\u0001|\u0002"
+    docs += [(-1000 - k, "".join(r.choice(alphabet) for _ in range(300)) + " token" + "".join(r.choice(alphabet) for _ in range(60)), "x") for k in range(150)]
+    docs += [tuple(x) for x in table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "source").collect()]
+    got = secrets.findings(spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(4), forest, path_col="source").collect()
+    assert sorted((*x[:3], round(x[3], 9)) for x in map(tuple, got)) == by_hand(forest, docs)
+    assert len(got) > 150 and len({x[0] for x in got if x[0] >= 0}) > 1
+
+
+def random_text(n, seed=1):
+    return "".join(random.Random(seed).choices("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789!#%", k=n))
+
+
+@pytest.mark.parametrize("n", [8, 390, 396, 400, 401, 408, 540, 5000, 100_000])
+def test_values_of_any_length_are_masked_whole(spark, forest, n):
+    value = random_text(n)
+    forms = [f'token = "{value}"', f"token = '{value}'", f"token={value}", f"password: {value}"]
+    rows = spark.createDataFrame([(k, f"before\n{x}\nafter", len(x) - n - (x[-1] in "\"'") + 7) for k, x in enumerate(forms)], "doc_id long, text string, at long")
+    assert [r["text"] for r in secrets.redact(rows, forest).orderBy("doc_id").collect()] == [f"before\n{x.replace(value, secrets.MASK)}\nafter" for x in forms]
+    assert [(r["id"], r["start"], r["value"]) for r in secrets.findings(rows, forest).orderBy("id").collect()] == [(r["doc_id"], r["at"], value) for r in rows.orderBy("doc_id").collect()]
+
+
+def test_short_values_are_candidates_from_four_characters_on(spark):
+    rows = spark.createDataFrame([(1, "token = 'abc'"), (2, "token = 'abcd'"), (3, "token=abc"), (4, "token=abcd")], "doc_id long, text string")
+    assert [r["n"] for r in secrets.candidates(rows).orderBy("doc_id").select((F.size("__pieces") - 1).alias("n")).collect()] == [0, 4, 0, 4]
+
+
+def test_blanks_and_names_of_any_length(spark, forest):
+    value, name = "k7#pQz!29xLm", "db_password_of_the_primary_cluster_in_the_second_region_and_more"
+    forms = [f'db_password{a}={b}"{value}"' for a in ("", " ", " " * 5, "\t\t", " " * 400) for b in ("", " ", " " * 9)] + [f'{name} = "{value}"', f'{name * 6} = "{value}"']
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(forms)], "doc_id long, text string")
+    assert [r["text"] for r in secrets.redact(rows, forest).orderBy("doc_id").collect()] == [x.replace(value, secrets.MASK) for x in forms]
+
+
+def test_time_grows_with_the_text(spark):
+    """No square: names, signs, blanks and open quotes repeated a hundred thousand times."""
+    rows = spark.createDataFrame([(k, x * 100_000) for k, x in enumerate(("token", "token ", "token=", 'token="', "a:", " ", "token = ", "x1+/"))], "doc_id long, text string")
+    assert secrets.candidates(rows).count() == 8
+
+
+def test_texts_that_hold_the_marks(spark, forest):
+    text = f"a {secrets.MARK} token = 'Tr0ub4dor&3' {secrets.MARK} b"
+    rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert secrets.redact(rows, forest).first()["text"] == text.replace("Tr0ub4dor&3", secrets.MASK)
