@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,3 +53,21 @@ def drop_folder(df: DataFrame) -> None:
 def string_col(df: DataFrame, name: str):
     """Column name as a string with null read as the empty text."""
     return F.coalesce(F.col(name).cast(T.StringType()), F.lit(""))
+
+
+ROW_BITS = 33
+
+
+def ranged(df: DataFrame, coarse: list[Column], order: list[str]) -> DataFrame:
+    """df dealt out by ranges of coarse and sorted by order (which coarse begins), with part (the range) and nth (the place in it)."""
+    number = F.monotonically_increasing_id()
+    return df.repartitionByRange(*coarse).sortWithinPartitions(*order).select("*", F.shiftright(number, ROW_BITS).alias("part"), number.bitwiseAND(F.lit((1 << ROW_BITS) - 1)).alias("nth"))
+
+
+def placed(df: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """df with place: from 0, inside its group, in that order. A group may lie in many ranges, each of which numbers its own rows, so no task holds a group."""
+    rows = materialize(ranged(df, [F.col(group), *map(F.col, order)], [group, *order]), "ranges")
+    size = rows.groupBy(group, "part").agg(F.min("nth").alias("first"), F.count("*").alias("size"))
+    before = F.sum("size").over(Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    size = size.select(group, "part", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
+    return rows.join(size, [group, "part"]).withColumn("place", F.col("nth") + F.col("shift")).drop("part", "nth", "shift")

@@ -2,7 +2,7 @@
 
 Each line's quote level is the number of its leading `>` marks. Sentences of quoted passages, normalised and hashed, are joined to
 the messages of the conversation that said them first in their own words; a reply's parent is the message of its least quote level with
-the most quoted words. A message without a link continues the turn before it. Roots and depths come from pointer doubling.
+the most quoted words. A message without a link continues the one before it, however far its turn lies back. Roots and depths come from pointer doubling.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintlake.llm.common import materialize, string_col
+from lintlake.llm.common import materialize, placed, string_col
 
 MARK = re.compile(r"\s{0,3}>[ \t]?")
 # Fixed forms of the line that introduces a quote.
@@ -96,9 +96,10 @@ def quote_links(rows: DataFrame) -> DataFrame:
 
 
 def conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """conv_id, turn, role, text without quotes, parent_turn, quoted (whether the parent was found by a quote), root_turn, depth.
+    """conv_id, turn, role, text without quotes, parent_turn, quoted (whether the parent was found by a quote), root_turn, depth, place.
 
-    Ordered by conversation, root and turn, so every reply follows its parent. Messages without conv_id or turn stay, alone;
+    place: from 0, inside the conversation, by root and turn, so every reply comes after its parent; repeated rows share theirs. Turns may be any numbers, with gaps. Messages
+    without conv_id or turn stay, alone and without a place;
     repeated (conv_id, turn) rows are all kept and share their links. Null and empty texts have an empty text. Passages that nobody said before link to nothing; other columns are ignored.
     """
     rows = materialize(parsed(messages, conv_col, turn_col, role_col, text_col), "messages")
@@ -107,8 +108,9 @@ def conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str
     parents = quote_links(keyed).groupBy("conv_id", "turn").agg(F.min(F.struct("level", -F.col("words"), F.col("source_turn").alias("source_turn"))).alias("best"))
     parents = parents.select("conv_id", "turn", F.col("best.source_turn").alias("quoted_turn"))
     nodes = keyed.select("conv_id", "turn").distinct()
-    before = nodes.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("last_turn"))
-    nodes = nodes.join(parents, ["conv_id", "turn"], "left").join(before, ["conv_id", "turn"], "left")
+    nodes = placed(nodes, "conv_id", ["turn"])
+    before = nodes.select("conv_id", (F.col("place") + 1).alias("place"), F.col("turn").alias("last_turn"))
+    nodes = nodes.join(before, ["conv_id", "place"], "left").drop("place").join(parents, ["conv_id", "turn"], "left")
     parent = F.coalesce("quoted_turn", "last_turn")
     nodes = nodes.select("conv_id", "turn", parent.alias("parent_turn"), F.col("quoted_turn").isNotNull().alias("quoted"), F.coalesce(parent, "turn").alias("root_turn"), F.when(parent.isNotNull(), 1).otherwise(0).cast("long").alias("depth"), parent.isNull().alias("done"))
     nodes = materialize(nodes, "nodes")
@@ -126,7 +128,7 @@ def conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str
     nodes = done[0]
     for d in done[1:]:
         nodes = nodes.unionByName(d)
-    nodes = nodes.drop("done")
+    nodes = placed(nodes.drop("done"), "conv_id", ["root_turn", "turn"])
     linked = keyed.select("conv_id", "turn", "role", "text").join(nodes, ["conv_id", "turn"])
-    alone = rows.filter("conv_id IS NULL OR turn IS NULL").select("conv_id", "turn", "role", "text", F.lit(None).cast("long").alias("parent_turn"), F.lit(False).alias("quoted"), F.col("turn").alias("root_turn"), F.lit(0).cast("long").alias("depth"))
-    return linked.unionByName(alone).orderBy("conv_id", "root_turn", "turn")
+    alone = rows.filter("conv_id IS NULL OR turn IS NULL").select("conv_id", "turn", "role", "text", F.lit(None).cast("long").alias("parent_turn"), F.lit(False).alias("quoted"), F.col("turn").alias("root_turn"), F.lit(0).cast("long").alias("depth"), F.lit(None).cast("long").alias("place"))
+    return linked.unionByName(alone)

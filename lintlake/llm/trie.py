@@ -17,13 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lintlake.llm.common import drop_folder, materialize
+from lintlake.llm.common import drop_folder, materialize, ranged
 
 #: Conversations share turns inside groups of this many ids, and at most SHARED - 1 turns.
 GROUP, SHARED = 100, 6
 #: Ids of a piece of a node's list; depths of a stretch; parents with more than one in HEAVY of all nodes as children are told apart.
 PIECE, STRETCH, HEAVY = 512, 4096, 1000
-ROW_BITS = 33
 
 
 def _mixed(place: Column, k1: Column, k2: Column) -> tuple[Column, Column]:
@@ -31,13 +30,6 @@ def _mixed(place: Column, k1: Column, k2: Column) -> tuple[Column, Column]:
     return F.xxhash64(place, k1, k2), F.xxhash64(k2, place, F.lit("second"), k1)
 
 
-def _ranged(df: DataFrame, coarse: list[Column], order: list[str]) -> DataFrame:
-    """df dealt out by ranges of coarse and sorted by order, with part (the range) and nth (the place in it)."""
-    dealt = df.repartitionByRange(*coarse).sortWithinPartitions(*order)
-    number = F.monotonically_increasing_id()
-    return dealt.select("*", F.shiftright(number, ROW_BITS).alias("part"), number.bitwiseAND(F.lit((1 << ROW_BITS) - 1)).alias("nth"))
-
-
 def numbered(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Turns (conv_id, part, nth, k1, k2, chars) and stretches (conv_id, part, first, before, size) of every conversation.
 
@@ -46,7 +38,7 @@ def numbered(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     name = lambda c: F.col(f"`{c}`")
     rows = messages.select(name(conv_col).cast("long").alias("conv_id"), name(turn_col).cast("long").alias("turn"), F.coalesce(name(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(name(text_col).cast("string"), F.lit("")).alias("text"))
     start = lambda c: F.left(F.col(c), F.lit(48))
-    sorted_rows = _ranged(rows.filter("conv_id IS NOT NULL"), [F.col("conv_id"), F.col("turn"), start("role"), start("text")], ["conv_id", "turn", "role", "text"])
+    sorted_rows = ranged(rows.filter("conv_id IS NOT NULL"), [F.col("conv_id"), F.col("turn"), start("role"), start("text")], ["conv_id", "turn", "role", "text"])
     turns = sorted_rows.select("conv_id", "part", "nth", F.xxhash64("role", "text").alias("k1"), F.xxhash64(F.lit("second"), F.col("text"), F.col("role")).alias("k2"), F.length("text").cast("long").alias("chars"))
     turns = materialize(turns, "turns")
     size = turns.groupBy("conv_id", "part").agg(F.min("nth").alias("first"), F.count("*").alias("size"))

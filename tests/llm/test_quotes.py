@@ -29,7 +29,8 @@ def test_reply_tree(spark):
     ]
     got = run(spark, rows)
     links = {k: (v["parent_turn"], v["quoted"], v["root_turn"], v["depth"]) for k, v in got.items()}
-    assert links == {(1, 0): (None, False, 0, 0), (1, 1): (0, False, 0, 1), (1, 2): (0, True, 0, 1), (1, 3): (2, True, 0, 2), (1, 4): (3, False, 0, 3), (1, 5): (4, False, 0, 4), (2, 7): (None, False, 7, 0), (2, 9): (None, False, 9, 0)}
+    assert links == {(1, 0): (None, False, 0, 0), (1, 1): (0, False, 0, 1), (1, 2): (0, True, 0, 1), (1, 3): (2, True, 0, 2), (1, 4): (3, False, 0, 3), (1, 5): (4, False, 0, 4), (2, 7): (None, False, 7, 0), (2, 9): (7, False, 7, 1)}
+    assert [k[1] for k in sorted((k for k in got if k[0] == 1), key=lambda k: got[k]["place"])] == list(range(6))
     assert got[1, 3]["text"] == "Some are."
 
 
@@ -38,6 +39,20 @@ def test_long_chain(spark):
     assert all(got[1, k]["depth"] == k and got[1, k]["root_turn"] == 0 for k in range(70))
 
 
+def test_gaps_and_extreme_turns(spark):
+    top, low = 2**63 - 1, -(2**63)
+    got = run(spark, [(1, 1, "a", "One thing said."), (1, 3, "b", "three"), (1, 5, "a", "five"), (2, low, "a", "low"), (2, top, "b", "top"), (2, top - 1, "c", "below"), (3, top, "a", "alone")])
+    links = {k: (v["parent_turn"], v["root_turn"], v["depth"], v["place"]) for k, v in got.items()}
+    assert links == {(1, 1): (None, 1, 0, 0), (1, 3): (1, 1, 1, 1), (1, 5): (3, 1, 2, 2), (2, low): (None, low, 0, 0), (2, top - 1): (low, low, 1, 1), (2, top): (top - 1, low, 2, 2), (3, top): (None, top, 0, 0)}
+
+
+def test_places_follow_the_replies(spark):
+    rows = [(1, 2 * k, "a", f"Statement number {k} of this talk." if k < 4 else f"> Statement number {k % 4} of this talk.\nreply {k}") for k in range(40)]
+    got = run(spark, rows)
+    assert sorted(v["place"] for v in got.values()) == list(range(40))
+    assert all(v["parent_turn"] is None or got[1, v["parent_turn"]]["place"] < v["place"] for v in got.values())
+
+
 def test_odd_rows(spark):
     rows = [(1, 0, None, None), (1, 0, "a", ""), (None, 3, "a", "> x\ny"), (1, None, "a", "z"), (1, 1, "b", "same"), (1, 1, "b", "same")]
     frame = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)
@@ -72,7 +87,7 @@ def test_whole_table_against_brute_force(spark, sf):
             if best:
                 parent, quoted = best[min(best)][1], True
             else:
-                parent, quoted = (t - 1 if t - 1 in turns else None), False
+                parent, quoted = max((x for x in turns if x < t), default=None), False
             _, _, root, depth = expected.get((conv, parent), (None, None, t, -1)) if parent is not None else (None, None, t, -1)
             expected[conv, t] = (parent, quoted, root, depth + 1)
     got = quotes.conversations(table(spark, sf, "conversations")).collect()
