@@ -9,9 +9,10 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 from lintlake import __version__, plugins, report
-from lintlake.plans import scan
-from lintlake.sources import pysource
+from lintlake.plans import registry, scan
+from lintlake.sources import trees
 from lintlake.sources.baselines import read_baseline, write_baseline
+from lintlake.tables import materialize
 
 
 def parser() -> argparse.ArgumentParser:
@@ -36,31 +37,42 @@ def parser() -> argparse.ArgumentParser:
 OWN = tuple(f"lintlake/{x}" for x in ("operators/text_rules.py", "operators/tree_rules.py", "operators/manifest_rules.py", "operators/facts.py", "corpus.py", "report.py"))
 
 
+def config_text(path: Path | None) -> tuple[str | None, str | None]:
+    """The text of a config and the folder it stands in."""
+    if path is None:
+        return None, None
+    try:
+        return path.read_text(), str(path.resolve().parent)
+    except (OSError, UnicodeDecodeError) as e:
+        raise registry.UsageError(f"can't read {path}: {e}") from e
+
+
 def main(argv: list[str] | None = None, cwd: Path | None = None, spark: SparkSession | None = None, workspace: Path | None = None) -> int:
     """workspace: the root that shown paths are relative to and manifests aren't looked for above; by default the workspace that this package is installed in, if any."""
     p = parser()
     args, cwd = p.parse_args(argv), (cwd or Path.cwd()).resolve()
-    workspace, exclude = workspace or pysource.workspace_root(Path(__file__).parent), list(args.exclude)
+    exclude = [*args.exclude, *(() if args.config or args.package else trees.DEFAULT_EXCLUDES)]
+    spark = spark or SparkSession.builder.appName("lintlake").getOrCreate()
+    workspace = str(workspace) if workspace else registry.workspace_of(spark, str(Path(__file__).resolve().parent))
     try:
-        if args.config or args.package:
-            packages = pysource.load_config(args.config, cwd, workspace) if args.config else {}
-            packages |= pysource.parse_packages(args.package, cwd, workspace)
-        else:
-            packages = pysource.discover(cwd)
-            exclude += pysource.DEFAULT_EXCLUDES
-        if not packages:
-            raise pysource.UsageError("there is no package to scan")
-        packages = pysource.select(packages, args.packages)
-    except pysource.UsageError as e:
+        packages = registry.registry(spark, str(cwd), *config_text(args.config), entries=args.package, workspace=workspace)
+        if args.packages is not None:
+            wanted = spark.createDataFrame(list(enumerate(args.packages)), "place int, name string")
+            packages, unknown = registry.selected(packages, wanted)
+            if unknown := [r["name"] for r in unknown.orderBy("place").collect()]:  # of the names on the command line
+                raise registry.UsageError(f"unknown packages: {', '.join(unknown)}")
+        packages = materialize(registry.in_order(packages), "packages")
+        if args.packages is None and packages.isEmpty():
+            raise registry.UsageError("there is no package to scan")
+    except registry.UsageError as e:
         p.error(str(e))
-    spark = spark or SparkSession.builder.appName("lintlake").getOrCreate()
     say = lambda text: None if args.quiet else print(text, file=sys.stderr)
-    files = pysource.read_packages(spark, packages, exclude, OWN, workspace)
+    files = materialize(registry.read(packages, exclude, OWN, workspace), "texts")
     if not args.quiet and not args.json:
-        print(f"  Scanning {pysource.file_count(packages, exclude, OWN)} file(s) in {len(packages)} package(s)")
+        print(f"  Scanning {registry.file_count(packages, exclude, OWN).first()['n']} file(s) in {packages.count()} package(s)")
     found = plugins.discover(say)
     extra = [r for r in found if isinstance(r, scan.Rule)]
-    options = {"confidence_min": args.confidence_min, "include_tests": args.include_tests, "test_dirs": args.test_paths, "root": str(workspace) if workspace else None}
+    options = {"confidence_min": args.confidence_min, "include_tests": args.include_tests, "test_dirs": args.test_paths, "root": workspace}
     baseline = read_baseline(spark, args.baseline) if args.baseline and not args.write_baseline else None
     scanned = scan.scan(files, None, extra, baseline, keep=True, **options)
     if procedural := {getattr(f, "__name__", str(k)): f for k, f in enumerate(found) if not isinstance(f, scan.Rule)}:
@@ -71,7 +83,7 @@ def main(argv: list[str] | None = None, cwd: Path | None = None, spark: SparkSes
         scanned.findings = scanned.findings.unionByName(more if baseline is None else scan.without_baseline(more, baseline))
     scanned.findings = scanned.findings.cache()
     if args.write_baseline:
-        n = write_baseline(scanned.findings, args.write_baseline)
+        n = write_baseline(scanned.findings, str(Path(args.write_baseline).absolute()))
         (report.as_json if args.json else report.as_text)(scanned)
         if not args.quiet and not args.json:
             print(f"  Wrote {n} fingerprint(s) to {args.write_baseline}")

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import json
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintlake.plans.scan import fingerprints
+from lintlake.sources import sinks
 
 
 def read_baseline(spark: SparkSession, path: str) -> DataFrame:
@@ -18,13 +16,7 @@ def read_baseline(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_baseline(findings: DataFrame, path: str) -> int:
-    """Write the distinct fingerprints in order, a row at a time; returns their number."""
-    rows = fingerprints(findings).distinct().orderBy("cwe_id", "file", "code_snippet")
-    n = 0
-    with Path(path).open("w") as out:
-        out.write('{\n  "fingerprints": [')
-        for r in rows.toLocalIterator():
-            out.write(("," if n else "") + "\n    " + json.dumps(list(r)))
-            n += 1
-        out.write(("\n  " if n else "") + "]\n}\n")
-    return n
+    """Write the distinct fingerprints in order, each range of them by an executor; returns their number."""
+    rows = fingerprints(findings).distinct()
+    sinks.save(rows.orderBy("cwe_id", "file", "code_snippet"), path, "baseline", '{\n  "fingerprints": [', "]\n}\n")
+    return rows.count()

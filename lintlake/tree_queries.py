@@ -1,144 +1,183 @@
-"""Registered queries of what works on folders: listing, registry, config, baselines and reports, over a small tree written for each run.
-
-The tree stands in the shared folder where one is set, else in a folder of this machine, which only a local session may use. Expected rows are
-written down by hand as the SQL side.
-"""
+"""Registered queries of what works on folders and registries: trees written from orders, entries, configs and links made from customers, suppliers and orders."""
 
 from __future__ import annotations
 
-import io
-import json
-import tempfile
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lintlake import report
-from lintlake.functions.predicates import sql_text
-from lintlake.plans import scan
-from lintlake.sources import baselines, pysource
-
-FILES = {
-    "app/__init__.py": "import os\nos.system(c)\n",
-    "app/.hidden/x.py": "eval(x)\n",
-    "app/sub/Pipfile": "[packages]\nx = 'aiohttp>=3.9.0'\n",
-    "app/sub/Pipfile.lock": "{}\n",
-    "app/sub/m.py": "pwd = 'abcde1'\n",
-    "lib/build/gen.py": "eval(x)\n",
-    "lib/nested/_m.py": "h = hashlib.md5(x)  # nosec\npickle.loads(x)\n",
-    "lib/tests/t.py": "pwd = 'abcde1'\n",
-    "docs/readme.md": "eval(x)\n",
-    ".venv/v.py": "eval(x)\n",
-    "node_modules/n.py": "eval(x)\n",
-    "loose.py": "app.run(debug=True)\n",
-    "setup.py": "x = ['dask==2020.1.1']\n",
-    "pyproject.toml": "[tool.uv.workspace]\nmembers = ['app']\n",
-    "scan.toml": "[packages]\nfirst = 'app'\nsecond = 'lib/nested'\n",
-    "bad.toml": "[packages]\nout = '../..'\n",
-}
-
-
-def tree(spark: SparkSession) -> Path:
-    """A folder that holds FILES."""
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
-    at = shared if shared.startswith("/") and Path(shared).is_dir() else None
-    if at is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("the folder queries need a spark.checkpoint.dir that is a folder all machines see")
-    root = Path(tempfile.mkdtemp(prefix="lintlake-tree-", dir=at)).resolve() / "proj"
-    for name, text in FILES.items():
-        (root / name).parent.mkdir(parents=True, exist_ok=True)
-        (root / name).write_text(text)
-    return root
+from lintlake import corpus
+from lintlake.plans import registry, scan
+from lintlake.sources import trees
+from lintlake.tables import materialize, mounted, new_folder
+
+MANIFEST = "[project]\nname = 'proj'\n"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _read(spark: SparkSession, root: Path) -> DataFrame:
-    return pysource.read_packages(spark, pysource.discover(root), pysource.DEFAULT_EXCLUDES, ceiling=root)
+def tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rel, text: the corpus with some files moved into folders that are excluded, deep, hidden or missing, and a manifest on top."""
+    files = corpus.files(spark, sf_dir).withColumn("k", F.regexp_extract("path", r"(?:mod_|/d)(\d+)", 1).cast("long"))
+    k, below = F.col("k"), F.expr("substring(path, 6)")
+    rel = (
+        F.when(k % 17 == 0, F.concat(F.lit(".hidden/"), "path")).when(k % 17 == 1, F.concat(F.lit("node_modules/"), "path")).when(k % 19 == 0, F.translate("path", "/", "_"))
+        .when(k % 13 == 0, F.concat("package", F.lit("/.venv/"), below)).when(k % 13 == 1, F.concat("package", F.lit("/build/"), below)).when(k % 13 == 2, F.concat("package", F.lit("/deep/er/x"), (k % 7).cast("string"), F.lit("/"), below)).otherwise(F.col("path"))
+    )
+    return files.select(rel.alias("rel"), "text").unionByName(spark.createDataFrame([("pyproject.toml", MANIFEST)], "rel string, text string"))
 
 
-def _local(rows: list[tuple], schema: str, spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
+TREE_SQL = f"""tree AS (
+  SELECT CASE WHEN k % 17 = 0 THEN '.hidden/' || path WHEN k % 17 = 1 THEN 'node_modules/' || path WHEN k % 19 = 0 THEN replace(path, '/', '_')
+    WHEN k % 13 = 0 THEN package || '/.venv/' || below WHEN k % 13 = 1 THEN package || '/build/' || below WHEN k % 13 = 2 THEN package || '/deep/er/x' || (k % 7) || '/' || below ELSE path END AS rel, text
+  FROM (SELECT *, CAST(regexp_extract(path, '(?:mod_|/d)(\\d+)', 1) AS BIGINT) AS k, substr(path, 6) AS below FROM files)
+), owned AS (
+  SELECT CASE WHEN contains(rel, '/') THEN split_part(rel, '/', 1) ELSE 'proj' END AS package, rel AS file, text FROM tree
+  WHERE rel LIKE '%.py' AND NOT starts_with(rel, '.') AND NOT starts_with(rel, 'node_modules/') AND NOT contains(rel, '/.venv/') AND NOT contains(rel, '/build/')
+)"""
 
 
-def source_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+def written(spark: SparkSession, sf_dir: str) -> str:
+    """The path of the tree, written by executors to the shared folder."""
+    root = f"{mounted(new_folder(spark, 'tree'))}/proj"
+    trees.write(tree_files(spark, sf_dir).select(F.concat(F.lit(root + "/"), "rel").alias("path"), "text"))
+    return root
+
+
+def source_tree(spark, sf_dir):
     """package, file, locked, text of what a bare call scans."""
-    root = tree(spark)
-    return _read(spark, root).select("package", scan.shown_path(scan.F.col("path"), str(root)).alias("file"), "locked", "text")
-
-
-def package_file_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Python files of each registry: discovered, configured, and two packages that overlap."""
-    root = tree(spark)
-    found = {"discovered": (pysource.discover(root), pysource.DEFAULT_EXCLUDES), "configured": (pysource.load_config(root / "scan.toml", root), ()), "overlapping": (pysource.parse_packages(["a=app", "b=app/sub"], root), ())}
-    return _local([(k, pysource.file_count(p, list(x))) for k, (p, x) in found.items()], "registry string, n int", spark)
-
-
-def package_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each way of naming packages gives: name and folder, or why it can't be used."""
-    root = tree(spark)
-    ways = {
-        "discovered": lambda: pysource.discover(root),
-        "config": lambda: pysource.load_config(root / "scan.toml", root),
-        "config outside": lambda: pysource.load_config(root / "bad.toml", root),
-        "entries": lambda: pysource.parse_packages(["x=lib", "y = app/sub"], root),
-        "entry outside": lambda: pysource.parse_packages(["x=/etc"], root),
-        "entry unnamed": lambda: pysource.parse_packages(["=lib"], root),
-        "selected": lambda: pysource.select(pysource.discover(root), ["lib", "app", "lib"]),
-        "selected unknown": lambda: pysource.select(pysource.discover(root), ["nope"]),
-        "marker": lambda: {"workspace": (pysource.workspace_root(root / "lib/nested"), True)},
-    }
-    rows = []
-    for way, f in ways.items():
-        try:
-            rows += [(way, k, name, at.relative_to(root).as_posix(), deep) for k, (name, (at, deep)) in enumerate(f().items())]
-        except pysource.UsageError:
-            rows.append((way, 0, None, None, None))
-    return _local(rows, "way string, place int, package string, folder string, deep boolean", spark)
-
-
-def baseline_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fingerprints that a baseline file gives back, of all findings of the tree."""
-    root = tree(spark)
-    target = root.parent / "baseline.json"
-    baselines.write_baseline(scan.scan(_read(spark, root), root=str(root)).findings, str(target))
-    return baselines.read_baseline(spark, str(target))
-
-
-def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The findings of the JSON document in its order, with the document's counters."""
-    root, out = tree(spark), io.StringIO()
-    report.as_json(scan.scan(_read(spark, root), root=str(root)), out)
-    doc = json.loads(out.getvalue())
-    rows = [(k, f["package"], f["file"], f["line"], f["cwe_id"], f["severity"], f["code"], doc["count"], doc["nosec_suppressed"], doc["test_suppressed"], "suppression_hint" in doc) for k, f in enumerate(doc["findings"], 1)]
-    return _local(rows, "place int, package string, file string, line int, cwe_id string, severity string, code string, total int, nosec int, tests int, hinted boolean", spark)
-
-
-def text_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places of the text report's findings, in its order, and its closing counts."""
-    root, out = tree(spark), io.StringIO()
-    report.as_text(scan.scan(_read(spark, root), root=str(root)), out)
-    lines = [x.strip() for x in out.getvalue().split("\n")]
-    shown = [x for x in lines if any(x.startswith(f) and x[len(f) : len(f) + 1] == ":" for f in FILES)] + [x for x in lines if x.startswith(("CRITICAL ", "confidence: ", "("))]
-    return _local(list(enumerate(shown, 1)), "place int, line string", spark)
-
-
-_FOUND = [("app", "app/__init__.py", 2, "CWE-78", "CRITICAL", "os.system(c)"), ("app", "app/.hidden/x.py", 1, "CWE-94", "CRITICAL", "eval(x)"), ("app", "app/sub/m.py", 1, "CWE-798", "HIGH", "pwd = 'abcde1'"), ("lib", "lib/nested/_m.py", 2, "CWE-502", "CRITICAL", "pickle.loads(x)"), ("proj", "loose.py", 1, "CWE-489", "MEDIUM", "app.run(debug=True)"), ("proj", "setup.py", 1, "CWE-1104", "HIGH", "x = ['dask==2020.1.1']")]
-_ORDER = ["app/.hidden/x.py", "app/__init__.py", "app/sub/m.py", "lib/nested/_m.py", "loose.py", "setup.py"]
-EXPECTED = {
-    "source_tree": ("package, file, locked, text", [("app", "app/.hidden/x.py", False, FILES["app/.hidden/x.py"]), ("app", "app/__init__.py", False, FILES["app/__init__.py"]), ("app", "app/sub/m.py", False, FILES["app/sub/m.py"]), ("lib", "lib/nested/_m.py", False, FILES["lib/nested/_m.py"]), ("lib", "lib/tests/t.py", False, FILES["lib/tests/t.py"]), ("proj", "loose.py", False, FILES["loose.py"]), ("proj", "setup.py", False, FILES["setup.py"]), ("proj", "pyproject.toml", False, FILES["pyproject.toml"])]),
-    "package_file_count": ("registry, n", [("discovered", 7), ("configured", 4), ("overlapping", 4)]),
-    "package_registry": ("way, place, package, folder, deep", [("discovered", 0, "app", "app", True), ("discovered", 1, "lib", "lib", True), ("discovered", 2, "proj", ".", False), ("config", 0, "first", "app", True), ("config", 1, "second", "lib/nested", True), ("config outside", 0, None, None, None), ("entries", 0, "x", "lib", True), ("entries", 1, "y", "app/sub", True), ("entry outside", 0, None, None, None), ("entry unnamed", 0, None, None, None), ("selected", 0, "lib", "lib", True), ("selected", 1, "app", "app", True), ("selected unknown", 0, None, None, None), ("marker", 0, "workspace", ".", True)]),
-    "baseline_file": ("cwe_id, file, code_snippet", [(c, f, code) for _, f, _, c, _, code in _FOUND]),
-    "json_report": ("place, package, file, line, cwe_id, severity, code, total, nosec, tests, hinted", [(_ORDER.index(f) + 1, p, f, n, c, s, code, 6, 1, 1, False) for p, f, n, c, s, code in _FOUND]),
-    "text_report": ("place, line", list(enumerate(["app/.hidden/x.py:1  (app)", "app/__init__.py:2  (app)", "lib/nested/_m.py:2  (lib)", "app/sub/m.py:1  (app)", "setup.py:1  (proj)", "loose.py:1  (proj)", "(1 finding(s) left out by # nosec)", "(1 finding(s) in test code left out (see --include-tests))", "CRITICAL 3, HIGH 2, MEDIUM 1", "confidence: HIGH 2, MEDIUM 3, LOW 1"], 1))),
-}
+    root = written(spark, sf_dir)
+    packages = materialize(registry.in_order(registry.discovered(spark, root)), "packages")
+    return registry.read(packages, trees.DEFAULT_EXCLUDES, ceiling=root).select("package", scan.shown_path(F.col("path"), root).alias("file"), "locked", "text")
+
+
+def discovered_packages(spark, sf_dir):
+    """ordinal, name, folder, deep of the packages of a bare call."""
+    root = written(spark, sf_dir)
+    return registry.in_order(registry.discovered(spark, root)).select("ordinal", "name", F.concat(F.lit("."), F.substring("root", len(root) + 1, 1 << 30)).alias("folder"), "deep")
+
+
+def package_file_count(spark, sf_dir):
+    """Python files of what is discovered, and of two packages of which one lies in the other."""
+    root = written(spark, sf_dir)
+    both = spark.createDataFrame([("a", f"{root}/pkg0", True), ("b", f"{root}/pkg0/tests", True)], "name string, root string, deep boolean")
+    counts = [registry.file_count(p, x).select(F.lit(name).alias("registry"), "n") for name, p, x in (("discovered", registry.discovered(spark, root), trees.DEFAULT_EXCLUDES), ("overlapping", both, ()))]
+    return counts[0].unionByName(counts[1])
+
+
+def workspace_marker(spark, sf_dir):
+    """For a folder of each order the nearest folder above it that declares a workspace; some projects on the way declare none, some aren't TOML."""
+    orders = table(spark, sf_dir, "orders").select(F.concat(F.lit("/ws"), F.col("o_custkey") % 40, F.lit("/a"), F.col("o_orderkey") % 5, F.lit("/b"), F.col("o_orderkey")).alias("folder")).distinct()
+    outer = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 40).alias("c")).distinct()
+    text = F.when(F.col("c") % 3 == 0, "[tool.uv.workspace]\nmembers = []\n").when(F.col("c") % 3 == 1, "[project]\nname = 'x'\n").otherwise("[tool.uv")
+    inner = outer.select("c", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("x"))
+    projects = outer.select(F.concat(F.lit("/ws"), "c").alias("dir"), text.alias("text"))
+    projects = projects.unionByName(inner.filter("x >= 2").select(F.concat(F.lit("/ws"), "c", F.lit("/a"), "x").alias("dir"), F.when(F.col("x") == 3, "[tool.uv.workspace]\n").when(F.col("x") == 4, "[tool.uv]\nx = 1\n").otherwise("").alias("text")))
+    return registry.workspaces(orders, projects)
+
+
+def _entries(spark, sf_dir) -> DataFrame:
+    """place, entry: NAME=PATH for each customer, some without a name, a path or a sign."""
+    k = F.col("c_custkey")
+    entry = F.when(k % 29 == 0, F.concat(F.lit("= /r/"), k)).when(k % 31 == 0, F.concat(F.lit("name"), k)).when(k % 37 == 0, F.concat(F.lit("s"), k, F.lit("=  "))).otherwise(F.concat(F.lit(" s"), k % 70, F.lit("\t= /r/"), k, F.lit("=x ")))
+    return table(spark, sf_dir, "customer").select(k.alias("place"), entry.alias("entry"))
+
+
+ENTRY_SQL = """entries AS (
+  SELECT c_custkey AS place, CASE WHEN c_custkey % 29 = 0 THEN '= /r/' || c_custkey WHEN c_custkey % 31 = 0 THEN 'name' || c_custkey WHEN c_custkey % 37 = 0 THEN 's' || c_custkey || '=  ' ELSE ' s' || c_custkey % 70 || chr(9) || '= /r/' || c_custkey || '=x ' END AS entry FROM customer
+), parsed AS (
+  SELECT place, entry, CASE WHEN good THEN name END AS name, CASE WHEN good THEN given END AS given FROM (
+    SELECT *, contains(entry, '=') AND name <> '' AND given <> '' AS good FROM (
+      SELECT *, trim(split_part(entry, '=', 1), ' ' || chr(9)) AS name, trim(substr(entry, instr(entry, '=') + 1), ' ' || chr(9)) AS given FROM entries))
+), laid AS (
+  SELECT 's' || s_suppkey % 9 AS name, '/base/' || s_suppkey AS root, FALSE AS later, s_suppkey AS place FROM supplier
+  UNION ALL SELECT name, given, TRUE, place FROM parsed WHERE name IS NOT NULL
+), merged AS (
+  SELECT name, root, CAST(row_number() OVER (ORDER BY first_later, first_place) - 1 AS INTEGER) AS ordinal FROM (
+    SELECT name, arg_max(root, {'later': later, 'place': place}) AS root, bool_and(later) AS first_later, arg_min(place, {'later': later, 'place': place}) AS first_place FROM laid GROUP BY name)
+)"""
+
+
+def package_entries(spark, sf_dir):
+    """Each entry with its name and path, null where it can't be used."""
+    return registry.parsed(_entries(spark, sf_dir))
+
+
+def _merged(spark, sf_dir) -> DataFrame:
+    base = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("place"), F.concat(F.lit("s"), F.col("s_suppkey") % 9).alias("name"), F.concat(F.lit("/base/"), "s_suppkey").alias("root"))
+    return registry.merged(base, registry.parsed(_entries(spark, sf_dir)).filter("name IS NOT NULL").select("place", "name", F.col("given").alias("root")))
+
+
+def package_registry(spark, sf_dir):
+    """The suppliers' packages with the customers' entries laid over them, in order."""
+    return registry.in_order(_merged(spark, sf_dir)).select("ordinal", "name", "root")
+
+
+def package_selection(spark, sf_dir):
+    """What the orders ask for, in the order in which they ask first: packages, and names that nobody registered."""
+    wanted = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("place"), F.concat(F.lit("s"), F.col("o_custkey") % 90).alias("name"))
+    known, unknown = registry.selected(_merged(spark, sf_dir), wanted)
+    return known.select("name", "root", "place").unionByName(unknown.select("name", F.lit(None).cast("string").alias("root"), "place"))
+
+
+def package_configs(spark, sf_dir):
+    """The packages of a TOML text for each thirtieth of the customers; some texts aren't TOML, some have no such table."""
+    k, c = F.col("c_custkey"), F.col("c")
+    lines = table(spark, sf_dir, "customer").select((k % 30).alias("c"), k.alias("k"), F.concat(F.lit("p"), k, F.lit(" = \"../x"), k, F.lit("\"\n")).alias("line"))
+    texts = lines.groupBy("c").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "").alias("body"))
+    text = F.when(c % 7 == 3, "[packages").when(c % 7 == 5, F.concat(F.lit("x = 1\n[other]\n"), "body")).otherwise(F.concat(F.lit("[packages]\n"), "body"))
+    return registry.configured(texts.select(F.concat(F.lit("c"), c).alias("config"), text.alias("text")))
+
+
+def sandbox_paths(spark, sf_dir):
+    """Where a path of each order leads over the customers' links (chains, circles, .. behind links), and whether that lies in the allowed folder."""
+    c = F.col("c_custkey")
+    target = F.when(c % 4 == 0, F.concat(F.lit("/in/d"), c)).when(c % 4 == 1, F.concat(F.lit("../in/e"), c, F.lit("/./.."))).when(c % 4 == 2, F.concat(F.lit("n"), c + 1)).when(c % 8 == 3, F.concat(F.lit("/l/n"), c - 1)).otherwise(F.concat(F.lit("/out/x"), c))
+    links = table(spark, sf_dir, "customer").select(F.concat(F.lit("/l/n"), c).alias("path"), target.alias("target"))
+    k = F.col("o_orderkey")
+    path = F.concat(F.lit("/l/./n"), F.col("o_custkey"), F.when(k % 3 == 0, "/y/../z").when(k % 3 == 1, "").otherwise("/../in/w"), F.when(k % 5 == 0, "/../..").otherwise(""))
+    paths = table(spark, sf_dir, "orders").select(k.cast("string").alias("id"), path.alias("path"))
+    real = materialize(registry.resolved(paths, links), "real")
+    return registry.inside(real, spark.createDataFrame([("/in",)], "real string")).select(F.col("id").alias("order_id"), "real", "ok")
+
+
+LINK_SQL = """
+WITH RECURSIVE links AS (
+  SELECT '/l/n' || c AS path, CASE WHEN c % 4 = 0 THEN '/in/d' || c WHEN c % 4 = 1 THEN '../in/e' || c || '/./..' WHEN c % 4 = 2 THEN 'n' || (c + 1) WHEN c % 8 = 3 THEN '/l/n' || (c - 1) ELSE '/out/x' || c END AS target
+  FROM (SELECT c_custkey AS c FROM customer)
+), paths AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS id, '/l/./n' || o_custkey || CASE o_orderkey % 3 WHEN 0 THEN '/y/../z' WHEN 1 THEN '' ELSE '/../in/w' END || CASE WHEN o_orderkey % 5 = 0 THEN '/../..' ELSE '' END AS path FROM orders
+), walk AS (
+  SELECT id, CAST([] AS VARCHAR[]) AS done, string_split(path, '/') AS todo, 0 AS hops FROM paths
+  UNION ALL
+  SELECT id,
+    CASE WHEN todo[1] IN ('', '.') THEN done WHEN todo[1] = '..' THEN list_slice(done, 1, len(done) - 1) WHEN l.target IS NULL THEN list_append(done, todo[1]) WHEN starts_with(l.target, '/') THEN [] ELSE done END,
+    CASE WHEN todo[1] NOT IN ('', '.', '..') AND l.target IS NOT NULL THEN list_concat(string_split(l.target, '/'), list_slice(todo, 2, len(todo))) ELSE list_slice(todo, 2, len(todo)) END,
+    CASE WHEN todo[1] NOT IN ('', '.', '..') AND l.target IS NOT NULL THEN hops + 1 ELSE hops END
+  FROM walk LEFT JOIN links l ON l.path = '/' || array_to_string(list_append(done, todo[1]), '/')
+  WHERE len(todo) > 0 AND hops <= 40
+)
+SELECT p.id AS order_id, w.real, coalesce(w.real = '/in' OR starts_with(w.real, '/in/'), FALSE) AS ok
+FROM paths p LEFT JOIN (SELECT id, '/' || array_to_string(done, '/') AS real FROM walk WHERE len(todo) = 0) w ON w.id = p.id
+"""
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (source_tree, package_file_count, package_registry, baseline_file, json_report, text_report)}
+    return {f.__name__: f for f in (source_tree, discovered_packages, package_file_count, workspace_marker, package_entries, package_registry, package_selection, package_configs, sandbox_paths)}
 
 
 def oracle_sql() -> dict[str, str]:
-    def value(x) -> str:
-        return "NULL" if x is None else str(x).lower() if isinstance(x, bool) else f"CAST({x} AS INTEGER)" if isinstance(x, int) else sql_text(x)
-
-    return {name: f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(value, row)) + ')' for row in rows)}) t({columns})" for name, (columns, rows) in EXPECTED.items()}
+    base = f"WITH {corpus.files_sql()}, {TREE_SQL}"
+    manifest = MANIFEST.replace("'", "''").replace("\n", "' || chr(10) || '")
+    return {
+        "source_tree": f"{base} SELECT package, file, FALSE AS locked, text FROM owned UNION ALL SELECT 'proj', 'pyproject.toml', FALSE, '{manifest}'",
+        "discovered_packages": f"{base} SELECT CAST(row_number() OVER (ORDER BY name = 'proj', name) - 1 AS INTEGER) AS ordinal, name, CASE WHEN name = 'proj' THEN '.' ELSE './' || name END AS folder, name <> 'proj' AS deep FROM (SELECT DISTINCT package AS name FROM owned)",
+        "package_file_count": f"{base} SELECT 'discovered' AS registry, count(*) AS n FROM owned UNION ALL SELECT 'overlapping', count(*) FILTER (WHERE rel LIKE 'pkg0/%.py') + count(*) FILTER (WHERE rel LIKE 'pkg0/tests/%.py') FROM tree",
+        "workspace_marker": "SELECT DISTINCT '/ws' || (o_custkey % 40) || '/a' || (o_orderkey % 5) || '/b' || o_orderkey AS folder, CASE WHEN known.c IS NULL THEN NULL WHEN o_orderkey % 5 = 3 THEN '/ws' || (o_custkey % 40) || '/a3' WHEN o_custkey % 40 % 3 = 0 THEN '/ws' || (o_custkey % 40) END AS workspace FROM orders LEFT JOIN (SELECT DISTINCT c_custkey % 40 AS c FROM customer) known ON known.c = o_custkey % 40",
+        "package_entries": f"WITH {ENTRY_SQL} SELECT place, entry, name, given FROM parsed",
+        "package_registry": f"WITH {ENTRY_SQL} SELECT ordinal, name, root FROM merged",
+        "package_selection": f"WITH {ENTRY_SQL}, wanted AS (SELECT 's' || o_custkey % 90 AS name, min(o_orderkey) AS place FROM orders GROUP BY 1) SELECT w.name, m.root, w.place FROM wanted w LEFT JOIN merged m ON m.name = w.name",
+        "package_configs": "SELECT 'c' || c AS config, CASE WHEN problem IS NULL THEN CAST(row_number() OVER (PARTITION BY c ORDER BY k) - 1 AS INTEGER) END AS place, CASE WHEN problem IS NULL THEN 'p' || k END AS name, CASE WHEN problem IS NULL THEN '../x' || k END AS given, problem FROM (SELECT c_custkey % 30 AS c, c_custkey AS k, CASE c_custkey % 30 % 7 WHEN 3 THEN 'toml' WHEN 5 THEN 'table' END AS problem FROM customer) QUALIFY problem IS NULL OR row_number() OVER (PARTITION BY c ORDER BY k) = 1",
+        "sandbox_paths": LINK_SQL,
+    }

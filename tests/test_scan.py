@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from lintlake import cli, plugins, report
 from lintlake.functions.lines import split_lines, strip
 from lintlake.plans import scan
-from lintlake.sources import baselines, pysource
+from lintlake.plans import registry
+from lintlake.sources import baselines, sinks, trees
 from lintlake.streaming import watch
 
 
@@ -76,6 +77,23 @@ def test_orders_and_reports(spark):
     assert scan.fails(scanned.findings, "HIGH") and not scan.fails(scanned.findings.filter("severity = 'MEDIUM'"), "HIGH")
 
 
+def test_sinks_keep_order_and_leave_nothing_of_a_failed_job(spark, tmp_path):
+    rows = spark.range(5000).select(F.concat(F.lit("n"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("value")).orderBy(F.desc("value"))
+    target = tmp_path / "r.json"
+    sinks.save(rows, str(target), "json", '{"rows": [', '],\n"count": {count}}')
+    doc = json.loads(target.read_text())
+    assert [r["value"] for r in doc["rows"]] == [f"n{k:05d}" for k in reversed(range(5000))] and doc["count"] == 5000
+    sinks.save(rows.select(F.concat("value", F.lit("\n"))), str(target), "text", "head\n", "{count} rows\n")
+    assert target.read_text().split("\n")[:2] == ["head", "n04999"] and target.read_text().endswith("n00000\n5000 rows\n")
+    sinks.save(rows.limit(0), str(target), "json", '{"rows": [', "]}")
+    assert json.loads(target.read_text()) == {"rows": []}
+    bad = rows.withColumn("value", F.when(F.col("value") == "n00007", F.raise_error(F.lit("no"))).otherwise(F.col("value")))
+    for path in (tmp_path / "new.json", target):
+        with pytest.raises(Exception, match="no"):
+            sinks.save(bad, str(path), "json")
+    assert [p.name for p in tmp_path.iterdir()] == ["r.json"] and json.loads(target.read_text()) == {"rows": []}
+
+
 def test_unknown_ranks(spark):
     rows = spark.createDataFrame([("X", "Y")], "severity string, confidence string")
     assert not scan.fails(rows, "INFO")
@@ -135,41 +153,65 @@ def test_command_line(spark, tmp_path, capsys):
         assert e.value.code == 2
 
 
-def test_listing_order(tmp_path):
+def registered(spark, *rows):
+    return spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "ordinal int, name string, root string, deep boolean")
+
+
+def test_owners_of_listed_files(spark, tmp_path):
     """Manifests of an earlier package come before sources of a later one; a file of two packages belongs to the first and counts twice."""
-    for name in ("a/setup.py", "a/m.py", "a/b/n.py", "a/b/Pipfile", "a/b/uv.lock", "c/lintlake/report.py"):
+    for name in ("a/setup.py", "a/m.py", "a/b/n.py", "a/b/Pipfile", "a/b/uv.lock", "c/lintlake/report.py", "a/x.py/y.txt", "a/not__pycache__/z.py", "a/.venv/v.py"):
         f = tmp_path / name
         f.parent.mkdir(parents=True, exist_ok=True)
         f.write_text("")
     root = str(tmp_path)
-    both = [["inner", f"{root}/a/b", True], ["outer", f"{root}/a", True]]
-    got = [(p.removeprefix(root + "/"), n, locked) for p, n, locked in pysource.listing(both)]
-    assert got == [("a/b/n.py", "inner", False), ("a/b/Pipfile", "inner", True), ("a/m.py", "outer", False), ("a/setup.py", "outer", False)]
-    assert pysource.listing([["flat", f"{root}/a", False]])[0][0].endswith("a/m.py") and pysource.listing([["own", f"{root}/c", True]], own=cli.OWN) == []
-    assert pysource.file_count({"x": (tmp_path / "a", True), "y": (tmp_path / "a/b", True)}) == 4
-
-
-def test_secure_and_noise(tmp_path):
+    (tmp_path / "a/loop").symlink_to(tmp_path / "a")
+    both = registered(spark, ("inner", f"{root}/a/b", True), ("outer", f"{root}/a", True))
+    got = sorted((r["path"].removeprefix(root + "/"), r["package"], r["locked"]) for r in registry.package_files(both, ["/.venv/"]).collect())
+    assert got == [("a/b/Pipfile", "inner", True), ("a/b/n.py", "inner", False), ("a/m.py", "outer", False), ("a/setup.py", "outer", False), ("a/x.py", "outer", False)]
+    assert registry.read(both).filter("path LIKE '%/x.py'").first()["text"] is None
+    flat, own = registered(spark, ("flat", f"{root}/a", False)), registered(spark, ("own", f"{root}/c", True))
+    assert {r["path"].rpartition("/")[2] for r in registry.package_files(flat).collect()} == {"m.py", "setup.py", "x.py"} and registry.package_files(own, own=cli.OWN).count() == 0
+    assert registry.file_count(both, ["/.venv/"]).first()["n"] == 5
+    listed = trees.listing(both.select("root", "deep"), ["/.venv/"])
+    assert not listed.filter("path LIKE '%/.venv/%' OR path LIKE '%/loop/%'").count() and listed.filter("name IN ('.venv', 'loop')").count() == 2
+
+
+def test_secure_and_noise(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "inner").mkdir()
     (tmp_path / "in/link").symlink_to(tmp_path / "inner")
-    inside = [tmp_path / "in"]
-    assert pysource.is_secure(tmp_path / "in", inside) and pysource.is_secure(tmp_path / "in/x/y", inside)
-    assert not pysource.is_secure(tmp_path / "inner", inside) and not pysource.is_secure(tmp_path / "in/link/x", inside) and not pysource.is_secure(tmp_path / "in/../x", inside)
-    assert [pysource.is_noise(n) for n in (".git", "build", "x.egg-info", "builds", "src", "__pycache__")] == [True, True, True, False, False, True]
-
-
-def test_config(tmp_path):
+    (tmp_path / "in/up").symlink_to("..")
+    (tmp_path / "in/one").symlink_to("two")
+    (tmp_path / "in/two").symlink_to("one")
+    given = ["in", "in/x/y", "inner", "in/link/x", "in/../x", "in/one/x", "in/up/in/z", "in/link/../in", "/etc", "in/./a/../b"]
+    rows = registry.secured(spark.createDataFrame(list(enumerate(given)), "place int, given string").withColumn("name", registry.F.lit("n")), str(tmp_path), [str(tmp_path / "in")])
+    got = {r["given"]: (r["ok"], r["root"]) for r in rows.collect()}
+    real = str(tmp_path.resolve())
+    assert got == {"in": (True, f"{real}/in"), "in/x/y": (True, f"{real}/in/x/y"), "inner": (False, f"{real}/inner"), "in/link/x": (False, f"{real}/inner/x"), "in/../x": (False, f"{real}/x"), "in/one/x": (False, None), "in/up/in/z": (True, f"{real}/in/z"), "in/link/../in": (True, f"{real}/in"), "/etc": (False, "/etc"), "in/./a/../b": (True, f"{real}/in/b")}
+    names = spark.createDataFrame([(n,) for n in (".git", "build", "x.egg-info", "builds", "src", "__pycache__")], "name string")
+    assert [r["n"] for r in names.select(trees.noise(registry.F.col("name")).alias("n")).collect()] == [True, True, True, False, False, True]
+
+
+def test_config(spark, tmp_path):
     (tmp_path / "a").mkdir()
-    config = tmp_path / "c.toml"
+    at = str(tmp_path.resolve())
     for text, message in (("[packages", "TOML"), ("x = 1", "packages"), ("[packages]\na = '../../..'", "outside")):
-        config.write_text(text)
-        with pytest.raises(pysource.UsageError, match=message):
-            pysource.load_config(config, tmp_path)
-    config.write_text("[packages]\nb = 'a'\n")
-    assert pysource.load_config(config, tmp_path) == {"b": ((tmp_path / "a").resolve(), True)}
+        with pytest.raises(registry.UsageError, match=message):
+            registry.registry(spark, at, text, at)
+    got = registry.registry(spark, at, "[packages]\nb = 'a'\nc = 'x/../a'\n", at, ["d = a/y", "b=z"]).orderBy("place").collect()
+    assert [(r["name"], r["root"]) for r in got] == [("b", f"{at}/z"), ("c", f"{at}/a"), ("d", f"{at}/a/y")]
     (tmp_path / "pyproject.toml").write_text("[tool.uv.workspace]\nmembers = []\n")
-    assert pysource.workspace_root(tmp_path / "a") == tmp_path.resolve()
+    (tmp_path / "a/pyproject.toml").write_text("[tool")
+    assert registry.workspace_of(spark, f"{at}/a") == at
+
+
+def test_discovery_stops_at_the_first_source(spark, tmp_path):
+    for name in ("a/x/y/z.py", "b/n.txt", "node_modules/m.py", "c/node_modules/k.py", "proj.py"):
+        f = tmp_path / "a_folder" / name
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text("")
+    got = registry.discovered(spark, str(tmp_path / "a_folder")).orderBy("place").collect()
+    assert [(r["name"], r["deep"]) for r in got] == [("a", True), ("c", True), ("a_folder", False)]
 
 
 def test_stream(spark, tmp_path):
