@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.functions.lines import line_at, split_lines, strip
@@ -23,6 +23,7 @@ from lintlake.operators.relevance import RELEVANCE
 from lintlake.operators.text_rules import TEXT_RULES
 from lintlake.operators.tree_rules import DECODE, EXECUTE, TREE_RULES, decode_chains
 from lintlake.schema import CANDIDATE, COLUMNS, SEVERITIES, confidence_rank, severity_rank
+from lintlake.tables import materialize, placed
 
 MANIFEST_RULES = {"dependency_cve": 37, "unbounded_pins": 50}
 # Registry order, the findings that count less in tests, and their test folders.
@@ -271,9 +272,9 @@ def without_baseline(findings: DataFrame, baseline: DataFrame) -> DataFrame:
 
 
 def scan(files: DataFrame, rules: Iterable[str] | None = None, extra: Iterable[Rule] = (), baseline: DataFrame | None = None, keep: bool = False, **options) -> Scanned:
-    """The whole scan of files; options as in marked(). keep: cache the candidates, so that findings, counts and gate don't each scan anew."""
+    """The whole scan of files; options as in marked(). keep: write the candidates as a table, so that findings, counts and gate don't each scan anew. With a baseline they always are."""
     rows = marked(scan_frame(files, rules, extra), **options)
-    rows = rows.cache() if keep else rows
+    rows = materialize(rows, "candidates") if keep or baseline is not None else rows
     kept = rows.filter("fate = 'kept'")
     sums = rows.agg(F.count_if(F.col("fate") == "nosec").alias("nosec_suppressed"), F.count_if(F.col("fate") == "test").alias("test_suppressed"))
     if baseline is None:
@@ -297,26 +298,25 @@ def in_severity_order(rows: DataFrame) -> DataFrame:
     return rows.orderBy(severity_rank(F.col("severity")), "file", "line", F.split("path", "/"), "ordinal", "seq")
 
 
-def placed(rows: DataFrame, files: DataFrame, group: str, first: list[Column], rest: list[Column], by_component: bool = False, cuts: int = 200) -> DataFrame:
-    """rows with place: their number inside their group in the order of first, path (or its components) and rest, without a task that holds a whole group.
+def report_places(rows: DataFrame, group: str | None = None) -> DataFrame:
+    """rows with place, their number (from 1) in the order of the text report, in all or inside each group; the scan runs once and no task holds a group."""
+    return _places(rows, group, [severity_rank(F.col("severity")), F.col("file"), F.col("line"), F.split("path", "/"), F.col("ordinal"), F.col("seq")])
+
+
+def json_places(rows: DataFrame, group: str | None = None) -> DataFrame:
+    """rows with place in the order of the JSON report."""
+    return _places(rows, group, [F.split("path", "/"), F.col("ordinal"), F.col("seq")])
+
+
+def _places(rows: DataFrame, group: str | None, order: list[Column]) -> DataFrame:
+    if group is not None:
+        return placed(rows, group, order)
+    return placed(rows.withColumn("__all", F.lit(0)), "__all", order).drop("__all")
 
-    Some 200 paths of files (path), drawn by hash, cut the order of paths into ranges; each range of a group numbers its own rows and the counts
-    of the ranges before it are added. The cuts balance the work and change no number.
-    """
-    key = (lambda p: F.split(p, "/")) if by_component else (lambda p: p)
-    n, path = files.count(), key(F.col("path"))
-    drawn = files.filter(F.pmod(F.xxhash64("path"), F.lit(max(1, n // (10 * cuts)))) == 0).select("path").limit(20 * cuts).orderBy(path).collect()
-    chosen = [r["path"] for r in drawn[:: max(1, len(drawn) // cuts)]]
-    span = F.size(F.filter(F.array(*map(F.lit, chosen)).cast("array<string>"), lambda p: key(p) <= path))
-    heads = [c.alias(f"head{k}") for k, c in enumerate(first)]
-    named = [F.col(f"head{k}") for k in range(len(first))]
-    rows = rows.select("*", *heads, span.alias("span"))
-    within = Window.partitionBy(group, *named, "span").orderBy(path, *rest)
-    counts = rows.groupBy(group, *named, "span").count()
-    before = F.sum("count").over(Window.partitionBy(group).orderBy(*named, "span").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select(group, *named, "span", F.coalesce(before, F.lit(0)).alias("offset"))
-    numbered = rows.withColumn("nth", F.row_number().over(within)).join(offsets, [group, *(f"head{k}" for k in range(len(first))), "span"])
-    return numbered.withColumn("place", (F.col("nth") + F.col("offset")).cast("int")).drop("nth", "offset", "span", *(f"head{k}" for k in range(len(first))))
+
+def by_all(rows: DataFrame) -> DataFrame:
+    """package, severity, confidence, level, n: counts of findings for every set of these columns in one pass; level has a bit for each column that is summed over (4, 2, 1)."""
+    return rows.cube("package", "severity", "confidence").agg(F.grouping_id().cast("int").alias("level"), F.count("*").alias("n"))
 
 
 def by_severity(rows: DataFrame) -> DataFrame:
@@ -371,4 +371,25 @@ def with_locks(files: DataFrame, listing: DataFrame) -> DataFrame:
     return rows.withColumn("locked", locked).drop("dir", "by_lock", "by_list")
 
 
+def scan_by_content(files: DataFrame, rules: Iterable[str] | None = None, salts: int = 32) -> DataFrame:
+    """The same rows as scan_frame(), but each distinct text is split, parsed and matched once, and its findings go to all paths that hold it.
+
+    What the built-in rules see of a path (its name, or that it ends in .py or .pth) and locked are part of the key, with a 256-bit digest of the text. Vendored and generated files stand
+    at very many paths: these are dealt out by a salt, and the few findings of a text are sent to every salt that it has, so a text of a million paths isn't one task.
+    """
+    has, name = set(files.columns), F.substring_index("path", "/", -1)
+    manifests = {*manifest_rules.MANIFESTS, *manifest_rules.PINNED}
+    seen = F.when(name.isin(*manifests), name).when(F.col("path").endswith(".py"), ".py").when(F.col("path").endswith(".pth"), ".pth").otherwise("")
+    locked = F.coalesce("locked", F.lit(False)) if "locked" in has else F.lit(False)
+    keyed = files.filter("text IS NOT NULL").select("path", (F.col("package") if "package" in has else F.lit("")).alias("package"), F.concat_ws(" ", F.sha2("text", 256), seen, locked.cast("string")).alias("key"), seen.alias("seen"), locked.alias("locked"), "text")
+    salt = F.pmod(F.xxhash64("path"), F.lit(salts))
+    # the representative's path is its key: it shows a rule the same ending or name
+    texts = keyed.groupBy("key").agg(F.first("text").alias("text"), F.first("seen").alias("seen"), F.first("locked").alias("locked"))
+    texts = texts.select(F.concat(F.col("key"), F.when(F.col("seen").startswith("."), F.concat(F.lit("/x"), "seen")).otherwise(F.concat(F.lit("/"), "seen"))).alias("path"), "text", F.col("key").alias("package"), "locked")
+    found = scan_frame(texts, rules).drop("path").withColumnRenamed("package", "key")
+    found = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
+    columns = ["path", "package", *(x.split()[0] for x in CANDIDATE.split(", "))]
+    return keyed.select("path", "package", "key", salt.alias("salt")).join(found, ["key", "salt"]).select(*columns)
+
+
 __all__ = ["CANDIDATE", "REGISTRY", "Rule", "Scanned", "line_at", "scan", "scan_frame"]

@@ -6,12 +6,13 @@ the corpus to the rows written down by hand beside each snippet.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake import corpus, tree_queries
+from lintlake import corpus, report, tree_queries
 from lintlake.functions.lines import split_lines
 from lintlake.functions.predicates import any_of
 from lintlake.operators import manifest_rules
@@ -19,6 +20,8 @@ from lintlake.operators.text_rules import NOT_A_SECRET, TEXT_RULES
 from lintlake.operators.tree_rules import TREE_RULES, decode_chains
 from lintlake.plans import scan
 from lintlake.schema import severity_rank
+from lintlake.sources import baselines
+from lintlake.tables import mounted, new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 PLAIN = tuple(r for r in TEXT_RULES if not r.needs_tree and r.name not in ("pth_startup_hooks", "trojan_source"))
@@ -94,7 +97,7 @@ def baseline_distinct(spark, sf_dir):
 
 
 def _baseline(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    found = scan.scan(corpus.files(spark, sf_dir)).findings
+    found = scan.scan(corpus.files(spark, sf_dir), keep=True).findings
     return found, scan.fingerprints(found.filter("package IN ('pkg0', 'pkg3')"))
 
 
@@ -110,15 +113,19 @@ def baseline_count(spark, sf_dir):
 
 def report_sort_rank(spark, sf_dir):
     """Place of each finding inside its package's report: severity, path, line, rule, place in the file."""
-    rows, files = _candidates(spark, sf_dir), corpus.files(spark, sf_dir)
-    rest = [F.col("line"), F.col("ordinal"), F.col("seq")]
-    return scan.placed(rows, files, "package", [severity_rank(F.col("severity"))], rest).select("package", "path", "line", "cwe_id", "place")
+    rows = _candidates(spark, sf_dir).withColumn("file", F.col("path"))
+    return scan.report_places(rows, "package").select("package", "path", "line", "cwe_id", "place")
+
+
+def report_place(spark, sf_dir):
+    """The same over the whole report."""
+    rows = scan.scan(corpus.files(spark, sf_dir)).findings
+    return scan.report_places(rows).select("package", "path", "line", "cwe_id", "place")
 
 
 def json_order_rank(spark, sf_dir):
     """Place of each finding inside its package in the order of the JSON report: path components, rule, place in the file."""
-    rows, files = _candidates(spark, sf_dir), corpus.files(spark, sf_dir)
-    return scan.placed(rows, files, "package", [], [F.col("ordinal"), F.col("seq")], by_component=True).select("package", "path", "line", "cwe_id", "place")
+    return scan.json_places(_candidates(spark, sf_dir), "package").select("package", "path", "line", "cwe_id", "place")
 
 
 def display_path(spark, sf_dir):
@@ -227,6 +234,48 @@ def plugin_rule(spark, sf_dir):
     return scan.scan_frame(corpus.files(spark, sf_dir), [], [todo]).select("path", "line", "cwe_id", "severity", "code_snippet")
 
 
+def finding_cube(spark, sf_dir):
+    """Counts by package, severity and confidence and all sums over these, in one pass."""
+    return scan.by_all(scan.scan(corpus.files(spark, sf_dir)).findings)
+
+
+def content_scan(spark, sf_dir):
+    """All candidates, each distinct text scanned once."""
+    return scan.scan_by_content(corpus.files(spark, sf_dir)).select(*LEFT_SQL.split(", "))
+
+
+def baseline_file(spark, sf_dir):
+    """The fingerprints that a baseline file gives back, of all findings."""
+    target = f"{mounted(new_folder(spark, 'baseline'))}/baseline.json"
+    os.makedirs(os.path.dirname(target))
+    baselines.write_baseline(scan.scan(corpus.files(spark, sf_dir), keep=True).findings, target)
+    return baselines.read_baseline(spark, f"file://{target}")
+
+
+def _report(spark, sf_dir, save) -> str:
+    target = f"{mounted(new_folder(spark, 'report'))}/report"
+    os.makedirs(os.path.dirname(target))
+    save(scan.scan(corpus.files(spark, sf_dir), keep=True), target)
+    return f"file://{target}"
+
+
+REPORT = "findings array<struct<cwe_id: string, cwe_name: string, severity: string, confidence: string, package: string, file: string, line: int, code: string, description: string, zero_day_relevance: string>>, count bigint, nosec_suppressed bigint, test_suppressed bigint, suppression_hint string"
+
+
+def json_report(spark, sf_dir):
+    """The findings of the JSON document in its order, with the document's counters."""
+    doc = spark.read.schema(REPORT).json(_report(spark, sf_dir, report.save_json), multiLine=True)
+    rows = doc.select(F.posexplode("findings").alias("at", "f"), "count", "nosec_suppressed", "test_suppressed", F.col("suppression_hint").isNotNull().alias("hinted"))
+    return rows.select((F.col("at") + 1).alias("place"), "f.package", "f.file", "f.line", "f.cwe_id", "f.severity", "f.code", "count", "nosec_suppressed", "test_suppressed", "hinted")
+
+
+def text_report(spark, sf_dir):
+    """Places of the text report's findings, in its order, and its closing counts."""
+    text = spark.read.text(_report(spark, sf_dir, report.save_text), wholetext=True)
+    lines = text.select(F.posexplode(F.filter(F.split("value", "\n"), lambda x: x.rlike(r"^  \S+:\d+  \(pkg\d\)$|^  (?:CRITICAL|confidence:) |^  Security audit")))).select((F.col("pos") + 1).alias("place"), F.col("col").alias("line"))
+    return lines
+
+
 def documents_tokens(spark, sf_dir):
     """The candidate of the token rules over the prose table: lines that assign a long quoted value to a token."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.posexplode(split_lines(F.col("text"))).alias("at", "line"))
@@ -235,7 +284,7 @@ def documents_tokens(spark, sf_dir):
 
 OPERATORS: tuple[Query, ...] = (
     nosec_suppress, confidence_filter, test_path_filter, kept_findings, baseline_distinct, baseline_anti, baseline_count, report_sort_rank, json_order_rank, display_path, total_count, severity_rollup, confidence_rollup,
-    exit_gate, package_dedupe, manifest_nearest_ancestor, manifest_label, lockfile_severity, cve_theta_join, version_compare, secret_false_positive, decode_chain_fold, line_numbers, plugin_rule, documents_tokens,
+    exit_gate, finding_cube, content_scan, baseline_file, json_report, text_report, report_place, package_dedupe, manifest_nearest_ancestor, manifest_label, lockfile_severity, cve_theta_join, version_compare, secret_false_positive, decode_chain_fold, line_numbers, plugin_rule, documents_tokens,
 )
 
 
@@ -266,6 +315,18 @@ def oracle_sql() -> dict[str, str]:
         "baseline_count": f"{scanned} SELECT count(*) AS baseline_suppressed FROM scanned s WHERE {held}",
         "report_sort_rank": f"{found} SELECT package, path, line, cwe_id, CAST(row_number() OVER (PARTITION BY package ORDER BY {RANK_SQL}, path COLLATE C, line, ordinal, slot) AS INTEGER) AS place FROM found",
         **tree_queries.oracle_sql(),
+        "report_place": f"{scanned} SELECT package, path, line, cwe_id, CAST(row_number() OVER (ORDER BY {RANK_SQL}, path COLLATE C, line, string_split(path, '/'), ordinal, nth) AS INTEGER) AS place FROM scanned",
+        "finding_cube": f"{scanned} SELECT package, severity, confidence, CAST(grouping_id(package, severity, confidence) AS INTEGER) AS level, count(*) AS n FROM scanned GROUP BY CUBE (package, severity, confidence)",
+        "content_scan": f"{found} SELECT {LEFT_SQL} FROM found",
+        "baseline_file": f"{scanned} SELECT DISTINCT cwe_id, file, code_snippet FROM scanned",
+        "json_report": f"""{scanned}, dropped AS (SELECT count(*) FILTER (WHERE {NOSEC_SQL}) AS nosec_suppressed, count(*) FILTER (WHERE NOT {NOSEC_SQL} AND cwe_id IN ('CWE-798', 'CWE-617', 'CWE-918', 'CWE-770') AND {TEST_SQL}) AS test_suppressed FROM found)
+SELECT CAST(row_number() OVER (ORDER BY string_split(path, '/'), ordinal, nth) AS INTEGER) AS place, package, file, line, cwe_id, severity, code_snippet AS code, count(*) OVER () AS count, nosec_suppressed, test_suppressed, FALSE AS hinted FROM scanned, dropped""",
+        "text_report": f"""{scanned}, told AS (
+  SELECT 0 AS part, 0 AS k, '  Security audit: ' || count(*) || ' finding(s)' AS line FROM scanned
+  UNION ALL SELECT 1, row_number() OVER (ORDER BY {RANK_SQL}, path COLLATE C, line, string_split(path, '/'), ordinal, nth), '  ' || file || ':' || line || '  (' || package || ')' FROM scanned
+  UNION ALL SELECT 2, 0, '  ' || string_agg(severity || ' ' || n, ', ' ORDER BY {RANK_SQL}) FROM (SELECT severity, count(*) AS n FROM scanned GROUP BY severity)
+  UNION ALL SELECT 3, 0, '  confidence: ' || string_agg(confidence || ' ' || n, ', ' ORDER BY confidence = 'LOW', confidence) FROM (SELECT confidence, count(*) AS n FROM scanned GROUP BY confidence)
+) SELECT CAST(row_number() OVER (ORDER BY part, k) AS INTEGER) AS place, line FROM told""",
         "json_order_rank": f"{found} SELECT package, path, line, cwe_id, CAST(row_number() OVER (PARTITION BY package ORDER BY string_split(path, '/'), ordinal, nth) AS INTEGER) AS place FROM found",
         "display_path": f"{base} SELECT path, CASE WHEN starts_with(path, 'pkg1/tests/') THEN substr(path, 12) ELSE path END AS shown FROM files",
         "total_count": f"{scanned} SELECT count(*) AS n FROM scanned",
