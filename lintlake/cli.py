@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 from lintlake import __version__, plugins, report
-from lintlake.plans import registry, scan
+from lintlake.plans import isolation, registry, scan
 from lintlake.sources import trees
 from lintlake.sources.baselines import read_baseline, write_baseline
 from lintlake.tables import materialize
@@ -74,13 +74,21 @@ def main(argv: list[str] | None = None, cwd: Path | None = None, spark: SparkSes
     extra = [r for r in found if isinstance(r, scan.Rule)]
     options = {"confidence_min": args.confidence_min, "include_tests": args.include_tests, "test_dirs": args.test_paths, "root": workspace}
     baseline = read_baseline(spark, args.baseline) if args.baseline and not args.write_baseline else None
-    scanned = scan.scan(files, None, extra, baseline, keep=True, **options)
-    if procedural := {getattr(f, "__name__", str(k)): f for k, f in enumerate(found) if not isinstance(f, scan.Rule)}:
+    guarded = isolation.guarded(files, None, extra)
+    for e in guarded.errors.toLocalIterator():
+        say(f"warning: rule {e['rule']} failed on {e['path']}: {e['error']}")
+    scanned = scan.judged(guarded.candidates, baseline, keep=True, **options)
+    more = []
+    if by_facts := [r for r in found if isinstance(r, plugins.FactRule)]:
+        more.append(plugins.run_fact_rules(files, by_facts))
+    if procedural := {getattr(f, "__name__", str(k)): f for k, f in enumerate(found) if not isinstance(f, scan.Rule | plugins.FactRule)}:
         rows, errors = plugins.run_procedural(files, procedural)
         for e in errors.toLocalIterator():
             say(f"warning: rule {e['rule']} failed on {e['path']}: {e['error']}")
-        more = scan.marked(rows, **options).filter("fate = 'kept'")
-        scanned.findings = scanned.findings.unionByName(more if baseline is None else scan.without_baseline(more, baseline))
+        more.append(rows)
+    for rows in more:
+        kept = scan.marked(rows, **options).filter("fate = 'kept'")
+        scanned.findings = scanned.findings.unionByName(kept if baseline is None else scan.without_baseline(kept, baseline))
     scanned.findings = scanned.findings.cache()
     if args.write_baseline:
         n = write_baseline(scanned.findings, str(Path(args.write_baseline).absolute()))

@@ -273,7 +273,12 @@ def without_baseline(findings: DataFrame, baseline: DataFrame) -> DataFrame:
 
 def scan(files: DataFrame, rules: Iterable[str] | None = None, extra: Iterable[Rule] = (), baseline: DataFrame | None = None, keep: bool = False, **options) -> Scanned:
     """The whole scan of files; options as in marked(). keep: write the candidates as a table, so that findings, counts and gate don't each scan anew. With a baseline they always are."""
-    rows = marked(scan_frame(files, rules, extra), **options)
+    return judged(scan_frame(files, rules, extra), baseline, keep, **options)
+
+
+def judged(candidates: DataFrame, baseline: DataFrame | None = None, keep: bool = False, **options) -> Scanned:
+    """What follows on the candidates of a scan: suppression, filters and baseline."""
+    rows = marked(candidates, **options)
     rows = materialize(rows, "candidates") if keep or baseline is not None else rows
     kept = rows.filter("fate = 'kept'")
     sums = rows.agg(F.count_if(F.col("fate") == "nosec").alias("nosec_suppressed"), F.count_if(F.col("fate") == "test").alias("test_suppressed"))

@@ -12,15 +12,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake import corpus, report, tree_queries
+from lintlake import corpus, plugins, report, tree_queries
 from lintlake.functions.lines import split_lines
 from lintlake.functions.predicates import any_of
 from lintlake.operators import manifest_rules
 from lintlake.operators.text_rules import NOT_A_SECRET, TEXT_RULES
 from lintlake.operators.tree_rules import TREE_RULES, decode_chains
-from lintlake.plans import scan
+from lintlake.plans import isolation, scan
 from lintlake.schema import severity_rank
 from lintlake.sources import baselines
+from lintlake.streaming import versions
 from lintlake.tables import mounted, new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -276,6 +277,74 @@ def text_report(spark, sf_dir):
     return lines
 
 
+def _early_comment(path, lines, tree):
+    """plugin_rule as a procedural rule; it can't take files of one name."""
+    if path.endswith("/setup.cfg"):
+        raise ValueError("not a source")
+    return [{"line": n, "cwe_id": "CWE-546", "severity": "INFO"} for n, line in enumerate(lines, 1) if n <= 3 and line.strip().startswith("#")]
+
+
+def table_function_rule(spark, sf_dir):
+    """A procedural rule as a table function in SQL; files on which it raises give a row with the error."""
+    plugins.register_rule(spark, "early_comment", _early_comment)
+    corpus.files(spark, sf_dir).createOrReplaceTempView("lintlake_files")
+    return spark.sql("SELECT f.path, r.line, r.cwe_id, r.severity, r.code_snippet, r.error FROM lintlake_files f, LATERAL early_comment(f.path, f.text) r")
+
+
+LOADS = plugins.FactRule("loads", ("call",), "CWE-502", "Deserialization of Untrusted Data", "HIGH", lambda facts: facts.filter("last = 'loads'"))
+#: Lines of calls of that name, written down by hand for the snippets that hold a given text.
+LOADED = {"state = pickle.loads(blob)": (2, 3), "w = marshal.loads(b)": (4,), "return cloudpickle.loads(b)  # arrow": (3,), "z = pickle.loads(b)  # nosec cwe-94": (1, 2, 3, 4)}
+
+
+def fact_rule(spark, sf_dir):
+    """A third party's rule over the table of syntax facts."""
+    return plugins.run_fact_rules(corpus.files(spark, sf_dir), [LOADS]).select("path", "line", "cwe_id", "severity", "code_snippet")
+
+
+#: Handlers, and how many of them catch everything, written down by hand for the modules that hold a given text and parse.
+HANDLERS = {"except:\n    log(1)": (2, 2), "except Exception as e:\n    print(e)": (2, 2), "except (A, B):": (2, 0)}
+
+
+def fact_table(spark, sf_dir):
+    """How many exception handlers each package has, and how many of them catch everything, from the facts of that kind only."""
+    return plugins.facts_table(corpus.files(spark, sf_dir), ["handler"]).groupBy("package").agg(F.count("*").alias("n"), F.count_if("broad").alias("n_broad"))
+
+
+FRAGILE = scan.Rule("fragile", "CWE-546", "Suspicious Comment", "INFO", lambda line, code, number, path: F.when(path.rlike(r"/mod_1\.py$") & F.raise_error(F.lit("fragile")).isNull(), False).otherwise(code.startswith("#") & (number <= 3)))
+
+
+def _isolated(spark, sf_dir):
+    return isolation.guarded(corpus.files(spark, sf_dir), ["pickle", "weak_hash"], [FRAGILE])
+
+
+def isolated_scan(spark, sf_dir):
+    """Two built-in rules and one that fails on one file: all rows but those of that rule in that file."""
+    return _isolated(spark, sf_dir).candidates.select("path", "line", "cwe_id", "severity", "code_snippet")
+
+
+def isolated_errors(spark, sf_dir):
+    return _isolated(spark, sf_dir).errors.select("path", "rule")
+
+
+def _version(spark, sf_dir, version: int) -> DataFrame:
+    """path, version, text of the corpus: in each version every third file holds the next snippet, if both are modules."""
+    now = corpus.snippets(spark).select(F.col("snippet_id").alias("next_id"), F.col("text").alias("next"), (F.col("label") == "").alias("next_plain"))
+    plain = corpus.snippets(spark).select("snippet_id", (F.col("label") == "").alias("plain"))
+    rows = corpus.files(spark, sf_dir).withColumn("next_id", (F.col("snippet_id") + version) % len(corpus.SNIPPETS)).join(F.broadcast(now), "next_id").join(F.broadcast(plain), "snippet_id")  # a fixed number of snippets
+    k = F.regexp_extract("path", r"(?:mod_|/d)(\d+)", 1).cast("long")
+    return rows.select("path", F.lit(version).cast("long").alias("version"), F.when((k % 3 == 0) & F.col("plain") & F.col("next_plain"), F.col("next")).otherwise(F.col("text")).alias("text"))
+
+
+def version_changes(spark, sf_dir):
+    """Three versions of the corpus as a stream that is stopped after each: what every version brings, ends and leaves as it was."""
+    at = new_folder(spark, "versions")
+    for version in range(3):
+        _version(spark, sf_dir, version).write.mode("append").parquet(f"{at}/in")
+        stream = spark.readStream.schema("path string, version long, text string").parquet(f"{at}/in")
+        versions.follow(stream, f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    return spark.read.schema(versions.CHANGE).parquet(f"{at}/out")
+
+
 def documents_tokens(spark, sf_dir):
     """The candidate of the token rules over the prose table: lines that assign a long quoted value to a token."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.posexplode(split_lines(F.col("text"))).alias("at", "line"))
@@ -284,7 +353,7 @@ def documents_tokens(spark, sf_dir):
 
 OPERATORS: tuple[Query, ...] = (
     nosec_suppress, confidence_filter, test_path_filter, kept_findings, baseline_distinct, baseline_anti, baseline_count, report_sort_rank, json_order_rank, display_path, total_count, severity_rollup, confidence_rollup,
-    exit_gate, finding_cube, content_scan, baseline_file, json_report, text_report, report_place, package_dedupe, manifest_nearest_ancestor, manifest_label, lockfile_severity, cve_theta_join, version_compare, secret_false_positive, decode_chain_fold, line_numbers, plugin_rule, documents_tokens,
+    exit_gate, table_function_rule, fact_rule, fact_table, isolated_scan, isolated_errors, version_changes, finding_cube, content_scan, baseline_file, json_report, text_report, report_place, package_dedupe, manifest_nearest_ancestor, manifest_label, lockfile_severity, cve_theta_join, version_compare, secret_false_positive, decode_chain_fold, line_numbers, plugin_rule, documents_tokens,
 )
 
 
@@ -317,6 +386,24 @@ def oracle_sql() -> dict[str, str]:
         **tree_queries.oracle_sql(),
         "report_place": f"{scanned} SELECT package, path, line, cwe_id, CAST(row_number() OVER (ORDER BY {RANK_SQL}, path COLLATE C, line, string_split(path, '/'), ordinal, nth) AS INTEGER) AS place FROM scanned",
         "finding_cube": f"{scanned} SELECT package, severity, confidence, CAST(grouping_id(package, severity, confidence) AS INTEGER) AS level, count(*) AS n FROM scanned GROUP BY CUBE (package, severity, confidence)",
+        "table_function_rule": f"{base} SELECT path, number AS line, 'CWE-546' AS cwe_id, 'INFO' AS severity, code AS code_snippet, NULL AS error FROM lines WHERE starts_with(code, '#') AND number <= 3 AND path NOT LIKE '%/setup.cfg' UNION ALL SELECT path, NULL, NULL, NULL, NULL, 'ValueError(''not a source'')' FROM files WHERE path LIKE '%/setup.cfg'",
+        "fact_rule": f"{base} SELECT path, number AS line, 'CWE-502' AS cwe_id, 'HIGH' AS severity, code AS code_snippet FROM lines JOIN (VALUES {', '.join(f'({k}, {n})' for k, s in enumerate(corpus.SNIPPETS) for text, found_at in LOADED.items() if text in s.text for n in found_at)}) t(snippet_id, line) ON t.snippet_id = lines.snippet_id AND t.line = number",
+        "fact_table": f"{base} SELECT package, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n_broad) AS BIGINT) AS n_broad FROM files JOIN (VALUES {', '.join(f'({k}, {n}, {broad})' for k, s in enumerate(corpus.SNIPPETS) for text, (n, broad) in HANDLERS.items() if text in s.text and not s.label)}) t(snippet_id, n, n_broad) USING (snippet_id) GROUP BY package",
+        "isolated_scan": f"{base} SELECT * FROM ({' UNION ALL '.join(_rule_sql(r, 'path', 'line', 'cwe_id', 'severity', 'code_snippet') for r in PLAIN if r.name in ('pickle', 'weak_hash'))}) UNION ALL SELECT path, number, 'CWE-546', 'INFO', code FROM lines WHERE starts_with(code, '#') AND number <= 3 AND NOT regexp_matches(path, '/mod_1[.]py$')",
+        "isolated_errors": f"{base} SELECT path, 'fragile' AS rule FROM files WHERE regexp_matches(path, '/mod_1[.]py$')",
+        "version_changes": f"""{found}, marks AS (
+  SELECT DISTINCT snippet_id, cwe_id, code_snippet FROM found JOIN files USING (path)
+), versions AS (
+  SELECT path, v AS version, CASE WHEN k % 3 = 0 AND a.label = '' AND b.label = '' THEN b.snippet_id ELSE a.snippet_id END AS snippet_id
+  FROM (SELECT *, CAST(regexp_extract(path, '(?:mod_|/d)([0-9]+)', 1) AS BIGINT) AS k FROM files) f, range(0, 3) t(v), snippets a, snippets b
+  WHERE a.snippet_id = f.snippet_id AND b.snippet_id = (f.snippet_id + v) % {len(corpus.SNIPPETS)}
+), held AS (
+  SELECT path, version, cwe_id, code_snippet FROM versions JOIN marks USING (snippet_id)
+)
+SELECT path, version, cwe_id, code_snippet, CASE WHEN old THEN CASE WHEN now THEN 'unchanged' ELSE 'gone' END ELSE 'new' END AS change FROM (
+  SELECT path, version, cwe_id, code_snippet, bool_or(now) AS now, bool_or(old) AS old FROM (
+    SELECT *, TRUE AS now, FALSE AS old FROM held UNION ALL SELECT path, version + 1, cwe_id, code_snippet, FALSE, TRUE FROM held WHERE version < 2
+  ) GROUP BY path, version, cwe_id, code_snippet)""",
         "content_scan": f"{found} SELECT {LEFT_SQL} FROM found",
         "baseline_file": f"{scanned} SELECT DISTINCT cwe_id, file, code_snippet FROM scanned",
         "json_report": f"""{scanned}, dropped AS (SELECT count(*) FILTER (WHERE {NOSEC_SQL}) AS nosec_suppressed, count(*) FILTER (WHERE NOT {NOSEC_SQL} AND cwe_id IN ('CWE-798', 'CWE-617', 'CWE-918', 'CWE-770') AND {TEST_SQL}) AS test_suppressed FROM found)
