@@ -1,10 +1,8 @@
-"""Exact top-k inner products by vector-approximation files.
+"""Exact top-k inner products by a vector-approximation file.
 
-Vectors stand in blocks. A block's approximation gives each component one of 16 cells between its quantiles; the cells bound the inner
-product with a query from both sides. Exact vectors are read in the order of their bounds, until no unread one can reach the k-th best.
-
-Queries and vectors are cut into blocks of fixed numbers of rows, and every query block meets every vector block in a task of its
-own, so a task's memory doesn't depend on the size of the tables. Each task returns its k best a query; a window merges those.
+The approximation is a table: for each vector one byte a component, the number of its cell between the component's quantiles. Cells and their ends are the same for the whole table. Queries meet codes only: the ends
+of the cells bound a product from both sides, and what can't reach the k-th best lower bound is left there. The exact vectors of the rest are then read in the order of
+their bounds, in rounds, until no unread one can reach the k-th exact score. An exact vector is never copied for a block of queries; it is read by its number.
 """
 
 from __future__ import annotations
@@ -14,107 +12,151 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lintlake.llm.common import materialize
+from lintlake.llm.common import drop_folder, materialize
 
-CELLS, STEP = 16, 64
-VECTOR_ROWS, QUERY_ROWS = 8192, 2048
+#: Cells of a component; rows of codes and queries of a task's cell; rows from which the quantiles are taken, which changes speed and no result; exact vectors of the first round for each result.
+CELLS, CODE_ROWS, QUERY_ROWS, SAMPLE, FIRST = 256, 65_536, 2048, 20_000, 4
 SCALE = 256
 
 
-class Approximation:
-    """Cells of the rows of a block of integer vectors."""
-
-    def __init__(self, vectors: np.ndarray, cells: int = CELLS):
-        edges = np.quantile(vectors, np.linspace(0, 1, cells + 1)[1:-1], axis=0)
-        self.codes = np.empty(vectors.shape, np.uint8)
-        self.low, self.high = np.zeros((2, cells, vectors.shape[1]), vectors.dtype)
-        for d in range(vectors.shape[1]):
-            self.codes[:, d] = code = np.searchsorted(edges[:, d], vectors[:, d], "right")
-            for c in np.unique(code):
-                held = vectors[code == c, d]
-                self.low[c, d], self.high[c, d] = held.min(), held.max()
-        at = np.arange(vectors.shape[1])
-        self.floor, self.ceiling = self.low[self.codes, at].T, self.high[self.codes, at].T  # the cells' ends of each row
-
-    def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Least and greatest inner product of each query with any vector of each row's cells."""
-        plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
-        return plus @ self.floor + minus @ self.ceiling, plus @ self.ceiling + minus @ self.floor
-
-
-def search(queries: np.ndarray, query_rows: np.ndarray, vectors: np.ndarray, rows_at: np.ndarray, ids: np.ndarray, k: int):
-    """(position of the query, vector id, score) of each query's k best rows but its own; ties to smaller ids. query_rows, rows_at: numbers of the rows."""
-    approximation = Approximation(vectors)
-    lowest = np.iinfo(np.int64).min if vectors.dtype == np.int64 else -np.inf
-    at, found, scores = [], [], []
-    for start in range(0, len(queries), 128):
-        part = queries[start : start + 128]
-        least, most = approximation.bounds(part)
-        other = query_rows[start : start + 128, None] != rows_at
-        least = np.where(other, least, lowest)
-        for q in range(len(part)):
-            n = min(k, int(other[q].sum()))
-            if not n:
-                continue
-            sure = np.partition(least[q], -n)[-n]  # n rows reach this in any case
-            rows = np.flatnonzero(other[q] & (most[q] >= sure))
-            rows = rows[np.argsort(-most[q][rows], kind="stable")]
-            best_ids, best = np.zeros(0, ids.dtype), np.zeros(0, vectors.dtype)
-            for i in range(0, len(rows), STEP):
-                if len(best) == n and most[q][rows[i]] < best[-1]:
-                    break  # an equal bound may still win its tie
-                read = rows[i : i + STEP]
-                best_ids, best = np.append(best_ids, ids[read]), np.append(best, vectors[read] @ part[q])
-                order = np.lexsort((best_ids, -best))[:n]
-                best_ids, best = best_ids[order], best[order]
-            at.append(np.full(n, start + q))
-            found.append(best_ids)
-            scores.append(best)
-    if not at:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(at), np.concatenate(found), np.concatenate(scores).astype(np.int64)
-
-
-def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
-    """Rows of integers as doubles if products are exact in them, else as long integers."""
-    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    flat = flat.reshape(rows, len(flat) // rows)
-    most = int(np.abs(flat).max(initial=0))
-    return flat.astype(np.float64) if flat.shape[1] * (most + 1) ** 2 < 2**52 else flat.astype(np.int64)
-
-
 def integer_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """id, v: floor(scale * x) of each component; rows whose id or vector is null, or whose vector holds a null or non-finite component, are left out."""
+    """id, v: floor(scale * x) of each component; rows whose id or vector is null, or whose vector holds a null or non-finite component or one whose multiple is no long integer, are left out."""
     v = F.col(vector_col)
-    sound = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    most = float(2**63 // scale)
+    sound = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < most))
     return table.filter(F.col(id_col).isNotNull() & F.coalesce(sound, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
 
 
-def top_k(vectors: DataFrame, queries: Column, k: int = 5, vector_rows: int = VECTOR_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+def _rows(column) -> np.ndarray:
+    """The lists of an Arrow column as rows of long integers."""
+    flat = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), len(flat) // max(1, len(column)))
+
+
+def _coded(v: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    codes = np.empty(v.shape, np.uint8)
+    for d in range(v.shape[1]):
+        codes[:, d] = np.searchsorted(edges[d], v[:, d], "right")
+    return codes
+
+
+def cells(vectors: DataFrame, dim: int, count: int = CELLS, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges between the cells of each component (from a sample of the rows, drawn by hash), and the least and greatest value of any row in each cell (from all rows)."""
+    drawn = vectors.orderBy(F.xxhash64("number"), "number").limit(max(1, min(sample, 8_000_000 // max(1, dim)))).select("v")
+    taken = [r["v"] for r in drawn.toLocalIterator()]
+    edges = np.quantile(np.array(taken, np.float64), np.linspace(0, 1, count + 1)[1:-1], axis=0).T.copy() if dim else np.zeros((0, count - 1))
+
+    def ends(batches):
+        low, high = np.full((dim, count), np.iinfo(np.int64).max), np.full((dim, count), np.iinfo(np.int64).min)
+        at = np.arange(dim)
+        for b in batches:
+            v = _rows(b.column(0))
+            codes = _coded(v, edges)
+            np.minimum.at(low, (at, codes), v)
+            np.maximum.at(high, (at, codes), v)
+        d, c = np.nonzero(low <= high)
+        yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(c), pa.array(low[d, c]), pa.array(high[d, c])], ["d", "c", "low", "high"])
+
+    found = vectors.select("v").mapInArrow(ends, "d long, c long, low long, high long").groupBy("d", "c").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    low, high = np.zeros((2, dim, count))
+    for r in found.toLocalIterator():  # a row for each cell of each component
+        low[r["d"], r["c"]], high[r["d"], r["c"]] = r["low"], r["high"]
+    return edges, low, high
+
+
+def bounds(queries: np.ndarray, codes: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest product of each query with any vector that has a row's codes, a little wider than doubles may err."""
+    at = np.arange(codes.shape[1])
+    floor, ceiling = low[at, codes].T, high[at, codes].T
+    q = queries.astype(np.float64)
+    plus, minus = np.maximum(q, 0), np.minimum(q, 0)
+    err = (codes.shape[1] + 4) * 2.0**-51 * (np.abs(q) @ np.maximum(np.abs(low), np.abs(high)).max(1, initial=0.0))[:, None]
+    return plus @ floor + minus @ ceiling - err, plus @ ceiling + minus @ floor + err
+
+
+def _candidates(codes: np.ndarray, numbers: np.ndarray, queries: np.ndarray, asked: np.ndarray, low: np.ndarray, high: np.ndarray, k: int, step: int = 64):
+    """(query, number, least, most) of the rows of a block that may be among a query's k best of the block."""
+    out = []
+    for i in range(0, len(queries), step):
+        least, most = bounds(queries[i : i + step], codes, low, high)
+        own = asked[i : i + step, None] == numbers
+        least[own], most[own] = -np.inf, -np.inf
+        n = min(k, len(numbers))
+        sure = np.partition(least, len(numbers) - n, axis=1)[:, len(numbers) - n]  # n rows reach this in any case
+        q, row = np.nonzero((most >= sure[:, None]) & ~own)
+        out.append((asked[i + q], numbers[row], least[q, row], most[q, row]))
+    return [np.concatenate(x) for x in zip(*out, strict=True)]
+
+
+def _met(rows: DataFrame, asks: DataFrame, dim: int, k: int, code_rows: int, query_rows: int) -> DataFrame:
+    """query, number, least, most of every pair whose bounds leave it in question, for vectors of one length."""
+    edges, low, high = cells(rows, dim)
+
+    def code(batches):
+        for b in batches:
+            c = _coded(_rows(b.column(1)), edges)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in c], pa.binary())], ["number", "code"])
+
+    codes = materialize(rows.select("number", "v").mapInArrow(code, "number long, code binary"), "codes")
+    n, asked = codes.count(), asks.count()
+    blocks, q_blocks = max(1, -(-n // code_rows)), max(1, -(-asked // query_rows))
+    deal = lambda count, salt: F.pmod(F.xxhash64("number", F.lit(salt)), F.lit(count))
+    each = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
+    left = codes.select(deal(blocks, 1).alias("block"), each(q_blocks).alias("q_block"), "number", "code")
+    right = asks.select(each(blocks).alias("block"), deal(q_blocks, 2).alias("q_block"), "number", "v")
+
+    def run(held: pa.Table, ask: pa.Table) -> pa.Table:
+        found = [np.zeros(0, np.int64)] * 2 + [np.zeros(0)] * 2
+        if held.num_rows and ask.num_rows:
+            coded = np.frombuffer(b"".join(held["code"].to_pylist()), np.uint8).reshape(held.num_rows, dim)
+            found = _candidates(coded, held["number"].to_numpy(), _rows(ask["v"]), ask["number"].to_numpy(), low, high, k)
+        return pa.table([pa.array(x) for x in found], ["query", "number", "least", "most"])
+
+    keys = ("block", "q_block")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "query long, number long, least double, most double")
+
+
+def top_k(vectors: DataFrame, queries: Column, k: int = 5, code_rows: int = CODE_ROWS, query_rows: int = QUERY_ROWS, first: int = FIRST) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of vectors (id, v) where `queries` holds, the k other rows with the greatest inner product.
 
     Fewer than k candidates give all of them; ties go to smaller ids. Vectors are compared with those of the same length only; empty ones have products
-    of 0. Each row of a repeated id is a query and a candidate of its own. Scores are exact as long as they fit a long. An empty table gives an empty one.
+    of 0. Each row of a repeated id is a query and a candidate of its own. Scores are exact; one that doesn't fit a long integer is an error. An empty table gives an empty one.
     """
-    spark = vectors.sparkSession
-    sized = materialize(vectors.select("id", "v", F.size("v").alias("dim"), queries.alias("asks")), "vectors")
-    n, asked = sized.agg(F.count("*"), F.count_if("asks")).first()
-    blocks, asking = max(1, -(-n // vector_rows)), max(1, -(-asked // query_rows))
-    # rows are dealt at random and the deal is kept as a table, so equal rows don't meet in one block and a lost task finds the same blocks
-    sized = materialize(sized.withColumn("block", F.floor(F.rand(1) * blocks).cast("int")).withColumn("q_block", F.floor(F.rand(2) * asking).cast("int")).withColumn("number", F.monotonically_increasing_id()), "blocks")
-    data = sized.select("dim", "block", F.explode(F.sequence(F.lit(0), F.lit(asking - 1))).alias("q_block"), "id", "number", "v")
-    ask = sized.filter("asks").select("dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "q_block", "id", "number", "v")
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({c: pa.array([], pa.int64()) for c in names})
-        both = _matrix(pa.chunked_array([*left["v"].chunks, *right["v"].chunks]), left.num_rows + right.num_rows)
-        q_rows = right["number"].to_numpy()
-        at, found, scores = search(both[left.num_rows :], q_rows, both[: left.num_rows], left["number"].to_numpy(), left["id"].to_numpy(), k)
-        return pa.table(dict(zip(names, map(pa.array, (right["id"].to_numpy()[at], q_rows[at], found, scores)), strict=True)))
-
-    names, keys = ("query_id", "number", "vec_id", "score"), ("dim", "block", "q_block")
-    parts = data.groupBy(*keys).cogroup(ask.groupBy(*keys)).applyInArrow(run, "query_id long, number long, vec_id long, score long")
-    best = Window.partitionBy("query_id", "number").orderBy(F.desc("score"), "vec_id")
-    ranked = parts.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    sized = vectors.select("id", "v", F.size("v").alias("dim"), F.coalesce(queries, F.lit(False)).alias("asks"), F.monotonically_increasing_id().alias("number"))
+    sized = materialize(sized, "vectors")
+    # of equal vectors only those of the k + 1 smallest ids can be among the k best of any query
+    equal = Window.partitionBy("v").orderBy("id", "number")
+    kept = materialize(sized.withColumn("nth", F.row_number().over(equal)).filter(F.col("nth") <= k + 1).drop("nth"), "kept")
+    asks = sized.filter("asks")
+    pairs = None
+    for r in sized.select("dim").distinct().collect():  # lengths of vectors, of which a table has few
+        dim = F.col("dim") == r["dim"]
+        met = _met(kept.filter(dim), asks.filter(dim), r["dim"], k, code_rows, query_rows)
+        pairs = met if pairs is None else pairs.unionByName(met)
+    if pairs is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    # blocks decided for themselves: now by the k-th best lower bound of all of them
+    pairs = materialize(pairs, "pairs")
+    nth = Window.partitionBy("query").orderBy(F.desc("least"), "number")
+    sure = pairs.withColumn("nth", F.row_number().over(nth)).filter(F.col("nth") <= k).groupBy("query").agg(F.when(F.count("*") == k, F.min("least")).alias("sure"))
+    place = Window.partitionBy("query").orderBy(F.desc("most"), "number")
+    pending = pairs.join(sure, "query").filter(F.col("sure").isNull() | (F.col("most") >= F.col("sure"))).select("query", "number", "most", F.row_number().over(place).alias("place"))
+    pending = materialize(pending, "pending")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "id", "number")
+    asked = asks.select(F.col("number").alias("query"), F.col("v").alias("q"))
+    product = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0).cast("long"), lambda a, x: a + x)
+    found, upto = None, first * k
+    while True:
+        read = pending.filter(F.col("place") <= upto).join(kept.select("number", "id", "v"), "number").join(asked, "query").select("query", "number", "id", product.alias("score"))
+        read = read if found is None else read.unionByName(found)
+        ranked = materialize(read.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k), "found")
+        found = ranked.drop("rank")
+        # unread ones count only where they may reach the k-th score; an equal bound may still win its tie
+        worst = ranked.groupBy("query").agg(F.when(F.count("*") == k, F.min("score")).alias("worst"))
+        rest = pending.filter(F.col("place") > upto).join(worst, "query").filter(F.col("worst").isNull() | (F.col("most") >= F.col("worst"))).select("query", "number", "most", "place")
+        before, pending, upto = pending, materialize(rest, "pending"), upto * 4
+        drop_folder(before)
+        if pending.isEmpty():
+            break
+    names = asks.select(F.col("number").alias("query"), F.col("id").alias("query_id"))
+    return ranked.join(names, "query").select("query_id", "rank", F.col("id").alias("vec_id"), "score")

@@ -43,19 +43,41 @@ def test_top_k_with_ties_and_odd_vectors(spark):
     frame = spark.createDataFrame(vectors + bad, "vec_id long, embedding array<double>").withColumn("score", F.lit(1))
     ready = vafile.integer_vectors(frame)
     ints = [(i, [math.floor(256 * x) for x in v]) for i, v in vectors]
-    for rows, asked in ((64, 3), (8192, 2048)):
-        got = sorted(map(tuple, vafile.top_k(ready, F.col("id") % 50 == 0, 5, rows, asked).collect()))
+    for options in ({"code_rows": 64, "query_rows": 3, "first": 1}, {}):
+        got = sorted(map(tuple, vafile.top_k(ready, F.col("id") % 50 == 0, 5, **options).collect()))
         assert got == brute_top(ints, lambda q: q % 50 == 0, 5)
     assert vafile.top_k(ready.limit(0), F.col("id") % 50 == 0).count() == 0
     twice = spark.createDataFrame([(0, [1.0]), (0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert sorted(map(tuple, vafile.top_k(vafile.integer_vectors(twice), F.col("id") == 0).collect())) == sorted([(0, 1, 1, 512 * 256), (0, 2, 0, 256 * 256)] * 2)
 
 
-def test_bounds_hold():
+def test_bounds_hold(spark):
     rng = np.random.default_rng(3)
-    v, q = rng.integers(-300, 300, (200, 5)).astype(float), rng.integers(-300, 300, (9, 5)).astype(float)
-    least, most = vafile.Approximation(v).bounds(q)
-    assert (least <= q @ v.T).all() and (q @ v.T <= most).all()
+    for scale in (300, 2**40):
+        v, q = rng.integers(-scale, scale, (200, 5)), rng.integers(-scale, scale, (9, 5))
+        frame = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "number long, v array<long>")
+        edges, low, high = vafile.cells(frame, 5, count=16, sample=50)
+        least, most = vafile.bounds(q, vafile._coded(v, edges), low, high)
+        exact = np.array([[sum(int(a) * int(b) for a, b in zip(x, y, strict=True)) for y in v] for x in q], dtype=object)
+        assert (least <= exact).all() and (exact <= most).all() and ((most - least) < 0.5 * (exact.max() - exact.min())).all()
+
+
+def test_components_near_the_greatest_long(spark):
+    rows = [(0, [1e30, 1.0]), (50, [2.0**54, 0.0]), (1, [0.5, 0.25]), (2, [-0.5, 3.0]), (100, [1.0, 1.0]), (3, [3e13, 0.0])]
+    ready = vafile.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert sorted(r["id"] for r in ready.collect()) == [1, 2, 3, 50, 100]  # 1e30 is no long
+    fits = ready.filter("id <> 50")
+    assert sorted(map(tuple, vafile.top_k(fits, F.col("id") == 100).collect())) == [(100, 1, 3, 256 * 256 * 3 * 10**13), (100, 2, 2, 256 * 640), (100, 3, 1, 256 * 192)]
+    with pytest.raises(Exception, match="(?i)overflow"):
+        vafile.top_k(ready, F.col("id") == 3).collect()
+
+
+def test_many_equal_vectors(spark):
+    rows = [(k, [1.0, 2.0, 3.0]) for k in range(1000)] + [(1000 + k, [float(k), 0.0, 1.0]) for k in range(50)]
+    frame = vafile.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    ints = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    got = sorted(map(tuple, vafile.top_k(frame, F.col("id") % 50 == 0, code_rows=100, query_rows=7).collect()))
+    assert got == brute_top(ints, lambda q: q % 50 == 0, 5)
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
