@@ -211,6 +211,16 @@ def slices(items: DataFrame, slice_rows: int, slice_bytes: int):
         yield rows
 
 
+def _with_last(rows):
+    """Each of rows with whether it is the last."""
+    rows = iter(rows)
+    now = next(rows, None)
+    while now is not None:
+        then = next(rows, None)
+        yield now, then is None
+        now = then
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", slice_rows: int = 20_000, slice_bytes: int = 8 << 20) -> DataFrame:
     """One row for each document row and item row it holds: id, item_id, start_word, n_words, distance, similarity of the best window.
 
@@ -221,7 +231,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     texts = docs.select(F.col(id_col).cast("long").alias("id"), string_col(docs, text_col).alias("text"))
     items, new = weighted_items(benchmark, item_col, item_text)
     found = None
-    for rows in slices(items, slice_rows, slice_bytes):
+    for rows, last in _with_last(slices(items, slice_rows, slice_bytes)):
         shared = docs.sparkSession.sparkContext.broadcast(rows)
 
         def run(batches, shared=shared):
@@ -235,6 +245,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["id", "item_id", "start_word", "n_words", "distance", "similarity"])
 
         part = texts.mapInArrow(run, schema)
+        if not last:  # one slice is alive at a time
+            part = materialize(part, "found")
+            shared.destroy()
         found = part if found is None else found.unionByName(part)
     return docs.sparkSession.createDataFrame([], schema) if found is None else found
 
@@ -249,15 +262,8 @@ def without_passages(docs: DataFrame, benchmark: DataFrame, text_col: str = "tex
         mark += "_"
     items, new = weighted_items(benchmark, item_col, item_text)
     before = None
-    for rows in slices(items, slice_rows, slice_bytes):
+    for rows, last in _with_last(slices(items, slice_rows, slice_bytes)):
         shared = docs.sparkSession.sparkContext.broadcast(rows)
-        if before is not None:
-            docs = materialize(docs, "clean")
-            if before:
-                drop_folder(before[0])
-            before = [docs]
-        else:
-            before = []
 
         def run(batches, shared=shared):
             index, words = Index(shared.value, new), _Words()
@@ -266,4 +272,10 @@ def without_passages(docs: DataFrame, benchmark: DataFrame, text_col: str = "tex
                 yield b.filter(pa.array(clean, pa.bool_())).select(range(b.num_columns - 1))
 
         docs = docs.withColumn(mark, string_col(docs, text_col)).mapInArrow(run, docs.schema)
+        if not last:  # one slice is alive at a time, and one table of what is still clean
+            docs = materialize(docs, "clean")
+            shared.destroy()
+            if before is not None:
+                drop_folder(before)
+            before = docs
     return docs
