@@ -32,6 +32,9 @@ ARC_V1, ARC_V2 = ("URL IP-address Archive-date Content-type Archive-length", "UR
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EPOCH = datetime.datetime(2000, 1, 1)
 
+#: Shares into which the revisits of one response are dealt.
+SALTS = 16
+
 
 def version_block(version: int) -> bytes:
     """The record that opens an ARC file."""
@@ -237,5 +240,11 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     path = new_folder(pages.sparkSession, "warc")
     write_archives(pages, path, id_col, url_col, html_col)
     records = materialize(read_archives(pages.sparkSession, path), "records")
-    heads = records.filter("record_type = 'response'").groupBy(F.col("record_id").alias("refers_id")).agg(F.min("page_id").alias("refers_to"))
-    return records.join(heads, "refers_id", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    # only revisits look for their response, and those of one response are dealt out by a salt
+    columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    revisits = records.filter("refers_id IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)))
+    asked = revisits.select(F.col("refers_id").alias("record_id")).distinct()
+    heads = records.filter("record_type = 'response'").join(asked, "record_id", "left_semi").groupBy(F.col("record_id").alias("refers_id")).agg(F.min("page_id").alias("refers_to"))
+    heads = heads.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    alone = records.filter("refers_id IS NULL").withColumn("refers_to", F.lit(None).cast("long"))
+    return revisits.join(heads, ["refers_id", "salt"], "left").select(*columns).unionByName(alone.select(*columns))
