@@ -82,19 +82,25 @@ def resolved(paths: DataFrame, links: DataFrame | Callable[[DataFrame], DataFram
     """id, real: absolute paths (id, path) with . and .. and links followed; null where links go round in a circle.
 
     links: path, target, or a function that gives those of a table of paths. A round follows the first link on each path's way (.. behind a link goes up from where the
-    link leads to), by one join of all prefixes with the links; a path that is still on its way after LINKS rounds goes in circles.
+    link leads to), by one join of all prefixes with the links. A path that comes to where it was at the last power of two of rounds goes in circles, and so does
+    one that is still on its way after LINKS rounds.
     """
     look = links if callable(links) else lambda prefixes: links
     none = F.array().cast("array<string>")
-    state, done, text = paths.select("id", none.alias("done"), F.split("path", "/").alias("todo")), [], lambda at: F.concat(F.lit("/"), F.array_join(at, "/"))
-    for _ in range(LINKS + 1):
+    text = lambda at: F.concat(F.lit("/"), F.array_join(at, "/"))
+    state, done = paths.select("id", none.alias("done"), F.split("path", "/").alias("todo"), F.lit("").alias("mark")), []
+    for n in range(LINKS + 1):
         step = F.transform("todo", lambda x, i: F.struct(i.alias("i"), text(_folded(F.col("done"), F.slice("todo", F.lit(1), i + 1))).alias("path")))
         ways = state.select("id", F.inline(step))
         hits = ways.join(look(ways.select("path")), "path").groupBy("id").agg(F.min(F.struct("i", "path", "target")).alias("hit"))
         state = state.join(hits, "id", "left")
         done.append(materialize(state.filter("hit IS NULL").select("id", text(_folded(F.col("done"), F.col("todo"))).alias("real")), "paths"))
         folder = F.when(F.col("hit.target").startswith("/"), none).otherwise(_folded(none, F.split(F.regexp_replace("hit.path", "/[^/]*$", ""), "/")))
-        state = materialize(state.filter("hit IS NOT NULL").select("id", folder.alias("done"), F.concat(F.split("hit.target", "/"), F.slice("todo", F.col("hit.i") + 2, F.size("todo"))).alias("todo")), "paths")
+        moved = state.filter("hit IS NOT NULL").select("id", folder.alias("done"), F.concat(F.split("hit.target", "/"), F.slice("todo", F.col("hit.i") + 2, F.size("todo"))).alias("todo"), "mark")
+        moved = moved.withColumn("here", F.concat_ws("\0", text(F.col("done")), F.array_join("todo", "/")))
+        moved = materialize(moved.withColumn("circle", F.col("here") == F.col("mark")), "paths")
+        done.append(moved.filter("circle").select("id", F.lit(None).cast("string").alias("real")))
+        state = moved.filter("NOT circle").select("id", "done", "todo", F.col("here" if n & (n + 1) == 0 else "mark").alias("mark"))
         if state.isEmpty():
             break
     out = state.select("id", F.lit(None).cast("string").alias("real"))
