@@ -1,20 +1,20 @@
 """Length buckets of least padding, and batches under a token budget inside each.
 
 Bucket boundaries come from dynamic programming over the histogram of all lengths (rounded up to `align`), so its size is bounded by the longest
-text, not by the number of rows. Rows are numbered inside a bucket by shards of bounded size: each shard numbers its own rows, and the
-shards' counts give the offsets. No task holds a bucket.
+text, not by the number of rows. Rows are numbered inside a bucket by ranges of their order: each range numbers its own rows, and the
+counts of the ranges before are added. No task holds a bucket, nor all rows of one id.
 """
 
 from __future__ import annotations
 
 from collections import deque
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintlake.llm.common import materialize, string_col
+from lintlake.llm.common import materialize, placed, string_col
 
-BUCKETS, BUDGET, ALIGN, SHARD_ROWS = 12, 16_384, 8, 50_000
+BUCKETS, BUDGET, ALIGN = 12, 16_384, 8
 
 
 def word_count(column):
@@ -66,33 +66,27 @@ def boundaries(histogram: list[tuple[int, int]], buckets: int) -> list[int]:
     return ends[::-1]
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length=None, buckets: int = BUCKETS, budget: int = BUDGET, align: int = ALIGN, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length=None, buckets: int = BUCKETS, budget: int = BUDGET, align: int = ALIGN) -> DataFrame:
     """id, n_tokens, bucket, bucket_tokens, batch, slot, padding of every row.
 
     length: a column expression for the tokens of a row; words and an end mark by default. A batch of a bucket holds budget //
-    bucket_tokens rows, one at least, filled in order of shard and id; only a bucket's last batch may be short. The shard of a row is a hash of its id, so
-    batches don't depend on the layout of files; rows without an id are dealt by their place instead, since one shard couldn't hold them all. Padding is least for
-    lengths rounded up to `align`. Null and empty texts have one token; repeated rows are all packed; other columns are ignored. An empty table gives an empty one.
+    bucket_tokens rows, one at least, filled in order of the ids' hashes, ids and tokens; only a bucket's last batch may be short. Rows that agree in id and
+    tokens can change places unseen, so batches depend neither on the layout of files nor on the number of tasks, and rows of one id, or without any, lie in as many ranges as
+    they fill. Padding is least for lengths rounded up to `align`. Null and empty texts have one token; repeated rows are all packed; other columns are ignored. An empty table gives an empty one.
     """
     size = word_count(string_col(docs, text_col)) if length is None else F.coalesce(length.cast("long"), F.lit(0))
     sized = materialize(docs.select(F.col(id_col).cast("long").alias("id"), F.greatest(size, F.lit(1)).alias("n_tokens")), "lengths")
     histogram = sized.groupBy((F.ceil(F.col("n_tokens") / align) * align).cast("long").alias("length")).count().collect()
     ends = boundaries([(r["length"], r["count"]) for r in histogram], buckets)
-    total = sum(r["count"] for r in histogram)
-    shards = max(1, -(-total // shard_rows))
     bucket = F
     for i, end in enumerate(ends):
         bucket = bucket.when(F.col("n_tokens") <= end, i)
     bucket = bucket.otherwise(None) if ends else F.lit(None)
     capacity = F.element_at(F.array(*(F.lit(max(1, budget // e)) for e in ends)), F.col("bucket") + 1) if ends else F.lit(None)
     top = F.element_at(F.array(*(F.lit(e) for e in ends)), F.col("bucket") + 1) if ends else F.lit(None)
-    dealt = sized.select("id", "n_tokens", bucket.cast("int").alias("bucket"), F.pmod(F.xxhash64(F.coalesce("id", F.monotonically_increasing_id())), F.lit(shards)).alias("shard"))
-    dealt = materialize(dealt, "dealt")
-    counts = dealt.groupBy("bucket", "shard").count()
-    before = Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("bucket", "shard", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("bucket", "shard").orderBy("id", "n_tokens")
-    placed = dealt.withColumn("nth", F.row_number().over(within) - 1).join(offsets, ["bucket", "shard"]).withColumn("nth", F.col("nth") + F.col("offset"))
-    return placed.select(
-        "id", "n_tokens", "bucket", top.cast("long").alias("bucket_tokens"), F.floor(F.col("nth") / capacity).cast("long").alias("batch"), (F.col("nth") % capacity).cast("int").alias("slot"), (top - F.col("n_tokens")).cast("long").alias("padding")
+    # the last column tells equal rows apart, or they would all fall into one range
+    dealt = sized.select("id", "n_tokens", bucket.cast("int").alias("bucket"), F.xxhash64("id").alias("deal"), F.monotonically_increasing_id().alias("copy"))
+    rows = placed(dealt, "bucket", ["deal", "id", "n_tokens", "copy"])
+    return rows.select(
+        "id", "n_tokens", "bucket", top.cast("long").alias("bucket_tokens"), F.floor(F.col("place") / capacity).cast("long").alias("batch"), (F.col("place") % capacity).cast("int").alias("slot"), (top - F.col("n_tokens")).cast("long").alias("padding")
     )

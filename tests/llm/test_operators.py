@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lintlake.llm import archives, backoff, bytecnn, decontam, maintext, packing, registry, secrets, vafile
-from lintlake.llm.common import materialize, table
+from lintlake.llm.common import materialize, ranged, table
 
 ODD = [(1, None, "en"), (2, "", "en"), (3, "one", "de"), (3, "one", "de"), (None, "no id at all", None), (5, "the The the\tthe", None), (6, "long word " * 3000, "en")]
 
@@ -433,8 +433,10 @@ def test_boundaries_are_optimal():
 def test_pack(spark, odd):
     rows = [(i, "w " * (i % 23)) for i in range(500)] + [(1, "w")] * 300
     frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("bucket", F.lit("x"))
-    for shard_rows in (50_000, 37):
-        got = packing.pack(frame, buckets=4, budget=100, align=4, shard_rows=shard_rows).collect()
+    seen = []
+    for parts in (1, 7):
+        got = packing.pack(frame.repartition(parts), buckets=4, budget=100, align=4).collect()
+        seen.append(Counter(got))
         assert Counter((r["id"], r["n_tokens"]) for r in got) == Counter((i, len(t.split()) + 1) for i, t in rows)
         batches = Counter((r["bucket"], r["batch"]) for r in got)
         for r in got:
@@ -442,9 +444,21 @@ def test_pack(spark, odd):
         for b in {b for b, _ in batches}:
             sizes = [n for (x, _), n in sorted(batches.items()) if x == b]
             assert len(set(sizes[:-1])) <= 1 and len({(r["batch"], r["slot"]) for r in got if r["bucket"] == b}) == sum(sizes)
+    assert seen[0] == seen[1]
     assert packing.pack(odd).count() == len(ODD) and packing.pack(odd.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_are_split(spark):
+    rows = spark.range(20_000).select(F.lit(None).cast("long").alias("id"), F.lit(0).alias("bucket"), F.monotonically_increasing_id().alias("copy"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        dealt = ranged(rows, [F.col(c) for c in ("bucket", "id", "copy")], ["bucket", "id", "copy"])
+        sizes = [r["count"] for r in dealt.groupBy("part").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(sizes) == 20_000 and max(sizes) < 10_000
+
+
 # the pipeline
 
 
