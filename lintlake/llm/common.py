@@ -64,10 +64,27 @@ def ranged(df: DataFrame, coarse: list[Column], order: list[str]) -> DataFrame:
     return df.repartitionByRange(*coarse).sortWithinPartitions(*order).select("*", F.shiftright(number, ROW_BITS).alias("part"), number.bitwiseAND(F.lit((1 << ROW_BITS) - 1)).alias("nth"))
 
 
-def placed(df: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """df with place: from 0, inside its group, in that order. A group may lie in many ranges, each of which numbers its own rows, so no task holds a group."""
+def placed(df: DataFrame, group: str, order: list[str], keep_part: bool = False) -> DataFrame:
+    """df with place: from 0, inside its group, in that order. A group may lie in many ranges, each of which numbers its own rows, so no task holds a group.
+
+    keep_part: the column part, the range of a row, stays."""
     rows = materialize(ranged(df, [F.col(group), *map(F.col, order)], [group, *order]), "ranges")
     size = rows.groupBy(group, "part").agg(F.min("nth").alias("first"), F.count("*").alias("size"))
     before = F.sum("size").over(Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     size = size.select(group, "part", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
-    return rows.join(size, [group, "part"]).withColumn("place", F.col("nth") + F.col("shift")).drop("part", "nth", "shift")
+    return rows.join(size, [group, "part"]).withColumn("place", F.col("nth") + F.col("shift")).drop("nth", "shift", *(() if keep_part else ("part",)))
+
+
+def carried(rows: DataFrame, group: str, columns: dict[str, tuple[str, bool]]) -> DataFrame:
+    """rows of placed(keep_part=True) with a column for each name of columns: (source, whether the row itself counts) -> the source's last value that isn't null.
+
+    A range looks through its own rows of the group; what the ranges before it end with is added, so no task holds a group.
+    """
+    window = Window.partitionBy(group, "part").orderBy("place")
+    sources = sorted({s for s, _ in columns.values()})
+    ends = rows.groupBy(group, "part").agg(*(F.max(F.when(F.col(s).isNotNull(), F.struct("place", s)))[s].alias(s) for s in sources))
+    before = Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(group, "part", *(F.last(s, ignorenulls=True).over(before).alias(f"__{s}") for s in sources))
+    own = {n: F.last(s, ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0 if itself else -1)) for n, (s, itself) in columns.items()}
+    found = rows.select("*", *(c.alias(f"__own_{n}") for n, c in own.items())).join(ends, [group, "part"])
+    return found.select(*rows.columns, *(F.coalesce(f"__own_{n}", f"__{s}").alias(n) for n, (s, _) in columns.items()))

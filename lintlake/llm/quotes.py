@@ -2,7 +2,8 @@
 
 Each line's quote level is the number of its leading `>` marks. Sentences of quoted passages, normalised and hashed, are joined to
 the messages of the conversation that said them first in their own words; a reply's parent is the message of its least quote level with
-the most quoted words. A message without a link continues the one before it, however far its turn lies back. Roots and depths come from pointer doubling.
+the most quoted words. A message without a link continues the one before it, however far its turn lies back, so a conversation has one root, its first message, and falls into
+stretches that a quoting message begins. Depths come from pointer doubling over the beginnings of stretches alone; the rest counts on from its own.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintlake.llm.common import materialize, placed, string_col
+from lintlake.llm.common import carried, materialize, placed, string_col
 
 MARK = re.compile(r"\s{0,3}>[ \t]?")
 # Fixed forms of the line that introduces a quote.
@@ -95,10 +96,34 @@ def quote_links(rows: DataFrame) -> DataFrame:
     return summed.groupBy("conv_id", "turn", "level").agg(best).select("conv_id", "turn", "level", "best.source_turn", "best.words")
 
 
+def _depths(nodes: DataFrame) -> DataFrame:
+    """conv_id, place, depth of each message that quotes; nodes: conv_id, turn, place, quoted_turn and head, the place where the message's stretch begins.
+
+    A pointer leads from the beginning of a stretch to that of the stretch which holds the quoted message, as many replies higher as hops says. Pointers to a
+    conversation's first message (place 0) are done with, so no root stands in a join.
+    """
+    held = nodes.select("conv_id", F.col("turn").alias("quoted_turn"), F.col("head").alias("next"), (F.col("place") - F.col("head") + 1).alias("hops"))
+    links = materialize(nodes.filter("quoted_turn IS NOT NULL").select("conv_id", "place", "quoted_turn").join(held, ["conv_id", "quoted_turn"]).drop("quoted_turn"), "pointers")
+    done, pending = [links.filter("next = 0")], links.filter("next > 0")
+    while not pending.isEmpty():
+        up = pending
+        for d in done:
+            up = up.unionByName(d)
+        up = up.select("conv_id", F.col("place").alias("next"), F.col("next").alias("further"), F.col("hops").alias("more"))
+        moved = pending.join(up, ["conv_id", "next"]).select("conv_id", "place", F.col("further").alias("next"), (F.col("hops") + F.col("more")).alias("hops"))
+        moved = materialize(moved, "pointers")
+        done.append(moved.filter("next = 0"))
+        pending = moved.filter("next > 0")
+    found = done[0]
+    for d in done[1:]:
+        found = found.unionByName(d)
+    return found.select("conv_id", "place", F.col("hops").alias("depth"))
+
+
 def conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv_id, turn, role, text without quotes, parent_turn, quoted (whether the parent was found by a quote), root_turn, depth, place.
 
-    place: from 0, inside the conversation, by root and turn, so every reply comes after its parent; repeated rows share theirs. Turns may be any numbers, with gaps. Messages
+    place: from 0, inside the conversation, by turn, so every reply comes after its parent; repeated rows share theirs. Turns may be any numbers, with gaps. Messages
     without conv_id or turn stay, alone and without a place;
     repeated (conv_id, turn) rows are all kept and share their links. Null and empty texts have an empty text. Passages that nobody said before link to nothing; other columns are ignored.
     """
@@ -107,28 +132,15 @@ def conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str
     # a quote of level 1 names the parent, a deeper one an older message
     parents = quote_links(keyed).groupBy("conv_id", "turn").agg(F.min(F.struct("level", -F.col("words"), F.col("source_turn").alias("source_turn"))).alias("best"))
     parents = parents.select("conv_id", "turn", F.col("best.source_turn").alias("quoted_turn"))
-    nodes = keyed.select("conv_id", "turn").distinct()
-    nodes = placed(nodes, "conv_id", ["turn"])
-    before = nodes.select("conv_id", (F.col("place") + 1).alias("place"), F.col("turn").alias("last_turn"))
-    nodes = nodes.join(before, ["conv_id", "place"], "left").drop("place").join(parents, ["conv_id", "turn"], "left")
-    parent = F.coalesce("quoted_turn", "last_turn")
-    nodes = nodes.select("conv_id", "turn", parent.alias("parent_turn"), F.col("quoted_turn").isNotNull().alias("quoted"), F.coalesce(parent, "turn").alias("root_turn"), F.when(parent.isNotNull(), 1).otherwise(0).cast("long").alias("depth"), parent.isNull().alias("done"))
-    nodes = materialize(nodes, "nodes")
-    done, pending = [nodes.filter("done")], nodes.filter("NOT done")
-    while not pending.isEmpty():
-        # doubling: a pointer to a message becomes one to where that points; those at a root are done with and aren't written again
-        up = pending
-        for d in done:
-            up = up.unionByName(d)
-        up = up.select("conv_id", F.col("turn").alias("root_turn"), F.col("root_turn").alias("further"), F.col("depth").alias("more"), F.col("done").alias("rooted"))
-        moved = pending.join(up, ["conv_id", "root_turn"]).select("conv_id", "turn", "parent_turn", "quoted", F.col("further").alias("root_turn"), (F.col("depth") + F.col("more")).alias("depth"), F.col("rooted").alias("done"))
-        moved = materialize(moved, "nodes")
-        done.append(moved.filter("done"))
-        pending = moved.filter("NOT done")
-    nodes = done[0]
-    for d in done[1:]:
-        nodes = nodes.unionByName(d)
-    nodes = placed(nodes.drop("done"), "conv_id", ["root_turn", "turn"])
+    nodes = placed(keyed.select("conv_id", "turn").distinct().join(parents, ["conv_id", "turn"], "left"), "conv_id", ["turn"], keep_part=True)
+    begins = F.col("quoted_turn").isNotNull() | (F.col("place") == 0)
+    nodes = nodes.withColumn("begin", F.when(begins, F.col("place"))).withColumn("first_turn", F.when(F.col("place") == 0, F.col("turn")))
+    nodes = carried(nodes, "conv_id", {"head": ("begin", True), "last_turn": ("turn", False), "root_turn": ("first_turn", True)})
+    nodes = materialize(nodes.drop("begin", "first_turn"), "nodes")
+    depths = _depths(nodes)
+    filled = nodes.join(depths, ["conv_id", "place"], "left").withColumn("begun", F.when(F.col("place") == 0, 0).otherwise(F.col("depth") - F.col("place"))).drop("depth")
+    filled = carried(filled, "conv_id", {"shift": ("begun", True)})
+    nodes = filled.select("conv_id", "turn", F.coalesce("quoted_turn", "last_turn").alias("parent_turn"), F.col("quoted_turn").isNotNull().alias("quoted"), "root_turn", (F.col("place") + F.col("shift")).alias("depth"), "place")
     linked = keyed.select("conv_id", "turn", "role", "text").join(nodes, ["conv_id", "turn"])
     alone = rows.filter("conv_id IS NULL OR turn IS NULL").select("conv_id", "turn", "role", "text", F.lit(None).cast("long").alias("parent_turn"), F.lit(False).alias("quoted"), F.col("turn").alias("root_turn"), F.lit(0).cast("long").alias("depth"), F.lit(None).cast("long").alias("place"))
     return linked.unionByName(alone)

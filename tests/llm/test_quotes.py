@@ -53,6 +53,26 @@ def test_places_follow_the_replies(spark):
     assert all(v["parent_turn"] is None or got[1, v["parent_turn"]]["place"] < v["place"] for v in got.values())
 
 
+def test_stretches_over_many_ranges(spark):
+    """Replies to random earlier messages, in stretches that go over the ends of ranges: depths by a walk."""
+    import random
+
+    draw, rows, expected = random.Random(5), [], {}
+    for conv, size in ((1, 600), (2, 1), (3, 40)):
+        depth = []
+        for k in range(size):
+            to = draw.randrange(k) if k and draw.random() < 0.3 else None
+            rows.append((conv, 3 * k, "a", ("" if to is None else f"> Statement {to} stands.\n") + f"Statement {k} stands."))
+            depth.append(0 if k == 0 else depth[k - 1 if to is None else to] + 1)
+            expected[conv, 3 * k] = (None if k == 0 else 3 * (k - 1 if to is None else to), to is not None, 0, depth[k], k)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = run(spark, rows)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {k: (v["parent_turn"], v["quoted"], v["root_turn"], v["depth"], v["place"]) for k, v in got.items()} == expected
+
+
 def test_odd_rows(spark):
     rows = [(1, 0, None, None), (1, 0, "a", ""), (None, 3, "a", "> x\ny"), (1, None, "a", "z"), (1, 1, "b", "same"), (1, 1, "b", "same")]
     frame = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)
