@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +41,13 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, what: str, of: Column | None = None) -> tuple[DataFrame, int]:
+    """materialize(df, what) and the number of its rows (for which `of` holds), counted as they are written."""
+    seen = Observation()
+    out = materialize(df.observe(seen, F.count_if(F.lit(True) if of is None else of).alias("n")), what)
+    return out, seen.get.get("n") or 0
+
+
 def drop_folder(df: DataFrame) -> None:
     """Delete the folder of a table made by materialize(); nothing may read the table any more."""
     spark = df.sparkSession

@@ -216,16 +216,14 @@ def class_groups(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE
     some = busy.select("rep").distinct().join(classes.select("rep", "class"), "rep").select("class", "rep")
     sets = _sets(texts.join(some, "class", "left_semi"), shingle).groupBy("class").agg(F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch"))
     sets = materialize(sets.join(some, "class").select("rep", "shingles", "sketch"), "sets")
-    prints, known, links, tried = classes.select("rep", "print"), None, None, []
+    prints, known, tried = classes.select("rep", "print"), None, []
     for draw in range(ROUNDS):
         pairs = materialize(_met(busy, known, prints, draw, tried), "pairs")
         tried.append(pairs)
-        found = materialize(_similar(pairs, sets, similarity), "found")
-        links = found if links is None else links.unionByName(found)
-        known = connected_components(links)
+        known = connected_components(_similar(pairs, sets, similarity), known)
     rest = materialize(_mixed(busy, known), "rest")
     more = materialize(_prefix_pairs(rest, sets, similarity), "pairs")
-    known = connected_components(links.unionByName(_similar(more, sets, similarity)))
+    known = connected_components(_similar(more, sets, similarity), known)
     out = materialize(_labelled(classes.select("class", "rep"), known, "rep", "component").select("class", "component"), "groups")
     for t in (busy, sets, classes, rest, *tried):
         drop_folder(t)

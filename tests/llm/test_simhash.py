@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lintlake.llm import golay, registry, resemblance, simhash
+from lintlake.llm import components, golay, registry, resemblance, simhash
 from lintlake.llm.common import table
 from lintlake.llm.components import connected_components
 
@@ -109,6 +109,37 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(41), 0), 90: 90, 95: 90, 100: 90}
 
 
+def jobs_of(spark, work):
+    """work's result and the number of jobs that it took."""
+    scheduler = spark.sparkContext._jsc.sc().dagScheduler()
+    before = scheduler.numTotalJobs()
+    out = work()
+    return out, scheduler.numTotalJobs() - before
+
+
+def test_components_grow_from_earlier_ones(spark):
+    """Links that come later are worked on between the groups found so far: same result, and links inside a group cost one job's steps, not a new search."""
+    links = [(i, i + 1) for i in range(40) if i != 20] + [(100, 90), (90, 95)]
+    later = [(20, 21), (95, 200), (300, 301), (301, 7), (3, 9)]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    known, first = jobs_of(spark, lambda: connected_components(frame(links)))
+    known, inside = jobs_of(spark, lambda: connected_components(frame([(3, 9), (30, 22), (90, 95)]), known))
+    assert inside < first / 3
+    got = {r["node"]: r["label"] for r in connected_components(frame(later), known).collect()}
+    assert got == {r["node"]: r["label"] for r in connected_components(frame(links + later)).collect()}
+    assert got == {**dict.fromkeys([*range(41), 300, 301], 0), **dict.fromkeys([90, 95, 100, 200], 90)}
+
+
+def test_large_tables_are_not_broadcast(spark, monkeypatch):
+    """Labels take hardly any room in Parquet, so Spark would send tables of any number of them through the driver."""
+    edges, known = spark.range(9).selectExpr("id a", "id + 1 b"), spark.range(10).selectExpr("id node", "id % 2 label")
+    plan = lambda large: components._between(edges, known, large)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan(True) and "BroadcastHashJoin" in plan(False)
+    monkeypatch.setattr(components, "LARGE", 0)
+    links = spark.createDataFrame([(i, i + 1) for i in range(9)] + [(30, 20)], "a long, b long")
+    assert {r["node"]: r["label"] for r in connected_components(links).collect()} == {**dict.fromkeys(range(10), 0), 20: 20, 30: 20}
+
+
 def jaccard(a, b, k=5):
     sets = [{tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in (a.lower().split(), b.lower().split())]
     return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
