@@ -150,8 +150,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct = materialize(marked.groupBy("fp").agg(F.min("id").alias("rep")), "distinct")
     linked = links(distinct, crowd)
     for side in ("a", "b"):
-        to = distinct.select(F.col("fp").alias(side), F.col("rep").alias(f"{side}_rep"))
+        to = distinct.select(F.col("fp").alias(side), F.col("rep").alias(f"{side}_rep")).hint("merge")  # as large as the corpus, so not broadcast
         linked = linked.join(to, side)
     classes = connected_components(linked.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")))
-    owners = distinct.join(classes, distinct["rep"] == classes["node"], "left").select("fp", F.coalesce("label", "rep").alias("component"))
-    return marked.join(owners, "fp").select("id", "fp", "component")
+    owners = distinct.join(classes.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("fp", F.coalesce("label", "rep").alias("component"))
+    return marked.join(owners.hint("merge"), "fp").select("id", "fp", "component")

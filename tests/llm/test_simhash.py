@@ -140,6 +140,14 @@ def test_large_tables_are_not_broadcast(spark, monkeypatch):
     assert {r["node"]: r["label"] for r in connected_components(links).collect()} == {**dict.fromkeys(range(10), 0), 20: 20, 30: 20}
 
 
+def test_fingerprints_are_not_broadcast(spark):
+    """Tables with a row for each fingerprint are as large as the corpus; however small their files are, they don't go through the driver."""
+    frame = spark.createDataFrame([(i, f"text {i // 2}") for i in range(10)], "doc_id long, text string")
+    found = simhash.near_duplicates(frame)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["id"], r["component"]) for r in found.collect()) == [(i, i - i % 2) for i in range(10)]
+
+
 def jaccard(a, b, k=5):
     sets = [{tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in (a.lower().split(), b.lower().split())]
     return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
