@@ -123,7 +123,10 @@ def _first_tag() -> F.Column:
 
 
 def links(fps: DataFrame, crowd: int = 1024) -> DataFrame:
-    """a, b: links whose components are those of all pairs of distinct fingerprints (column fp) at 4 differing bits or fewer."""
+    """a, b: links whose components are those of all pairs of distinct fingerprints (column fp) at 4 differing bits or fewer.
+
+    Keys and words are 64 and 2,081 rows for each fingerprint, which Spark's estimate of a Python map's output doesn't see, so they are merged and never broadcast.
+    """
     found = keys(fps)
     crowded = materialize(found.groupBy("key").count().filter(F.col("count") > crowd).select("key"), "crowded")
     more = None
@@ -136,7 +139,7 @@ def links(fps: DataFrame, crowd: int = 1024) -> DataFrame:
     x, y = found.filter("role != 1").alias("x"), found.filter("role != 0").alias("y")
     meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & ((F.col("x.role") == 2) == (F.col("y.role") == 2))
     meet &= (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= RADIUS) & (F.shiftright("x.key", 40) == _first_tag())
-    pairs = x.join(y, meet).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
+    pairs = x.join(y.hint("merge"), meet).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
     return pairs if more is None else pairs.unionByName(more)
 
 

@@ -148,6 +148,13 @@ def test_fingerprints_are_not_broadcast(spark):
     assert sorted((r["id"], r["component"]) for r in found.collect()) == [(i, i - i % 2) for i in range(10)]
 
 
+def test_keys_are_not_broadcast(spark):
+    """Spark takes the keys of a few fingerprints for as small as the fingerprints; nothing goes through the driver."""
+    frame = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in near_prints()], "fp long")
+    for crowd in (1024,):
+        assert "Broadcast" not in simhash.links(frame, crowd)._jdf.queryExecution().executedPlan().toString()
+
+
 def jaccard(a, b, k=5):
     sets = [{tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in (a.lower().split(), b.lower().split())]
     return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
