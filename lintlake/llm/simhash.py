@@ -131,11 +131,11 @@ def links(fps: DataFrame, crowd: int = 1024) -> DataFrame:
     crowded = materialize(found.groupBy("key").count().filter(F.col("count") > crowd).select("key"), "crowded")
     more = None
     if not crowded.isEmpty():
-        dense = materialize(found.join(crowded, "key", "left_semi").select("fp").distinct(), "dense")
+        dense = materialize(found.join(crowded.hint("merge"), "key", "left_semi").select("fp").distinct(), "dense")
         mids = _mids(dense)
         least = mids.groupBy("mid").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).filter("a < b").select("mid", "a")
-        more = mids.join(least, "mid").filter("a < fp").select("a", F.col("fp").alias("b")).distinct()
-        found = found.join(crowded, "key", "left_anti")
+        more = mids.join(least.hint("merge"), "mid").filter("a < fp").select("a", F.col("fp").alias("b")).distinct()
+        found = found.join(crowded.hint("merge"), "key", "left_anti")
     x, y = found.filter("role != 1").alias("x"), found.filter("role != 0").alias("y")
     meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & ((F.col("x.role") == 2) == (F.col("y.role") == 2))
     meet &= (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= RADIUS) & (F.shiftright("x.key", 40) == _first_tag())

@@ -148,10 +148,10 @@ def test_fingerprints_are_not_broadcast(spark):
     assert sorted((r["id"], r["component"]) for r in found.collect()) == [(i, i - i % 2) for i in range(10)]
 
 
-def test_keys_are_not_broadcast(spark):
-    """Spark takes the keys of a few fingerprints for as small as the fingerprints; nothing goes through the driver."""
+def test_keys_and_words_are_not_broadcast(spark):
+    """Spark takes the keys of a few fingerprints, and the words near them, for as small as the fingerprints; in either branch of links() nothing goes through the driver."""
     frame = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in near_prints()], "fp long")
-    for crowd in (1024,):
+    for crowd in (1024, 2):
         assert "Broadcast" not in simhash.links(frame, crowd)._jdf.queryExecution().executedPlan().toString()
 
 
