@@ -12,6 +12,9 @@ with a few comparisons a document. The documents that still stand under a key wi
 shingles in the order of how many of these documents hold them, rarest first; similar sets share one of the first fifth, at a place early
 enough in both. A document with many shingles of its own so drops out without a comparison, and pairs inside a group aren't looked at. A sketch of 256
 parities bounds from below in how many shingles two sets differ, so pairs that can't be similar enough don't leave the join. Every comparison is an exact Jaccard similarity of sets of five-word shingles of whole texts.
+
+Every table here has rows for each document, some of them many that Spark's estimates don't see (a Python map's output counts as so many rows as its input, and what repeats takes hardly any
+room in Parquet), so joins are merged and nothing is broadcast through the driver.
 """
 
 from __future__ import annotations
@@ -145,7 +148,7 @@ def _sets(texts: DataFrame, shingle: int) -> DataFrame:
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Of pairs (a, b), those whose sets are similar enough."""
     for side in "ab":
-        pairs = pairs.join(sets.select(F.col("rep").alias(side), F.col("shingles").alias(f"{side}_set")), side)
+        pairs = pairs.join(sets.select(F.col("rep").alias(side), F.col("shingles").alias(f"{side}_set")).hint("merge"), side)
     both = F.size(F.array_intersect("a_set", "b_set"))
     return pairs.filter(both >= F.lit(similarity) * (F.size("a_set") + F.size("b_set") - both)).select("a", "b")
 
@@ -154,22 +157,22 @@ def _labelled(rows: DataFrame, known: DataFrame | None, rep: str, label: str) ->
     """rows with the label of their group so far: a node without links is its own."""
     if known is None:
         return rows.withColumn(label, F.col(rep))
-    return rows.join(known.select(F.col("node").alias(rep), F.col("label").alias(f"__{label}")), rep, "left").withColumn(label, F.coalesce(f"__{label}", rep)).drop(f"__{label}")
+    return rows.join(known.select(F.col("node").alias(rep), F.col("label").alias(f"__{label}")).hint("merge"), rep, "left").withColumn(label, F.coalesce(f"__{label}", rep)).drop(f"__{label}")
 
 
 def _met(busy: DataFrame, known: DataFrame | None, prints: DataFrame, draw: int, tried: list[DataFrame]) -> DataFrame:
     """a, b: each document with the nearest of the pivots that its keys draw outside of its group."""
     order = F.xxhash64("rep", "key", F.lit(draw))
     pivots = busy.groupBy("key").agg(F.min_by("rep", order).alias("pivot"))
-    rows = busy.join(pivots, "key").select("rep", "pivot").filter("rep <> pivot").distinct()
+    rows = busy.join(pivots.hint("merge"), "key").select("rep", "pivot").filter("rep <> pivot").distinct()
     rows = _labelled(_labelled(rows, known, "rep", "label"), known, "pivot", "pivot_label").filter("label <> pivot_label").select("rep", "pivot")
-    rows = rows.join(prints, "rep").join(prints.select(F.col("rep").alias("pivot"), F.col("print").alias("pivot_print")), "pivot")
+    rows = rows.join(prints.hint("merge"), "rep").join(prints.select(F.col("rep").alias("pivot"), F.col("print").alias("pivot_print")).hint("merge"), "pivot")
     apart = F.bit_count(F.col("print").bitwiseXOR(F.col("pivot_print")))
     nearest = Window.partitionBy("rep").orderBy("apart", "pivot")
     rows = rows.select("rep", "pivot", apart.alias("apart")).withColumn("nth", F.row_number().over(nearest)).filter(F.col("nth") <= NEAREST)
     pairs = rows.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
     for t in tried:
-        pairs = pairs.join(t, ["a", "b"], "left_anti")
+        pairs = pairs.join(t.hint("merge"), ["a", "b"], "left_anti")
     return pairs
 
 
@@ -177,14 +180,14 @@ def _mixed(busy: DataFrame, known: DataFrame | None) -> DataFrame:
     """rep, label of the documents that share a key with a document of another group."""
     rows = _labelled(busy, known, "rep", "label")
     mixed = rows.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("key")
-    return rows.join(mixed, "key", "left_semi").select("rep", "label").distinct()
+    return rows.join(mixed.hint("merge"), "key", "left_semi").select("rep", "label").distinct()
 
 
 def _prefix_pairs(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """a, b: every pair of rest (rep, label) of different groups that can be similar enough, by the shingles that come first in both."""
-    rows = rest.join(sets, "rep").select("rep", "label", F.size("shingles").alias("n"), "sketch", F.explode("shingles").alias("shingle"))
+    rows = rest.join(sets.hint("merge"), "rep").select("rep", "label", F.size("shingles").alias("n"), "sketch", F.explode("shingles").alias("shingle"))
     held = rows.groupBy("shingle").agg(F.count("*").alias("held")).filter("held > 1")
-    rows = rows.join(held, "shingle")
+    rows = rows.join(held.hint("merge"), "shingle")
     place, all_of = Window.partitionBy("rep").orderBy("held", "shingle"), Window.partitionBy("rep")
     at = F.col("n") - F.count("*").over(all_of) + F.row_number().over(place) - 1  # those that no other document holds come first
     first = rows.withColumn("at", at).filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - 1e-9)).select("shingle", "rep", "label", "n", "at", *(F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(SKETCH)))
@@ -195,7 +198,7 @@ def _prefix_pairs(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFr
     enough = left >= (F.col("x.n") + F.col("y.n")) * F.lit(similarity / (1 + similarity)) - 1e-6
     differ = sum((F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(SKETCH)), F.lit(0))
     close = differ <= (F.col("x.n") + F.col("y.n")) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6
-    return x.join(y, meet & enough & close).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    return x.join(y.hint("merge"), meet & enough & close).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
 
 
 def text_class(text):
@@ -212,10 +215,10 @@ def class_groups(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE
     marked = _classes(texts, shingle).groupBy("class").agg(F.first("print").alias("print"), F.first("parts").alias("parts"))
     classes = materialize(marked.withColumn("rep", F.monotonically_increasing_id()), "classes")
     shared = _keys(classes).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    busy = materialize(_keys(classes).join(shared, "key"), "busy")
-    some = busy.select("rep").distinct().join(classes.select("rep", "class"), "rep").select("class", "rep")
-    sets = _sets(texts.join(some, "class", "left_semi"), shingle).groupBy("class").agg(F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch"))
-    sets = materialize(sets.join(some, "class").select("rep", "shingles", "sketch"), "sets")
+    busy = materialize(_keys(classes).join(shared.hint("merge"), "key"), "busy")
+    some = busy.select("rep").distinct().join(classes.select("rep", "class").hint("merge"), "rep").select("class", "rep")
+    sets = _sets(texts.join(some.hint("merge"), "class", "left_semi"), shingle).groupBy("class").agg(F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch"))
+    sets = materialize(sets.join(some.hint("merge"), "class").select("rep", "shingles", "sketch"), "sets")
     prints, known, tried = classes.select("rep", "print"), None, []
     for draw in range(ROUNDS):
         pairs = materialize(_met(busy, known, prints, draw, tried), "pairs")
@@ -238,8 +241,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     """
     found = class_groups(docs, text_col, shingle, similarity)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_class(string_col(docs, text_col)).alias("class"))
-    least = rows.groupBy("class").agg(F.min("id").alias("least")).join(found, "class").groupBy("component").agg(F.min("least").alias("least"))
-    return rows.join(found.join(least, "component").select("class", F.col("least").alias("component")), "class").select("id", "component")
+    least = rows.groupBy("class").agg(F.min("id").alias("least")).join(found.hint("merge"), "class").groupBy("component").agg(F.min("least").alias("least"))
+    return rows.join(found.join(least.hint("merge"), "component").select("class", F.col("least").alias("component")).hint("merge"), "class").select("id", "component")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -254,10 +257,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         key, of = key + "_", of + "_"
     text, who = string_col(docs, text_col), F.col(f"`{id_col}`").cast("long")
     row_key = F.unhex(F.md5(F.concat(F.coalesce(who.cast("string"), F.lit("none")), F.lit(":"), text).cast("binary")))
-    rows = docs.select(row_key.alias("key"), text_class(text).alias("class"), who.alias("id")).join(found, "class")
+    rows = docs.select(row_key.alias("key"), text_class(text).alias("class"), who.alias("id")).join(found.hint("merge"), "class")
     best = F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("class"), F.col("key"))).alias("best")
     keep = rows.groupBy("component").agg(best).select(F.col("best.key").alias(key))
-    return docs.withColumn(key, row_key).join(keep, key).dropDuplicates([key]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return docs.withColumn(key, row_key).join(keep.hint("merge"), key).dropDuplicates([key]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def meeting_chance(similarity: float) -> float:

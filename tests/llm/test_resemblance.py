@@ -83,6 +83,23 @@ def test_dense_groups(spark):
     assert all(got[i] == i for i in range(len(texts)) if i not in linked)
 
 
+def test_nothing_of_the_corpus_is_broadcast(spark, monkeypatch):
+    """Every table that the search writes, and its result: Spark takes the keys of a few documents for as small as the documents."""
+    plans = []
+    write = resemblance.materialize
+
+    def noted(df, what):
+        plans.append((what, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, what)
+
+    monkeypatch.setattr(resemblance, "materialize", noted)
+    line = " ".join(f"w{i}" for i in range(60))
+    found = resemblance.one_of_each(spark.createDataFrame([(k, f"{line} {k}") for k in range(9)] + [(20, "alone"), (21, "alone")], "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in found.collect()) == [0, 20]
+    plans.append(("result", found._jdf.queryExecution().executedPlan().toString()))
+    assert len(plans) > 6 and [what for what, plan in plans if "Broadcast" in plan] == []
+
+
 def test_one_of_each(spark):
     long = " ".join(f"w{i}" for i in range(60))
     rows = [(7, long, 1), (3, long + " more", 2), (3, "another text", 3), (3, "another text", 3), (None, long, 4), (None, "alone", 5), (None, "alone", 5), (8, None, 6), (2, "", 7), (9, " \n", 8), (9, "One", 9)]
