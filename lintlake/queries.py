@@ -260,14 +260,11 @@ def _report(spark, sf_dir, save) -> str:
     return f"file://{target}"
 
 
-REPORT = "findings array<struct<cwe_id: string, cwe_name: string, severity: string, confidence: string, package: string, file: string, line: int, code: string, description: string, zero_day_relevance: string>>, count bigint, nosec_suppressed bigint, test_suppressed bigint, suppression_hint string"
-
-
 def json_report(spark, sf_dir):
     """The findings of the JSON document in its order, with the document's counters."""
-    doc = spark.read.schema(REPORT).json(_report(spark, sf_dir, report.save_json), multiLine=True)
-    rows = doc.select(F.posexplode("findings").alias("at", "f"), "count", "nosec_suppressed", "test_suppressed", F.col("suppression_hint").isNotNull().alias("hinted"))
-    return rows.select((F.col("at") + 1).alias("place"), "f.package", "f.file", "f.line", "f.cwe_id", "f.severity", "f.code", "count", "nosec_suppressed", "test_suppressed", "hinted")
+    rows, counters = report.load_json(spark, _report(spark, sf_dir, report.save_json))
+    counters = counters.select("count", "nosec_suppressed", "test_suppressed", F.col("suppression_hint").isNotNull().alias("hinted"))
+    return rows.select("place", "package", "file", "line", "cwe_id", "severity", "code").crossJoin(counters)  # of one row
 
 
 def text_report(spark, sf_dir):

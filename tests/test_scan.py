@@ -235,3 +235,26 @@ def test_plugins(spark):
     assert [(r["path"], r["line"], r["code_snippet"]) for r in good.collect()] == [("a.py", 2, "y # TODO")]
     assert [(r["path"], r["rule"]) for r in errors.collect()] == [("bad.py", "todo")]
     assert plugins.discover() == []
+
+
+def test_json_report_is_read_back_in_splits(spark, tmp_path):
+    """Findings and counters come back as they were written, whatever stands in the snippets and wherever the splits fall; no row holds the document."""
+    texts = ["pickle.loads(x)  # é }\\n    {", "pickle.loads('''],''')  #   {\"count\": 1}", "pickle.loads(\"\\\"\")", "pickle.loads(x)  # nosec"]
+    scanned = scan.scan(frame(spark, *((f"d{k % 7}/m{k:03d}.py", texts[k % 4] + "\n") for k in range(200))), ["pickle"], keep=True)
+    target = str(tmp_path / "r.json")
+    report.save_json(scanned, target)
+    doc = json.loads(open(target).read())
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("700", kept):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            found, counters = report.load_json(spark, target)
+            assert [r.asDict() for r in found.orderBy("place").drop("place").collect()] == doc["findings"]
+            assert sorted(r["place"] for r in found.collect()) == list(range(1, doc["count"] + 1))
+            assert [(r["count"], r["nosec_suppressed"], r["test_suppressed"], r["suppression_hint"]) for r in counters.collect()] == [(doc["count"], doc["nosec_suppressed"], None, None)]
+            assert sinks.pieces(spark, target, "\n    {").selectExpr("max(length(value))").first()[0] < 1000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    report.save_json(scan.scan(frame(spark, ("a.py", "x = 1\n")), ["pickle"]), target)
+    found, counters = report.load_json(spark, target)
+    assert found.count() == 0 and [r["count"] for r in counters.collect()] == [0]
