@@ -258,3 +258,25 @@ def test_json_report_is_read_back_in_splits(spark, tmp_path):
     report.save_json(scan.scan(frame(spark, ("a.py", "x = 1\n")), ["pickle"]), target)
     found, counters = report.load_json(spark, target)
     assert found.count() == 0 and [r["count"] for r in counters.collect()] == [0]
+
+
+def test_baseline_is_read_back_in_splits(spark, tmp_path, monkeypatch):
+    """A fingerprint a line: no task holds the document. Other layouts give the same rows."""
+    rows = [(f"CWE-{k % 9}", f"d/é{k:03d}.py", 'x = ["a", "b"],  # \\   ]') for k in range(150)] + [("CWE-1", "a.py", ""), ("CWE-1", "b.py", "{")]
+    target = tmp_path / "b.json"
+    assert baselines.write_baseline(spark.createDataFrame(rows, "cwe_id string, file string, code_snippet string"), str(target)) == len(rows)
+    doc, whole = json.loads(target.read_text()), []
+    assert sorted(map(tuple, doc["fingerprints"])) == sorted(rows)
+    explode = baselines.F.explode
+    monkeypatch.setattr(baselines.F, "explode", lambda c: whole.append(c) or explode(c))
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+        assert sorted(map(tuple, baselines.read_baseline(spark, str(target)).collect())) == sorted(rows) and not whole
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    lines = target.read_text().split("\n")
+    for text in (json.dumps(doc), json.dumps(doc, indent=2), json.dumps({"a": [["x", "y", "z"]]} | doc), "\n".join([*lines[:-3], "  ],", '  "other": [', '    ["x", "y", "z"]', *lines[-3:]])):
+        target.write_text(text)
+        assert sorted(map(tuple, baselines.read_baseline(spark, str(target)).collect())) == sorted(rows)
+    assert whole
