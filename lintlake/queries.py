@@ -20,7 +20,7 @@ from lintlake.operators.text_rules import NOT_A_SECRET, TEXT_RULES
 from lintlake.operators.tree_rules import TREE_RULES, decode_chains
 from lintlake.plans import isolation, scan
 from lintlake.schema import severity_rank
-from lintlake.sources import baselines
+from lintlake.sources import baselines, sinks
 from lintlake.streaming import versions
 from lintlake.tables import mounted, new_folder
 
@@ -269,9 +269,9 @@ def json_report(spark, sf_dir):
 
 def text_report(spark, sf_dir):
     """Places of the text report's findings, in its order, and its closing counts."""
-    text = spark.read.text(_report(spark, sf_dir, report.save_text), wholetext=True)
-    lines = text.select(F.posexplode(F.filter(F.split("value", "\n"), lambda x: x.rlike(r"^  \S+:\d+  \(pkg\d\)$|^  (?:CRITICAL|confidence:) |^  Security audit")))).select((F.col("pos") + 1).alias("place"), F.col("col").alias("line"))
-    return lines
+    lines = sinks.pieces(spark, _report(spark, sf_dir, report.save_text), "\n")
+    told = lines.filter(F.col("value").rlike(r"^  \S+:\d+  \(pkg\d\)$|^  (?:CRITICAL|confidence:) |^  Security audit"))
+    return sinks.numbered(told, "report").select("place", F.col("value").alias("line"))
 
 
 def _early_comment(path, lines, tree):

@@ -280,3 +280,15 @@ def test_baseline_is_read_back_in_splits(spark, tmp_path, monkeypatch):
         target.write_text(text)
         assert sorted(map(tuple, baselines.read_baseline(spark, str(target)).collect())) == sorted(rows)
     assert whole
+
+
+def test_text_report_keeps_its_order_over_splits(spark, tmp_path):
+    target = tmp_path / "r.txt"
+    target.write_text("".join(f"{'' if k % 3 else '  '}line {k}\r\n" for k in range(500)), newline="")
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "400")
+        got = sinks.numbered(sinks.pieces(spark, str(target), "\n").filter("value LIKE '  line%'"), "report").orderBy("place").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert [(r["place"], r["value"]) for r in got] == [(n + 1, f"  line {k}\r") for n, k in enumerate(range(0, 500, 3))]
