@@ -147,16 +147,16 @@ def secured(packages: DataFrame, folder: str, allowed: Iterable[str]) -> DataFra
     return numbered.drop("path").join(judged.withColumnRenamed("real", "root"), "id").drop("id")
 
 
-def discovered(spark: SparkSession, cwd: str) -> DataFrame:
+def discovered(spark: SparkSession, cwd: str, tree: DataFrame | None = None) -> DataFrame:
     """place, name, root, deep of what stands in cwd: each folder that is no noise and has Python sources anywhere below, and cwd itself for sources right in it.
 
-    A folder is followed until its first source, level by level.
+    A folder is followed until its first source, level by level. tree: the files as a table, as in trees.listing().
     """
     cwd = cwd.rstrip("/")
     name = cwd.rpartition("/")[2]
-    top = trees.listing(spark.createDataFrame([(cwd, False)], "root string, deep boolean"))
+    top = trees.listing(spark.createDataFrame([(cwd, False)], "root string, deep boolean"), tree=tree)
     python = F.col("name").endswith(".py")
-    below = trees.listing(top.filter(F.col("is_dir") & ~trees.noise(F.col("name"))).select(F.col("path").alias("root"), F.lit(True).alias("deep")), until=python)
+    below = trees.listing(top.filter(F.col("is_dir") & ~trees.noise(F.col("name"))).select(F.col("path").alias("root"), F.lit(True).alias("deep")), until=python, tree=tree)
     folders = below.filter(python).select("root").distinct().withColumn("name", F.substring_index("root", "/", -1)).withColumn("deep", F.lit(True))
     taken = folders.filter(F.col("name") == name).agg(F.count("*").alias("taken"))
     loose = top.filter(python).agg(F.count("*").alias("n")).filter("n > 0").crossJoin(taken)  # of one row each
@@ -194,16 +194,16 @@ def in_order(packages: DataFrame) -> DataFrame:
     return packages.withColumn("ordinal", F.row_number().over(Window.orderBy("place")) - 1)
 
 
-def package_files(packages: DataFrame, exclude: Iterable[str] = (), own: Iterable[str] = (), ceiling: str | None = None) -> DataFrame:
+def package_files(packages: DataFrame, exclude: Iterable[str] = (), own: Iterable[str] = (), ceiling: str | None = None, tree: DataFrame | None = None) -> DataFrame:
     """path, package, locked of every file that packages (ordinal, name, root, deep) have: the first package that comes to a path owns it, sources before manifests.
 
     A manifest is that of the nearest folder at or above the root, no higher than ceiling, and belongs to the package rooted in its folder, whoever comes to it.
     """
     packages = packages.select("ordinal", "name", "root", "deep")
-    listed = trees.listing(packages.select("root", "deep"), exclude)
+    listed = trees.listing(packages.select("root", "deep"), exclude, tree=tree)
     mine = trees.sources(listed, exclude, own).join(packages.select("root", "deep", "ordinal", F.col("name").alias("package")), ["root", "deep"]).select("path", "package", "ordinal", F.lit(False).alias("is_manifest"))
     up = ancestors(packages.select(F.col("root").alias("folder"))).select(F.col("above").alias("root"), F.lit(False).alias("deep"))
-    beside = trees.listing(up).select(F.regexp_replace("root", "^/$", "").alias("dir"), "path", "name")
+    beside = trees.listing(up, tree=tree).select(F.regexp_replace("root", "^/$", "").alias("dir"), "path", "name")
     manifests = beside.filter(F.col("name").isin(*MANIFESTS)).select("dir", "path")
     top = F.when((F.col("root") == ceiling) | F.col("root").startswith(f"{ceiling}/"), ceiling) if ceiling else F.lit(None).cast("string")
     near = scan.nearest_manifests(packages.select(F.col("ordinal").cast("string").alias("package"), "root", top.alias("ceiling")), manifests)
@@ -214,15 +214,15 @@ def package_files(packages: DataFrame, exclude: Iterable[str] = (), own: Iterabl
     return materialize(scan.with_locks(owned, beside.filter(F.col("name").isin(*LOCKFILES, "requirements.txt")).select("path").distinct()).withColumn("locked", locked), "files")
 
 
-def file_count(packages: DataFrame, exclude: Iterable[str] = (), own: Iterable[str] = ()) -> DataFrame:
+def file_count(packages: DataFrame, exclude: Iterable[str] = (), own: Iterable[str] = (), tree: DataFrame | None = None) -> DataFrame:
     """n: Python files of all packages; one that lies in two packages counts twice, manifests don't count."""
-    listed = trees.sources(trees.listing(packages.select("root", "deep"), exclude), exclude, own)
-    return packages.join(listed, ["root", "deep"]).agg(F.count("*").alias("n"))
+    listed = trees.sources(trees.listing(packages.select("root", "deep"), exclude, tree=tree), exclude, own).groupBy("root", "deep").agg(F.count("*").alias("n"))
+    return packages.join(listed, ["root", "deep"]).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
-def read(packages: DataFrame, exclude: Iterable[str] = (), own: Iterable[str] = (), ceiling: str | None = None) -> DataFrame:
+def read(packages: DataFrame, exclude: Iterable[str] = (), own: Iterable[str] = (), ceiling: str | None = None, tree: DataFrame | None = None) -> DataFrame:
     """path, package, locked, text of all sources and manifests of the packages."""
-    return trees.contents(package_files(packages, exclude, own, ceiling))
+    return trees.contents(package_files(packages, exclude, own, ceiling, tree), tree)
 
 
 def _sound(packages: DataFrame, folder: str, allowed: Iterable[str]) -> DataFrame:

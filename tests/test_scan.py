@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from lintlake import cli, plugins, report
+from lintlake import cli, plugins, report, tree_queries
 from lintlake.functions.lines import split_lines, strip
 from lintlake.plans import scan
 from lintlake.plans import registry
@@ -292,3 +292,24 @@ def test_text_report_keeps_its_order_over_splits(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
     assert [(r["place"], r["value"]) for r in got] == [(n + 1, f"  line {k}\r") for n, k in enumerate(range(0, 500, 3))]
+
+
+def test_a_table_of_files_is_listed_like_folders(spark, sf, tmp_path):
+    """The registered tree, written to folders and as a table: the same packages, files, counts and texts. Queries write no file for a file."""
+    rel = tree_queries.tree_files(spark, sf).filter("rel NOT LIKE '%mod_1%'").cache()
+    both = []
+    for root, is_table in ((str(tmp_path / "proj"), False), ("/proj", True)):
+        files = rel.select(F.concat(F.lit(f"{root}/"), "rel").alias("path"), "text")
+        files.count() if is_table else trees.write(files)
+        table = files if is_table else None
+        packages = registry.in_order(registry.discovered(spark, root, table)).withColumn("root", F.substring("root", len(root) + 1, 999)).collect()
+        known = registered(spark, *((r["name"], root + r["root"], r["deep"]) for r in packages), ("inner", f"{root}/pkg0/tests", True))
+        read = registry.read(known, trees.DEFAULT_EXCLUDES, ceiling=root, tree=table).withColumn("path", F.substring("path", len(root) + 1, 999))
+        listed = trees.listing(spark.createDataFrame([(root, True), (f"{root}/pkg0", False)], "root string, deep boolean"), ["/deep/"], tree=table)
+        listed = listed.withColumns({c: F.substring(c, len(root) + 1, 999) for c in ("root", "path")})
+        both.append((sorted(map(repr, packages)), sorted(map(repr, read.select("path", "package", "locked", "text").collect())), registry.file_count(known, [".venv"], tree=table).first()["n"], sorted(map(repr, listed.collect()))))
+    assert both[0] == both[1] and len(both[0][1]) > 500
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(trees, "write", None)
+        m.setattr(trees, "_entries", None)
+        assert tree_queries.discovered_packages(spark, sf).count() == len(packages)
