@@ -339,7 +339,7 @@ def version_changes(spark, sf_dir):
         _version(spark, sf_dir, version).write.mode("append").parquet(f"{at}/in")
         stream = spark.readStream.schema("path string, version long, text string").parquet(f"{at}/in")
         versions.follow(stream, f"{at}/out", f"{at}/checkpoint").awaitTermination()
-    return spark.read.schema(versions.CHANGE).parquet(f"{at}/out")
+    return spark.read.schema(versions.CHANGE).parquet(f"{at}/out").drop("batch")
 
 
 def documents_tokens(spark, sf_dir):

@@ -30,6 +30,14 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_folder(df: DataFrame) -> None:
+    """Delete the folder of a table that stands in one; nothing may read it any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def mounted(path: str) -> str:
     """A path as the operating system has it; only folders that all machines see under one path can be walked and written."""
     plain = path.removeprefix("file://").replace("file:/", "/", 1) if path.startswith("file:") else path

@@ -124,3 +124,21 @@ def test_texts_are_scanned_once_each(spark):
         found = scan.scan_by_content(frame, ["eval_exec", "pickle"])
         found.write.format("noop").mode("overwrite").save()
     assert parsed.value <= 3  # as a module, as two manifests, as text
+
+
+def test_versions_are_compared_without_a_python_call_for_each_file(spark, tmp_path):
+    """State is a table that is joined; many versions in a batch, repeats of one version, a batch that is done again, and a file that comes back to nothing."""
+    schema = "path string, version long, text string"
+    put = lambda *batch: spark.createDataFrame(list(batch), schema)
+    held = spark.createDataFrame([], versions.HELD)
+    bad, worse = "pickle.loads(x)\n", "h = hashlib.md5(x)\n"
+    linked = versions.linked(held, put(("a", 5, worse), ("a", 2, bad), ("a", 2, worse), ("a", 9, ""), ("b.py", 1, None)), ["pickle", "weak_hash"])
+    got = rows(versions.changes(linked), "path", "version", "cwe_id", "change")
+    assert got == [("a", 2, "CWE-328", "new"), ("a", 2, "CWE-502", "new"), ("a", 5, "CWE-328", "unchanged"), ("a", 5, "CWE-502", "gone"), ("a", 9, "CWE-328", "gone")]
+    plan = versions.changes(linked)._jdf.queryExecution().executedPlan().toString()
+    assert "Pandas" not in plan
+    held = linked.filter("next IS NULL").select(*versions.MARK)
+    assert rows(held, *versions.MARK) == [("a", 9, None, None), ("b.py", 1, None, None)]
+    later = versions.linked(held, put(("a", 9, bad), ("b.py", 3, bad)), ["pickle"])
+    assert rows(versions.changes(later), "path", "version", "cwe_id", "change") == [("b.py", 3, "CWE-502", "new")]
+    assert rows(later.filter("next IS NULL"), "path", "version") == [("a", 9), ("b.py", 3)]
